@@ -1,6 +1,6 @@
 """DuckDB statements that give the rows of registered queries."""
 
-from memlake.llm import quality_rules as q
+from memlake.llm import license_scan, mixing as m, quality_rules as q, secret_scan
 
 EXACT_DEDUP = """
 WITH n AS (
@@ -48,3 +48,70 @@ def _nested(columns: list[tuple[str, str]], source: str) -> str:
     for name, expression in columns:
         source = f"SELECT *, {expression} AS {name} FROM ({source})"
     return source
+
+
+def mixing() -> str:
+    """One period by recursion over its slots, in whole numbers; ids are ranked by one window here."""
+    return f"""
+WITH RECURSIVE docs AS (SELECT doc_id, source, coalesce('=' || source, '') AS src, md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
+sizes AS (SELECT src, sqrt(count(*)::DOUBLE) AS w FROM docs GROUP BY src),
+total AS (SELECT sum(w ORDER BY src) AS w, count(*) AS n, greatest({m.PERIOD}, 2 * count(*)) AS q FROM sizes),
+exact AS (SELECT src, (q - n) * sizes.w / total.w AS e, q - n AS spare, q FROM sizes, total),
+shares AS (
+  SELECT src, q, (1 + floor(e) + CASE WHEN row_number() OVER (ORDER BY e - floor(e) DESC, src) <= spare - sum(floor(e)) OVER () THEN 1 ELSE 0 END)::BIGINT AS share FROM exact
+),
+s AS (SELECT list(share ORDER BY src) AS share, list(src ORDER BY src) AS src, any_value(q) AS q FROM shares),
+edf(slot, used, pick) AS (
+  SELECT -1::BIGINT, list_transform(share, lambda x: 0::BIGINT), 0::BIGINT FROM s
+  UNION ALL
+  SELECT slot + 1, list_transform(used, lambda x, i: CASE WHEN i = best THEN x + 1 ELSE x END), best FROM (
+    SELECT slot, used, list_min(list_filter(list_transform(range(1, len(share) + 1), lambda i:
+      CASE WHEN used[i] < share[i] AND used[i] * q // share[i] <= slot + 1 THEN ((used[i] + 1) * q + share[i] - 1) // share[i] * 1000000 + i END), lambda x: x IS NOT NULL)) % 1000000 AS best
+    FROM edf, s WHERE slot + 1 < q)
+),
+turns AS (SELECT slot, s.src[pick] AS src, s.share[pick] AS share, q, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS turn FROM edf, s WHERE slot >= 0),
+blocks AS (SELECT doc_id, source, src, (row_number() OVER (PARTITION BY src ORDER BY k, doc_id) - 1) // {m.BLOCK} AS block FROM docs)
+SELECT doc_id, source, block, block // b.share * q + turn * q // b.share AS release, block // b.share * q + ((turn + 1) * q + b.share - 1) // b.share AS deadline, block // b.share * q + slot AS slot
+FROM (SELECT blocks.*, share FROM blocks JOIN shares USING (src)) AS b JOIN turns ON b.src = turns.src AND block % b.share = turn
+"""
+
+
+def secret_scan_kind(order: int, rule: secret_scan.Rule) -> str:
+    """Beginnings are sums of the lengths of the parts between the matches and of the matches."""
+    pattern = rule.pattern.replace("'", "''")
+    value = f"length(regexp_replace(m, '^(?:{secret_scan.ASSIGN.rpartition('[A-Za')[0].replace(chr(39), chr(39) * 2)})', ''))" if rule.tail else "length(m)"
+    return f"""
+SELECT doc_id, {order} AS o, '{rule.kind}' AS kind, s AS start, s + length(m) AS stop FROM (
+  SELECT doc_id, ms[i] AS m, (coalesce(list_sum(list_transform(ps[1:i], lambda x: length(x))), 0) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda x: length(x))), 0))::BIGINT AS s FROM (
+    SELECT doc_id, ms, ps, unnest(range(1, len(ms) + 1)) AS i FROM (
+      SELECT doc_id, regexp_extract_all(text, '{pattern}') AS ms, string_split_regex(text, '{pattern}') AS ps FROM documents)))
+WHERE {value} >= {rule.least}"""
+
+
+def secret_scan_sql() -> str:
+    base = len(secret_scan.BASE)
+    listed = lambda where: f"coalesce(string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, o) FILTER ({where}), '')"
+    counts = "".join(f"count(*) FILTER (o = {n}) AS n_{r.kind}, " for n, r in enumerate(secret_scan.BASE))
+    return f"""
+WITH k AS ({" UNION ALL ".join(secret_scan_kind(n, r) for n, r in enumerate(secret_scan.RULES))})
+SELECT d.doc_id, {counts}sha256({listed(f"o < {base}")}) AS base_sha256, {listed("o >= 0")} AS spans FROM documents d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id
+"""
+
+
+def license_scan_sql() -> str:
+    listed = lambda words: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
+    templates = ", ".join(f"('{n}', {listed(b)})" for n, b in license_scan.template_bigrams(license_scan.TEMPLATES))
+    return rf"""
+WITH t(license, b) AS (VALUES {templates}),
+c AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS t FROM documents),
+p AS (
+  SELECT doc_id, unnest(list_concat(string_split(t, chr(10)), list_transform(
+    list_filter(string_split_regex(t, '\n ?\n[ \n]*'), lambda x: contains(trim(replace(x, chr(10), '|')), '|')), lambda x: replace(x, chr(10), ' ')))) AS p FROM c
+),
+w AS (SELECT doc_id, row_number() OVER () AS n, string_split_regex(trim(p), ' +') AS w FROM p),
+g AS (SELECT doc_id, n, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) > 1),
+s AS (SELECT doc_id, n, license, 2.0::DOUBLE * len(list_intersect(g, b)) / (len(g) + len(b)) AS dice FROM g, t),
+h AS (SELECT doc_id, n, max({{'dice': dice, 'license': license}}) AS h FROM s WHERE dice >= {license_scan.THRESHOLD} GROUP BY doc_id, n)
+SELECT d.doc_id, coalesce(string_agg(DISTINCT h.license, ',' ORDER BY h.license), '') AS licenses, count(h.n) AS n_passages, max(h).license AS best_license, round(max(h).dice, 6) AS best_dice
+FROM documents d LEFT JOIN h USING (doc_id) GROUP BY d.doc_id
+"""
