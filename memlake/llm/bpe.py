@@ -158,6 +158,16 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, ids array<int>").withColumnRenamed("id", id_col)
 
 
+def _decoded_columns(tool: Encoder, column: pa.ListArray) -> tuple[list[int], list[str], list[bytes]]:
+    counts, digests, decoded = [], [], []
+    for row in column:
+        ids = np.empty(0, np.int32) if row.values is None else row.values.to_numpy(zero_copy_only=False)
+        counts.append(len(ids))
+        digests.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+        decoded.append(tool.decode(ids.tolist()))
+    return counts, digests, decoded
+
+
 def decode_ids(encoded: DataFrame, id_col: str = "doc_id", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """id_col, n_tokens, ids_sha256 (of the ids as little-endian 32-bit integers) and decoded (bytes) of every row of encode_texts."""
     raw = _shipped(encoded, path)
@@ -165,16 +175,25 @@ def decode_ids(encoded: DataFrame, id_col: str = "doc_id", path: str | None = No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(raw.value, pattern)
         for batch in batches:
-            column = batch.column(1)
-            counts, digests, decoded = [], [], []
-            for row in range(len(column)):
-                ids = column[row].values
-                ids = np.empty(0, np.int32) if ids is None else ids.to_numpy(zero_copy_only=False)
-                counts.append(len(ids))
-                digests.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
-                decoded.append(tool.decode(ids.tolist()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests), pa.array(decoded, pa.binary())], ["id", "n_tokens", "ids_sha256", "decoded"])
+            counts, digests, decoded = _decoded_columns(tool, batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.binary())], ["id", "n_tokens", "ids_sha256", "decoded"])
 
     rows = encoded.select(F.col(id_col).alias("id"), "ids")
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(run, f"id {kind}, n_tokens long, ids_sha256 string, decoded binary").withColumnRenamed("id", id_col)
+
+
+def with_digests(encoded: DataFrame, id_col: str = "doc_id", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """id_col, ids, n_tokens, ids_sha256 and decoded_sha256 (of the bytes that the ids decode to) of every row of encode_texts."""
+    raw = _shipped(encoded, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tool = encoder(raw.value, pattern)
+        for batch in batches:
+            counts, digests, decoded = _decoded_columns(tool, batch.column(1))
+            texts = [hashlib.sha256(d).hexdigest() for d in decoded]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(texts, pa.string())], ["id", "ids", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    rows = encoded.select(F.col(id_col).alias("id"), "ids")
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"id {kind}, ids array<int>, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("id", id_col)

@@ -62,10 +62,11 @@ def voters(words: list[set[str]], texts: list[str], labels: list[int]) -> list[C
     return made
 
 
-def label_model(votes: np.ndarray, rounds: int = 3, steps: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, start: np.ndarray | None = None, rounds: int = 3, steps: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posteriors of label 1, each voter's table P(vote | label), and the voters' correlations given the label.
 
-    votes: rows by voters of 1, 0 or ABSTAIN. Expectation maximisation estimates the tables with the label hidden.
+    votes: rows by voters of 1, 0 or ABSTAIN. Expectation maximisation estimates the tables with the label hidden,
+    from start or else from the share of voters for 1.
     What is left of the voters' covariance under the posterior gives their correlations; a voter's evidence is divided
     by one plus its correlations with the others, so that voters that repeat each other don't count many times.
     """
@@ -73,7 +74,7 @@ def label_model(votes: np.ndarray, rounds: int = 3, steps: int = 25) -> tuple[np
     onehot = np.stack([votes == v for v in (ABSTAIN, 0, 1)], axis=2).astype(float)
     cast = votes != ABSTAIN
     share = np.where(cast.any(axis=1), ((votes == 1).sum(axis=1) + 0.1) / (cast.sum(axis=1) + 0.2), 0.5)
-    posterior, weight, corr = share, np.ones(count), np.eye(count)
+    posterior, weight, corr = share if start is None else start, np.ones(count), np.eye(count)
     for _ in range(rounds):
         for _ in range(steps):
             tables = np.stack([np.einsum("r,rjv->jv", p, onehot) + 0.5 for p in (1 - posterior, posterior)])
@@ -91,9 +92,10 @@ def label_model(votes: np.ndarray, rounds: int = 3, steps: int = 25) -> tuple[np
 
 
 def word_features(word: str) -> list[int]:
-    """Buckets of a word and of its beginnings."""
+    """Buckets of a word, of its beginnings, and of the insults as one."""
     word = word.strip(_EDGE)
-    return [linear.bucket(word), *(linear.bucket(f"{n} {word[:n]}") for n in PREFIXES if len(word) > n)] if word else []
+    found = [linear.bucket(word), *(linear.bucket(f"{n} {word[:n]}") for n in PREFIXES if len(word) > n)] if word else []
+    return [*found, linear.bucket("an insult")] if word in INSULTS else found
 
 
 def example(text: str | None) -> tuple[np.ndarray, np.ndarray]:
@@ -106,7 +108,7 @@ def posterior_labels(texts: list[str], labels: list[int]) -> np.ndarray:
     words = [distinct_words(t) for t in texts]
     ballot = voters(words, texts, labels)
     votes = np.array([[v(w, t) for v in ballot] + [y] for w, t, y in zip(words, texts, labels, strict=True)])
-    return label_model(votes)[0]
+    return label_model(votes, 0.05 + 0.9 * np.array(labels, float))[0]
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", rows: int = linear.SAMPLE_ROWS) -> bytes:
@@ -116,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         sample = pd.concat(list(batches) or [pd.DataFrame({"id": [], "text": [], "label": []})]).sort_values(["id", "text"])
         texts, given = sample["text"].fillna("").tolist(), sample["label"].tolist()
         targets = posterior_labels(texts, given).tolist() if len(set(given)) == 2 else given
-        weights = linear.fitted([example(t) for t in texts], targets, EPOCHS, alpha=0.3, l1=0.3, l2=0.1)
+        weights = linear.fitted([example(t) for t in texts], targets, EPOCHS, alpha=1.0, l1=5.0, l2=0.1)
         yield pd.DataFrame({"weights": [weights.astype(np.float32).tobytes()]})
 
     found = linear.labelled_sample(docs, labels, label, id_col, text_col, rows).mapInPandas(run, "weights binary").first()
