@@ -36,6 +36,8 @@ class Encoder(dict):
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         words = (max(ranks.values(), default=0) >> WIDTH) + 1
         self.words, self.bits = [0] * words, [1 << n for n in range(max(words, 1 << WIDTH))]
+        #: Ranks of pairs of single bytes, by the first and the second.
+        self.first = [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
         self.packed = {t: r.to_bytes(4, "little") for t, r in ranks.items()}
         self.tokens = {r: t for t, r in ranks.items()}
 
@@ -55,33 +57,39 @@ class Encoder(dict):
         of two levels tells which buckets hold any, and its lowest set bits give the next rank. Entries of pairs
         that are gone stay in their buckets and are skipped. The bitmap is empty again at the end.
         """
-        n, get, words, bits, top = len(piece), self.ranks.get, self.words, self.bits, 0
+        n, get, words, bits, first, top = len(piece), self.ranks.get, self.words, self.bits, self.first, 0
         after, before = list(range(1, n + 2)), list(range(-1, n))
-        pair = [get(piece[i : i + 2], -1) for i in range(n - 1)]
-        pair += [-1, -1]
-        buckets: dict[int, list[int]] = {}
+        pair = [first[a << 8 | b] for a, b in zip(piece, piece[1:])]
+        buckets: dict[int, int | list[int]] = {}  # a position alone, or a heap
         for i, rank in enumerate(pair):
             if rank >= 0:
                 if rank in buckets:
-                    buckets[rank].append(i)
+                    held = buckets[rank]
+                    if held.__class__ is int:
+                        buckets[rank] = [held, i]
+                    else:
+                        held.append(i)
                 else:
-                    buckets[rank] = [i]
-                    words[rank >> WIDTH] |= bits[rank & 255]
-                    top |= bits[rank >> WIDTH]
+                    buckets[rank] = i
+                    high = rank >> WIDTH
+                    words[high] |= bits[rank & 255]
+                    top |= bits[high]
+        pair.append(-1)
         while top:
             high = (top & -top).bit_length() - 1
             word = words[high]
             low = word & -word
             rank = (high << WIDTH) + low.bit_length() - 1
-            bucket = buckets[rank]
-            if len(bucket) > 1:
-                i = heappop(bucket)
-            else:
-                i = bucket[0]
+            i = buckets[rank]
+            if i.__class__ is int or len(i) == 1:
+                if i.__class__ is not int:
+                    i = i[0]
                 del buckets[rank]
                 words[high] = word = word ^ low
                 if not word:
                     top ^= bits[high]
+            else:
+                i = heappop(i)
             if pair[i] != rank:
                 continue
             j = after[i]
@@ -90,27 +98,29 @@ class Encoder(dict):
             if k < n:
                 before[k] = i
                 pair[i] = now = get(piece[i : after[k]], -1)
+            else:
+                pair[i] = now = -1
+            at = i
+            while True:
                 if now >= 0:
                     if now in buckets:
-                        heappush(buckets[now], i)
-                    else:
-                        buckets[now] = [i]
-                        words[now >> WIDTH] |= bits[now & 255]
-                        top |= bits[now >> WIDTH]
-            else:
-                pair[i] = -1
-            if i:
-                left = before[i]
-                now = get(piece[left:k], -1)
-                if now != pair[left]:
-                    pair[left] = now
-                    if now >= 0:
-                        if now in buckets:
-                            heappush(buckets[now], left)
+                        held = buckets[now]
+                        if held.__class__ is int:
+                            buckets[now] = [held, at] if held < at else [at, held]
                         else:
-                            buckets[now] = [left]
-                            words[now >> WIDTH] |= bits[now & 255]
-                            top |= bits[now >> WIDTH]
+                            heappush(held, at)
+                    else:
+                        buckets[now] = at
+                        high = now >> WIDTH
+                        words[high] |= bits[now & 255]
+                        top |= bits[high]
+                if at < i or not i:
+                    break
+                at = before[i]
+                now = get(piece[at:k], -1)
+                if now == pair[at]:
+                    break
+                pair[at] = now
         out, i, packed = [], 0, self.packed
         while i < n:
             j = after[i]

@@ -22,7 +22,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
     learnable = labels.filter(~held_out(F.col(id_col)) & F.col(label).isNotNull() & F.col(id_col).isNotNull())
     picked = learnable.select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("__id"), "__id").limit(rows)
     picked = picked.groupBy("__id").agg(F.max("label").alias("label"))
-    return docs.join(F.broadcast(picked), docs[id_col] == picked["__id"]).select(F.col("__id").alias("id"), F.col(text_col).alias("text"), "label").repartition(1)
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    return texts.join(F.broadcast(picked), F.col("id") == F.col("__id")).select("id", "text", "label").repartition(1)
 
 
 def bucket(feature: str) -> int:

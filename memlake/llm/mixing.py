@@ -16,6 +16,9 @@ BLOCK = 16
 PERIOD = 1000
 #: About so many rows of a source are ranked in one task.
 RANKED = 50_000
+#: Columns that scheduled() adds.
+ADDED = ("block", "release", "deadline", "slot")
+KEPT = "__doc"
 
 
 def source_shares(sizes: DataFrame, weights: dict[str, float] | None = None, period: int = PERIOD) -> DataFrame:
@@ -61,43 +64,44 @@ def edf_schedule(shares: DataFrame) -> DataFrame:
     return flat.withColumn("turn", F.row_number().over(W.partitionBy("src").orderBy("slot")).cast("long") - 1)
 
 
-def scheduled(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, ranked: int = RANKED) -> DataFrame:
+def scheduled(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", weights: dict[str, float] | None = None, block: int = BLOCK, period: int = PERIOD, ranked: int = RANKED, keep_doc: bool = False) -> DataFrame:
     """All rows and columns of docs, and block, release, deadline, slot (long): the mix is docs in the order of slot.
 
     A source's rows are ranked by the MD5 of their ids, which shuffles them, and cut into blocks. While all sources
     last, each has had its weight of the blocks up to any slot, to less than one block; the slots of one that has
     ended stay empty, and no row is dropped or repeated. Ranks come from counts per hash prefix, so that a hot source
     is ranked in many tasks. A null source is a source of its own; null ids rank like empty text, repeated ids in either
-    order. An empty table gives an empty table. Columns of docs must not be called block, release, deadline or slot.
+    order. An empty table gives an empty table. The four columns replace those of docs with the same names; keep_doc
+    adds the row of docs as it was.
     """
     src = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
-    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+    key = F.md5(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary"))
     sizes = saved(docs.groupBy(src.alias("src"), F.col(source_col).cast("string").alias("source")).agg(F.count(F.lit(1)).alias("n")), "sizes")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     digits = max(1, math.ceil(math.log(max(1, total / ranked), 16)))
     schedule = saved(edf_schedule(source_shares(sizes, weights, period)), "schedule")
 
     bucket = F.substring(key, 1, digits)
-    counts = docs.groupBy(src.alias("__src"), bucket.alias("__bucket")).agg(F.count(F.lit(1)).alias("n"))
-    before = F.coalesce(F.sum("n").over(W.partitionBy("__src").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select("__src", "__bucket", before.alias("__before"))
-    rows = docs.withColumns({"__src": src, "__key": key, "__bucket": bucket})
-    rows = rows.withColumn("__rank", F.row_number().over(W.partitionBy("__src", "__bucket").orderBy("__key", id_col)))
-    rows = rows.join(offsets, ["__src", "__bucket"]).withColumn("block", F.floor((F.col("__before") + F.col("__rank") - 1) / block).cast("long"))
-
-    shares = schedule.select(F.col("src").alias("__src"), "period", "share").distinct()
-    rows = rows.join(shares, "__src").withColumns({"__turn": F.expr("block % share"), "__cycle": F.expr("block div share")})
-    turns = schedule.select(F.col("src").alias("__src"), F.col("turn").alias("__turn"), F.col("slot").alias("__slot"))
-    rows = rows.join(turns, ["__src", "__turn"])
-    start = F.col("__cycle") * F.col("period")
+    counts = docs.groupBy(src.alias("src"), bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(W.partitionBy("src").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("src", "bucket", before.alias("before"))
+    rows = docs.select(src.alias("src"), key.alias("key"), bucket.alias("bucket"), F.struct(*docs.columns).alias("doc"))
+    rows = rows.withColumn("rank", F.row_number().over(W.partitionBy("src", "bucket").orderBy("key", F.col("doc")[id_col])))
+    rows = rows.join(offsets, ["src", "bucket"]).withColumn("block", F.floor((F.col("before") + F.col("rank") - 1) / block).cast("long"))
+
+    rows = rows.join(schedule.select("src", "period", "share").distinct(), "src").withColumns({"turn": F.expr("block % share"), "cycle": F.expr("block div share")})
+    rows = rows.join(schedule.select("src", "turn", "slot"), ["src", "turn"])
+    start = F.col("cycle") * F.col("period")
     return rows.select(
-        *docs.columns, "block",
-        (start + F.expr("(__turn * period) div share")).alias("release"),
-        (start + F.expr("((__turn + 1) * period + share - 1) div share")).alias("deadline"),
-        (start + F.col("__slot")).alias("slot"),
+        *[F.col("doc")[c].alias(c) for c in docs.columns if c not in ADDED], "block",
+        (start + F.expr("(turn * period) div share")).alias("release"),
+        (start + F.expr("((turn + 1) * period + share - 1) div share")).alias("deadline"),
+        (start + F.col("slot")).alias("slot"),
+        *([F.col("doc").alias(KEPT)] if keep_doc else []),
     )
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
     """docs in the order of the mix: ranges of slots to each partition, sorted within."""
-    return scheduled(docs, id_col, source_col, **options).repartitionByRange("slot").sortWithinPartitions("slot").select(*docs.columns)
+    rows = scheduled(docs, id_col, source_col, keep_doc=True, **options).select("slot", KEPT)
+    return rows.repartitionByRange("slot").sortWithinPartitions("slot").select(*[F.col(KEPT)[c].alias(c) for c in docs.columns])

@@ -25,7 +25,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.scheduled(_table(spark, sf_dir, "documents")).select("doc_id", "source", "block", "release", "deadline", "slot")
+    return mixing.scheduled(_table(spark, sf_dir, "documents").select("doc_id", "source")).select("doc_id", "source", "block", "release", "deadline", "slot")
 
 
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,19 +62,26 @@ def voters(words: list[set[str]], texts: list[str], labels: list[int]) -> list[C
     return made
 
 
-def label_model(votes: np.ndarray, start: np.ndarray | None = None, rounds: int = 3, steps: int = 25) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, start: np.ndarray | None = None, rounds: int = 8, steps: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posteriors of label 1, each voter's table P(vote | label), and the voters' correlations given the label.
 
     votes: rows by voters of 1, 0 or ABSTAIN. Expectation maximisation estimates the tables with the label hidden,
-    from start or else from the share of voters for 1.
+    from start or else from the share of voters for 1, each weighted by how little it repeats others.
     What is left of the voters' covariance under the posterior gives their correlations; a voter's evidence is divided
     by one plus its correlations with the others, so that voters that repeat each other don't count many times.
     """
-    rows, count = votes.shape
+    rows = len(votes)
     onehot = np.stack([votes == v for v in (ABSTAIN, 0, 1)], axis=2).astype(float)
-    cast = votes != ABSTAIN
-    share = np.where(cast.any(axis=1), ((votes == 1).sum(axis=1) + 0.1) / (cast.sum(axis=1) + 0.2), 0.5)
-    posterior, weight, corr = share if start is None else start, np.ones(count), np.eye(count)
+
+    def correlations(expected: np.ndarray) -> np.ndarray:
+        left = (votes == 1) - expected
+        cov = left.T @ left / max(1, rows)
+        scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
+        return cov / np.outer(scale, scale)
+
+    corr = correlations((votes == 1).mean(axis=0))
+    weight = 1 / np.maximum(1, np.abs(corr).sum(axis=1))
+    posterior = ((votes == 1) @ weight + 0.05) / ((votes != ABSTAIN) @ weight + 0.1) if start is None else start
     for _ in range(rounds):
         for _ in range(steps):
             tables = np.stack([np.einsum("r,rjv->jv", p, onehot) + 0.5 for p in (1 - posterior, posterior)])
@@ -83,10 +90,7 @@ def label_model(votes: np.ndarray, start: np.ndarray | None = None, rounds: int
             evidence = np.einsum("rjv,jv,j->r", onehot, np.log(tables[1]) - np.log(tables[0]), weight)
             posterior = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + evidence, -30, 30)))
         expected = np.einsum("lj,lr->rj", tables[:, :, 2], np.stack([1 - posterior, posterior]))
-        left = (votes == 1) - expected
-        cov = left.T @ left / max(1, rows)
-        scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        corr = cov / np.outer(scale, scale)
+        corr = correlations(expected)
         weight = 1 / np.maximum(1, np.abs(corr).sum(axis=1))
     return posterior, tables, corr
 
