@@ -6,7 +6,6 @@ import base64
 import hashlib
 from collections.abc import Iterator
 from functools import lru_cache
-from heapq import heappop, heappush
 
 import numpy as np
 import public_tokenizers
@@ -16,7 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Encoded pre-tokens that a Python worker remembers, and the longest of them in characters.
-REMEMBERED, REMEMBERED_CHARS = 800_000, 64
+REMEMBERED, REMEMBERED_CHARS = 600_000, 64
+#: Texts are encoded together up to about so many characters: what none of them had before goes through the queue at once.
+TOGETHER = 1_000_000
 
 
 def parse_ranks(raw: bytes) -> dict[bytes, int]:
@@ -28,108 +29,134 @@ def parse_ranks(raw: bytes) -> dict[bytes, int]:
 WIDTH = 8
 
 
-class Encoder(dict):
-    """Pre-token -> its ids as little-endian unsigned 32-bit integers."""
+class Encoder:
+    """Encodes and decodes by a vocabulary; known: pre-token -> its ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        super().__init__()
         self.ranks, self.split = ranks, regex.compile(pattern).findall
         words = (max(ranks.values(), default=0) >> WIDTH) + 1
         self.words, self.bits = [0] * words, [1 << n for n in range(max(words, 1 << WIDTH))]
         #: Ranks of pairs of single bytes, by the first and the second.
-        self.first = [ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)]
+        self.first = np.array([ranks.get(bytes((a, b)), -1) for a in range(256) for b in range(256)])
         self.packed = {t: r.to_bytes(4, "little") for t, r in ranks.items()}
         self.tokens = {r: t for t, r in ranks.items()}
-
-    def __missing__(self, word: str) -> bytes:
-        piece = word.encode("utf-8", "surrogatepass")
-        out = self.packed.get(piece) or self.merged(piece)
-        if len(word) <= REMEMBERED_CHARS:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = out
+        self.known: dict[str, bytes] = {}
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        out, start = [], 0
+        while start < len(texts):
+            end, chars = start, 0
+            while end < len(texts) and (end == start or chars + len(texts[end]) <= TOGETHER):
+                chars += len(texts[end])
+                end += 1
+            cut = [self.split(t) for t in texts[start:end]]
+            new = set().union(*cut).difference(self.known)
+            if len(self.known) + len(new) > REMEMBERED:
+                self.known.clear()
+                new = set().union(*cut)
+            pieces = [w.encode("utf-8", "surrogatepass") for w in new]
+            whole = list(map(self.packed.get, pieces))
+            merged = iter(self.merged([p for p, w in zip(pieces, whole, strict=True) if w is None]))
+            self.known.update(zip(new, [w or next(merged) for w in whole], strict=True))
+            find = self.known.__getitem__
+            out += [b"".join(map(find, c)) for c in cut]
+            for w in new:
+                if len(w) > REMEMBERED_CHARS:
+                    del self.known[w]
+            start = end
         return out
 
-    def merged(self, piece: bytes) -> bytes:
-        """Merges the adjacent pair of least rank, the leftmost of equals, until no pair has one.
+    def encode(self, text: str) -> bytes:
+        return self.encode_all([text])[0]
+
+    def merged(self, pieces: list[bytes]) -> list[bytes]:
+        """Merges, in each piece, the adjacent pair of least rank, the leftmost of equals, until no pair has one.
 
-        Each rank has a bucket, a heap of the positions in a linked list of parts where its pair begins. A bitmap
-        of two levels tells which buckets hold any, and its lowest set bits give the next rank. Entries of pairs
-        that are gone stay in their buckets and are skipped. The bitmap is empty again at the end.
+        All pieces are one linked list of parts, with no pairs across their ends. Each rank has a bucket of the
+        positions where its pair begins. A bitmap of two levels tells which buckets hold any, and its lowest set bits
+        give the next rank. Entries of pairs that are gone stay in their buckets and are skipped. A merge that makes a
+        pair of lower rank has that one done before what is left of its bucket. The bitmap ends up empty again.
         """
-        n, get, words, bits, first, top = len(piece), self.ranks.get, self.words, self.bits, self.first, 0
-        after, before = list(range(1, n + 2)), list(range(-1, n))
-        pair = [first[a << 8 | b] for a, b in zip(piece, piece[1:])]
-        buckets: dict[int, int | list[int]] = {}  # a position alone, or a heap
-        for i, rank in enumerate(pair):
-            if rank >= 0:
-                if rank in buckets:
-                    held = buckets[rank]
-                    if held.__class__ is int:
-                        buckets[rank] = [held, i]
-                    else:
-                        held.append(i)
-                else:
-                    buckets[rank] = i
-                    high = rank >> WIDTH
-                    words[high] |= bits[rank & 255]
-                    top |= bits[high]
-        pair.append(-1)
+        data, get, words, bits, top = b"".join(pieces), self.ranks.get, self.words, self.bits, 0
+        n = len(data)
+        lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        ends = np.cumsum(lengths)
+        codes = np.frombuffer(data, np.uint8).astype(np.int64)
+        ranks = np.append(self.first[codes[:-1] << 8 | codes[1:]], -1) if n else np.empty(0, np.int64)
+        ranks[ends - 1] = -1
+        previous = np.arange(-1, n - 1)
+        previous[ends - lengths] = -1
+        pair, before, after, limit = ranks.tolist(), previous.tolist(), list(range(1, n + 1)), np.repeat(ends, lengths).tolist()
+        after.append(n)
+        buckets: dict[int, list[int]] = {}
+        order = np.argsort(ranks, kind="stable")
+        order = order[np.searchsorted(ranks[order], 0) :]
+        cuts = np.flatnonzero(np.diff(ranks[order], prepend=-1))
+        for s, e in zip(cuts.tolist(), [*cuts[1:].tolist(), len(order)]) if len(order) else ():
+            rank = pair[order[s]]
+            buckets[rank] = order[s:e].tolist()
+            words[rank >> WIDTH] |= bits[rank & 255]
+            top |= bits[rank >> WIDTH]
         while top:
             high = (top & -top).bit_length() - 1
             word = words[high]
             low = word & -word
             rank = (high << WIDTH) + low.bit_length() - 1
-            i = buckets[rank]
-            if i.__class__ is int or len(i) == 1:
-                if i.__class__ is not int:
-                    i = i[0]
-                del buckets[rank]
-                words[high] = word = word ^ low
-                if not word:
-                    top ^= bits[high]
-            else:
-                i = heappop(i)
-            if pair[i] != rank:
-                continue
-            j = after[i]
-            after[i] = k = after[j]
-            pair[j] = -1
-            if k < n:
-                before[k] = i
-                pair[i] = now = get(piece[i : after[k]], -1)
-            else:
-                pair[i] = now = -1
-            at = i
-            while True:
-                if now >= 0:
-                    if now in buckets:
-                        held = buckets[now]
-                        if held.__class__ is int:
-                            buckets[now] = [held, at] if held < at else [at, held]
+            words[high] = word = word ^ low
+            if not word:
+                top ^= bits[high]
+            bucket = buckets.pop(rank)
+            bucket.sort()
+            for place, i in enumerate(bucket):
+                if pair[i] != rank:
+                    continue
+                j = after[i]
+                after[i] = k = after[j]
+                pair[j] = -1
+                least = rank
+                if k < limit[i]:
+                    before[k] = i
+                    pair[i] = now = get(data[i : after[k]], -1)
+                    if now >= 0:
+                        if now in buckets:
+                            buckets[now].append(i)
                         else:
-                            heappush(held, at)
-                    else:
-                        buckets[now] = at
-                        high = now >> WIDTH
-                        words[high] |= bits[now & 255]
-                        top |= bits[high]
-                if at < i or not i:
-                    break
+                            buckets[now] = [i]
+                            words[now >> WIDTH] |= bits[now & 255]
+                            top |= bits[now >> WIDTH]
+                        least = now
+                else:
+                    pair[i] = -1
                 at = before[i]
-                now = get(piece[at:k], -1)
-                if now == pair[at]:
+                if at >= 0:
+                    now = get(data[at:k], -1)
+                    if now != pair[at]:
+                        pair[at] = now
+                        if now >= 0:
+                            if now in buckets:
+                                buckets[now].append(at)
+                            else:
+                                buckets[now] = [at]
+                                words[now >> WIDTH] |= bits[now & 255]
+                                top |= bits[now >> WIDTH]
+                            if now < least:
+                                least = now
+                if least < rank:
+                    rest = bucket[place + 1 :]
+                    if rest:
+                        buckets[rank] = buckets.get(rank, []) + rest
+                        words[rank >> WIDTH] |= bits[rank & 255]
+                        top |= bits[rank >> WIDTH]
                     break
-                pair[at] = now
-        out, i, packed = [], 0, self.packed
-        while i < n:
-            j = after[i]
-            out.append(packed[piece[i:j]])
-            i = j
-        return b"".join(out)
-
-    def encode(self, text: str) -> bytes:
-        return b"".join(map(self.__getitem__, self.split(text)))
+        out, packed, i = [], self.packed, 0
+        for end in ends.tolist():
+            ids = []
+            while i < end:
+                j = after[i]
+                ids.append(packed[data[i:j]])
+                i = j
+            out.append(b"".join(ids))
+        return out
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -158,7 +185,7 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tool = encoder(raw.value, pattern)
         for batch in batches:
-            packed = [tool.encode(t) if t else b"" for t in batch.column(1).to_pylist()]
+            packed = tool.encode_all([t or "" for t in batch.column(1).to_pylist()])
             offsets = np.zeros(len(packed) + 1, np.int32)
             np.cumsum([len(p) // 4 for p in packed], out=offsets[1:])
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), "<i4")))
