@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from memlake.plans import search_queries, store_queries
+
+QUERIES = search_queries.QUERIES | store_queries.QUERIES
+ORACLE_SQL = search_queries.ORACLE_SQL | store_queries.ORACLE_SQL
