@@ -8,10 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.tables import saved
+from memlake.llm.tables import join_to_groups, packed, saved, unpacked
 
 #: A group of copies is merged in as many parts as this before its winners meet.
 SALTS = 64
+#: Rows that repeat an id and its text are counted out in runs of so many.
+RUN = 10_000
 
 
 def normalised(text: Column) -> Column:
@@ -23,13 +25,21 @@ def sha256_hex(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
+def _counted_out(rows: DataFrame) -> DataFrame:
+    """As many rows as copies says for each of rows, the first of them marked; no array grows past RUN or copies / RUN."""
+    runs = rows.withColumn("run", F.explode(F.sequence(F.lit(0), F.expr(f"(copies - 1) div {RUN}"))))
+    each = runs.withColumn("nth", F.explode(F.sequence(F.lit(0), F.least(F.lit(RUN), F.expr(f"copies - run * {RUN}")) - 1)))
+    return each.withColumn("first", (F.col("run") == 0) & (F.col("nth") == 0))
+
+
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: Callable[[Column], Column] = sha256_hex) -> DataFrame:
     """One row per row of docs: id_col, keep_id, group_size, kept, text_sha256.
 
     Texts are grouped by digest and full text in two steps. First each input partition merges its own copies and
     the partitions' results are merged per (digest, text, salt), the salt being the partition's number; then at most
     SALTS winners of each text are combined. Neither step holds a group's rows together, and text equality decides
-    in both. Rows then take their group by digest alone, unless two texts share a digest: then by text as well.
+    in both. Rows then take their group by digest alone, unless two texts share a digest: then by text as well. The
+    rows of a large group meet it in many parts.
 
     Null texts are empty ones. The largest id of a group stays; null ids lose to any other. Rows that repeat an id
     and its text count one by one, and one of them stays. An empty table gives an empty table. Other columns of docs
@@ -42,19 +52,18 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     classes = saved(groups.select("digest", "keep_id", "group_size"), "classes")
     clashes = classes.groupBy("digest").count().filter("count > 1")
-    by = ["digest"] if clashes.isEmpty() else ["digest", "norm"]
-    members = keyed.groupBy("id", *by).agg(F.count(F.lit(1)).alias("copies"))
-    # null ids are many rows under one key: numbering them would make one long array
-    found = members.join(classes if by == ["digest"] else groups, by)
-    each = F.explode(F.transform(F.sequence(F.lit(1), F.col("copies")), lambda i: i == 1))
-    return found.select(
-        F.col("id").alias(id_col), "keep_id", "group_size", each.alias("first"), F.col("digest").alias("text_sha256")
-    ).select(id_col, "keep_id", "group_size", (F.col("first") & F.col(id_col).eqNullSafe(F.col("keep_id"))).alias("kept"), "text_sha256")
+    if clashes.isEmpty():
+        found = join_to_groups(keyed.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("copies")), classes, "digest", "group_size", "id")
+    else:
+        found = keyed.groupBy("id", "digest", "norm").agg(F.count(F.lit(1)).alias("copies")).join(groups, ["digest", "norm"])
+    return _counted_out(found).select(
+        F.col("id").alias(id_col), "keep_id", "group_size", (F.col("first") & F.col("id").eqNullSafe(F.col("keep_id"))).alias("kept"), F.col("digest").alias("text_sha256")
+    )
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns; of rows that repeat an id and its text, one."""
-    kept = exact_duplicates(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("__id"), F.col("text_sha256").alias("__digest"))
-    rows = docs.withColumn("__digest", sha256_hex(normalised(F.col(text_col))))
-    on = rows[id_col].eqNullSafe(kept["__id"]) & (rows["__digest"] == kept["__digest"])
-    return rows.join(kept, on, "left_semi").dropDuplicates([id_col, "__digest"]).select(*docs.columns)
+    kept = exact_duplicates(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("kept_id"), F.col("text_sha256").alias("kept_digest"))
+    rows = packed(docs, id=docs[id_col], digest=sha256_hex(normalised(docs[text_col])))
+    on = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest"))
+    return unpacked(rows.join(kept, on, "left_semi").dropDuplicates(["id", "digest"]), docs.columns)

@@ -51,28 +51,22 @@ def _nested(columns: list[tuple[str, str]], source: str) -> str:
 
 
 def mixing() -> str:
-    """One period by recursion over its slots, in whole numbers; ids are ranked by one window here."""
+    """One run through all slots by recursion, in whole numbers; ids are ranked by one window here."""
     return f"""
 WITH RECURSIVE docs AS (SELECT doc_id, source, coalesce('=' || source, '') AS src, md5(coalesce(doc_id::VARCHAR, '')) AS k FROM documents),
-sizes AS (SELECT src, sqrt(count(*)::DOUBLE) AS w FROM docs GROUP BY src),
-total AS (SELECT sum(w ORDER BY src) AS w, count(*) AS n, greatest({m.PERIOD}, 2 * count(*)) AS q FROM sizes),
-exact AS (SELECT src, (q - n) * sizes.w / total.w AS e, q - n AS spare, q FROM sizes, total),
-shares AS (
-  SELECT src, q, (1 + floor(e) + CASE WHEN row_number() OVER (ORDER BY e - floor(e) DESC, src) <= spare - sum(floor(e)) OVER () THEN 1 ELSE 0 END)::BIGINT AS share FROM exact
-),
-s AS (SELECT list(share ORDER BY src) AS share, list(src ORDER BY src) AS src, any_value(q) AS q FROM shares),
+sizes AS (SELECT src, floor(sqrt(count(*)::DOUBLE))::BIGINT AS w, (count(*) + {m.BLOCK - 1}) // {m.BLOCK} AS n FROM docs GROUP BY src),
+s AS (SELECT list(w ORDER BY src) AS w, list(n ORDER BY src) AS n, list(src ORDER BY src) AS src, sum(w)::BIGINT AS q FROM sizes),
 edf(slot, used, pick) AS (
-  SELECT -1::BIGINT, list_transform(share, lambda x: 0::BIGINT), 0::BIGINT FROM s
+  SELECT -1::BIGINT, list_transform(w, lambda x: 0::BIGINT), 0::BIGINT FROM s
   UNION ALL
-  SELECT slot + 1, list_transform(used, lambda x, i: CASE WHEN i = best THEN x + 1 ELSE x END), best FROM (
-    SELECT slot, used, list_min(list_filter(list_transform(range(1, len(share) + 1), lambda i:
-      CASE WHEN used[i] < share[i] AND used[i] * q // share[i] <= slot + 1 THEN ((used[i] + 1) * q + share[i] - 1) // share[i] * 1000000 + i END), lambda x: x IS NOT NULL)) % 1000000 AS best
-    FROM edf, s WHERE slot + 1 < q)
+  SELECT slot + 1, list_transform(used, lambda x, i: CASE WHEN i = best THEN x + 1 ELSE x END), coalesce(best, 0) FROM (
+    SELECT slot, used, list_min(list_filter(list_transform(range(1, len(w) + 1), lambda i:
+      CASE WHEN used[i] < n[i] AND used[i] * q // w[i] <= slot + 1 THEN ((used[i] + 1) * q + w[i] - 1) // w[i] * 1000000 + i END), lambda x: x IS NOT NULL)) % 1000000 AS best
+    FROM edf, s WHERE list_sum(used) < list_sum(n))
 ),
-turns AS (SELECT slot, s.src[pick] AS src, s.share[pick] AS share, q, row_number() OVER (PARTITION BY pick ORDER BY slot) - 1 AS turn FROM edf, s WHERE slot >= 0),
+turns AS (SELECT s.src[pick] AS src, used[pick] - 1 AS block, s.w[pick] AS w, q, slot FROM edf, s WHERE pick > 0),
 blocks AS (SELECT doc_id, source, src, (row_number() OVER (PARTITION BY src ORDER BY k, doc_id) - 1) // {m.BLOCK} AS block FROM docs)
-SELECT doc_id, source, block, block // b.share * q + turn * q // b.share AS release, block // b.share * q + ((turn + 1) * q + b.share - 1) // b.share AS deadline, block // b.share * q + slot AS slot
-FROM (SELECT blocks.*, share FROM blocks JOIN shares USING (src)) AS b JOIN turns ON b.src = turns.src AND block % b.share = turn
+SELECT doc_id, source, block, block * q // w AS release, ((block + 1) * q + w - 1) // w AS deadline, slot FROM blocks JOIN turns USING (src, block)
 """
 
 
