@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.tables import saved
+from memlake.llm.tables import Scratch, packed, unpacked
 
-#: Rows that an estimate needs; smaller groups of a language share one, and rows of still smaller ones are kept.
-MIN_ROWS = 200
-#: Squared robust distance beyond which a text is rejected.
-CUTOFF = 100.0
+#: Share of clean texts that the cutoff would keep if their statistics were normal.
+KEPT = 1 - 1e-6
 #: Share of a group's rows that the determinant is minimised over.
 CORE = 0.75
-C_STEPS = 3
+#: Concentration steps at most; a group stops when its determinant no longer falls.
+C_STEPS = 6
+#: A group's estimate is one of its own rows and of so many rows like those of the wider group.
+BORROWED = 30
 #: Statistics are held as whole numbers of this many units, so that sums are exact in any order.
 UNITS = 256
-#: Standard deviation, in units, below which no coordinate counts: columns that are nearly constant don't reject.
+#: Standard deviation, in units, of what counts as no difference; its square is added to each variance once.
 FLOORS = (64.0, 16.0, 12.0, 24.0, 24.0, 12.0)
 #: log length, log mean word length, and roots of the shares of symbols, repeated lines, repeated words, capitals.
 STATS = (
@@ -30,6 +33,25 @@ STATS = (
 P = len(STATS)
 X = [f"x{i}" for i in range(P)]
 PAIRS = [(i, j) for i in range(P) for j in range(i + 1)]
+
+
+def chi_square_cdf(x: float, degrees: int) -> float:
+    """For an even number of degrees of freedom."""
+    return 1 - math.exp(-x / 2) * sum((x / 2) ** k / math.factorial(k) for k in range(degrees // 2))
+
+
+def chi_square_quantile(share: float, degrees: int) -> float:
+    low, high = 0.0, 1000.0
+    for _ in range(100):
+        middle = (low + high) / 2
+        low, high = (middle, high) if chi_square_cdf(middle, degrees) < share else (low, middle)
+    return high
+
+
+#: Squared robust distance beyond which a text is rejected.
+CUTOFF = round(chi_square_quantile(KEPT, P), 4)
+#: What the covariance of the innermost CORE of normal rows is to be multiplied by to be that of all.
+CONSISTENCY = round(CORE / chi_square_cdf(chi_square_quantile(CORE, P), P + 2), 6)
 GAPS = "[\\x20\\x09-\\x0D]+"
 
 
@@ -86,8 +108,16 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ).withColumn("base_failed", F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words"))
 
 
+MEANS = [f"m{i}" for i in range(P)]
+MOMENTS = MEANS + [f"c{i}_{j}" for i, j in PAIRS]
+FACTORS = [f"l{i}_{j}" for i, j in PAIRS]
+#: Distances as whole numbers: an exact percentile then needs a bounded table of counts.
+RANK = "CAST(floor(16 * sqrt(least(d, 1e6))) AS BIGINT)"
+DETERMINANT = " * ".join(f"l{i}_{i}" for i in range(P))
+
+
 def distance_sql() -> str:
-    """Squared distance of x0.. from the mean m0.. under the covariance c0_0.., by Cholesky's factor l0_0.."""
+    """Squared distance of x0.. from the mean m0.., by Cholesky's factor l0_0.. of the covariance."""
     return " + ".join(f"z{i} * z{i}" for i in range(P))
 
 
@@ -95,88 +125,114 @@ def forward_sql(i: int) -> str:
     return f"(x{i} - m{i}" + "".join(f" - l{i}_{j} * z{j}" for j in range(i)) + f") / l{i}_{i}"
 
 
-def factor_sql(i: int, j: int) -> str:
+def factor_sql(i: int, j: int, scale: float = 1.0) -> str:
     if i == j:
-        return f"sqrt(greatest(c{i}_{i}" + "".join(f" - l{i}_{k} * l{i}_{k}" for k in range(i)) + f", {FLOORS[i] ** 2}))"
-    return f"(c{i}_{j}" + "".join(f" - l{i}_{k} * l{j}_{k}" for k in range(j)) + f") / l{j}_{j}"
+        return f"sqrt({scale} * c{i}_{i} + {FLOORS[i] ** 2}" + "".join(f" - l{i}_{k} * l{i}_{k}" for k in range(i)) + ")"
+    return f"({scale} * c{i}_{j}" + "".join(f" - l{i}_{k} * l{j}_{k}" for k in range(j)) + f") / l{j}_{j}"
 
 
-def moment_sql(i: int, j: int | None = None) -> str:
-    if j is None:
-        return f"CAST(sum(x{i}) AS DOUBLE) / count(*)"
-    ridge = f" + {FLOORS[i] ** 2}" if i == j else ""
-    return f"CAST(sum(x{i} * x{j}) AS DOUBLE) / count(*) - (CAST(sum(x{i}) AS DOUBLE) / count(*)) * (CAST(sum(x{j}) AS DOUBLE) / count(*)){ridge}"
+def sum_sql(i: int, j: int | None = None) -> str:
+    return f"CAST(sum(x{i}) AS DOUBLE) / count(*)" if j is None else f"CAST(sum(x{i} * x{j}) AS DOUBLE) / count(*)"
 
 
-#: Distances as whole numbers on a log scale: an exact percentile then needs a bounded table of counts.
-RANK = "CAST(floor(64 * ln(1.0 + least(d, 1e6))) AS BIGINT)"
-NAMES = [f"m{i}" for i in range(P)] + [f"l{i}_{j}" for i, j in PAIRS]
+def mean_sql(i: int) -> str:
+    """Of n rows with mean a0.. and of BORROWED rows with mean b0..; share is n's part."""
+    return f"share * a{i} + (1.0 - share) * b{i}"
 
 
-def _factored(df: DataFrame) -> DataFrame:
-    for i, j in PAIRS:
-        df = df.withColumn(f"l{i}_{j}", F.expr(factor_sql(i, j)))
-    return df.select("g", *NAMES)
+def covariance_sql(i: int, j: int) -> str:
+    """Of the same rows together: those of the group have mean products a0_0.., the borrowed ones the covariance b0_0.."""
+    return f"share * (a{i}_{j} - a{i} * a{j}) + (1.0 - share) * b{i}_{j} + share * (1.0 - share) * (a{i} - b{i}) * (a{j} - b{j})"
 
 
-def _distances(rows: DataFrame, estimate: DataFrame) -> DataFrame:
-    df = rows.join(estimate, "g")
-    for i in range(P):
-        df = df.withColumn(f"z{i}", F.expr(forward_sql(i)))
-    return df.withColumn("d", F.expr(distance_sql()))
+def _factored(df: DataFrame, scale: float = 1.0) -> DataFrame:
+    return df.selectExpr("*", *[f"{factor_sql(i, j, scale)} AS l{i}_{j}" for i, j in PAIRS])
 
 
-def robust_estimates(rows: DataFrame) -> DataFrame:
-    """Location and factored scatter per group g of rows (g, x0..), by concentration from medians and MADs.
+def _distances(df: DataFrame) -> DataFrame:
+    return df.selectExpr("*", *[f"{forward_sql(i)} AS z{i}" for i in range(P)], f"{distance_sql()} AS d")
 
-    Each step keeps the rows of the CORE smallest distances, with all ties, and takes their mean and covariance,
-    which doesn't raise the determinant. Only sums per group are shuffled, so a hot group costs a reducer no more.
-    """
-    middle = saved(rows.groupBy("g").agg(*[F.expr(f"floor(percentile(x{i}, 0.5))").alias(f"m{i}") for i in range(P)]), "medians")
+
+def _moments(rows: DataFrame, wider: DataFrame, *keys: str) -> DataFrame:
+    """Mean m0.. and covariance c0_0.. of rows (keys, x0..) by keys, each with rows borrowed from wider (g, m0.., c0_0..)."""
+    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.expr(sum_sql(i)).alias(f"a{i}") for i in range(P)], *[F.expr(sum_sql(i, j)).alias(f"a{i}_{j}") for i, j in PAIRS])
+    both = sums.join(wider.select("g", *[F.col(c).alias("b" + c[1:]) for c in MOMENTS]), "g").withColumn("share", F.expr(f"CAST(n AS DOUBLE) / (n + {BORROWED})"))
+    return both.select(*keys, *[F.expr(mean_sql(i)).alias(f"m{i}") for i in range(P)], *[F.expr(covariance_sql(i, j)).alias(f"c{i}_{j}") for i, j in PAIRS])
+
+
+def _middles(rows: DataFrame) -> DataFrame:
+    """Medians m0.. and, without covariance, the squares of scaled median deviations c0_0.. per group g."""
+    middle = rows.groupBy("g").agg(*[F.expr(f"floor(percentile(x{i}, 0.5))").alias(f"m{i}") for i in range(P)])
     spread = rows.join(middle, "g").groupBy("g").agg(*[F.expr(f"percentile(abs(x{i} - m{i}), 0.5)").alias(f"s{i}") for i in range(P)])
-    start = middle.join(spread, "g").withColumns({f"m{i}": F.col(f"m{i}").cast("double") for i in range(P)})
-    for i, j in PAIRS:
-        start = start.withColumn(f"l{i}_{j}", F.expr(f"greatest(1.4826 * s{i}, {FLOORS[i]})") if i == j else F.lit(0.0))
-    estimate = saved(start.select("g", *NAMES), "estimates")
-    for _ in range(C_STEPS):
-        ranked = _distances(rows, estimate).select("g", *X, F.expr(RANK).alias("r"))
-        limit = saved(ranked.groupBy("g").agg(F.expr(f"percentile(r, {CORE})").alias("most")), "limits")
-        core = ranked.join(limit, "g").filter("r <= most")
-        moments = core.groupBy("g").agg(*[F.expr(moment_sql(i)).alias(f"m{i}") for i in range(P)], *[F.expr(moment_sql(i, j)).alias(f"c{i}_{j}") for i, j in PAIRS])
-        estimate = saved(_factored(moments), "estimates")
-    return estimate
+    return middle.join(spread, "g").select("g", *[F.col(f"m{i}").cast("double").alias(f"m{i}") for i in range(P)], *[F.expr(f"1.4826 * s{i} * (1.4826 * s{i})" if i == j else "0.0D").alias(f"c{i}_{j}") for i, j in PAIRS])
+
 
+def concentrated(rows: DataFrame, wider: DataFrame, scratch: Scratch) -> DataFrame:
+    """(g, m0.., c0_0..): the minimum-covariance-determinant estimate of each group g of rows (g, x0..).
 
-def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: tuple[str, str] = ("lang", "source"), min_rows: int = MIN_ROWS, cutoff: float = CUTOFF) -> DataFrame:
+    It is sought from two starts: the group's medians, and wider (g, m0.., c0_0..), the estimate of the group around it.
+    A step keeps the rows of the CORE smallest distances, with all ties, takes their mean and covariance, and counts if
+    the determinant falls. Only sums per group and start are shuffled, so that a hot group costs a reducer no more.
+    """
+    starts = _middles(rows).withColumn("start", F.lit(0)).unionByName(wider.select("g", *MOMENTS).withColumn("start", F.lit(1)))
+    now = scratch.saved(_factored(starts).select("g", "start", *MOMENTS, *FACTORS, F.lit(1e300).alias("det")), "estimates")
+    for _ in range(C_STEPS):
+        ranked = _distances(rows.join(now.select("g", "start", *MEANS, *FACTORS), "g")).select("g", "start", *X, F.expr(RANK).alias("r"))
+        limit = ranked.groupBy("g", "start").agg(F.expr(f"percentile(r, {CORE})").alias("most"))
+        core = ranked.join(limit, ["g", "start"]).filter("r <= most")
+        tried = _factored(_moments(core, wider, "g", "start")).withColumn("det", F.expr(DETERMINANT))
+        both = now.alias("o").join(tried.alias("t"), ["g", "start"])
+        fell = F.col("t.det") < F.col("o.det")
+        after = scratch.saved(both.select("g", "start", fell.alias("fell"), *[F.when(fell, F.col(f"t.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in (*MOMENTS, *FACTORS, "det")]), "estimates")
+        scratch.drop(now)
+        now = after
+        if after.filter("fell").isEmpty():
+            break
+    best = now.groupBy("g").agg(F.min_by(F.struct(*MOMENTS), F.struct("det", "start")).alias("e"))
+    return scratch.saved(best.select("g", *[F.col(f"e.{c}").alias(c) for c in MOMENTS]), "estimates")
+
+
+def robust_estimates(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(k0, k1, m0.., l0_0..): location and factored scatter for each language and source of rows (k0, k1, x0..).
+
+    All rows have an estimate, each language borrows from it and each language and source from its language. The part
+    of what is borrowed falls with the rows of one's own, from nearly all to nearly nothing.
+    """
+    named = rows.withColumns({"g1": F.to_json(F.struct("k0")), "g2": F.to_json(F.struct("k0", "k1"))})
+    groups = scratch.saved(named.groupBy("k0", "k1", "g1", "g2").agg(F.count(F.lit(1)).alias("n")), "groups")
+    everything = rows.select(F.lit("all").alias("g"), *X)
+    plain = everything.groupBy("g").agg(*[F.expr(sum_sql(i)).alias(f"m{i}") for i in range(P)], *[F.expr(f"{sum_sql(i, j)} - ({sum_sql(i)}) * ({sum_sql(j)})").alias(f"c{i}_{j}") for i, j in PAIRS])
+    whole = concentrated(everything, scratch.saved(plain, "plain"), scratch)
+    wide = groups.select(F.col("g1").alias("g")).distinct().crossJoin(F.broadcast(whole.drop("g")))
+    language = concentrated(named.select(F.col("g1").alias("g"), *X), wide, scratch)
+    narrow = groups.select(F.col("g2").alias("g"), "g1").join(language.withColumnRenamed("g", "g1"), "g1").drop("g1")
+    own = concentrated(named.select(F.col("g2").alias("g"), *X), narrow, scratch)
+    scaled = _factored(own, CONSISTENCY).select(F.col("g").alias("g2"), *MEANS, *FACTORS)
+    return scratch.saved(groups.join(scaled, "g2").select("k0", "k1", *MEANS, *FACTORS), "estimates")
+
+
+def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: tuple[str, str] = ("lang", "source"), cutoff: float = CUTOFF) -> DataFrame:
     """One row per row of docs: id_col, text_hash, n_words, the base counts, base_failed, distance, kept.
 
-    A row goes if base_failed or if its statistics lie further than cutoff from its group's minimum-covariance-
-    determinant estimate. Rows that failed the base rule are left out of the estimates. Groups are language and
-    source; a null is a value of its own. Groups under min_rows join the rest of their language; rows that still have
-    too few with them have a null distance and are kept unless base_failed. Null and empty texts have no words and
-    fail the base rule. Repeated rows each get a verdict. An empty table gives an empty table.
+    A row goes if base_failed or if its statistics lie further than cutoff from the minimum-covariance-determinant
+    estimate of its language and source; the cutoff is a quantile of the chi-square law. Rows that failed the base rule
+    are left out of the estimates and have a null distance. A null language or source is a value of its own. Small
+    groups borrow from the wider one, so that every row that passes the base rule has a distance. Null and empty
+    texts have no words and fail the base rule. Repeated rows each get a verdict. An empty table gives an empty table.
     """
-    counted = saved(base_counts(docs, id_col, text_col, keys), "counts")
-    sizes = counted.filter("NOT base_failed").groupBy("k0", "k1").count()
-    labelled = sizes.withColumn("g", F.when(F.col("count") >= min_rows, F.to_json(F.struct("k0", "k1"))).otherwise(F.to_json(F.struct("k0"))))
-    enough = labelled.groupBy("g").agg(F.sum("count").alias("rows")).filter(F.col("rows") >= min_rows)
-    groups = saved(labelled.join(enough, "g", "left_semi").select("k0", "k1", "g"), "groups")
-    named = groups.select(F.col("k0").alias("g0"), F.col("k1").alias("g1"), "g")
-    rows = counted.join(named, F.col("k0").eqNullSafe(F.col("g0")) & F.col("k1").eqNullSafe(F.col("g1")), "left")
-    rows = rows.withColumns({f"x{i}": F.expr(f"CAST(floor({UNITS} * ({s})) AS BIGINT)") for i, s in enumerate(STATS)})
-    estimates = robust_estimates(rows.filter("g IS NOT NULL AND NOT base_failed").select("g", *X))
-    df = rows.join(estimates, "g", "left")
-    for i in range(P):
-        df = df.withColumn(f"z{i}", F.expr(forward_sql(i)))
-    df = df.withColumn("distance", F.expr(distance_sql()))
+    scratch = Scratch(docs.sparkSession)
+    counted = scratch.saved(base_counts(docs, id_col, text_col, keys).withColumns({f"x{i}": F.expr(f"CAST(floor({UNITS} * ({s})) AS BIGINT)") for i, s in enumerate(STATS)}), "counts")
+    estimates = robust_estimates(counted.filter("NOT base_failed").select("k0", "k1", *X), scratch).withColumnsRenamed({"k0": "g0", "k1": "g1"})
+    df = counted.join(estimates, F.col("k0").eqNullSafe(F.col("g0")) & F.col("k1").eqNullSafe(F.col("g1")), "left")
+    df = _distances(df).withColumn("distance", F.when(~F.col("base_failed"), F.col("d")))
     return df.select(
         F.col("id").alias(id_col), "text_hash", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "distance",
-        (~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))).alias("kept"),
+        F.coalesce(F.col("distance") <= cutoff, F.lit(False)).alias("kept"),
     )
 
 
 def keep_good_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that pass, with all their columns."""
-    bad = quality_verdicts(docs, id_col, text_col, **options).filter("NOT kept").select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash")).distinct()
-    rows = docs.withColumn("__text", F.xxhash64(F.col(text_col)))
-    return rows.join(bad, rows[id_col].eqNullSafe(bad["__id"]) & (F.col("__text") == F.col("__hash")), "left_anti").select(*docs.columns)
+    """The rows of docs that pass quality_verdicts(), with all their columns; rows that repeat an id and its text pass together."""
+    bad = quality_verdicts(docs, id_col, text_col, **options).filter("NOT kept").select(F.col(id_col).alias("bad_id"), F.col("text_hash").alias("bad_hash")).distinct()
+    rows = packed(docs, id=docs[id_col], hash=F.xxhash64(docs[text_col]))
+    return unpacked(rows.join(bad, F.col("id").eqNullSafe(F.col("bad_id")) & (F.col("hash") == F.col("bad_hash")), "left_anti"), docs.columns)

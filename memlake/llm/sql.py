@@ -12,7 +12,6 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(t) AS text_
 
 def quality_rules() -> str:
     xs = ", ".join(q.X)
-    z = lambda source: f"SELECT *, {q.distance_sql()} AS d FROM (" + _nested([(f"z{i}", q.forward_sql(i)) for i in range(q.P)], source) + ")"
     ctes = [
         ("t", "SELECT doc_id, lang AS k0, source AS k1, coalesce(text, '') AS t FROM documents"),
         ("w", r"""SELECT *, list_filter(string_split_regex(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words,
@@ -25,23 +24,47 @@ def quality_rules() -> str:
             coalesce(n, 0)::BIGINT AS n_repeat_words, len(lines)::BIGINT AS n_lines, length(regexp_replace(t, '[^A-Z]', '', 'g'))::BIGINT AS n_upper
             FROM w LEFT JOIN covered USING (doc_id)"""),
         ("b", "SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c"),
-        ("sizes", f"SELECT k0, k1, count(*) AS n, CASE WHEN count(*) >= {q.MIN_ROWS} THEN concat(k0, '|', k1) ELSE k0 END AS g FROM b WHERE NOT base_failed GROUP BY k0, k1"),
-        ("named", f"SELECT k0, k1, g FROM sizes WHERE g IN (SELECT g FROM sizes GROUP BY g HAVING sum(n) >= {q.MIN_ROWS})"),
-        ("x", "SELECT b.*, g, " + ", ".join(f"CAST(floor({q.UNITS} * ({s})) AS BIGINT) AS x{i}" for i, s in enumerate(q.STATS)) + " FROM b LEFT JOIN named USING (k0, k1)"),
-        ("r", f"SELECT g, {xs} FROM x WHERE g IS NOT NULL AND NOT base_failed"),
-        ("middle", "SELECT g, " + ", ".join(f"floor(quantile_cont(x{i}::DOUBLE, 0.5)) AS m{i}" for i in range(q.P)) + " FROM r GROUP BY g"),
-        ("spread", "SELECT g, " + ", ".join(f"quantile_cont(abs(x{i} - m{i}), 0.5) AS s{i}" for i in range(q.P)) + " FROM r JOIN middle USING (g) GROUP BY g"),
-        ("e0", "SELECT g, " + ", ".join([f"m{i}" for i in range(q.P)] + [(f"greatest(1.4826 * s{i}, {q.FLOORS[i]})" if i == j else "0.0::DOUBLE") + f" AS l{i}_{j}" for i, j in q.PAIRS]) + " FROM middle JOIN spread USING (g)"),
+        ("x", "SELECT *, " + ", ".join(f"CAST(floor({q.UNITS} * ({s})) AS BIGINT) AS x{i}" for i, s in enumerate(q.STATS)) + " FROM b"),
+        ("r0", f"SELECT 'all' AS g, {xs} FROM x WHERE NOT base_failed"),
+        ("r1", f"SELECT concat('=', k0) AS g, {xs} FROM x WHERE NOT base_failed"),
+        ("r2", f"SELECT concat('=', k0, '|', k1) AS g, {xs} FROM x WHERE NOT base_failed"),
+        ("wider0", "SELECT g, " + ", ".join([f"{q.sum_sql(i)} AS m{i}" for i in range(q.P)] + [f"{q.sum_sql(i, j)} - ({q.sum_sql(i)}) * ({q.sum_sql(j)}) AS c{i}_{j}" for i, j in q.PAIRS]) + " FROM r0 GROUP BY g"),
+        *_concentrated(0),
+        ("wider1", "SELECT DISTINCT r1.g, best0.* EXCLUDE (g) FROM r1, best0"),
+        *_concentrated(1),
+        ("wider2", "SELECT r.g, best1.* EXCLUDE (g) FROM (SELECT DISTINCT g, split_part(g, '|', 1) AS l FROM r2) r JOIN best1 ON best1.g = r.l"),
+        *_concentrated(2),
+        ("last", _nested([(f"l{i}_{j}", q.factor_sql(i, j, q.CONSISTENCY)) for i, j in q.PAIRS], "SELECT * FROM best2")),
     ]
-    for n in range(q.C_STEPS):
+    last = _distance("SELECT * FROM (SELECT *, concat('=', k0, '|', k1) AS g FROM x) LEFT JOIN last USING (g)")
+    return "WITH " + ",\n".join(f"{k} AS MATERIALIZED ({v})" for k, v in ctes) + f"\nSELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(d <= {q.CUTOFF}, false) AS kept FROM ({last})"
+
+
+def _distance(source: str) -> str:
+    return f"SELECT *, {q.distance_sql()} AS d FROM (" + _nested([(f"z{i}", q.forward_sql(i)) for i in range(q.P)], source) + ")"
+
+
+def _concentrated(level: int) -> list[tuple[str, str]]:
+    """Statements from the rows and the wider estimates of a level to its best estimates; a group that has stopped stays as it is."""
+    xs, ms, ls = ", ".join(q.X), ", ".join(q.MOMENTS), ", ".join(q.FACTORS)
+    n = f"_{level}_"
+    factors = [(f"l{i}_{j}", q.factor_sql(i, j)) for i, j in q.PAIRS]
+    ctes = [
+        (f"middle{n}", "SELECT g, " + ", ".join(f"floor(quantile_cont(x{i}::DOUBLE, 0.5)) AS m{i}" for i in range(q.P)) + f" FROM r{level} GROUP BY g"),
+        (f"spread{n}", "SELECT g, " + ", ".join(f"quantile_cont(abs(x{i} - m{i}), 0.5) AS s{i}" for i in range(q.P)) + f" FROM r{level} JOIN middle{n} USING (g) GROUP BY g"),
+        (f"starts{n}", "SELECT g, " + ", ".join([f"m{i}" for i in range(q.P)] + [(f"1.4826::DOUBLE * s{i} * (1.4826::DOUBLE * s{i})" if i == j else "0.0::DOUBLE") + f" AS c{i}_{j}" for i, j in q.PAIRS]) + f", 0 AS start FROM middle{n} JOIN spread{n} USING (g) UNION ALL SELECT g, {ms}, 1 FROM wider{level}"),
+        (f"e{n}0", f"SELECT g, start, {ms}, {ls}, 1e300::DOUBLE AS det FROM (" + _nested(factors, f"SELECT * FROM starts{n}") + ")"),
+    ]
+    for k in range(q.C_STEPS):
         ctes += [
-            (f"d{n}", f"SELECT g, {xs}, {q.RANK} AS r FROM (" + z(f"SELECT * FROM r JOIN e{n} USING (g)") + ")"),
-            (f"h{n}", f"SELECT g, quantile_cont(r::DOUBLE, {q.CORE}) AS most FROM d{n} GROUP BY g"),
-            (f"v{n}", "SELECT g, " + ", ".join([f"{q.moment_sql(i)} AS m{i}" for i in range(q.P)] + [f"{q.moment_sql(i, j)} AS c{i}_{j}" for i, j in q.PAIRS]) + f" FROM d{n} JOIN h{n} USING (g) WHERE r <= most GROUP BY g"),
-            (f"e{n + 1}", _nested([(f"l{i}_{j}", q.factor_sql(i, j)) for i, j in q.PAIRS], f"SELECT * FROM v{n}")),
+            (f"d{n}{k}", f"SELECT g, start, {xs}, {q.RANK} AS r FROM (" + _distance(f"SELECT * FROM r{level} JOIN e{n}{k} USING (g)") + ")"),
+            (f"h{n}{k}", f"SELECT g, start, quantile_cont(r::DOUBLE, {q.CORE}) AS most FROM d{n}{k} GROUP BY g, start"),
+            (f"v{n}{k}", "SELECT g, start, count(*) AS n, " + ", ".join([f"{q.sum_sql(i)} AS a{i}" for i in range(q.P)] + [f"{q.sum_sql(i, j)} AS a{i}_{j}" for i, j in q.PAIRS]) + f" FROM d{n}{k} JOIN h{n}{k} USING (g, start) WHERE r <= most GROUP BY g, start"),
+            (f"b{n}{k}", f"SELECT v.*, CAST(n AS DOUBLE) / (n + {q.BORROWED}) AS share, " + ", ".join(f"w.{c} AS b{c[1:]}" for c in q.MOMENTS) + f" FROM v{n}{k} v JOIN wider{level} w USING (g)"),
+            (f"t{n}{k}", f"SELECT *, {q.DETERMINANT} AS det FROM (" + _nested(factors, "SELECT g, start, " + ", ".join([f"{q.mean_sql(i)} AS m{i}" for i in range(q.P)] + [f"{q.covariance_sql(i, j)} AS c{i}_{j}" for i, j in q.PAIRS]) + f" FROM b{n}{k}") + ")"),
+            (f"e{n}{k + 1}", "SELECT o.g, o.start, " + ", ".join(f"CASE WHEN t.det < o.det THEN t.{c} ELSE o.{c} END AS {c}" for c in (*q.MOMENTS, *q.FACTORS, "det")) + f" FROM e{n}{k} o JOIN t{n}{k} t USING (g, start)"),
         ]
-    last = z(f"SELECT * FROM x LEFT JOIN e{q.C_STEPS} USING (g)")
-    return "WITH " + ",\n".join(f"{k} AS ({v})" for k, v in ctes) + f"\nSELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(d <= {q.CUTOFF}, true) AS kept FROM ({last})"
+    return [*ctes, (f"best{level}", f"SELECT g, {ms} FROM e{n}{q.C_STEPS} QUALIFY row_number() OVER (PARTITION BY g ORDER BY det, start) = 1")]
 
 
 def _nested(columns: list[tuple[str, str]], source: str) -> str:
