@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memlake.llm.tables import saved
+from memlake.llm.tables import Scratch
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
@@ -28,13 +28,15 @@ def components(links: DataFrame) -> DataFrame:
     """(node, component) for each node of links (a, b) but the least of its component, which names it.
 
     Links may repeat, point either way or tie a node to itself. No links give an empty table. Every round writes its
-    links to the shared folder; rounds grow with the logarithm of the longest path.
+    links to the shared folder and deletes those of the one before; rounds grow with the logarithm of the longest path.
     """
-    now = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
+    scratch = Scratch(links.sparkSession)
+    now = scratch.saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
     mark = _mark(now)
     while mark[0]:
-        now = saved(_star(_star(now, True), False), "links")
-        mark, before = _mark(now), mark
-        if mark == before:
+        before, now = now, scratch.saved(_star(_star(now, True), False), "links")
+        scratch.drop(before)
+        mark, last = _mark(now), mark
+        if mark == last:
             break
     return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
