@@ -145,55 +145,77 @@ def covariance_sql(i: int, j: int) -> str:
     return f"share * (a{i}_{j} - a{i} * a{j}) + (1.0 - share) * b{i}_{j} + share * (1.0 - share) * (a{i} - b{i}) * (a{j} - b{j})"
 
 
-def _factored(df: DataFrame, scale: float = 1.0) -> DataFrame:
-    return df.selectExpr("*", *[f"{factor_sql(i, j, scale)} AS l{i}_{j}" for i, j in PAIRS])
+#: In Spark an estimate is three arrays: m, the mean; c, the covariance, and l, its factor, row by row up to the diagonal.
+_ROWS, _COLUMNS, _FLOORS = (f"array({', '.join(map(str, v))})" for v in ([i for i, _ in PAIRS], [j for _, j in PAIRS], [f"{f * f}D" for f in FLOORS]))
+_AT = "int({0} * ({0} + 1) / 2 + {1})"
+
+
+def _factor(scale: float = 1.0) -> Column:
+    """Cholesky's factor of scale times c with the floors on its diagonal."""
+    rest = f"""aggregate(filter(sequence(0, {P - 1}), t -> t < p.j), {scale}D * c[{_AT.format("p.i", "p.j")}] + IF(p.i = p.j, {_FLOORS}[p.i], 0D),
+      (rest, t) -> rest - l[{_AT.format("p.i", "t")}] * l[{_AT.format("p.j", "t")}])"""
+    places = f"transform({_ROWS}, (i, k) -> struct(i AS i, {_COLUMNS}[k] AS j))"
+    return F.expr(f"aggregate({places}, CAST(array() AS array<double>), (l, p) -> array_append(l, IF(p.i = p.j, sqrt({rest}), {rest} / l[{_AT.format('p.j', 'p.j')}])))")
+
+
+_DETERMINANT = F.expr(f"aggregate(sequence(1, {P - 1}), l[0], (d, i) -> d * l[{_AT.format('i', 'i')}])")
 
 
 def _distances(df: DataFrame) -> DataFrame:
-    return df.selectExpr("*", *[f"{forward_sql(i)} AS z{i}" for i in range(P)], f"{distance_sql()} AS d")
+    """df (x0.., m, l) with d, the squared distance; the same steps as forward_sql() and distance_sql()."""
+    z = [f"(x{i} - m[{i}]" + "".join(f" - l[{i * (i + 1) // 2 + j}] * z{j}" for j in range(i)) + f") / l[{i * (i + 1) // 2 + i}] AS z{i}" for i in range(P)]
+    return df.selectExpr("*", *z, f"{distance_sql()} AS d")
+
+
+def _sums() -> list[Column]:
+    """Count n, mean a, and mean products aa of a group's rows."""
+    return [F.count(F.lit(1)).alias("n"), F.array(*[F.expr(sum_sql(i)) for i in range(P)]).alias("a"), F.array(*[F.expr(sum_sql(i, j)) for i, j in PAIRS]).alias("aa")]
 
 
 def _moments(rows: DataFrame, wider: DataFrame, *keys: str) -> DataFrame:
-    """Mean m0.. and covariance c0_0.. of rows (keys, x0..) by keys, each with rows borrowed from wider (g, m0.., c0_0..)."""
-    sums = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *[F.expr(sum_sql(i)).alias(f"a{i}") for i in range(P)], *[F.expr(sum_sql(i, j)).alias(f"a{i}_{j}") for i, j in PAIRS])
-    both = sums.join(wider.select("g", *[F.col(c).alias("b" + c[1:]) for c in MOMENTS]), "g").withColumn("share", F.expr(f"CAST(n AS DOUBLE) / (n + {BORROWED})"))
-    return both.select(*keys, *[F.expr(mean_sql(i)).alias(f"m{i}") for i in range(P)], *[F.expr(covariance_sql(i, j)).alias(f"c{i}_{j}") for i, j in PAIRS])
+    """(keys, m, c) of rows (keys, x0..) by keys, each with rows borrowed from wider (g, m, c)."""
+    both = rows.groupBy(*keys).agg(*_sums()).join(wider.select("g", F.col("m").alias("b"), F.col("c").alias("bc")), "g").withColumn("share", F.expr(f"CAST(n AS DOUBLE) / (n + {BORROWED})"))
+    mean = "zip_with(a, b, (x, y) -> share * x + (1D - share) * y)"
+    covariance = f"""transform(aa, (x, k) -> share * (x - a[{_ROWS}[k]] * a[{_COLUMNS}[k]]) + (1D - share) * bc[k]
+      + share * (1D - share) * (a[{_ROWS}[k]] - b[{_ROWS}[k]]) * (a[{_COLUMNS}[k]] - b[{_COLUMNS}[k]]))"""
+    return both.select(*keys, F.expr(mean).alias("m"), F.expr(covariance).alias("c"))
 
 
 def _middles(rows: DataFrame) -> DataFrame:
-    """Medians m0.. and, without covariance, the squares of scaled median deviations c0_0.. per group g."""
-    middle = rows.groupBy("g").agg(*[F.expr(f"floor(percentile(x{i}, 0.5))").alias(f"m{i}") for i in range(P)])
-    spread = rows.join(middle, "g").groupBy("g").agg(*[F.expr(f"percentile(abs(x{i} - m{i}), 0.5)").alias(f"s{i}") for i in range(P)])
-    return middle.join(spread, "g").select("g", *[F.col(f"m{i}").cast("double").alias(f"m{i}") for i in range(P)], *[F.expr(f"1.4826 * s{i} * (1.4826 * s{i})" if i == j else "0.0D").alias(f"c{i}_{j}") for i, j in PAIRS])
+    """(g, m, c): medians and, without covariance, the squares of scaled median deviations."""
+    middle = rows.groupBy("g").agg(F.array(*[F.expr(f"CAST(floor(percentile(x{i}, 0.5)) AS DOUBLE)") for i in range(P)]).alias("m"))
+    spread = rows.join(middle, "g").groupBy("g").agg(F.array(*[F.expr(f"percentile(abs(x{i} - m[{i}]), 0.5)") for i in range(P)]).alias("s"))
+    squares = f"transform({_ROWS}, (i, k) -> IF(i = {_COLUMNS}[k], 1.4826D * s[i] * (1.4826D * s[i]), 0D))"
+    return middle.join(spread, "g").select("g", "m", F.expr(squares).alias("c"))
 
 
 def concentrated(rows: DataFrame, wider: DataFrame, scratch: Scratch) -> DataFrame:
-    """(g, m0.., c0_0..): the minimum-covariance-determinant estimate of each group g of rows (g, x0..).
+    """(g, m, c): the minimum-covariance-determinant estimate of each group g of rows (g, x0..).
 
-    It is sought from two starts: the group's medians, and wider (g, m0.., c0_0..), the estimate of the group around it.
-    A step keeps the rows of the CORE smallest distances, with all ties, takes their mean and covariance, and counts if
-    the determinant falls. Only sums per group and start are shuffled, so that a hot group costs a reducer no more.
+    It is sought from two starts: the group's medians, and wider (g, m, c), the estimate of the group around it. A step
+    keeps the rows of the CORE smallest distances, with all ties, takes their mean and covariance, and counts if the
+    determinant falls. Only sums per group and start are shuffled, so that a hot group costs a reducer no more.
     """
-    starts = _middles(rows).withColumn("start", F.lit(0)).unionByName(wider.select("g", *MOMENTS).withColumn("start", F.lit(1)))
-    now = scratch.saved(_factored(starts).select("g", "start", *MOMENTS, *FACTORS, F.lit(1e300).alias("det")), "estimates")
+    starts = _middles(rows).withColumn("start", F.lit(0)).unionByName(wider.select("g", "m", "c").withColumn("start", F.lit(1)))
+    now = scratch.saved(starts.select("g", "start", "m", "c", _factor().alias("l"), F.lit(1e300).alias("det")), "estimates")
     for _ in range(C_STEPS):
-        ranked = _distances(rows.join(now.select("g", "start", *MEANS, *FACTORS), "g")).select("g", "start", *X, F.expr(RANK).alias("r"))
+        ranked = _distances(rows.join(now.select("g", "start", "m", "l"), "g")).select("g", "start", *X, F.expr(RANK).alias("r"))
         limit = ranked.groupBy("g", "start").agg(F.expr(f"percentile(r, {CORE})").alias("most"))
         core = ranked.join(limit, ["g", "start"]).filter("r <= most")
-        tried = _factored(_moments(core, wider, "g", "start")).withColumn("det", F.expr(DETERMINANT))
-        both = now.alias("o").join(tried.alias("t"), ["g", "start"])
+        tried = _moments(core, wider, "g", "start").withColumn("l", _factor()).withColumn("det", _DETERMINANT)
+        both = now.select("g", "start", F.struct("m", "c", "l", "det").alias("o")).join(tried.select("g", "start", F.struct("m", "c", "l", "det").alias("t")), ["g", "start"])
         fell = F.col("t.det") < F.col("o.det")
-        after = scratch.saved(both.select("g", "start", fell.alias("fell"), *[F.when(fell, F.col(f"t.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in (*MOMENTS, *FACTORS, "det")]), "estimates")
+        after = scratch.saved(both.select("g", "start", fell.alias("fell"), F.when(fell, F.col("t")).otherwise(F.col("o")).alias("e")).select("g", "start", "fell", "e.*"), "estimates")
         scratch.drop(now)
         now = after
         if after.filter("fell").isEmpty():
             break
-    best = now.groupBy("g").agg(F.min_by(F.struct(*MOMENTS), F.struct("det", "start")).alias("e"))
-    return scratch.saved(best.select("g", *[F.col(f"e.{c}").alias(c) for c in MOMENTS]), "estimates")
+    best = now.groupBy("g").agg(F.min_by(F.struct("m", "c"), F.struct("det", "start")).alias("e"))
+    return scratch.saved(best.select("g", "e.m", "e.c"), "estimates")
 
 
 def robust_estimates(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(k0, k1, m0.., l0_0..): location and factored scatter for each language and source of rows (k0, k1, x0..).
+    """(k0, k1, m, l): location and factored scatter for each language and source of rows (k0, k1, x0..).
 
     All rows have an estimate, each language borrows from it and each language and source from its language. The part
     of what is borrowed falls with the rows of one's own, from nearly all to nearly nothing.
@@ -201,14 +223,14 @@ def robust_estimates(rows: DataFrame, scratch: Scratch) -> DataFrame:
     named = rows.withColumns({"g1": F.to_json(F.struct("k0")), "g2": F.to_json(F.struct("k0", "k1"))})
     groups = scratch.saved(named.groupBy("k0", "k1", "g1", "g2").agg(F.count(F.lit(1)).alias("n")), "groups")
     everything = rows.select(F.lit("all").alias("g"), *X)
-    plain = everything.groupBy("g").agg(*[F.expr(sum_sql(i)).alias(f"m{i}") for i in range(P)], *[F.expr(f"{sum_sql(i, j)} - ({sum_sql(i)}) * ({sum_sql(j)})").alias(f"c{i}_{j}") for i, j in PAIRS])
+    plain = everything.groupBy("g").agg(*_sums()).select("g", F.col("a").alias("m"), F.expr(f"transform(aa, (x, k) -> x - a[{_ROWS}[k]] * a[{_COLUMNS}[k]])").alias("c"))
     whole = concentrated(everything, scratch.saved(plain, "plain"), scratch)
     wide = groups.select(F.col("g1").alias("g")).distinct().crossJoin(F.broadcast(whole.drop("g")))
     language = concentrated(named.select(F.col("g1").alias("g"), *X), wide, scratch)
     narrow = groups.select(F.col("g2").alias("g"), "g1").join(language.withColumnRenamed("g", "g1"), "g1").drop("g1")
     own = concentrated(named.select(F.col("g2").alias("g"), *X), narrow, scratch)
-    scaled = _factored(own, CONSISTENCY).select(F.col("g").alias("g2"), *MEANS, *FACTORS)
-    return scratch.saved(groups.join(scaled, "g2").select("k0", "k1", *MEANS, *FACTORS), "estimates")
+    scaled = own.select(F.col("g").alias("g2"), "m", _factor(CONSISTENCY).alias("l"))
+    return scratch.saved(groups.join(scaled, "g2").select("k0", "k1", "m", "l"), "estimates")
 
 
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: tuple[str, str] = ("lang", "source"), cutoff: float = CUTOFF) -> DataFrame:
