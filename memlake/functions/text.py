@@ -11,10 +11,28 @@ from pyspark.sql import functions as F
 #: Letters with marks and their plain forms, from the Unicode decompositions of the Latin blocks.
 MARKED, PLAIN = zip(*[(chr(c), unicodedata.normalize("NFD", chr(c))[0]) for c in range(0xC0, 0x250) if len(unicodedata.normalize("NFD", chr(c))) > 1], strict=True)
 MARKED, PLAIN = "".join(MARKED), "".join(PLAIN)
-#: Words that don't inform a lexical query.
-STOPWORDS = "a an and are as at be but by for from has have he her his i in is it its not of on or she that the their they this to was we were will with you".split()
-#: Legal forms that company names end with.
-COMPANY_ENDINGS = (" s.r.l.", " srl", " s.p.a.", " spa", " ltd", " ltd.", " inc", " inc.", " llc", " gmbh", " s.a.", " sa", " ag")
+#: Words that don't inform a lexical query, without diacritics.
+STOPWORDS = """
+a ad agli ai al all alla alle allo anche c che chi ci come con cosa cui da dai
+dal dall dalla dalle dallo degli dei del dell della delle dello di do e ed era
+essere fa fare fra gli ha hai hanno ho i il in io la le lei li lo loro ma me mi
+ne negli nei nel nell nella nelle nello noi non o per perche piu quale quali
+quando quanta quante quanti quanto qual si sia siamo sono su sui sul sull sulla
+sulle sullo ti tra tu tuo un una uno vi
+""".split()
+#: Columns of the lexical index; `column:value` asks in one of them. document is the text.
+LEXICAL_COLUMNS = ("document", "title", "folder", "doc_type", "email_from", "file_path")
+#: Legal forms that names end with, in the order in which they are taken off.
+COMPANY_ENDINGS = (" srl", " s.r.l.", " s.r.l", " ltd", " limited", " inc", " spa", " s.p.a.", " s.p.a", " srls", " gmbh", " ag", " co")
+#: Words that, at the front, keep a candidate from being an entity.
+CANDIDATE_STOPWORDS = """
+mi ti ci vi si lo la le gli il un una uno di da in con su per tra fra al del dal nel
+che chi cosa come dove quando quale quali quanto quanta quanti quante perche perché non ho hai ha
+sono sei era e ma se o dammi dimmi fammi riassumi elenca trova cerca mostra
+spiega vorrei puoi potresti sai devo posso voglio
+the what who where when why how which whose give show find list tell can could would is are
+do does did my me i a an and or but if
+""".split()
 DERIVED_PREFIXES = ("conv_summary_", "doc_summary_", "live_")
 
 
@@ -27,10 +45,10 @@ def informative(terms: Column) -> Column:
     return F.array_except(F.array_distinct(terms), F.lit(STOPWORDS))
 
 
-def lexical_query(text: Column, columns: tuple[str, ...]) -> Column:
-    """(mode, column, terms): `column:value` with a known column is an AND over its tokens, all else an OR of informative tokens, nothing a skip."""
-    scoped = F.regexp_extract(text, "^\\s*(" + "|".join(columns) + "):(.*)$", 1)
-    value = F.regexp_extract(text, "^\\s*(" + "|".join(columns) + "):(.*)$", 2)
+def lexical_query(text: Column, columns: tuple[str, ...] = LEXICAL_COLUMNS) -> Column:
+    """(mode, column, terms): `column:value` with a known column, in any case, is an AND over its tokens, all else an OR of informative tokens, nothing a skip."""
+    known = "(?is)^\\s*(" + "|".join(columns) + "):(.+)$"
+    scoped, value = F.lower(F.regexp_extract(text, known, 1)), F.regexp_extract(text, known, 2)
     terms = F.when(scoped != "", F.array_distinct(tokens(value))).otherwise(informative(tokens(text)))
     mode = F.when(F.size(terms) == 0, "skip").when(scoped != "", "and").otherwise("or")
     return F.struct(mode.alias("mode"), F.when(mode == "and", scoped).alias("column"), terms.alias("terms"))
@@ -64,52 +82,65 @@ def embedding_text(text: Column) -> Column:
     return F.substring(F.coalesce(text, F.lit("")), 1, 4000)
 
 
-def entity_candidates(query: Column, stopwords: tuple[str, ...] = ("The", "A", "An", "What", "Who", "When", "How", "Is", "In", "Of")) -> Column:
-    """Capitalised words of two letters or more, pairs of capitalised words, and triples that begin with one; none led by a stopword."""
+def entity_candidates(query: Column, stopwords: list[str] = CANDIDATE_STOPWORDS) -> Column:
+    """Capitalised words of two letters or more, pairs of capitalised words, and triples that begin with one and have a last; none led by a stopword."""
 
     def capital(w: Column) -> Column:
         return w.rlike("^\\p{Lu}")
 
     def grams(words: Column) -> Column:
-        ones = F.filter(words, lambda w: capital(w) & (F.length(w) >= 2))
         at = lambda i: F.get(words, i)
         span = lambda n: F.when(F.size(words) >= n, F.sequence(F.lit(0), F.size(words) - n)).otherwise(F.array().cast("array<int>"))
-        twos = F.transform(F.filter(span(2), lambda i: capital(at(i)) & capital(at(i + 1))), lambda i: F.concat_ws(" ", at(i), at(i + 1)))
-        threes = F.transform(F.filter(span(3), lambda i: capital(at(i))), lambda i: F.concat_ws(" ", at(i), at(i + 1), at(i + 2)))
+        joined = lambda *w: F.concat_ws(" ", *w)
+        ones = F.filter(words, lambda w: capital(w) & (F.length(w) >= 2))
+        twos = F.transform(F.filter(span(2), lambda i: capital(at(i)) & capital(at(i + 1))), lambda i: joined(at(i), at(i + 1)))
+        threes = F.transform(F.filter(span(3), lambda i: capital(at(i)) & (at(i + 2) != "")), lambda i: joined(at(i), at(i + 1), at(i + 2)))
         found = F.array_union(F.array_union(ones, twos), threes)
-        return F.sort_array(F.filter(found, lambda g: ~F.split(g, " ")[0].isin(*stopwords)))
+        return F.sort_array(F.filter(found, lambda g: ~F.lower(F.split(g, " ")[0]).isin(*stopwords)))
 
-    words = F.array_remove(F.split(F.regexp_replace(F.coalesce(query, F.lit("")), "[^\\p{L}\\p{N}' -]+", " "), " +"), "")
+    words = F.transform(F.array_remove(F.split(F.coalesce(query, F.lit("")), "\\s+"), ""), lambda w: F.regexp_replace(w, "[^\\p{L}\\p{N}_]", ""))
     return F.transform(F.array(words), grams)[0]
 
 
+#: Python's blanks, as far as text has them.
+BLANKS = " \t\n\r\x0b\x0c"
+
+
 def normal_entity(name: Column) -> Column:
-    """Lower case without legal form and punctuation; of three words or fewer, the first two sorted."""
-    s = F.trim(F.lower(name))
-    for ending in COMPANY_ENDINGS:
-        s = F.when(s.endswith(ending), F.trim(F.substring(s, F.lit(1), F.length(s) - len(ending)))).otherwise(s)
-    s = F.trim(F.regexp_replace(F.regexp_replace(s, "[^\\p{L}\\p{N} ]", " "), " +", " "))
-    words = F.split(s, " ")
-    return F.when(F.size(words) <= 3, F.array_join(F.sort_array(F.slice(words, 1, 2)), " ")).otherwise(s)
+    """Lower case without legal forms and punctuation, hyphens aside; of three words or fewer, the first two sorted."""
+    strip = lambda c: F.trim(c, F.lit(BLANKS))
+    bare = F.aggregate(F.lit(list(COMPANY_ENDINGS)), F.lower(strip(name)), lambda s, e: F.when(F.endswith(s, e), strip(F.left(s, F.length(s) - F.length(e)))).otherwise(s))
+    plain = F.regexp_replace(bare, "[.,;:!?()\\[\\]{}'\"]+", "")
+
+    def keyed(s: Column) -> Column:
+        words = F.array_remove(F.split(s, "\\s+"), "")
+        return F.when(F.size(words) <= 3, F.array_join(F.sort_array(F.slice(words, 1, 2)), " ")).otherwise(s)
+
+    return F.transform(F.array(plain), keyed)[0]
 
 
-#: What marks an entity as noise, in the order of the rules.
-NOISE_WORDS = "null none n/a unknown undefined true false yes no".split()
-UI_WORDS = "click button menu login logout submit cancel ok".split()
-MONTHS = "january february march april may june july august september october november december gennaio febbraio marzo aprile maggio giugno luglio agosto settembre ottobre novembre dicembre".split()
+#: What marks a normalised name as noise.
+NOISE_WORDS = ("", "null", "none", "nan", "n/a", "undefined", "true", "false")
+UI_FRAGMENTS = ("bar search", "1 option", "notifiche push", "date form", "container layout")
+MONTHS = """
+gennaio febbraio marzo aprile maggio giugno luglio agosto settembre ottobre novembre dicembre
+january february march april may june july august september october november december
+gen feb mar apr mag giu lug ago set ott dic jan jun jul aug sep sept oct dec
+""".split()
 
 
 def entity_noise(name: Column) -> Column:
-    """The first rule that a normalised name matches, or null."""
-    months = "|".join(MONTHS)
+    """The first rule that a normalised name matches, or null: a month counts only with a year beside it, either first."""
+    s = F.trim(F.coalesce(name, F.lit("")), F.lit(BLANKS))
+    month, year = "(" + "|".join(MONTHS) + ")", "(19|20)[0-9]{2}"
     return (
-        F.when(name.isNull() | (F.trim(name) == "") | name.isin(*NOISE_WORDS), "noise_token")
-        .when(name.rlike("^[0-9][0-9 .,/-]*$"), "numeric")
-        .when(name.isin(*UI_WORDS), "ui_fragment")
-        .when(name.rlike(f"^(({months})( [0-9]{{2,4}})?|[0-9]{{2,4}} ({months}))$"), "temporal")
-        .when(name.rlike("^[a-z]{2}[0-9]{5,12}$"), "vat_id")
-        .when(name.rlike("^[a-z]{6}[0-9]{2}[a-z][0-9]{2}[a-z][0-9]{3}[a-z]$"), "tax_code")
-        .when(name.rlike("^[0-9a-f]{8}[ -][0-9a-f]{4}[ -][0-9a-f]{4}[ -][0-9a-f]{4}[ -][0-9a-f]{12}$"), "uuid")
+        F.when(s.isin(*NOISE_WORDS), "noise_token")
+        .when(s.rlike("^[0-9\\s]+$"), "numeric")
+        .when(s.isin(*UI_FRAGMENTS), "ui_fragment")
+        .when(s.rlike(f"^({month}\\s+{year}|{year}\\s+{month})$"), "temporal")
+        .when(s.rlike("^[a-z]{2}[0-9]{4,}$"), "vat_id")
+        .when(s.rlike("^[a-z]{6}[0-9]{2}[a-z][0-9]{2}[a-z][0-9]{3}[a-z]$"), "tax_code")
+        .when(s.rlike("^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"), "uuid")
     )
 
 
@@ -127,11 +158,11 @@ def short_name(address: Column) -> Column:
 
 
 def fingerprint(*fields: Column) -> Column:
-    """SHA-256 over the fields in order, each with its length in bytes, so that no two rows run together; null as empty."""
+    """SHA-256 over the fields in order, each after its length in bytes and both before a NUL, so that no two rows run together; null as empty."""
     parts = []
     for f in fields:
         v = F.coalesce(f.cast("string"), F.lit(""))
-        parts += [F.octet_length(v).cast("string"), F.lit("|"), v, F.lit("|")]
+        parts += [F.octet_length(v).cast("string"), F.lit("\0"), v, F.lit("\0")]
     return F.sha2(F.concat(*parts).cast("binary"), 256)
 
 
@@ -145,21 +176,54 @@ def redact_tokens(line: Column) -> Column:
     return F.regexp_replace(line, "(?i)(token=)[^&\\s\"']+", "$1REDACTED")
 
 
-#: Name patterns and the document types they tell, in order.
-DOC_TYPES = (("invoice|fattura", "invoice"), ("contract|contratto", "contract"), ("report|relazione", "report"), ("minutes|verbale", "minutes"), ("letter|lettera", "letter"))
-EXTENSION_TYPES = {"md": "note", "txt": "note", "csv": "table", "xlsx": "table", "pdf": "document", "docx": "document", "html": "page"}
+#: Patterns of file names and texts and the document types that they tell, in order.
+DOC_TYPES = (
+    (r"nota.integr", "nota_integrativa"),
+    (r"bilancio.?(d['\s]esercizio|consolidat|abbreviat|annuale|ordinario)", "bilancio"),
+    (r"stato.patrimoniale", "bilancio"),
+    (r"conto.economico", "bilancio"),
+    (r"xbrl", "bilancio"),
+    (r"relazione.?(degli.amministratori|sulla.gestione)", "relazione_gestione"),
+    (r"verbale.?(assemblea|cda|consiglio)", "verbale"),
+    (r"statuto", "statuto"),
+    (r"fattur[ae]", "fattura"),
+    (r"invoice", "fattura"),
+    (r"ricevut[ae]", "ricevuta"),
+    (r"bonifico", "pagamento"),
+    (r"estratto.conto", "estratto_conto"),
+    (r"rendiconto", "estratto_conto"),
+    (r"portafoglio|portfolio", "rendiconto_investimenti"),
+    (r"atto.notarile|rogito", "atto_notarile"),
+    (r"contratto.?(di.?)?(locazione|affitto|compravendita|fornitura)", "contratto"),
+    (r"scrittura.privata", "contratto"),
+    (r"visura", "visura_camerale"),
+    (r"sentenza|decreto|ordinanza", "atto_legale"),
+    (r"ricorso|citazione", "atto_legale"),
+    (r"dichiarazione.?(dei.redditi|iva|730|unico)", "dichiarazione_fiscale"),
+    (r"\bf24\b|\bf24[_\-]|\bf23\b", "pagamento_fiscale"),
+    (r"unico\b", "dichiarazione_fiscale"),
+    (r"refert[oi]|diagnos|anamnesi", "referto_medico"),
+    (r"esami?.?(del.sangue|clinici|laboratorio)", "referto_medico"),
+    (r"cartella.clinica", "referto_medico"),
+    (r"ricetta", "prescrizione"),
+    (r"polizza|assicuraz", "polizza_assicurativa"),
+    (r"sinistro|denuncia.sinistro", "denuncia_sinistro"),
+    (r"catasto|planimetria", "documento_catastale"),
+    (r"mutuo|ipoteca", "mutuo"),
+    (r"presentazione|pitch|deck|slide", "presentazione"),
+    (r"piano.?(integrazione|strategico|operativo|marketing)", "piano"),
+)
+EXTENSION_TYPES = {"xlsx": "spreadsheet", "xls": "spreadsheet", "csv": "csv", "tsv": "csv", "docx": "documento_word", "pptx": "presentazione"}
+OTHER_TYPE = "documento"
 
 
 def doc_type(name: Column, text: Column) -> Column:
     """By file name, then by the first 500 characters, then by extension."""
-    out = None
-    for where in (F.lower(name), F.lower(F.substring(F.coalesce(text, F.lit("")), 1, 500))):
-        for pattern, kind in DOC_TYPES:
-            out = out.when(where.rlike(pattern), kind) if out is not None else F.when(where.rlike(pattern), kind)
+    rules = [(where, pattern, kind) for where in (F.lower(name), F.lower(F.substring(F.coalesce(text, F.lit("")), 1, 500))) for pattern, kind in DOC_TYPES]
+    told = F.coalesce(*[F.when(where.rlike(pattern), kind) for where, pattern, kind in rules])
     extension = F.lower(F.regexp_extract(name, "\\.([^.]+)$", 1))
-    for ext, kind in EXTENSION_TYPES.items():
-        out = out.when(extension == ext, kind)
-    return out.otherwise("other")
+    by_extension = F.create_map(*[F.lit(x) for kv in EXTENSION_TYPES.items() for x in kv])[extension]
+    return F.coalesce(told, by_extension, F.lit(OTHER_TYPE))
 
 
 def folder_of(path: Column, marker: str, watched: str = "") -> Column:
@@ -182,21 +246,23 @@ def mail_text(html: Column) -> Column:
 
 
 def quality_stats(text: Column, vocabulary: Column) -> Column:
-    """(alnum, mean_word, known, garbage) of a text: shares and lengths, against an array of known words."""
+    """(alnum, mean_word, known, garbage) of a text against an array of known words: all 0 and garbage under 50 characters, never garbage under 200."""
+    size = F.length(F.coalesce(text, F.lit("")))
     solid = F.regexp_replace(text, "\\s", "")
-    alnum = F.length(F.regexp_replace(solid, "[^\\p{L}\\p{N}]", "")) / F.greatest(F.length(solid), F.lit(1))
-    words = F.array_remove(F.split(F.trim(text), "\\s+"), "")
-    mean = F.length(solid) / F.greatest(F.size(words), F.lit(1))
+    words = F.array_remove(F.split(text, "\\s+"), "")
     long = F.filter(F.regexp_extract_all(F.lower(text), F.lit("[\\p{L}]+"), F.lit(0)), lambda w: F.length(w) >= 3)
-    known = F.size(F.filter(long, lambda w: F.array_contains(vocabulary, w))) / F.greatest(F.size(long), F.lit(1))
-    garbage = F.when(F.length(F.trim(text)) < 50, True).when(F.length(F.trim(text)) < 200, False).otherwise((mean < 2.5) & (known < 0.5))
+    share = lambda part, of: F.when((size >= 50) & (of > 0), part / of).otherwise(0.0)
+    alnum = share(F.length(F.regexp_replace(solid, "[^\\p{L}\\p{N}]", "")), F.length(solid))
+    mean = share(F.length(solid), F.size(words))
+    known = share(F.size(F.filter(long, lambda w: F.array_contains(vocabulary, w))), F.size(long))
+    garbage = F.when(size < 50, True).when(size < 200, False).otherwise((mean < 2.5) & (known < 0.5))
     return F.struct(alnum.alias("alnum"), mean.alias("mean_word"), known.alias("known"), garbage.alias("garbage"))
 
 
-def session_title(message: Column) -> Column:
-    """Squeezed, cut at a word's end within 60 characters if that leaves 20, without trailing punctuation."""
+def session_title(message: Column, default: str = "New chat") -> Column:
+    """Squeezed, cut at a word's end within 60 characters if that leaves 20, a cut one without trailing punctuation; default for none."""
     s = F.trim(F.regexp_replace(F.coalesce(message, F.lit("")), "\\s+", " "))
     cut = F.substring(s, 1, 60)
     at = F.length(cut) - F.instr(F.reverse(cut), " ")
-    whole = F.when(F.length(s) <= 60, s).when((F.instr(cut, " ") > 0) & (at >= 20), F.substring(cut, F.lit(1), at)).otherwise(cut)
-    return F.regexp_replace(whole, "[ ,.;:]+$", "")
+    whole = F.when((F.instr(cut, " ") > 0) & (at >= 20), F.left(cut, at)).otherwise(cut)
+    return F.when(s == "", default).when(F.length(s) <= 60, s).otherwise(F.regexp_replace(whole, "[ ,.;:]+$", ""))

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memlake.functions import text as T
-from memlake.operators.search import top
+from memlake.operators.search import containing, top
 
 ARRAY = "array<struct<fact:string,category:string,tags:array<string>,event_date:string,expires:string>>"
 
@@ -41,14 +41,22 @@ def parsed_facts(responses: DataFrame) -> DataFrame:
     return responses.select("chunk_id", F.coalesce(facts, F.from_json(F.lit("[]"), ARRAY)).alias("facts"), facts.isNotNull().alias("ok"))
 
 
+#: What a line of code or markup has.
+CODE_LINE = (
+    r'<[a-z/][^>]*>|[{}];|class="|style="|function\s|const\s|let\s|var\s'
+    r"|import\s.+from|def\s|return\s|console\.|addEventListener|querySelector"
+    r"|getElementById|onClick|onChange|padding:|margin:|font-|border:|display:"
+    r"|background:|width:|height:|\.(css|js|py|html)$"
+)
+
+
 def classify_coverable(chunks: DataFrame) -> DataFrame:
-    """chunks with verdict: empty, short, code or extractable; the first that fits."""
+    """chunks with verdict: empty (hardly a letter or digit among all characters), short, code (over 60 % of three lines or more) or extractable; the first that fits."""
     text = F.coalesce("text", F.lit(""))
-    solid = F.regexp_replace(text, "\\s", "")
-    alnum = F.length(F.regexp_replace(solid, "[^\\p{L}\\p{N}]", "")) / F.greatest(F.length(solid), F.lit(1))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.trim(x) != "")
-    code = F.filter(lines, lambda x: x.rlike("^\\s*(def |class |import |from \\w+ import|function |const |let |var |return\\b|if \\(|for \\(|while \\(|#include|public |private |[{}]\\s*$|//|/\\*)|[;{]\\s*$"))
-    verdict = F.when(F.col("text").isNull() | (alnum < 0.05), "empty").when(F.length(F.trim(text)) < 50, "short").when((F.size(lines) >= 3) & (F.size(code) > 0.6 * F.size(lines)), "code").otherwise("extractable")
+    alnum = F.length(F.regexp_replace(text, "[^\\p{L}\\p{N}]", "")) / F.greatest(F.length(text), F.lit(1))
+    lines = F.split(text, "\n")
+    code = F.filter(lines, lambda x: x.rlike(CODE_LINE))
+    verdict = F.when(alnum < 0.05, "empty").when(F.length(F.trim(text, F.lit(T.BLANKS))) < 50, "short").when((F.size(lines) >= 3) & (F.size(code) > 0.6 * F.size(lines)), "code").otherwise("extractable")
     return chunks.withColumn("verdict", verdict)
 
 
@@ -77,40 +85,57 @@ def derived_facts_for_query(queries: DataFrame, facts: DataFrame, as_of: str, n:
     pairs = F.when(F.size("w") > 1, F.zip_with(F.slice("w", 1, F.size("w") - 1), F.slice("w", 2, F.size("w")), lambda a, b: F.concat_ws(" ", a, b)))
     terms = queries.select("query_id", words.alias("w")).select("query_id", F.explode(F.array_distinct(F.concat("w", F.coalesce(pairs, F.array().cast("array<string>"))))).alias("term"))
     tags = active_facts(facts, as_of).filter("relation_type = 'derived'").select("id", "fact", "confidence", F.explode("entity_tags").alias("tag"))
-    known = tags.select("tag").distinct().join(F.broadcast(terms.select("term").distinct()), F.lower("tag").contains(F.lower("term")))
+    known = containing(tags.select("tag").distinct(), terms.select("term").distinct(), "tag", "term")
     hits = known.join(tags, "tag").select("term", "id", "fact", "confidence").distinct()
     best = top(hits, ["term"], [F.desc("confidence"), F.col("id")], n, "at").join(terms, "term")
     once = best.groupBy("query_id", "fact").agg(F.max("confidence").alias("confidence"))
     return top(once, ["query_id"], [F.desc("confidence"), F.col("fact")], n)
 
 
-def fuzzy_ratio(a: Column, b: Column) -> Column:
-    """Ratcliff-Obershelp similarity of the first 100 characters in lower case."""
+def best_ratio(a: Column, against: Column) -> Column:
+    """The greatest Ratcliff-Obershelp similarity of a text to those of an array, empty ones aside; 0 without any."""
 
     @F.pandas_udf("double")
     def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-        return pd.Series([difflib.SequenceMatcher(None, x, y).ratio() for x, y in zip(left, right, strict=True)], dtype="float64")
+        best = [max((difflib.SequenceMatcher(None, x, y).ratio() for y in ys if y), default=0.0) for x, ys in zip(left, right, strict=True)]
+        return pd.Series(best, dtype="float64")
+
+    return ratio(a, against)
 
+
+def fuzzy_ratio(a: Column, b: Column) -> Column:
+    """Ratcliff-Obershelp similarity of the first 100 characters in lower case; 0 where the second is empty."""
     cut = lambda c: F.lower(F.substring(F.coalesce(c, F.lit("")), 1, 100))
-    return ratio(cut(a), cut(b))
+    return best_ratio(cut(a), F.array(cut(b)))
+
+
+def ranked_in_parts(rows: DataFrame, key: str, order: str, parts: int = 1000) -> DataFrame:
+    """rows with rn, the place by order (a unique whole number) under key from 1 on. A large key is ranked in up to so many tasks."""
+    ends = rows.agg(F.min(order).alias("low"), F.max(order).alias("high"))
+    rows = rows.crossJoin(F.broadcast(ends)).withColumn("part", F.expr(f"({order} - low) div greatest(1L, (high - low) div {parts})")).drop("low", "high")
+    counts = rows.groupBy(key, "part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select(key, "part", F.coalesce(F.sum("n").over(W.partitionBy(key).orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    placed = rows.withColumn("rn", F.row_number().over(W.partitionBy(key, "part").orderBy(order))).join(before, [key, "part"])
+    return placed.withColumn("rn", F.col("rn") + F.col("before")).drop("part", "before")
 
 
 def candidate_pairs(facts: DataFrame, user_names: tuple[str, ...] = (), band: int = 20) -> DataFrame:
-    """(cluster, newest, a, b, fact_a, fact_b) of live facts under one key less than band places apart by id.
+    """(cluster, newest, a, b, fact_a, fact_b, created_a, created_b) of live facts under one key less than band places apart by id.
 
-    The key is category and first tag; the user's own name gives way to the second tag. The texts' lengths alone
-    rule some pairs out.
+    The key is category and first tag; the user's own name gives way to the second tag. Places are cut into runs of
+    band; a fact meets those of its own run and the next, so that no task holds a cluster.
     """
     tag = F.lower(F.trim(F.get("entity_tags", F.lit(0))))
     second = F.coalesce(F.nullif(F.lower(F.trim(F.get("entity_tags", F.lit(1)))), F.lit("")), F.lit("general"))
     key = F.when(tag.isin(*user_names), F.concat(F.lit("user_"), second)).otherwise(tag) if user_names else tag
     rows = facts.filter(F.coalesce(F.col("superseded_by").cast("string"), F.lit("")) == "").filter((F.coalesce(tag, F.lit("")) != "") & (F.coalesce("category", F.lit("")) != ""))
-    rows = rows.select(F.concat_ws("|", "category", key).alias("cluster"), "id", "fact", "created_at")
-    w = W.partitionBy("cluster").orderBy("id")
-    rows = rows.withColumn("rn", F.row_number().over(w)).withColumn("later", F.collect_list(F.struct("id", "fact", "created_at")).over(w.rowsBetween(1, band - 1)))
-    rows = rows.withColumn("newest", F.max("id").over(W.partitionBy("cluster")))
-    pairs = rows.select("cluster", "newest", F.col("id").alias("a"), F.col("fact").alias("fact_a"), F.col("created_at").alias("created_a"), F.explode("later").alias("x"))
-    return pairs.select("cluster", "newest", "a", F.col("x.id").alias("b"), "fact_a", F.col("x.fact").alias("fact_b"), "created_a", F.col("x.created_at").alias("created_b"))
+    rows = ranked_in_parts(rows.select(F.concat_ws("|", "category", key).alias("cluster"), "id", "fact", "created_at"), "cluster", "id")
+    newest = rows.groupBy("cluster").agg(F.max("id").alias("newest"))
+    run = F.floor((F.col("rn") - 1) / band)
+    a = rows.select("cluster", run.alias("run"), F.col("rn").alias("ra"), F.col("id").alias("a"), F.col("fact").alias("fact_a"), F.col("created_at").alias("created_a"))
+    b = rows.select("cluster", F.explode(F.array(run, run - 1)).alias("run"), F.col("rn").alias("rb"), F.col("id").alias("b"), F.col("fact").alias("fact_b"), F.col("created_at").alias("created_b"))
+    pairs = a.join(b, ["cluster", "run"]).filter(f"rb > ra AND rb - ra < {band}")
+    return pairs.join(newest, "cluster").select("cluster", "newest", "a", "b", "fact_a", "fact_b", "created_a", "created_b")
 
 
 def without_memo(pairs: DataFrame, memo: DataFrame) -> DataFrame:

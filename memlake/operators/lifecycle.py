@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memlake.functions import text as T
+from memlake.operators.search import top
+from memlake.operators.vectors import best_of_pairs, unit_blocks
 
 BROKEN = "broken-index-row"
 
@@ -77,7 +79,8 @@ def realign_plan(registry: DataFrame, files: DataFrame, chunks: DataFrame) -> Da
     rows = rows.join(reg.select(F.col("filepath").alias("target"), F.lit(True).alias("taken")), "target", "left")
     rows = rows.join(chunks.groupBy(F.col("file_path").alias("filepath")).agg(F.count(F.lit(1)).alias("held")), "filepath", "left")
     moved = F.col("f_hash").isNull() & (F.col("places") == 1) & F.col("taken").isNull() & F.col("held").isNotNull()
-    rows = rows.withColumn("wanted", F.sum(F.when(moved, 1).otherwise(0)).over(W.partitionBy("target")))
+    wanted = rows.filter(moved).groupBy("target").agg(F.count(F.lit(1)).alias("wanted"))
+    rows = rows.join(wanted, "target", "left")
     verdict = (
         F.when(F.col("f_hash") == F.col("r_hash"), "aligned").when(F.col("f_hash").isNotNull(), "modified").when(F.col("places").isNull(), "orphan")
         .when(F.col("places") > 1, "skipped: several").when(F.col("taken"), "skipped: registered").when(F.col("held").isNull(), "skipped: no chunks")
@@ -141,13 +144,19 @@ def apply_chunk_relations(chunks: DataFrame, verdicts: DataFrame, least: float =
 
 
 def chunk_supersession_candidates(chunks: DataFrame, k: int = 5, least: float = 0.82) -> DataFrame:
-    """(chunk_id, older_id, score, rank): for each chunk, the nearest older live chunks of 50 characters or more."""
-    unit = F.transform("embedding", lambda x: x.cast("double") / F.sqrt(T.dot(F.col("embedding"), F.col("embedding"))))
-    rows = chunks.filter("size(embedding) > 0").select("chunk_id", "create_time", "superseded_by", F.length("text").alias("chars"), unit.alias("v"))
-    old = rows.filter("coalesce(superseded_by, '') = '' AND chars >= 50").select(F.col("chunk_id").alias("older_id"), F.col("create_time").alias("t"), F.col("v").alias("o"))
-    pairs = rows.join(old, F.col("t") < F.col("create_time")).withColumn("score", F.round(T.dot(F.col("v"), F.col("o")), 6)).filter(F.col("score") >= least)
-    ranked = pairs.withColumn("rank", F.row_number().over(W.partitionBy("chunk_id").orderBy(F.desc("score"), "older_id")))
-    return ranked.filter(F.col("rank") <= k).select("chunk_id", "older_id", "score", "rank")
+    """(chunk_id, older_id, score, rank): for each chunk, the nearest older live chunks of 50 characters or more.
+
+    Blocks of vectors meet as matrices, and of each pair of blocks only the k best per chunk are shuffled. Blocks are
+    cut by time, so that of two blocks that don't overlap in time only one order is computed.
+    """
+    newer = chunks.filter("size(embedding) > 0").repartitionByRange(F.col("create_time")).sortWithinPartitions("create_time")
+    older = newer.filter("coalesce(superseded_by, '') = '' AND length(text) >= 50")
+    late, early = unit_blocks(newer, "chunk_id", "a", times="create_time"), unit_blocks(older, "chunk_id", "b", times="create_time")
+    early = early.withColumn("from_time", F.array_min("b_times"))
+    pairs = late.withColumn("to_time", F.array_max("a_times")).join(early, "dim").filter("from_time < to_time")
+    able = lambda s, new, old: (old[None, :] < new[:, None]) & (s >= least)
+    found = best_of_pairs(pairs, k, ("chunk_id", "older_id"), ("string", "string"), lambda s: s, able)
+    return top(found, ["chunk_id"], [F.desc("score"), F.col("older_id")], k)
 
 
 def audit_vectors(stored: DataFrame, expected: DataFrame, least: float = 0.9999) -> DataFrame:

@@ -10,14 +10,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-#: Senders whose mail isn't kept, by what their names contain or their domains are.
-SENDER_TOKENS = ("noreply", "no-reply", "newsletter", "notification", "mailer-daemon", "marketing")
-SENDER_DOMAINS = ("mailchimp.com", "sendgrid.net", "facebookmail.com")
+#: Senders whose mail isn't kept, by what the part before @ contains or by their domain.
+SENDER_TOKENS = """
+noreply no-reply donotreply do-not-reply notifications notification mailer-daemon postmaster
+newsletter news marketing promo promotions updates update info@github.com builds@travis-ci.org notify alert alerts
+""".split()
+SENDER_DOMAINS = """
+facebookmail.com linkedin.com twitter.com x.com pinterest.com instagram.com tiktok.com
+accounts.google.com googleusercontent.com mailchimp.com sendgrid.net mailgun.org amazonses.com bounce.google.com
+steampowered.com playstation.com xbox.com spotify.com netflix.com apple.com
+""".split()
 CUT_MARK = "\n[...]"
 
 
 def address(header: Column) -> Column:
-    return F.lower(F.regexp_extract(header, "([^<>\\s,]+@[^<>\\s,]+)", 1))
+    return F.regexp_extract(F.lower(header), "[\\w.-]+@[\\w.-]+", 0)
 
 
 def keep_useful_emails(emails: DataFrame, users: tuple[str, ...]) -> DataFrame:
@@ -27,7 +34,7 @@ def keep_useful_emails(emails: DataFrame, users: tuple[str, ...]) -> DataFrame:
     return emails.filter(F.col("useful") & (mine(F.col("from")) | (sole & mine(F.col("to")))))
 
 
-def drop_blacklisted_senders(emails: DataFrame, parts: tuple[str, ...] = SENDER_TOKENS, domains: tuple[str, ...] = SENDER_DOMAINS) -> DataFrame:
+def drop_blacklisted_senders(emails: DataFrame, parts: list[str] = SENDER_TOKENS, domains: list[str] = SENDER_DOMAINS) -> DataFrame:
     """Mail but that of senders whose local part contains a token or whose domain is listed or below a listed one."""
     sender = address(F.col("from"))
     local, domain = F.split(sender, "@")[0], F.regexp_extract(sender, "@(.*)$", 1)

@@ -1,4 +1,7 @@
-"""Hybrid retrieval for whole tables of queries: vectors, entities and BM25, merged under quotas."""
+"""Hybrid retrieval for whole tables of queries: vectors, entities and BM25, merged under quotas.
+
+Query tables are joined without hints: Spark broadcasts a side where its measured size allows, and shuffles it else.
+"""
 
 from __future__ import annotations
 
@@ -9,17 +12,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from memlake.functions import text as T
+from memlake.operators.vectors import nearest
 
 #: Fetch limits of the entity branch, for a candidate and for a query.
 ENTITY_CAP = 700
 K1, B = 1.2, 0.75
-#: Query tables of up to so many rows are sent to every executor; larger ones are joined by shuffling.
-SMALL_QUERIES = 10_000
-
-
-def small(queries: DataFrame) -> DataFrame:
-    """queries, marked for broadcast if a count says that they are few."""
-    return F.broadcast(queries) if queries.limit(SMALL_QUERIES + 1).count() <= SMALL_QUERIES else queries
 
 
 def top(df: DataFrame, keys: list[str], order: list[Column], n: int | Column, rank: str = "rank") -> DataFrame:
@@ -67,33 +64,35 @@ def lookup_chunks(ids: DataFrame, chunks: DataFrame) -> DataFrame:
 
 
 def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, source: str = "") -> DataFrame:
-    """(query_id, chunk_id, score, rank): the k nearest chunks by cosine, at least 0.
+    """(query_id, chunk_id, score, rank): the k nearest chunks by cosine, at least 0; a zero vector is at 0 from all.
 
-    Every query meets every chunk, so the query side goes to the executors where a count allows; of each task's
-    chunks only the k best per query are shuffled.
+    Blocks of queries meet blocks of chunks as matrices; of each block only the k best per query are shuffled.
+    Null and empty vectors, and those of another size than the query's, have no place.
     """
-    unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.sqrt(T.dot(v, v)))
-    q = queries.filter("size(embedding) > 0").select("query_id", unit(F.col("embedding")).alias("q"))
-    c = filter_source(chunks, source).filter("size(embedding) > 0").select("chunk_id", unit(F.col("embedding")).alias("c"))
-    pairs = c.crossJoin(small(q)).filter("size(q) = size(c)").select("query_id", "chunk_id", F.round(F.greatest(T.dot(F.col("q"), F.col("c")), F.lit(0.0)), 6).alias("score"))
-    return top(pairs, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
+    found = nearest(queries.select("query_id", "embedding"), filter_source(chunks, source).select("chunk_id", "embedding"), k)
+    return top(found, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
 
 
-INDEXED = ("text", "title", "folder", "doc_type", "file_path")
+#: Columns of chunks that hold a column of the lexical index under another name.
+HELD = {"document": "text"}
 
 
-def postings(chunks: DataFrame, columns: tuple[str, ...] = INDEXED) -> DataFrame:
-    """(chunk_id, source, field, term, tf)."""
-    fields = F.array(*[F.struct(F.lit(c).alias("field"), T.tokens(F.col(c)).alias("terms")) for c in columns])
+def _indexed(column: str) -> Column:
+    return T.tokens(F.col(HELD.get(column, column)))
+
+
+def postings(chunks: DataFrame, columns: tuple[str, ...] = T.LEXICAL_COLUMNS) -> DataFrame:
+    """(chunk_id, source, field, term, tf); made once for a store and kept as a table."""
+    fields = F.array(*[F.struct(F.lit(c).alias("field"), _indexed(c).alias("terms")) for c in columns])
     rows = chunks.select("chunk_id", "source", F.explode(fields).alias("f")).select("chunk_id", "source", "f.field", F.explode("f.terms").alias("term"))
     return rows.groupBy("chunk_id", "source", "field", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def doc_lengths(chunks: DataFrame, columns: tuple[str, ...] = INDEXED) -> DataFrame:
-    return chunks.select("chunk_id", sum(F.size(T.tokens(F.col(c))) for c in columns).cast("long").alias("len"))
+def doc_lengths(chunks: DataFrame, columns: tuple[str, ...] = T.LEXICAL_COLUMNS) -> DataFrame:
+    return chunks.select("chunk_id", sum(F.size(_indexed(c)) for c in columns).cast("long").alias("len"))
 
 
-def bm25(queries: DataFrame, index: DataFrame, lengths: DataFrame, k: int, source: str = "", derived: bool = False, columns: tuple[str, ...] = INDEXED) -> DataFrame:
+def bm25(queries: DataFrame, index: DataFrame, lengths: DataFrame, k: int, source: str = "", derived: bool = False, columns: tuple[str, ...] = T.LEXICAL_COLUMNS) -> DataFrame:
     """(query_id, chunk_id, score, rank) for queries (query_id, query), by the published formula over all columns.
 
     Derived chunks and other sources go before ranking. Terms in half of the chunks or more weigh next to nothing,
@@ -106,9 +105,9 @@ def bm25(queries: DataFrame, index: DataFrame, lengths: DataFrame, k: int, sourc
         index = index.filter(~T.is_derived_chunk(F.col("chunk_id")))
     size = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
     terms = asked.select("term").distinct()
-    hits = index.join(small(terms), "term")
+    hits = index.join(terms, "term")
     df = hits.groupBy("term").agg(F.countDistinct("chunk_id").alias("df"))
-    matched = hits.join(small(asked), "term").filter("mode = 'or' OR field = column").groupBy("query_id", "mode", "wanted", "chunk_id", "term").agg(F.sum("tf").alias("tf"))
+    matched = hits.join(asked, "term").filter("mode = 'or' OR field = column").groupBy("query_id", "mode", "wanted", "chunk_id", "term").agg(F.sum("tf").alias("tf"))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
     scored = matched.join(df, "term").join(lengths, "chunk_id").crossJoin(F.broadcast(size))
@@ -117,17 +116,44 @@ def bm25(queries: DataFrame, index: DataFrame, lengths: DataFrame, k: int, sourc
     return top(scored, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
 
 
+def _grams(text: Column, n: int) -> Column:
+    """Distinct runs of n characters; none for shorter text."""
+    starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - n + 1)).otherwise(F.array().cast("array<int>"))
+    return F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, F.lit(n))))
+
+
+def containing(names: DataFrame, probes: DataFrame, name: str, probe: str) -> DataFrame:
+    """(name, probe) where a name contains a probe, in any case. Names are indexed by runs of one to three characters; a probe looks up its rarest."""
+    n, p = F.lower(F.col(name)), F.lower(F.col(probe))
+    every = F.flatten(F.array(*[_grams(n, k) for k in (1, 2, 3)]))
+    index = names.select(name, F.explode(every).alias("gram"))
+    counts = index.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    own = F.when(F.length(p) >= 3, _grams(p, 3)).otherwise(F.array(p))
+    asked = probes.select(probe, F.explode(own).alias("gram")).join(counts, "gram", "left")
+    rarest = asked.groupBy(probe).agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram"))
+    return index.join(rarest, "gram").filter(n.contains(p)).select(name, probe)
+
+
 def entity_matches(queries: DataFrame, entities: DataFrame, cap: int = ENTITY_CAP) -> DataFrame:
-    """(query_id, chunk_id, candidate, place): chunks of entities that contain a candidate of the query, in any case, per candidate the last cap ids."""
+    """(query_id, chunk_id, candidate, place, nth): chunks of entities that contain a candidate of the query, in any case, per candidate the last cap ids."""
     asked = queries.select("query_id", F.posexplode(T.entity_candidates(F.col("query"))).alias("place", "candidate"))
-    names = entities.select("entity").distinct()
-    probes = asked.select("candidate").distinct()
-    met = names.join(small(probes), F.lower("entity").contains(F.lower("candidate")))
+    met = containing(entities.select("entity").distinct(), asked.select("candidate").distinct(), "entity", "candidate")
     rows = met.join(entities, "entity").select("candidate", "chunk_id").distinct()
     rows = top(rows, ["candidate"], [F.desc("chunk_id")], cap, "nth")
     return rows.join(asked, "candidate").select("query_id", "chunk_id", "candidate", "place", "nth")
 
 
+def entity_counts(queries: DataFrame, entities: DataFrame, seen: DataFrame, cap: int = ENTITY_CAP) -> DataFrame:
+    """(query_id, appended, unique, duplicates, lost, saturated) of the entity branch before its cap: rows of all candidates,
+    new chunks among them, repeated ones, new ones beyond the cap, and the candidates that met their own limit, sorted."""
+    rows = entity_matches(queries, entities, cap)
+    fresh = rows.join(seen.select("query_id", "chunk_id").distinct(), ["query_id", "chunk_id"], "left_anti")
+    n = fresh.groupBy("query_id").agg(F.count(F.lit(1)).alias("appended"), F.countDistinct("chunk_id").alias("unique"))
+    full = rows.groupBy("query_id", "candidate").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= cap).groupBy("query_id").agg(F.sort_array(F.collect_list("candidate")).alias("saturated"))
+    both = n.join(full, "query_id", "left")
+    return both.select("query_id", "appended", "unique", (F.col("appended") - F.col("unique")).alias("duplicates"), F.greatest(F.col("unique") - cap, F.lit(0)).alias("lost"), F.coalesce("saturated", F.array().cast("array<string>")).alias("saturated"))
+
+
 def entity_stream(queries: DataFrame, entities: DataFrame, seen: DataFrame, cap: int = ENTITY_CAP) -> DataFrame:
     """(query_id, chunk_id): each chunk once, by candidate then id, without those already seen, at most cap per query."""
     rows = entity_matches(queries, entities, cap).groupBy("query_id", "chunk_id").agg(F.min(F.struct("place", "nth")).alias("o"))
@@ -162,32 +188,103 @@ def rerank(pool: DataFrame, n: int, scorer: Callable[[Column, Column], Column] |
     return top(pool, ["query_id"], order, n)
 
 
-def hybrid_candidates(queries: DataFrame, chunks: DataFrame, entities: DataFrame, n: int, source: str = "", columns: tuple[str, ...] = INDEXED) -> DataFrame:
-    """(query_id, chunk_id, stream, score, date, superseded_by) of all three streams, before pooling."""
+def hybrid_candidates(queries: DataFrame, chunks: DataFrame, entities: DataFrame, n: int, source: str = "", columns: tuple[str, ...] = T.LEXICAL_COLUMNS, index: DataFrame | None = None, lengths: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, stream, score, date, superseded_by) of all three streams, before pooling; index and lengths are kept tables of postings() and doc_lengths(), made here where there are none."""
     n = max(1, min(30, n))
     k = min(3 * n, 30)
     meta = filter_source(chunks, source).select("chunk_id", "date", "superseded_by")
     semantic = vector_topk(queries, chunks, k, source).select("query_id", "chunk_id", F.lit("semantic").alias("stream"), "score")
     found = entity_stream(queries, entities, semantic)
     vectors = filter_source(chunks, source).select("chunk_id", "embedding")
-    scored = found.join(vectors, "chunk_id").join(small(queries.select("query_id", F.col("embedding").alias("q"))), "query_id")
+    scored = found.join(vectors, "chunk_id").join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
     entity = scored.select("query_id", "chunk_id", F.lit("entity").alias("stream"), F.round(T.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-    lexical = bm25(queries, postings(chunks, columns), doc_lengths(chunks, columns), k, source, columns=columns).select("query_id", "chunk_id", F.lit("lexical").alias("stream"), "score")
+    index = postings(chunks, columns) if index is None else index
+    lengths = doc_lengths(chunks, columns) if lengths is None else lengths
+    lexical = bm25(queries, index, lengths, k, source, columns=columns).select("query_id", "chunk_id", F.lit("lexical").alias("stream"), "score")
     held = semantic.unionByName(entity).select("query_id", "chunk_id")
     lexical = lexical.join(held.distinct(), ["query_id", "chunk_id"], "left_anti")
     return semantic.unionByName(entity).unionByName(lexical).join(meta, "chunk_id")
 
 
-def hybrid_search(queries: DataFrame, chunks: DataFrame, entities: DataFrame, n: int = 10, source: str = "", superseded: bool = False, scorer=None, columns: tuple[str, ...] = INDEXED) -> DataFrame:
+def hybrid_search(
+    queries: DataFrame, chunks: DataFrame, entities: DataFrame, n: int = 10, source: str = "", superseded: bool = False, scorer=None,
+    columns: tuple[str, ...] = T.LEXICAL_COLUMNS, index: DataFrame | None = None, lengths: DataFrame | None = None,
+) -> DataFrame:
     """(query_id, chunk_id, stream, score, rank) for queries (query_id, query, embedding): the n best of each pool.
 
     Superseded chunks leave after the streams' limits, so that a stream may come back short.
     """
-    found = hybrid_candidates(queries, chunks, entities, n, source, columns)
+    found = hybrid_candidates(queries, chunks, entities, n, source, columns, index, lengths)
     pool = compose_pool(found if superseded else live(found), max(1, min(30, n)))
+    return _reranked(pool, queries, chunks, max(1, min(30, n)), scorer).select("query_id", "chunk_id", "stream", "score", "rank")
+
+
+def _reranked(pool: DataFrame, queries: DataFrame, chunks: DataFrame, n: int, scorer) -> DataFrame:
     if scorer is not None:
-        pool = pool.join(chunks.select("chunk_id", "text"), "chunk_id").join(small(queries.select("query_id", "query")), "query_id")
-    return rerank(pool, max(1, min(30, n)), scorer).select("query_id", "chunk_id", "stream", "score", "rank")
+        pool = pool.join(chunks.select("chunk_id", "text"), "chunk_id").join(queries.select("query_id", "query"), "query_id")
+    return rerank(pool, n, scorer)
+
+
+def kb_search(queries: DataFrame, chunks: DataFrame, n: int = 5, source: str = "", superseded: bool = False, scorer=None, fetch: int = 3) -> DataFrame:
+    """(query_id, chunk_id, score, rank) by vectors alone: fetch times n, of those the first n that are live, and these n put in the scorer's order.
+
+    n is 1 to 20. With superseded, the first n as they are.
+    """
+    n = max(1, min(20, n))
+    found = vector_topk(queries, chunks, fetch * n, source)
+    if not superseded:
+        found = drop_superseded(found.join(chunks.select("chunk_id", "superseded_by"), "chunk_id"), n)
+    pool = found.filter(F.col("rank") <= n).withColumnRenamed("rank", "position")
+    return _reranked(pool, queries, chunks, n, scorer).select("query_id", "chunk_id", "score", "rank")
+
+
+def result_columns(ranked: DataFrame, chunks: DataFrame, facts: DataFrame, base: str = "kb://chunk/", most: int = 10, chars: int = 500) -> DataFrame:
+    """ranked (query_id, chunk_id, score, rank) as shown: title with folder, type and category, date, relevance of three digits, url, snippet, first facts and their number.
+
+    facts: (chunk_id, facts) of the chunks that have any.
+    """
+    known = lambda c: F.nullif(F.coalesce(F.col(c), F.lit("")), F.lit(""))
+    extra = F.concat_ws(", ", known("folder"), known("doc_type"), known("category"))
+    title = F.coalesce("title", F.lit("N/A"))
+    rows = ranked.join(chunks, "chunk_id").join(facts, "chunk_id", "left")
+    return rows.select(
+        "query_id", "chunk_id", "rank", F.when(extra != "", F.concat(title, F.lit(" ("), extra, F.lit(")"))).otherwise(title).alias("title"), F.coalesce("date", F.lit("")).alias("date"), "source",
+        F.round("score", 3).alias("relevance"), F.concat(F.lit(base), "chunk_id").alias("url"),
+        F.when(F.length("text") > chars, F.concat(F.substring("text", 1, chars), F.lit("..."))).otherwise(F.col("text")).alias("snippet"),
+        F.slice(F.coalesce("facts", F.array().cast("array<string>")), 1, most).alias("facts"), F.coalesce(F.size("facts"), F.lit(0)).cast("long").alias("n_facts"),
+    )
+
+
+def document_url(path: Column, base: str = "") -> Column:
+    """The address under which a document is fetched; empty without a path."""
+    escaped = F.replace(F.url_encode(path), F.lit("+"), F.lit("%20"))
+    return F.when(F.coalesce(path, F.lit("")) != "", F.concat(F.lit(base.rstrip("/") + "/api/kb/document?path="), escaped)).otherwise("")
+
+
+def find_documents(queries: DataFrame, chunks: DataFrame, n: int = 10) -> DataFrame:
+    """(query_id, file_path, title, folder, tier, ratio, last_date, chunks, rank): the n documents whose names fit each query best.
+
+    Tier 3: the title contains the query, 2: the folder, 1: the path, 0: none; then by Ratcliff-Obershelp ratio, then by
+    path. Case, and runs of blanks, underscores and hyphens, don't count. Documents of which all chunks are superseded
+    are left out. The queries meet all documents, of which there are far fewer than chunks.
+    """
+    from memlake.operators.facts import best_ratio
+
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[\\s_-]+", " "))
+    filled = lambda c: F.min_by(c, F.when(F.coalesce(c, F.lit("")) != "", F.col("chunk_id")))
+    rows = chunks.filter((F.col("source") == "document") & (F.coalesce("file_path", F.lit("")) != ""))
+    first = lambda c: F.min_by(F.coalesce(c, F.lit("")), "chunk_id")
+    docs = rows.groupBy("file_path").agg(
+        F.coalesce(filled("title"), F.lit("")).alias("title"), F.coalesce(filled("folder"), F.lit("")).alias("folder"), first("title").alias("t"), first("folder").alias("f"),
+        F.coalesce(F.max("date"), F.lit("")).alias("last_date"), F.count(F.lit(1)).alias("chunks"), F.min((F.coalesce("superseded_by", F.lit("")) != "").cast("int")).alias("gone"),
+    ).filter("gone = 0")
+    docs = docs.withColumns({"t": plain(F.col("t")), "f": plain(F.col("f")), "p": plain(F.col("file_path"))})
+    pairs = docs.crossJoin(queries.select("query_id", plain(F.col("query")).alias("q")))
+    has = lambda c: (F.col("q") != "") & F.col(c).contains(F.col("q"))
+    pairs = pairs.withColumn("tier", F.when(has("t"), 3).when(has("f"), 2).when(has("p"), 1).otherwise(0))
+    against = F.when(F.col("tier") == 3, F.array("t")).when(F.col("tier") == 2, F.array("f")).when(F.col("tier") == 1, F.array("p")).otherwise(F.array("t", "f", "p"))
+    scored = pairs.withColumn("ratio", F.round(best_ratio(F.col("q"), against), 6))
+    return top(scored, ["query_id"], [F.desc("tier"), F.desc("ratio"), F.col("file_path")], n).select("query_id", "file_path", "title", "folder", "tier", "ratio", "last_date", "chunks", "rank")
 
 
 def stage_counts(candidates: DataFrame, n: int) -> DataFrame:

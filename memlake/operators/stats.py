@@ -103,16 +103,20 @@ def extraction_priority(chunks: DataFrame) -> DataFrame:
     return chunks.withColumn("tier", kind).orderBy("tier", F.asc_nulls_first("date"), "chunk_id")
 
 
+def micros(ts: Column) -> Column:
+    return F.unix_micros(ts.cast("timestamp"))
+
+
 def at_or_before(series: DataFrame, seconds: int, keys: tuple[str, ...] = ("key",)) -> DataFrame:
     """series (ts, value) with anchor: the latest value at least so many seconds older, as of each row."""
-    w = W.partitionBy(*keys).orderBy(F.col("ts").cast("double")).rangeBetween(W.unboundedPreceding, -float(seconds))
+    w = W.partitionBy(*keys).orderBy(micros(F.col("ts"))).rangeBetween(W.unboundedPreceding, -seconds * 1_000_000)
     return series.withColumn("anchor", F.max_by("value", "ts").over(w))
 
 
 def sustained_breach(series: DataFrame, threshold: float, seconds: int, keys: tuple[str, ...] = ("key",)) -> DataFrame:
     """series with breach: at the threshold or above now, at the anchor, and at every point of the window between."""
     known = series.filter(F.col("value").isNotNull())
-    w = W.partitionBy(*keys).orderBy(F.col("ts").cast("double")).rangeBetween(-float(seconds), 0)
+    w = W.partitionBy(*keys).orderBy(micros(F.col("ts"))).rangeBetween(-seconds * 1_000_000, 0)
     rows = at_or_before(known, seconds, keys).withColumn("lowest", F.min("value").over(w))
     return rows.withColumn("breach", F.coalesce((F.col("value") >= threshold) & (F.col("anchor") >= threshold) & (F.col("lowest") >= threshold), F.lit(False)))
 

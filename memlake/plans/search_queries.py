@@ -11,7 +11,7 @@ from memlake.plans.fixtures import oracle, table
 N = 5
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-COLUMNS = ("text", "title", "folder")
+COLUMNS = {c: search.HELD.get(c, c) for c in T.LEXICAL_COLUMNS}
 
 
 def register(name: str, run, sql: str | None = None) -> None:
@@ -30,20 +30,21 @@ def _tables(*names):
 _TOKENS = "regexp_extract_all(translate(lower(coalesce({0}, '')), '" + T.MARKED + "', '" + T.PLAIN + "'), '[\\p{{L}}\\p{{N}}]+')"
 _tok = _TOKENS.format
 _STOP = "[" + ", ".join(f"'{w}'" for w in T.STOPWORDS) + "]"
-_UNIT = "list_transform({0}, lambda x: x::DOUBLE / sqrt(list_sum(list_transform({0}, lambda y: y::DOUBLE * y::DOUBLE))))"
+_DOT = "list_sum(list_transform(list_zip({0}, {1}), lambda p: p[1]::DOUBLE * p[2]::DOUBLE))"
+_COS = f"round(coalesce(greatest({_DOT.format('{0}', '{1}')} / nullif(sqrt({_DOT.format('{0}', '{0}')}) * sqrt({_DOT.format('{1}', '{1}')}), 0.0), 0.0), 0.0), 6)"
 _DERIVED = " OR ".join(f"starts_with(chunk_id, '{p}')" for p in T.DERIVED_PREFIXES)
 
 
 def _vector(k: int, source: str = "") -> str:
     where = f"WHERE c.source = '{source}'" if source else ""
     return f"""SELECT query_id, chunk_id, score, rank FROM (SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
-      SELECT q.query_id, c.chunk_id, round(greatest(list_dot_product({_UNIT.format("q.embedding")}, {_UNIT.format("c.embedding")}), 0.0), 6) AS score
+      SELECT q.query_id, c.chunk_id, {_COS.format("q.embedding", "c.embedding")} AS score
       FROM queries q, chunks c {where or "WHERE true"} AND len(c.embedding) = len(q.embedding))) WHERE rank <= {k}"""
 
 
 def _bm25(k: int) -> str:
-    fields = " UNION ALL ".join(f"SELECT chunk_id, '{c}' AS field, unnest({_tok(c)}) AS term FROM chunks" for c in COLUMNS)
-    lens = " + ".join(f"len({_tok(c)})" for c in COLUMNS)
+    fields = " UNION ALL ".join(f"SELECT chunk_id, '{c}' AS field, unnest({_tok(held)}) AS term FROM chunks" for c, held in COLUMNS.items())
+    lens = " + ".join(f"len({_tok(held)})" for held in COLUMNS.values())
     return f"""
       lens AS (SELECT chunk_id, ({lens})::BIGINT AS len FROM chunks), size AS (SELECT count(*) AS n, avg(len) AS mean FROM lens),
       asked AS (SELECT query_id, unnest(list_filter(list_distinct({_tok("query")}), lambda x: NOT list_contains({_STOP}, x))) AS term FROM queries),
@@ -55,21 +56,20 @@ def _bm25(k: int) -> str:
 
 
 _ENTITY = """
-  words AS (SELECT query_id, list_filter(string_split_regex(regexp_replace(query, '[^\\p{L}\\p{N}'' -]+', ' ', 'g'), ' +'), lambda w: w <> '') AS w FROM queries),
+  words AS (SELECT query_id, list_transform(list_filter(string_split_regex(query, '\\s+'), lambda w: w <> ''), lambda w: regexp_replace(w, '[^\\p{L}\\p{N}_]', '', 'g')) AS w FROM queries),
   cands AS (SELECT query_id, list_sort(list_distinct(list_filter(list_concat(
       list_filter(w, lambda x: regexp_matches(x, '^\\p{Lu}') AND length(x) >= 2),
       list_transform(list_filter(range(1, len(w)), lambda i: regexp_matches(w[i], '^\\p{Lu}') AND regexp_matches(w[i + 1], '^\\p{Lu}')), lambda i: w[i] || ' ' || w[i + 1]),
-      list_transform(list_filter(range(1, len(w) - 1), lambda i: regexp_matches(w[i], '^\\p{Lu}')), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])),
-    lambda g: NOT list_contains(['The', 'A', 'An', 'What', 'Who', 'When', 'How', 'Is', 'In', 'Of'], string_split(g, ' ')[1])))) AS c FROM words),
+      list_transform(list_filter(range(1, len(w) - 1), lambda i: regexp_matches(w[i], '^\\p{Lu}') AND w[i + 2] <> ''), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])),
+    lambda g: NOT list_contains(CANDIDATE_STOP, lower(string_split(g, ' ')[1]))))) AS c FROM words),
   asked_e AS (SELECT query_id, unnest(c) AS candidate, unnest(range(0, len(c))) AS place FROM cands),
   met AS (SELECT DISTINCT candidate, chunk_id FROM (SELECT DISTINCT candidate FROM asked_e) JOIN entity_index ON contains(lower(entity), lower(candidate))),
-  capped AS (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY chunk_id DESC) AS nth FROM met QUALIFY nth <= 700)"""
+  capped AS (SELECT *, row_number() OVER (PARTITION BY candidate ORDER BY chunk_id DESC) AS nth FROM met QUALIFY nth <= 700)""".replace("CANDIDATE_STOP", "[" + ", ".join(f"'{w}'" for w in T.CANDIDATE_STOPWORDS) + "]")
 
 
 def _hybrid(n: int, tail: str) -> str:
     k = min(3 * n, 30)
-    norm = lambda v: f"sqrt(list_sum(list_transform({v}, lambda x: x::DOUBLE * x::DOUBLE)))"
-    cos = f"CASE WHEN len(c.embedding) > 0 THEN round(greatest(list_dot_product(q.embedding::DOUBLE[], c.embedding::DOUBLE[]) / ({norm('q.embedding')} * {norm('c.embedding')}), 0.0), 6) ELSE 0.0 END"
+    cos = f"CASE WHEN len(c.embedding) = len(q.embedding) THEN {_COS.format('q.embedding', 'c.embedding')} ELSE 0.0 END"
     return f"""WITH sem AS ({_vector(k)}), {_bm25(k)}, {_ENTITY},
       ent0 AS (SELECT query_id, chunk_id, min({{'place': place, 'nth': nth}}) AS o FROM capped JOIN asked_e USING (candidate) WHERE (query_id, chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM sem) GROUP BY ALL),
       ent AS (SELECT query_id, chunk_id FROM ent0 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY o, chunk_id) <= 700),
@@ -83,18 +83,18 @@ def _hybrid(n: int, tail: str) -> str:
       {tail}"""
 
 
-register("hybrid_search", _tables("queries", "chunks", "entity_index")(lambda q, c, e: search.hybrid_search(q, c, e, N, columns=COLUMNS)), _hybrid(N, f"SELECT query_id, chunk_id, stream, score, position AS rank FROM pool WHERE position <= {N}"))
-register("hybrid_stage_counts", _tables("queries", "chunks", "entity_index")(lambda q, c, e: search.stage_counts(search.hybrid_candidates(q, c, e, N, columns=COLUMNS), N)), _hybrid(N, "SELECT c.query_id, c.stream, count(*) AS found, count(*) FILTER (c.superseded_by <> '') AS superseded, count(p.chunk_id) AS pooled FROM cand c LEFT JOIN pool p ON c.query_id = p.query_id AND c.chunk_id = p.chunk_id AND c.stream = p.stream GROUP BY c.query_id, c.stream"))
+register("hybrid_search", _tables("queries", "chunks", "entity_index")(lambda q, c, e: search.hybrid_search(q, c, e, N)), _hybrid(N, f"SELECT query_id, chunk_id, stream, score, position AS rank FROM pool WHERE position <= {N}"))
+register("hybrid_stage_counts", _tables("queries", "chunks", "entity_index")(lambda q, c, e: search.stage_counts(search.hybrid_candidates(q, c, e, N), N)), _hybrid(N, "SELECT c.query_id, c.stream, count(*) AS found, count(*) FILTER (c.superseded_by <> '') AS superseded, count(p.chunk_id) AS pooled FROM cand c LEFT JOIN pool p ON c.query_id = p.query_id AND c.chunk_id = p.chunk_id AND c.stream = p.stream GROUP BY c.query_id, c.stream"))
 register("vector_topk", _tables("queries", "chunks")(lambda q, c: search.vector_topk(q, c, 10)), _vector(10))
 register("vector_topk_source", _tables("queries", "chunks")(lambda q, c: search.vector_topk(q, c, 3, "src1")), _vector(3, "src1"))
-register("bm25", _tables("queries", "chunks")(lambda q, c: search.bm25(q, search.postings(c, COLUMNS), search.doc_lengths(c, COLUMNS), 10, columns=COLUMNS)), f"WITH {_bm25(10)} SELECT * FROM lex")
+register("bm25", _tables("queries", "chunks")(lambda q, c: search.bm25(q, search.postings(c), search.doc_lengths(c), 10)), f"WITH {_bm25(10)} SELECT * FROM lex")
 register(
-    "bm25_scoped", _tables("queries", "chunks")(lambda q, c: search.bm25(q.select("query_id", F.concat(F.lit("title:file"), (F.col("query_id") % 50).cast("string"), F.lit(" md")).alias("query")), search.postings(c, COLUMNS), search.doc_lengths(c, COLUMNS), 3, columns=COLUMNS).select("query_id", "chunk_id", "rank")),
-    """WITH lens AS (SELECT chunk_id, (""" + " + ".join(f"len({_tok(c)})" for c in COLUMNS) + f""")::BIGINT AS len FROM chunks)
+    "bm25_scoped", _tables("queries", "chunks")(lambda q, c: search.bm25(q.select("query_id", F.concat(F.lit("title:file"), (F.col("query_id") % 50).cast("string"), F.lit(" md")).alias("query")), search.postings(c), search.doc_lengths(c), 3).select("query_id", "chunk_id", "rank")),
+    """WITH lens AS (SELECT chunk_id, (""" + " + ".join(f"len({_tok(c)})" for c in COLUMNS.values()) + f""")::BIGINT AS len FROM chunks)
     SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY len, chunk_id) AS rank FROM queries JOIN chunks ON title = 'file' || (query_id % 50) || '.md' JOIN lens USING (chunk_id) WHERE NOT ({_DERIVED}) QUALIFY rank <= 3""",
 )
 register("entity_matches", _tables("queries", "entity_index")(lambda q, e: search.entity_matches(q, e).select("query_id", "candidate", "place", "chunk_id", "nth")), f"WITH {_ENTITY} SELECT query_id, candidate, place, chunk_id, nth FROM capped JOIN asked_e USING (candidate)")
-register("search_by_entity", _tables("entity_index", "chunks")(lambda e, c: search.search_by_entity("alphab", e, c, "company", 10).select("chunk_id", "date")), "SELECT chunk_id, date FROM chunks WHERE superseded_by = '' AND chunk_id IN (SELECT chunk_id FROM entity_index WHERE contains(lower(entity), 'alphab') AND entity_type = 'company') ORDER BY date DESC NULLS LAST, chunk_id LIMIT 10")
+register("search_by_entity", _tables("entity_index", "chunks")(lambda e, c: search.search_by_entity("erin", e, c, "company", 10).select("chunk_id", "date")), "SELECT chunk_id, date FROM chunks WHERE superseded_by = '' AND chunk_id IN (SELECT chunk_id FROM entity_index WHERE contains(lower(entity), 'erin') AND entity_type = 'company') ORDER BY date DESC NULLS LAST, chunk_id LIMIT 10")
 register("query_chunks", _tables("chunks")(lambda c: search.query_chunks(c, "src1", "2024/02/01", "2024/10/31", limit=20).select("chunk_id", "date")), "SELECT chunk_id, date FROM chunks WHERE superseded_by = '' AND source = 'src1' AND date >= '2024-02-01' AND date <= '2024-10-31' ORDER BY date DESC NULLS LAST, chunk_id LIMIT 20")
 register("filter_docs", _tables("chunks")(lambda c: search.filter_title_contains(search.filter_docs(search.filter_source(c, "src2"), "en", "note"), "file1").select("chunk_id")), "SELECT chunk_id FROM chunks WHERE source = 'src2' AND folder = 'en' AND doc_type = 'note' AND contains(title, 'file1')")
 register("drop_superseded", _tables("queries", "chunks")(lambda q, c: search.drop_superseded(search.vector_topk(q, c, 15).join(c.select("chunk_id", "superseded_by"), "chunk_id"), 5).select("query_id", "chunk_id", "rank")), f"WITH v AS ({_vector(15)}) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY v.rank, chunk_id) AS rank FROM v JOIN chunks USING (chunk_id) WHERE superseded_by = '' QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY v.rank, chunk_id) <= 5")
