@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -12,24 +13,35 @@ from pyspark.sql import functions as F
 
 from memlake.functions import text as T
 
+_SOLID = re.compile(r"\S")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
 _HEADING = re.compile(r"^(#{1,6} .+|[A-Z0-9][A-Z0-9 .'-]{4,60}|\d+(\.\d+)*[.)] .{3,80})$")
 
 
+#: Where a text may be cut, best first, and how many characters of the sign stay before the cut.
+CUTS = (("\n\n", 0), ("\n", 0), (". ", 1), (" ", 0))
+
+
 def greedy(text: str, most: int = 1200) -> list[str]:
-    """Parts of at most so many characters, cut at the last paragraph, line, sentence or word end beyond 30 % of each."""
-    parts, rest = [], text
-    while len(rest) > most:
-        window = rest[:most]
-        cut = most
-        for sign in ("\n\n", "\n", ". ", " "):
-            at = window.rfind(sign)
-            if at > most * 0.3:
-                cut = at + (1 if sign == ". " else 0)
-                break
-        parts.append(rest[:cut].rstrip())
-        rest = rest[cut:].lstrip()
-    return [p for p in [*parts, rest.strip()] if p]
+    """Parts of at most so many characters, cut at the last paragraph, line, sentence or word end beyond 30 % of each.
+
+    All places to cut are looked up once per kind of sign; a part takes the last place of the first kind that has one in reach.
+    """
+    places = [([m.start() for m in re.finditer(f"(?={re.escape(sign)})", text)], len(sign), kept) for sign, kept in CUTS]
+    solid = len(text.rstrip())
+    parts, start = [], 0
+    while start < solid:
+        end = solid
+        if len(text) - start > most:
+            near, end = start + most * 0.3, start + most
+            for found, width, kept in places:
+                last = bisect_right(found, start + most - width) - 1
+                if last >= 0 and found[last] > near:
+                    end = found[last] + kept
+                    break
+        parts.append(text[start:end].rstrip())
+        start = next((m.start() for m in _SOLID.finditer(text, end)), solid)
+    return [p for p in (*parts[:-1], *(p.strip() for p in parts[-1:])) if p]
 
 
 def _packed(pieces: list[str], most: int, least: int, join: str) -> list[str]:
@@ -103,27 +115,11 @@ def headings(text: str, target: int = 1200, most: int = 2000, least: int = 200)
     return out
 
 
-def sections(text: str) -> list[tuple[str, str]]:
-    """(heading, body) for each H2 or H3, fences aside; what comes before the first has no heading."""
-    out, heading, held, fenced = [], "", [], False
-    for line in text.split("\n"):
-        fenced ^= line.lstrip().startswith("```")
-        if not fenced and re.match(r"#{2,3} ", line):
-            if "\n".join(held).strip():
-                out.append((heading, "\n".join(held).strip()))
-            heading, held = line.lstrip("# ").strip(), []
-        else:
-            held.append(line)
-    if "\n".join(held).strip() or heading:
-        out.append((heading, "\n".join(held).strip()))
-    return out
-
-
 CUTTERS: dict[str, Callable[[str], list[str]]] = {"greedy": greedy, "paragraphs": paragraphs, "markdown": markdown, "headings": headings}
 
 
 def cut(docs: DataFrame, method: str) -> DataFrame:
-    """(doc_id, part, text): a row per part. Texts differ in size, so they are dealt out evenly by id first."""
+    """(doc_id, part, text): a row per part, in one narrow pass."""
     tool = CUTTERS[method]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -134,15 +130,26 @@ def cut(docs: DataFrame, method: str) -> DataFrame:
     return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, part int, text string")
 
 
-def split_markdown_sections(docs: DataFrame) -> DataFrame:
-    """(doc_id, section, heading, text)."""
+#: Fenced stretches of an array of lines: a fence ends at the next line that begins with the same sign.
+_FENCES = """aggregate(filter(transform(lines, (x, i) -> struct(i AS i, substring(ltrim(x), 1, 3) AS sign)), x -> x.sign IN ('```', '~~~')),
+  struct('' AS sign, 0 AS first, CAST(array() AS array<struct<first:int,last:int>>) AS spans),
+  (s, x) -> IF(s.sign = '', struct(x.sign AS sign, x.i AS first, s.spans AS spans), IF(s.sign = x.sign, struct('' AS sign, 0 AS first, array_append(s.spans, struct(s.first AS first, x.i AS last)) AS spans), s)),
+  s -> IF(s.sign = '', s.spans, array_append(s.spans, struct(s.first AS first, size(lines) AS last))))"""
+_HEADS = "filter(sequence(0, size(lines) - 1), i -> lines[i] RLIKE '^#{2,3} ' AND NOT exists(fences, f -> i BETWEEN f.first AND f.last))"
+_BLANKS = "' \\t\\n\\r'"
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, n, h, s) for i, t in zip(b["doc_id"], b["text"], strict=True) for n, (h, s) in enumerate(sections(t or ""))]
-            yield pd.DataFrame(rows, columns=["doc_id", "section", "heading", "text"]).astype({"section": "int32"})
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, section int, heading string, text string")
+def split_markdown_sections(docs: DataFrame) -> DataFrame:
+    """(doc_id, section, heading, text): a row for each H2 or H3 with the lines from it on, and one for what comes before the first.
+
+    Lines in fences are no headings. Empty sections drop out; null texts have none.
+    """
+    rows = docs.filter("text IS NOT NULL").select("doc_id", F.split(F.regexp_replace("text", "\r\n?", "\n"), "\n").alias("lines"))
+    rows = rows.withColumn("fences", F.expr(_FENCES)).withColumn("heads", F.expr(_HEADS))
+    rows = rows.withColumn("starts", F.expr("IF(get(heads, 0) = 0, heads, concat(array(0), heads))"))
+    cut = f"transform(starts, (a, k) -> struct(IF(array_contains(heads, a), trim(ltrim('#', trim(lines[a]))), '') AS heading, trim(BOTH {_BLANKS} FROM array_join(slice(lines, a + 1, coalesce(get(starts, k + 1), size(lines)) - a), '\\n')) AS text))"
+    kept = rows.select("doc_id", F.posexplode(F.filter(F.expr(cut), lambda s: s["text"] != "")).alias("section", "s"))
+    return kept.select("doc_id", "section", "s.heading", "s.text")
 
 
 def overlap(parts: DataFrame, chars: int = 200) -> DataFrame:
@@ -153,6 +160,19 @@ def overlap(parts: DataFrame, chars: int = 200) -> DataFrame:
     return parts.withColumn("tail", tail).withColumn("text", F.when(F.col("tail").isNotNull() & (F.col("tail") != ""), F.concat_ws("\n", "tail", "text")).otherwise(F.col("text"))).drop("tail")
 
 
+def register_udtfs(spark) -> None:
+    """The cutters as table functions of SQL: SELECT * FROM cut_greedy('…') gives (part, text)."""
+    for name, tool in CUTTERS.items():
+
+        class Cut:
+            cutter = staticmethod(tool)
+
+            def eval(self, text: str):
+                yield from enumerate(self.cutter(text) if text else [])
+
+        spark.udtf.register(f"cut_{name}", F.udtf(Cut, returnType="part: int, text: string"))
+
+
 def build_chunks(docs: DataFrame, method: str = "greedy", marker: str = "kb") -> DataFrame:
     """docs (doc_id, text, filename, file_path) to chunk rows: cut, overlapped (Markdown isn't), named, typed."""
     parts = cut(docs, method)
@@ -164,13 +184,35 @@ def build_chunks(docs: DataFrame, method: str = "greedy", marker: str = "kb") ->
 
 
 def rows_to_text(df: DataFrame, key: str, order: str, columns: list[str], most: int = 1200) -> DataFrame:
-    """(key, block, text): rows as "first: column=value; …" lines, packed into blocks that each begin with the header."""
+    """(key, block, text): rows as "first: column=value; …" lines, packed whole into blocks of at most so many characters that each begin with the header.
+
+    Empty values are left out, and rows of nothing else. A longer row is a block of its own. Rows come sorted, so that a
+    block at a time is held.
+    """
     first, *rest = columns
-    line = F.concat(F.coalesce(F.col(first).cast("string"), F.lit("")), F.lit(": "), F.concat_ws("; ", *[F.concat(F.lit(f"{c}="), F.col(c).cast("string")) for c in rest]))
-    w = W.partitionBy(key).orderBy(order)
-    rows = df.select(key, order, line.alias("line")).withColumn("block", F.floor((F.sum(F.length("line") + 1).over(w) - 1) / most).cast("int"))
-    packed = rows.groupBy(key, "block").agg(F.sort_array(F.collect_list(F.struct(order, "line"))).alias("l"))
-    return packed.select(key, "block", F.concat(F.lit(" | ".join(columns) + "\n"), F.array_join(F.transform("l", lambda x: x["line"]), "\n")).alias("text"))
+    filled = lambda c: F.nullif(F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(""))
+    values = F.nullif(F.concat_ws("; ", *[F.concat(F.lit(f"{c}="), filled(c)) for c in rest]), F.lit(""))
+    rows = df.select(F.col(key).alias("key"), F.col(order).alias("place"), F.concat_ws(": ", filled(first), values).alias("line")).filter("line <> ''")
+    header = " | ".join(columns)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        now, block, held, size = None, 0, [], 0
+        for batch in batches:
+            done = []
+            for k, line in zip(batch["key"], batch["line"], strict=True):
+                if held and (k != now or size + 1 + len(line) > most):
+                    done.append((now, block, "\n".join([header, *held])))
+                    held, block = [], block + 1
+                if k != now:
+                    now, block = k, 0
+                size = (size if held else len(header)) + 1 + len(line)
+                held.append(line)
+            yield pd.DataFrame(done, columns=["key", "block", "text"]).astype({"block": "int32"})
+        if held:
+            yield pd.DataFrame([(now, block, "\n".join([header, *held]))], columns=["key", "block", "text"]).astype({"block": "int32"})
+
+    kind = df.schema[key].dataType.simpleString()
+    return rows.repartition("key").sortWithinPartitions("key", "place").mapInPandas(run, f"key {kind}, block int, text string").withColumnRenamed("key", key)
 
 
 def delimited(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -124,8 +124,8 @@ def invalidate_sidecars(table: DataFrame, prefixes: DataFrame) -> DataFrame:
     return keyed.join(prefixes.select("prefix").distinct(), "prefix", "left_anti").drop("prefix")
 
 
-#: Which source may supersede which: a chunk yields to one of its own rank or a higher one.
-SOURCE_RANK = {"document": 3, "email": 2, "conversation": 1}
+#: A chunk is superseded only by one of its own rank or a higher one; sources not named have the least.
+SOURCE_RANK = {"document": 3, "doc_summary": 2, "conv_summary": 1}
 
 
 def apply_chunk_relations(chunks: DataFrame, verdicts: DataFrame, least: float = 0.7) -> DataFrame:

@@ -16,11 +16,22 @@ def kb_stats(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("source").agg(*agg).unionByName(chunks.agg(*agg).withColumn("source", F.lit("all")))
 
 
+def rows_by(df: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n): chunks by source or folder, orphans by folder, index rows by source, chunks by model and the like; a missing value counts as empty."""
+    return df.groupBy(*[F.coalesce(F.col(k), F.lit("")).alias(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))
+
+
+def top_models(chunks: DataFrame, n: int = 5) -> DataFrame:
+    """The models with the most chunks; unknown where there is none."""
+    named = chunks.select(F.coalesce(F.nullif("model", F.lit("")), F.lit("unknown")).alias("model"))
+    return rows_by(named, "model").orderBy(F.desc("n"), "model").limit(n)
+
+
 def coverage_stats(chunks: DataFrame, facts: DataFrame, log: DataFrame) -> DataFrame:
-    """One row: chunks, facts by kind, covered chunks, skipped and failed ones, and what could be covered."""
+    """One row: chunks, facts by kind, chunks with an extracted fact, skipped and finally failed ones, and what could be covered."""
     c = chunks.agg(F.count(F.lit(1)).alias("chunks"))
-    f = facts.agg(F.count(F.lit(1)).alias("facts"), F.count(F.when(F.col("relation_type") == "derived", 1)).alias("derived"), F.count(F.when(F.col("superseded_by").isNotNull(), 1)).alias("superseded"), F.countDistinct("chunk_id").alias("covered"))
-    g = log.agg(F.count(F.when(F.col("model").startswith("skipped_"), 1)).alias("skipped"), F.count(F.when(F.col("model").startswith("failed_"), 1)).alias("failed"))
+    f = facts.agg(F.count(F.lit(1)).alias("facts"), F.count(F.when(F.col("relation_type") == "derived", 1)).alias("derived"), F.count(F.when(F.col("superseded_by").isNotNull(), 1)).alias("superseded"), F.countDistinct(F.when(F.col("relation_type") == "extracted", F.col("chunk_id"))).alias("covered"))
+    g = log.agg(F.count(F.when(F.col("model").startswith("skipped_"), 1)).alias("skipped"), F.count(F.when(F.col("model") == "failed_persistent", 1)).alias("failed"))
     row = c.crossJoin(f).crossJoin(g)
     return row.withColumn("coverable", F.greatest(F.lit(0), F.col("chunks") - F.col("skipped") - F.col("failed")))
 
@@ -38,6 +49,21 @@ def supersession_stats(facts: DataFrame, judged: DataFrame) -> DataFrame:
     return rows.unionByName(judged.groupBy(F.concat(F.lit("verdict_"), "verdict").alias("name")).agg(F.count(F.lit(1)).alias("n")))
 
 
+def reuse_rate(facts: DataFrame, judged: DataFrame) -> DataFrame:
+    """One row: verdicts, those later than both of their facts, and their share in percent."""
+    side = lambda c: facts.select(F.col("id").alias(f"fact_id_{c}"), F.col("created_at").alias(c))
+    both = judged.join(side("a"), "fact_id_a", "left").join(side("b"), "fact_id_b", "left")
+    good = F.count(F.when((F.col("a") < F.col("judged_at")) & (F.col("b") < F.col("judged_at")), 1))
+    return both.agg(F.count(F.lit(1)).alias("judged"), good.alias("reusable")).withColumn("percent", F.round(100 * F.col("reusable") / F.greatest("judged", F.lit(1)), 1))
+
+
+def fact_totals(facts: DataFrame, log: DataFrame) -> DataFrame:
+    """One row: facts, superseded ones, chunks worked on, and the mean number of facts of chunks that gave any."""
+    f = facts.agg(F.count(F.lit(1)).alias("facts"), F.count("superseded_by").alias("superseded"))
+    g = log.agg(F.count(F.lit(1)).alias("chunks"), F.round(F.coalesce(F.avg(F.when(F.col("facts_count") > 0, F.col("facts_count"))), F.lit(0.0)), 6).alias("mean_facts"))
+    return f.crossJoin(g)
+
+
 def fact_stats(facts: DataFrame, n: int = 15) -> DataFrame:
     """The most frequent categories with their facts, chunks and mean facts a chunk."""
     rows = facts.groupBy("category").agg(F.count(F.lit(1)).alias("facts"), F.countDistinct("chunk_id").alias("chunks"))

@@ -20,7 +20,7 @@ DERIVED: dict[str, str | tuple[str, str]] = {
           concat('/data/kb/', lang, '/file', doc_id % 50, '.md') AS file_path, text, n_chars AS char_count, CAST(doc_id AS DOUBLE) AS create_time,
           CASE WHEN doc_id % 11 = 0 THEN concat('doc_', lpad(CAST(doc_id + 1 AS STRING), 9, '0'), '_chunk_0000') ELSE '' END AS superseded_by, CASE WHEN doc_id % 53 = 0 THEN ZEROS(embedding) ELSE embedding END AS embedding,
           CASE WHEN doc_id % 6 = 0 THEN concat('u', doc_id % 20, '@corp.com') ELSE '' END AS email_from,
-          CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 1 END AS entities_extracted, concat('cat', doc_id % 6) AS category
+          CASE WHEN doc_id % 4 = 0 THEN 0 ELSE 1 END AS entities_extracted, concat('cat', doc_id % 6) AS category, CASE WHEN doc_id % 10 > 0 THEN concat('m', doc_id % 7) END AS model
         FROM documents LEFT JOIN embeddings ON vec_id = doc_id""",
     "sentences": ("SELECT doc_id, lang, pos, sentence FROM documents LATERAL VIEW posexplode(split(text, '[.] ')) AS pos, sentence", "SELECT doc_id, lang, unnest(range(len(l))) AS pos, unnest(l) AS sentence FROM (SELECT doc_id, lang, string_split(text, '. ') AS l FROM documents)"),
     "facts": f"""
@@ -92,4 +92,6 @@ def oracle(text: str) -> str:
     if not needed:
         return body
     ctes = ", ".join(f"{n} AS ({_form(n, 1)})" for n in needed)
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {ctes}, {body[15:]}"
     return f"WITH {ctes}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {ctes} {body}"
