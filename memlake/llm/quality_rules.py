@@ -172,13 +172,13 @@ def _sums() -> list[Column]:
     return [F.count(F.lit(1)).alias("n"), F.array(*[F.expr(sum_sql(i)) for i in range(P)]).alias("a"), F.array(*[F.expr(sum_sql(i, j)) for i, j in PAIRS]).alias("aa")]
 
 
-def _moments(rows: DataFrame, wider: DataFrame, *keys: str) -> DataFrame:
-    """(keys, m, c) of rows (keys, x0..) by keys, each with rows borrowed from wider (g, m, c)."""
-    both = rows.groupBy(*keys).agg(*_sums()).join(wider.select("g", F.col("m").alias("b"), F.col("c").alias("bc")), "g").withColumn("share", F.expr(f"CAST(n AS DOUBLE) / (n + {BORROWED})"))
+def _moments(core: DataFrame, wider: DataFrame) -> DataFrame:
+    """(g, start, m, c) of rows (g, start, x0..), each with rows borrowed from wider (g, start, b, bc)."""
+    both = core.groupBy("g", "start").agg(*_sums()).join(wider, ["g", "start"]).withColumn("share", F.expr(f"CAST(n AS DOUBLE) / (n + {BORROWED})"))
     mean = "zip_with(a, b, (x, y) -> share * x + (1D - share) * y)"
     covariance = f"""transform(aa, (x, k) -> share * (x - a[{_ROWS}[k]] * a[{_COLUMNS}[k]]) + (1D - share) * bc[k]
       + share * (1D - share) * (a[{_ROWS}[k]] - b[{_ROWS}[k]]) * (a[{_COLUMNS}[k]] - b[{_COLUMNS}[k]]))"""
-    return both.select(*keys, F.expr(mean).alias("m"), F.expr(covariance).alias("c"))
+    return both.select("g", "start", F.expr(mean).alias("m"), F.expr(covariance).alias("c"))
 
 
 def _middles(rows: DataFrame) -> DataFrame:
@@ -189,47 +189,41 @@ def _middles(rows: DataFrame) -> DataFrame:
     return middle.join(spread, "g").select("g", "m", F.expr(squares).alias("c"))
 
 
-def concentrated(rows: DataFrame, wider: DataFrame, scratch: Scratch) -> DataFrame:
-    """(g, m, c): the minimum-covariance-determinant estimate of each group g of rows (g, x0..).
-
-    It is sought from two starts: the group's medians, and wider (g, m, c), the estimate of the group around it. A step
-    keeps the rows of the CORE smallest distances, with all ties, takes their mean and covariance, and counts if the
-    determinant falls. Only sums per group and start are shuffled, so that a hot group costs a reducer no more.
+def robust_estimates(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(k0, k1, m, l): the minimum-covariance-determinant location and factored scatter of each language and source of rows (k0, k1, x0..).
+
+    Estimates are also made for each language and for all rows. Each borrows from the next wider one, so that the part
+    of what is borrowed falls with the rows of one's own, from nearly all to nearly nothing. An estimate is sought
+    from two starts, the medians of its rows and the plain estimate of all rows; the first step tells the better. A
+    step keeps the rows of the CORE smallest distances, with all ties, takes their mean and covariance, and counts if
+    the determinant falls; steps end when none does. Only sums per group are shuffled, so that a hot group costs a
+    reducer no more.
     """
-    starts = _middles(rows).withColumn("start", F.lit(0)).unionByName(wider.select("g", "m", "c").withColumn("start", F.lit(1)))
-    now = scratch.saved(starts.select("g", "start", "m", "c", _factor().alias("l"), F.lit(1e300).alias("det")), "estimates")
-    for _ in range(C_STEPS):
+    named = rows.withColumns({"g1": F.to_json(F.struct("k0")), "g2": F.to_json(F.struct("k0", "k1"))})
+    groups = scratch.saved(named.groupBy("k0", "k1", "g1", "g2").agg(F.count(F.lit(1)).alias("n")), "groups")
+    levels = F.array(F.struct(F.lit("all").alias("g"), F.lit("").alias("up")), F.struct(F.col("g1").alias("g"), F.lit("all").alias("up")), F.struct(F.col("g2").alias("g"), F.col("g1").alias("up")))
+    above = scratch.saved(groups.select(F.inline(levels)).distinct(), "levels")
+    rows = named.select(F.explode(F.array(F.lit("all"), "g1", "g2")).alias("g"), *X)
+    plain = scratch.saved(named.agg(*_sums()).select(F.lit("").alias("g"), F.col("a").alias("m"), F.expr(f"transform(aa, (x, k) -> x - a[{_ROWS}[k]] * a[{_COLUMNS}[k]])").alias("c")), "plain")
+
+    starts = _middles(rows).withColumn("start", F.lit(0)).unionByName(above.select("g").crossJoin(F.broadcast(plain.drop("g"))).withColumn("start", F.lit(1)))
+    now = scratch.saved(starts.select("g", "start", "m", "c", _factor().alias("l"), F.lit(1e300).alias("det"), F.lit(True).alias("fell")), "estimates")
+    for step in range(C_STEPS):
         ranked = _distances(rows.join(now.select("g", "start", "m", "l"), "g")).select("g", "start", *X, F.expr(RANK).alias("r"))
         limit = ranked.groupBy("g", "start").agg(F.expr(f"percentile(r, {CORE})").alias("most"))
         core = ranked.join(limit, ["g", "start"]).filter("r <= most")
-        tried = _moments(core, wider, "g", "start").withColumn("l", _factor()).withColumn("det", _DETERMINANT)
+        sources = now.select(F.col("g").alias("up"), "start", F.col("m").alias("b"), F.col("c").alias("bc")).unionByName(plain.select(F.col("g").alias("up"), F.explode(F.array(F.lit(0), F.lit(1))).alias("start"), F.col("m").alias("b"), F.col("c").alias("bc")))
+        tried = _moments(core, above.join(sources, "up").drop("up")).withColumn("l", _factor()).withColumn("det", _DETERMINANT)
         both = now.select("g", "start", F.struct("m", "c", "l", "det").alias("o")).join(tried.select("g", "start", F.struct("m", "c", "l", "det").alias("t")), ["g", "start"])
         fell = F.col("t.det") < F.col("o.det")
-        after = scratch.saved(both.select("g", "start", fell.alias("fell"), F.when(fell, F.col("t")).otherwise(F.col("o")).alias("e")).select("g", "start", "fell", "e.*"), "estimates")
-        scratch.drop(now)
-        now = after
-        if after.filter("fell").isEmpty():
+        after = both.select("g", "start", F.when(fell, F.col("t")).otherwise(F.col("o")).alias("e"), fell.alias("fell"))
+        if step == 0:
+            after = after.groupBy("g").agg(F.min_by(F.struct("e", "fell"), F.struct("e.det", "start")).alias("b")).select("g", F.lit(0).alias("start"), "b.*")
+        before, now = now, scratch.saved(after.select("g", "start", "e.*", "fell"), "estimates")
+        scratch.drop(before)
+        if now.filter("fell").isEmpty():
             break
-    best = now.groupBy("g").agg(F.min_by(F.struct("m", "c"), F.struct("det", "start")).alias("e"))
-    return scratch.saved(best.select("g", "e.m", "e.c"), "estimates")
-
-
-def robust_estimates(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(k0, k1, m, l): location and factored scatter for each language and source of rows (k0, k1, x0..).
-
-    All rows have an estimate, each language borrows from it and each language and source from its language. The part
-    of what is borrowed falls with the rows of one's own, from nearly all to nearly nothing.
-    """
-    named = rows.withColumns({"g1": F.to_json(F.struct("k0")), "g2": F.to_json(F.struct("k0", "k1"))})
-    groups = scratch.saved(named.groupBy("k0", "k1", "g1", "g2").agg(F.count(F.lit(1)).alias("n")), "groups")
-    everything = rows.select(F.lit("all").alias("g"), *X)
-    plain = everything.groupBy("g").agg(*_sums()).select("g", F.col("a").alias("m"), F.expr(f"transform(aa, (x, k) -> x - a[{_ROWS}[k]] * a[{_COLUMNS}[k]])").alias("c"))
-    whole = concentrated(everything, scratch.saved(plain, "plain"), scratch)
-    wide = groups.select(F.col("g1").alias("g")).distinct().crossJoin(F.broadcast(whole.drop("g")))
-    language = concentrated(named.select(F.col("g1").alias("g"), *X), wide, scratch)
-    narrow = groups.select(F.col("g2").alias("g"), "g1").join(language.withColumnRenamed("g", "g1"), "g1").drop("g1")
-    own = concentrated(named.select(F.col("g2").alias("g"), *X), narrow, scratch)
-    scaled = own.select(F.col("g").alias("g2"), "m", _factor(CONSISTENCY).alias("l"))
+    scaled = now.select(F.col("g").alias("g2"), "m", _factor(CONSISTENCY).alias("l"))
     return scratch.saved(groups.join(scaled, "g2").select("k0", "k1", "m", "l"), "estimates")
 
 
