@@ -158,7 +158,7 @@ def _factor(scale: float = 1.0) -> Column:
     return F.expr(f"aggregate({places}, CAST(array() AS array<double>), (l, p) -> array_append(l, IF(p.i = p.j, sqrt({rest}), {rest} / l[{_AT.format('p.j', 'p.j')}])))")
 
 
-_DETERMINANT = F.expr(f"aggregate(sequence(1, {P - 1}), l[0], (d, i) -> d * l[{_AT.format('i', 'i')}])")
+_DETERMINANT = f"aggregate(sequence(1, {P - 1}), l[0], (d, i) -> d * l[{_AT.format('i', 'i')}])"
 
 
 def _distances(df: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def robust_estimates(rows: DataFrame, scratch: Scratch) -> DataFrame:
         limit = ranked.groupBy("g", "start").agg(F.expr(f"percentile(r, {CORE})").alias("most"))
         core = ranked.join(limit, ["g", "start"]).filter("r <= most")
         sources = now.select(F.col("g").alias("up"), "start", F.col("m").alias("b"), F.col("c").alias("bc")).unionByName(plain.select(F.col("g").alias("up"), F.explode(F.array(F.lit(0), F.lit(1))).alias("start"), F.col("m").alias("b"), F.col("c").alias("bc")))
-        tried = _moments(core, above.join(sources, "up").drop("up")).withColumn("l", _factor()).withColumn("det", _DETERMINANT)
+        tried = _moments(core, above.join(sources, "up").drop("up")).withColumn("l", _factor()).withColumn("det", F.expr(_DETERMINANT))
         both = now.select("g", "start", F.struct("m", "c", "l", "det").alias("o")).join(tried.select("g", "start", F.struct("m", "c", "l", "det").alias("t")), ["g", "start"])
         fell = F.col("t.det") < F.col("o.det")
         after = both.select("g", "start", F.when(fell, F.col("t")).otherwise(F.col("o")).alias("e"), fell.alias("fell"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import io
 import zlib
 from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime, timedelta
@@ -15,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm.tables import saved
+from memlake.llm.tables import Scratch, join_to_groups
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 EPOCH = datetime(1970, 1, 1, tzinfo=UTC)
@@ -37,8 +36,7 @@ def url_key(url: str) -> str:
     return ",".join(reversed(host.split("."))) + (f":{port}" if port and port not in (80, 443) else "") + ")" + tail.lower()
 
 
-def _record(page_id, url, html, captured: datetime, refers_to) -> str:
-    """A record but for its last line end, which ends the writer's line."""
+def _record(page_id, url, html, captured: datetime, refers_to) -> bytes:
     payload = (html or "").encode("utf-8", "surrogatepass")
     revisit = refers_to is not None
     fields = [
@@ -52,54 +50,84 @@ def _record(page_id, url, html, captured: datetime, refers_to) -> str:
         ("Content-Type", "text/html; charset=utf-8"),
         ("Content-Length", "0" if revisit else str(len(payload))),
     ]
-    return "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n" + ("" if revisit else html or "") + "\r\n"
+    return ("WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n").encode() + (b"" if revisit else payload) + b"\r\n\r\n"
 
 
-INFO = "WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:page:info>\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: 0\r\n\r\n\r\n"
+INFO = b"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:page:info>\r\nWARC-Date: 1970-01-01T00:00:00Z\r\nContent-Type: application/warc-fields\r\nContent-Length: 0\r\n\r\n\r\n"
+#: Bytes of compressed records that are handed to Spark's writer together, and how many such lots make an archive.
+LOT, LOTS = 4_000_000, 16
+
+
+def gzip_member(record: bytes) -> bytes:
+    """A record as a gzip member of its own, which ends in a zero byte.
+
+    A member's last four bytes are the size of what it holds, least byte first, so that the last is zero under 16 MB. A
+    larger record is followed by an empty member.
+    """
+    tool = zlib.compressobj(6, zlib.DEFLATED, 31)
+    out = tool.compress(record) + tool.flush()
+    return out if out.endswith(b"\0") else out + gzip_member(b"")
 
 
 def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", min_bytes: int = 0) -> None:
-    """Gzipped WARC files, one for each partition, with a record for every row of pages.
+    """WARC files of gzip members, one for each record, with a record for every row of pages; a file holds LOTS lots of LOT bytes at most, and what their last records add.
 
     Of rows with equal payloads of min_bytes or more, that with the largest id becomes the response and others revisit
     it; smaller payloads are all responses. Null html is an empty payload, a null url an empty one. Rows that repeat
-    the largest id and payload are all responses; rows without an id are too, unless another has their payload.
-    Captures are dated by their id in seconds from 1970. Spark's text writer, with CRLF as line end, makes the bytes, so that any
-    file system it knows will do and lost tasks are written again. No pages give no records.
+    the largest id and payload are all responses; rows without an id are too, unless another has their payload. Ids are
+    whole numbers, or text that reads as such. Captures are dated by their id in seconds from 1970. Spark's text writer
+    makes the files, so that any file system it knows will do and lost tasks are written again; the zero byte that each
+    lot ends in is its line end. No pages give no records.
     """
     html = F.coalesce(F.col(html_col), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).alias("url"), html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"))
     large = rows.filter(F.octet_length("html") >= min_bytes).select("id", "digest")
-    best = large.groupBy("digest").agg(F.max("id").alias("refers_to"))
-    revisits = large.distinct().join(best, "digest").filter("refers_to IS NOT NULL AND NOT (id <=> refers_to)").select(F.col("id").alias("i"), F.col("digest").alias("d"), "refers_to")
+    best = large.groupBy("digest").agg(F.max("id").alias("refers_to"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    revisits = join_to_groups(large.distinct(), best, "digest", "n", "id").filter("refers_to IS NOT NULL AND NOT (id <=> refers_to)").select(F.col("id").alias("i"), F.col("digest").alias("d"), "refers_to")
     marked = rows.join(revisits, F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d")), "left").select("id", "url", "html", "refers_to")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield pa.RecordBatch.from_arrays([pa.array([INFO])], ["value"])
+        held, size = [gzip_member(INFO)], 0
         for batch in batches:
-            ids, urls, htmls, refers = (c.to_pylist() for c in batch.columns)
-            made = [_record(i, u, h, EPOCH + timedelta(seconds=max(0, min(i or 0, 2**37))), r) for i, u, h, r in zip(ids, urls, htmls, refers, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string())], ["value"])
-
-    marked.mapInArrow(run, "value string").write.option("lineSep", "\r\n").option("compression", "gzip").text(path)
-
-
-def records(stream: io.BufferedIOBase) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """(offset, fields, content) of each record of an archive's plain bytes."""
-    offset = 0
-    while line := stream.readline():
-        start, size = offset, len(line)
-        if line.strip() != b"WARC/1.1":
-            raise ValueError(f"no WARC record at byte {offset}")
-        fields = {}
-        while (line := stream.readline()).strip():
-            size += len(line)
-            name, _, value = line.decode().partition(":")
-            fields[name.lower()] = value.strip()
-        content = stream.read(int(fields["content-length"]))
-        size += len(line) + len(content) + len(stream.read(4))
-        offset += size
-        yield start, fields, content
+            for k in range(batch.num_rows):
+                i, u, h, r = (c[k].as_py() for c in batch.columns)
+                held.append(gzip_member(_record(i, u, h, EPOCH + timedelta(seconds=max(0, min(i or 0, 2**37))), r)))
+                size += len(held[-1])
+                if size >= LOT:
+                    yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["value"])
+                    held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["value"])
+
+    lots = marked.mapInArrow(run, "value binary").select(F.col("value").cast("string").alias("value"))
+    lots.write.option("lineSep", "\0").option("maxRecordsPerFile", LOTS).text(path)
+
+
+def members(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """(offset, plain bytes) of each gzip member."""
+    at, view = 0, memoryview(data)
+    while at < len(data):
+        tool = zlib.decompressobj(31)
+        plain = tool.decompress(view[at:])
+        if not tool.eof:
+            raise ValueError(f"the gzip member at byte {at} is cut off")
+        yield at, plain
+        at = len(data) - len(tool.unused_data)
+
+
+def parsed(record: bytes) -> tuple[dict[str, str], bytes]:
+    """(fields, content) of a record."""
+    head, _, rest = record.partition(b"\r\n\r\n")
+    first, *lines = head.decode().split("\r\n")
+    if first != "WARC/1.1":
+        raise ValueError("no WARC record")
+    fields = {name.lower(): value.strip() for name, _, value in (line.partition(":") for line in lines)}
+    return fields, rest[: int(fields["content-length"])]
+
+
+def record_at(archive: bytes, offset: int) -> tuple[dict[str, str], bytes]:
+    """(fields, content) of the record whose member begins at an index entry's offset."""
+    return parsed(next(members(archive[offset:]))[1])
 
 
 def _page(urn: str | None) -> int | None:
@@ -108,43 +136,25 @@ def _page(urn: str | None) -> int | None:
 
 
 def _run_of(file: str, content: bytes) -> list[tuple]:
-    """The index entries of an archive, sorted by URL key, date and page."""
+    """The index entries of an archive, sorted by URL key, date and page; offset is where a record's member begins."""
     found = []
-    with io.BufferedReader(_Inflated(content)) as stream:
-        for offset, fields, payload in records(stream):
-            if fields["warc-type"] == "warcinfo":
-                continue
-            digest, size = fields["warc-payload-digest"].removeprefix("sha1:"), int(fields["x-payload-length"])
-            if fields["warc-type"] == "response" and (digest, size) != (sha1_base32(payload), len(payload)):
-                raise ValueError(f"{file}: the record at {offset} differs from its digest")
-            url = fields["warc-target-uri"]
-            found.append((_page(fields["warc-record-id"]), url, url_key(url), fields["warc-date"], file, offset, fields["warc-type"], size, digest, _page(fields.get("warc-refers-to"))))
+    for offset, record in members(content):
+        if not record:
+            continue
+        fields, payload = parsed(record)
+        if fields["warc-type"] == "warcinfo":
+            continue
+        digest, size = fields["warc-payload-digest"].removeprefix("sha1:"), int(fields["x-payload-length"])
+        if fields["warc-type"] == "response" and (digest, size) != (sha1_base32(payload), len(payload)):
+            raise ValueError(f"{file}: the record at {offset} differs from its digest")
+        url = fields["warc-target-uri"]
+        found.append((_page(fields["warc-record-id"]), url, url_key(url), fields["warc-date"], file, offset, fields["warc-type"], size, digest, _page(fields.get("warc-refers-to"))))
     found.sort(key=_order)
     return found
 
 
-class _Inflated(io.RawIOBase):
-    """The plain bytes of gzip members, inflated as they are read."""
-
-    def __init__(self, data: bytes):
-        self.data, self.tool = data, zlib.decompressobj(31)
-
-    def readable(self) -> bool:
-        return True
-
-    def readinto(self, buffer) -> int:
-        while True:
-            out = self.tool.decompress(self.data, len(buffer))
-            self.data = self.tool.unconsumed_tail
-            if self.tool.eof and self.tool.unused_data:
-                self.data, self.tool = self.tool.unused_data, zlib.decompressobj(31)
-            if out or not self.data:
-                buffer[: len(out)] = out
-                return len(out)
-
-
 def _order(entry: tuple) -> tuple:
-    return entry[2], entry[3], -1 if entry[0] is None else entry[0], entry[4], entry[5]
+    return entry[2], entry[3], entry[0] is not None, entry[0] or 0, entry[4], entry[5]
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
@@ -198,25 +208,37 @@ class LoserTree:
             self._replay(winner)
 
 
-def merge_index(index: DataFrame) -> DataFrame:
+#: Entries of a range that one task merges, about; with the keys in memory some hundred MB.
+RANGE = 100_000
+
+
+def merge_index(index: DataFrame, range_rows: int = RANGE) -> DataFrame:
     """The entries of all runs in order of URL key, date and page: ranges to each partition, merged within.
 
-    Each range gets its part of every run; a run's part is in order, and a loser tree merges the parts. A range is
-    one of Spark's, of about equal size for any keys, as the page and the place in an archive tell captures of one URL apart.
+    The runs are written as read_index() sorted them. Ranges are Spark's, of about equal size for any keys, as the page
+    and the place in an archive tell captures of one URL apart, and so many that one holds range_rows entries or so. Each
+    gets its part of every run, a run after the other and in the run's order, and a loser tree merges the parts.
     """
-    ranged = saved(index, "runs").repartitionByRange("urlkey", "captured", "page_id", "file", "offset").sortWithinPartitions("file", "urlkey", "captured", "page_id")
+    scratch = Scratch(index.sparkSession)
+    runs = scratch.saved(index, "runs")
+    ranges = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // range_rows))
+    order = ["urlkey", "captured", "page_id", "file", "offset"]
+    ranged = runs.repartitionByRange(ranges, *order).sortWithinPartitions("file", *order)
+
+    def table(entries: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(entries, columns=NAMES).astype({"page_id": "Int64", "refers_to": "Int64"})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        runs: dict[str, list[tuple]] = {}
+        parts: dict[str, list[tuple]] = {}
         for batch in batches:
             for entry in batch.astype(object).where(batch.notna(), None).itertuples(index=False, name=None):
-                runs.setdefault(entry[4], []).append(entry)
+                parts.setdefault(entry[4], []).append(entry)
         out = []
-        for entry in LoserTree((sorted(r, key=_order) for r in runs.values()), _order):
+        for entry in LoserTree(parts.values(), _order):
             out.append(entry)
             if len(out) == 10_000:
-                yield pd.DataFrame(out, columns=NAMES).astype({"page_id": "Int64", "refers_to": "Int64"})
+                yield table(out)
                 out = []
-        yield pd.DataFrame(out, columns=NAMES).astype({"page_id": "Int64", "refers_to": "Int64"})
+        yield table(out)
 
     return ranged.mapInPandas(run, INDEX)
