@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,10 +20,15 @@ ABSTAIN = -1
 #: Parts of the sample that word lists are mined from, each its own voters.
 PARTS = 3
 #: Letters of the word beginnings that pattern voters look at.
-PREFIXES = (4, 5, 6)
-#: Common English insults.
-INSULTS = frozenset("idiot moron stupid loser pathetic worthless scum trash disgusting dumb jerk fool clown ugly garbage hate filth vermin".split())
-ADDRESS = re.compile(r"\b(?:you|your|du|tu|eres|es)\b[^.!?\n]{0,30}\b(?:" + "|".join(sorted(INSULTS)) + r")\b", re.I)
+PREFIXES = (4, 5, 6, 7)
+#: Common insults of four languages.
+INSULTS = frozenset("""
+idiot moron stupid loser pathetic worthless scum trash disgusting dumb jerk fool clown ugly garbage hate filth vermin
+abruti connard crétin débile imbécile minable ordure pourriture salaud stupide
+abschaum arschloch dreckskerl dummkopf idiotin schwachkopf trottel vollidiot widerlich wertlos
+asqueroso basura cretino escoria estúpido gilipollas idiota imbécil inútil payaso
+""".split())
+ADDRESS = re.compile(r"\b(?:you|your|du|dein|tu|ton|eres|es)\b[^.!?\n]{0,30}\b(?:" + "|".join(sorted(INSULTS)) + r")\b", re.I)
 
 _EDGE = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum()) + "«»“”„‘’¿¡…"
 
@@ -36,62 +41,73 @@ def beginnings(words: set[str], letters: int) -> set[str]:
     return {w[:letters] for w in words if len(w) > letters}
 
 
-def telling(rows: list[set[str]], labels: list[int], least: int = 3) -> set[str]:
-    """Items far likelier in rows of label 1: in at least so many of them, and in hardly any other."""
+def families(words: set[str], letters: int) -> set[str]:
+    """Beginnings that several of the words share: forms of one stem."""
+    counts = Counter(w[:letters] for w in words if len(w) > letters)
+    return {b for b, n in counts.items() if n > 1}
+
+
+def telling(rows: list[set[str]], labels: list[int], least: int = 3, times: int = 20) -> set[str]:
+    """Items far likelier in rows of label 1: in at least so many of them, and in more than so many times those of label 0."""
     ones, zeros = Counter(), Counter()
     for items, label in zip(rows, labels, strict=True):
         (ones if label else zeros).update(items)
-    return {w for w, n in ones.items() if n >= least and n > 20 * zeros[w]}
+    return {w for w, n in ones.items() if n >= least and n > times * zeros[w]}
+
 
+def ballots(words: list[set[str]], texts: list[str], labels: list[int]) -> np.ndarray:
+    """Votes of lexicon and pattern voters on each text, in columns: 1, 0 or ABSTAIN.
 
-def voters(words: list[set[str]], texts: list[str], labels: list[int]) -> list[Callable[[set[str], str], int]]:
-    """Lexicon and pattern voters: 1, 0 or ABSTAIN for a text's distinct words and the text."""
-    made: list[Callable[[set[str], str], int]] = [
-        lambda w, t: 1 if w & INSULTS else ABSTAIN,
-        lambda w, t: 1 if ADDRESS.search(t) else ABSTAIN,
-        lambda w, t: 1 if t.count("!") > 3 and w & INSULTS else ABSTAIN,
-        lambda w, t: ABSTAIN if w & INSULTS else 0,
-    ]
+    Some go by given lists, the others by words and word beginnings mined from the labels of one part of the rows. On
+    that part those abstain, so that no label has a say in a vote on its own row.
+    """
+    insulting = np.array([bool(w & INSULTS) for w in words], bool)
+    addressed = np.array([bool(ADDRESS.search(t)) for t in texts], bool)
+    shouting = np.array([t.count("!") > 3 for t in texts], bool)
+    columns = [insulting.astype(int), addressed.astype(int), np.where(shouting, insulting, ABSTAIN)]
+    kinds = [(words, 20), *(([beginnings(w, letters) for w in words], 20) for letters in PREFIXES), *(([families(w, letters) for w in words], 6) for letters in PREFIXES[1:])]
     for part in range(PARTS):
         own = range(part, len(words), PARTS)
-        lexicon = telling([words[i] for i in own], [labels[i] for i in own])
-        made.append(lambda w, t, lexicon=lexicon: int(bool(w & lexicon)))
-        for letters in PREFIXES:
-            begins = telling([beginnings(words[i], letters) for i in own], [labels[i] for i in own])
-            made.append(lambda w, t, begins=begins, letters=letters: int(not begins.isdisjoint(beginnings(w, letters))))
-    return made
+        for items, times in kinds:
+            lexicon = telling([items[i] for i in own], [labels[i] for i in own], times=times)
+            votes = np.array([int(not lexicon.isdisjoint(x)) for x in items], int)
+            votes[part::PARTS] = ABSTAIN
+            columns.append(votes)
+    return np.stack(columns, axis=1)
 
 
-def label_model(votes: np.ndarray, start: np.ndarray | None = None, rounds: int = 8, steps: int = 50) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, start: np.ndarray | None = None, steps: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posteriors of label 1, each voter's table P(vote | label), and the voters' correlations given the label.
 
-    votes: rows by voters of 1, 0 or ABSTAIN. Expectation maximisation estimates the tables with the label hidden,
-    from start or else from the share of voters for 1, each weighted by how little it repeats others.
+    votes: rows by voters of 1, 0 or ABSTAIN, which says nothing. Expectation maximisation estimates the tables with the
+    label hidden, from start or else from the share of votes for 1, each voter's by how little it repeats others.
     What is left of the voters' covariance under the posterior gives their correlations; a voter's evidence is divided
-    by one plus its correlations with the others, so that voters that repeat each other don't count many times.
+    by one plus its correlations with the others, so that voters that repeat each other don't count many times. That is
+    a heuristic in place of a likelihood with pairs of voters.
     """
-    rows = len(votes)
-    onehot = np.stack([votes == v for v in (ABSTAIN, 0, 1)], axis=2).astype(float)
+    given = votes != ABSTAIN
+    onehot = np.stack([votes == v for v in (0, 1)], axis=2).astype(float)
+    both = np.maximum(given.T.astype(float) @ given, 1)
 
     def correlations(expected: np.ndarray) -> np.ndarray:
-        left = (votes == 1) - expected
-        cov = left.T @ left / max(1, rows)
+        left = np.where(given, (votes == 1) - expected, 0.0)
+        cov = left.T @ left / both
         scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        return cov / np.outer(scale, scale)
+        return np.clip(cov / np.outer(scale, scale), -1, 1)
 
-    corr = correlations((votes == 1).mean(axis=0))
+    corr = correlations((votes == 1).sum(axis=0) / np.maximum(given.sum(axis=0), 1))
     weight = 1 / np.maximum(1, np.abs(corr).sum(axis=1))
-    posterior = ((votes == 1) @ weight + 0.05) / ((votes != ABSTAIN) @ weight + 0.1) if start is None else start
-    for _ in range(rounds):
-        for _ in range(steps):
+    posterior = ((votes == 1) @ weight + 0.05) / (given @ weight + 0.1) if start is None else start
+    for weight in (np.ones(votes.shape[1]), None):
+        for _ in range(steps if weight is not None else 1):
             tables = np.stack([np.einsum("r,rjv->jv", p, onehot) + 0.5 for p in (1 - posterior, posterior)])
             tables /= tables.sum(axis=2, keepdims=True)
             prior = np.clip(posterior.mean(), 1e-3, 1 - 1e-3)
+            if weight is None:
+                corr = correlations(np.einsum("lj,lr->rj", tables[:, :, 1], np.stack([1 - posterior, posterior])))
+                weight = 1 / np.maximum(1, np.abs(corr).sum(axis=1))
             evidence = np.einsum("rjv,jv,j->r", onehot, np.log(tables[1]) - np.log(tables[0]), weight)
             posterior = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + evidence, -30, 30)))
-        expected = np.einsum("lj,lr->rj", tables[:, :, 2], np.stack([1 - posterior, posterior]))
-        corr = correlations(expected)
-        weight = 1 / np.maximum(1, np.abs(corr).sum(axis=1))
     return posterior, tables, corr
 
 
@@ -102,17 +118,20 @@ def word_features(word: str) -> list[int]:
     return [*found, linear.bucket("an insult")] if word in INSULTS else found
 
 
+def again(bucket: int) -> int:
+    """The bucket that tells that several words of a text have a feature."""
+    return (bucket * 0x9E3779B1 + 0x51ED27) % linear.BUCKETS
+
+
 def example(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    ids, counts = np.unique(np.array([b for w in set((text or "").lower().split()) for b in word_features(w)], np.int64), return_counts=True)
-    return ids, np.minimum(counts, 3).astype(float)
+    counts = Counter(b for w in set((text or "").lower().split()) for b in word_features(w))
+    ids, place = np.unique(np.array([*counts, *(again(b) for b, n in counts.items() if n > 1)], np.int64), return_inverse=True)
+    return ids, np.bincount(place, [*(min(n, 3) for n in counts.values()), *(1 for n in counts.values() if n > 1)]).astype(float)
 
 
 def posterior_labels(texts: list[str], labels: list[int]) -> np.ndarray:
-    """The label model's posteriors; the given labels are the votes of one more voter."""
-    words = [distinct_words(t) for t in texts]
-    ballot = voters(words, texts, labels)
-    votes = np.array([[v(w, t) for v in ballot] + [y] for w, t, y in zip(words, texts, labels, strict=True)])
-    return label_model(votes, 0.05 + 0.9 * np.array(labels, float))[0]
+    """The label model's posteriors; it doesn't see the labels, only votes."""
+    return label_model(ballots([distinct_words(t) for t in texts], texts, labels))[0]
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic", rows: int = linear.SAMPLE_ROWS) -> bytes:
@@ -130,14 +149,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
 
 class Evidence(dict):
-    """Word -> the buckets of its features that carry weight."""
+    """Word -> the buckets of its features that carry weight, by themselves or if several words have them."""
 
     def __init__(self, weights: np.ndarray):
         super().__init__()
         self.weights = weights
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        value = tuple(b for b in word_features(word) if self.weights[b])
+        value = tuple(b for b in word_features(word) if self.weights[b] or self.weights[again(b)])
         if len(self) >= REMEMBERED:
             self.clear()
         self[word] = value
@@ -159,7 +178,7 @@ def score_toxicity(docs: DataFrame, weights: bytes, id_col: str = "doc_id", text
 
         def of(text: str | None) -> float:
             counts = Counter(b for found in map(known.__getitem__, set((text or "").lower().split())) if found for b in found)
-            return linear.logistic(sum(w[b] * min(n, 3) for b, n in counts.items()) + w[-1])
+            return linear.logistic(sum(w[b] * min(n, 3) + (w[again(b)] if n > 1 else 0.0) for b, n in counts.items()) + w[-1])
 
         for texts in batches:
             yield pd.Series([of(t) for t in texts], dtype="float64")
