@@ -15,8 +15,8 @@ KEPT = 1 - 1e-6
 CORE = 0.75
 #: Concentration steps at most; a group stops when its determinant no longer falls.
 C_STEPS = 6
-#: A group's estimate is one of its own rows and of so many rows like those of the wider group.
-BORROWED = 30
+#: A group's estimate weighs its own rows against that of the wider group as if that were of so many rows.
+BORROWED = 6
 #: Statistics are held as whole numbers of this many units, so that sums are exact in any order.
 UNITS = 256
 #: Standard deviation, in units, of what counts as no difference; its square is added to each variance once.
@@ -136,13 +136,13 @@ def sum_sql(i: int, j: int | None = None) -> str:
 
 
 def mean_sql(i: int) -> str:
-    """Of n rows with mean a0.. and of BORROWED rows with mean b0..; share is n's part."""
+    """Of n rows with mean a0.. and of BORROWED ones with mean b0..; share is n's part."""
     return f"share * a{i} + (1.0 - share) * b{i}"
 
 
 def covariance_sql(i: int, j: int) -> str:
-    """Of the same rows together: those of the group have mean products a0_0.., the borrowed ones the covariance b0_0.."""
-    return f"share * (a{i}_{j} - a{i} * a{j}) + (1.0 - share) * b{i}_{j} + share * (1.0 - share) * (a{i} - b{i}) * (a{j} - b{j})"
+    """The same of covariances: rows of the group have mean products a0_0.., the borrowed ones the covariance b0_0.."""
+    return f"share * (a{i}_{j} - a{i} * a{j}) + (1.0 - share) * b{i}_{j}"
 
 
 #: In Spark an estimate is three arrays: m, the mean; c, the covariance, and l, its factor, row by row up to the diagonal.
@@ -176,14 +176,13 @@ def _moments(core: DataFrame, wider: DataFrame) -> DataFrame:
     """(g, start, m, c) of rows (g, start, x0..), each with rows borrowed from wider (g, start, b, bc)."""
     both = core.groupBy("g", "start").agg(*_sums()).join(wider, ["g", "start"]).withColumn("share", F.expr(f"CAST(n AS DOUBLE) / (n + {BORROWED})"))
     mean = "zip_with(a, b, (x, y) -> share * x + (1D - share) * y)"
-    covariance = f"""transform(aa, (x, k) -> share * (x - a[{_ROWS}[k]] * a[{_COLUMNS}[k]]) + (1D - share) * bc[k]
-      + share * (1D - share) * (a[{_ROWS}[k]] - b[{_ROWS}[k]]) * (a[{_COLUMNS}[k]] - b[{_COLUMNS}[k]]))"""
+    covariance = f"""transform(aa, (x, k) -> share * (x - a[{_ROWS}[k]] * a[{_COLUMNS}[k]]) + (1D - share) * bc[k])"""
     return both.select("g", "start", F.expr(mean).alias("m"), F.expr(covariance).alias("c"))
 
 
-def _middles(rows: DataFrame) -> DataFrame:
+def _middles(rows: DataFrame, scratch: Scratch) -> DataFrame:
     """(g, m, c): medians and, without covariance, the squares of scaled median deviations."""
-    middle = rows.groupBy("g").agg(F.array(*[F.expr(f"CAST(floor(percentile(x{i}, 0.5)) AS DOUBLE)") for i in range(P)]).alias("m"))
+    middle = scratch.saved(rows.groupBy("g").agg(F.array(*[F.expr(f"CAST(floor(percentile(x{i}, 0.5)) AS DOUBLE)") for i in range(P)]).alias("m")), "medians")
     spread = rows.join(middle, "g").groupBy("g").agg(F.array(*[F.expr(f"percentile(abs(x{i} - m[{i}]), 0.5)") for i in range(P)]).alias("s"))
     squares = f"transform({_ROWS}, (i, k) -> IF(i = {_COLUMNS}[k], 1.4826D * s[i] * (1.4826D * s[i]), 0D))"
     return middle.join(spread, "g").select("g", "m", F.expr(squares).alias("c"))
@@ -206,11 +205,11 @@ def robust_estimates(rows: DataFrame, scratch: Scratch) -> DataFrame:
     rows = named.select(F.explode(F.array(F.lit("all"), "g1", "g2")).alias("g"), *X)
     plain = scratch.saved(named.agg(*_sums()).select(F.lit("").alias("g"), F.col("a").alias("m"), F.expr(f"transform(aa, (x, k) -> x - a[{_ROWS}[k]] * a[{_COLUMNS}[k]])").alias("c")), "plain")
 
-    starts = _middles(rows).withColumn("start", F.lit(0)).unionByName(above.select("g").crossJoin(F.broadcast(plain.drop("g"))).withColumn("start", F.lit(1)))
+    starts = _middles(rows, scratch).withColumn("start", F.lit(0)).unionByName(above.select("g").crossJoin(F.broadcast(plain.drop("g"))).withColumn("start", F.lit(1)))
     now = scratch.saved(starts.select("g", "start", "m", "c", _factor().alias("l"), F.lit(1e300).alias("det"), F.lit(True).alias("fell")), "estimates")
     for step in range(C_STEPS):
         ranked = _distances(rows.join(now.select("g", "start", "m", "l"), "g")).select("g", "start", *X, F.expr(RANK).alias("r"))
-        limit = ranked.groupBy("g", "start").agg(F.expr(f"percentile(r, {CORE})").alias("most"))
+        limit = scratch.saved(ranked.groupBy("g", "start").agg(F.expr(f"percentile(r, {CORE})").alias("most")), "limits")
         core = ranked.join(limit, ["g", "start"]).filter("r <= most")
         sources = now.select(F.col("g").alias("up"), "start", F.col("m").alias("b"), F.col("c").alias("bc")).unionByName(plain.select(F.col("g").alias("up"), F.explode(F.array(F.lit(0), F.lit(1))).alias("start"), F.col("m").alias("b"), F.col("c").alias("bc")))
         tried = _moments(core, above.join(sources, "up").drop("up")).withColumn("l", _factor()).withColumn("det", F.expr(_DETERMINANT))
@@ -220,7 +219,7 @@ def robust_estimates(rows: DataFrame, scratch: Scratch) -> DataFrame:
         if step == 0:
             after = after.groupBy("g").agg(F.min_by(F.struct("e", "fell"), F.struct("e.det", "start")).alias("b")).select("g", F.lit(0).alias("start"), "b.*")
         before, now = now, scratch.saved(after.select("g", "start", "e.*", "fell"), "estimates")
-        scratch.drop(before)
+        scratch.drop(before, limit)
         if now.filter("fell").isEmpty():
             break
     scaled = now.select(F.col("g").alias("g2"), "m", _factor(CONSISTENCY).alias("l"))
