@@ -230,7 +230,7 @@ def folder_of(path: Column, marker: str, watched: str = "") -> Column:
     """The segment after the marker segment; else the base name of the watched folder; else empty."""
     parts = F.split(path, "/")
     at = F.array_position(parts, marker)
-    return F.when((at > 0) & (at + 1 < F.size(parts)), F.get(parts, at.cast("int"))).otherwise(F.lit(watched.rstrip("/").rsplit("/", 1)[-1]))
+    return F.when((at > 0) & (at < F.size(parts)), F.get(parts, at.cast("int"))).otherwise(F.lit(watched.rstrip("/").rsplit("/", 1)[-1]))
 
 
 def html_text(html: Column, least: int = 100) -> Column:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -129,33 +128,24 @@ def scan_files(spark: SparkSession, root: str, denied: DataFrame | None = None)
     return file_rows(files, root, denied)
 
 
-class Versioned:
-    """A table that is replaced as a whole: each version is a folder of its own, and the newest complete one counts.
+def save_registry(df: DataFrame, path: str, version: int) -> None:
+    """df as a new version of a registry or checkpoint table. Readers of the version before aren't disturbed, and a run that is done again replaces its own."""
+    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/version={version:010d}")
 
-    A version counts from when Spark's writer has marked it as done, so readers see the one before or the one after.
-    """
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+def load_registry(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version."""
+    rows = spark.read.parquet(path)
+    newest = rows.agg(F.max("version")).first()[0]
+    return rows.filter(F.col("version") == newest).drop("version")
 
-    def _folders(self) -> list[str]:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(conf)
-        if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        return sorted(n for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS")))
 
-    def save(self, df: DataFrame) -> str:
-        last = self._folders()
-        n = int(last[-1][2:12]) + 1 if last else 0
-        df.write.parquet(out := f"{self.path}/v={n:010d}-{uuid.uuid4().hex[:8]}")
-        return out
-
-    def load(self) -> DataFrame | None:
-        folders = self._folders()
-        return self.spark.read.parquet(f"{self.path}/{folders[-1]}") if folders else None
+def drop_old_versions(spark: SparkSession, path: str, kept: int) -> None:
+    """Empties all versions but the newest kept ones."""
+    numbers = [r.version for r in spark.read.parquet(path).select("version").distinct().orderBy(F.desc("version")).collect()]
+    schema = load_registry(spark, path).schema
+    for n in numbers[kept:]:
+        save_registry(spark.createDataFrame([], schema), path, n)
 
 
 def append_notes(notes: DataFrame) -> DataFrame:

@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from memlake.functions import text as T
 from memlake.operators import stats
-from memlake.sources.exports import Versioned
 
 
 def upsert(table: DataFrame | None, messages: DataFrame) -> DataFrame:
@@ -23,13 +22,17 @@ def upsert(table: DataFrame | None, messages: DataFrame) -> DataFrame:
 
 
 def stream_upsert_messages(messages: DataFrame, path: str, checkpoint: str):
-    """Merges every micro-batch into a versioned table. A batch that is run again changes nothing: the last row per id wins."""
+    """Appends every micro-batch, its own last rows per id, as a part of the table that live_messages() reads. A batch that is run again replaces its part."""
 
-    def merge(batch: DataFrame, _: int) -> None:
-        store = Versioned(batch.sparkSession, path)
-        store.save(upsert(store.load(), batch))
+    def put(batch: DataFrame, number: int) -> None:
+        upsert(None, batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
 
-    return messages.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return messages.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def live_messages(spark: SparkSession, path: str) -> DataFrame:
+    """The last row of each live id over all batches."""
+    return upsert(None, spark.read.parquet(path).drop("batch"))
 
 
 def stream_sessions(events: DataFrame, seconds: int = 600, late: str = "1 hour", key: str = "user_id") -> DataFrame:
@@ -39,36 +42,73 @@ def stream_sessions(events: DataFrame, seconds: int = 600, late: str = "1 hour",
     return rows.groupBy(key, F.session_window("ts", gap).alias("s")).agg(F.count(F.lit(1)).alias("events"), F.max("ts").alias("last_ts")).select(key, F.col("s.start").alias("start"), "last_ts", "events")
 
 
-BAN_OUT = "user_id long, ts timestamp, banned_until timestamp"
+def _until(state: GroupState, micros: int) -> None:
+    """The state goes once the watermark has passed micros."""
+    state.setTimeoutTimestamp(max(micros // 1000 + 1, state.getCurrentWatermarkMs() + 1))
 
 
-def ban_rule(tries: int, window: float, ban: float):
-    """The state function of stream_bans: failures within the window and the end of a ban, per user."""
+def ban_rule(tries: int, window: int, ban: int):
+    """The state function of stream_bans, all times in microseconds: failures within the window and the end of a ban, per user."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        failures, until = state.get if state.exists else ([], 0.0)
-        failures, out = list(failures), []
-        for row in pd.concat(list(batches)).sort_values("ts").itertuples():
-            at = row.ts.timestamp()
+        if state.hasTimedOut:
+            state.remove()
+            return
+        failures, until = state.get if state.exists else ([], 0)
+        failures, out, at = list(failures), [], 0
+        for at, success in pd.concat(list(batches)).sort_values("us")[["us", "success"]].itertuples(index=False):
             if until and at >= until:
-                failures, until = [], 0.0
-            if row.success:
-                failures, until = [], 0.0
+                failures, until = [], 0
+            if success:
+                failures, until = [], 0
                 continue
-            failures = [f for f in failures if f > at - window] + [at]
+            failures = [f for f in failures if f > at - window] + [int(at)]
             if not until and len(failures) >= tries:
-                until = at + ban
-                out.append((key[0], row.ts, pd.Timestamp(until, unit="s")))
+                until = int(at) + ban
+                out.append((key[0], int(at), until))
         state.update((failures, until))
-        yield pd.DataFrame(out, columns=["user_id", "ts", "banned_until"]).astype({"user_id": "int64", "ts": "datetime64[ns]", "banned_until": "datetime64[ns]"})
+        _until(state, max(int(at) + window, until))
+        yield pd.DataFrame(out, columns=["user_id", "us", "until"]).astype("int64")
 
     return step
 
 
-def stream_bans(events: DataFrame, failure: str = "error", success: str = "signup", tries: int = 5, window: float = 900, ban: float = 1800) -> DataFrame:
-    """(user_id, ts, banned_until) for each ban: so many failures in a window; a success clears it, and so does its end."""
+def stream_bans(events: DataFrame, failure: str = "error", success: str = "signup", tries: int = 5, window: int = 900, ban: int = 1800, late: str = "1 hour") -> DataFrame:
+    """(user_id, ts, banned_until) for each ban: so many failures in a window; a success clears it, and so does its end. A user's state goes when neither is left."""
     rows = events.filter(F.col("event_type").isin(failure, success)).select("user_id", F.col("ts").cast("timestamp").alias("ts"), (F.col("event_type") == success).alias("success"))
-    return rows.groupBy("user_id").applyInPandasWithState(ban_rule(tries, window, ban), BAN_OUT, "failures array<double>, until double", "append", GroupStateTimeout.NoTimeout)
+    rows = rows.withWatermark("ts", late).withColumn("us", stats.micros(F.col("ts")))
+    rule = ban_rule(tries, window * 1_000_000, ban * 1_000_000)
+    found = rows.groupBy("user_id").applyInPandasWithState(rule, "user_id long, us long, until long", "failures array<long>, until long", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select("user_id", F.timestamp_micros("us").alias("ts"), F.timestamp_micros("until").alias("banned_until"))
+
+
+def alert_rule(threshold: float, window: int, snooze: int):
+    """The state function of stream_alerts, times in microseconds: the points of the window, the one before it, and the last alert, per key."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        times, values, last = state.get if state.exists else ([], [], None)
+        points, out = list(zip(times, values, strict=True)), []
+        for at, value in pd.concat(list(batches)).sort_values("us")[["us", "value"]].itertuples(index=False):
+            points.append((int(at), float(value)))
+            before = [p for p in points if p[0] <= at - window]
+            points = before[-1:] + [p for p in points if p[0] > at - window]
+            within = [v for t, v in points if t >= at - window]
+            if before and before[-1][1] >= threshold and min(within) >= threshold and (last is None or at - last >= snooze):
+                last = int(at)
+                out.append((key[0], last, float(value)))
+        state.update(([t for t, _ in points], [v for _, v in points], last))
+        yield pd.DataFrame(out, columns=["key", "us", "value"]).astype({"us": "int64", "value": "float64"})
+
+    return step
+
+
+def stream_alerts(series: DataFrame, path: str, checkpoint: str, threshold: float, seconds: int, snooze: int):
+    """breach_alerts() of a stream (key, ts, value), written to path as Parquet. Points of a key come in order; its state is one window of them."""
+    rows = series.filter(F.col("value").isNotNull()).select("key", stats.micros(F.col("ts")).alias("us"), F.col("value").cast("double").alias("value"))
+    rule = alert_rule(threshold, seconds * 1_000_000, snooze * 1_000_000)
+    found = rows.groupBy("key").applyInPandasWithState(rule, "key string, us long, value double", "times array<long>, points array<double>, last long", "append", GroupStateTimeout.NoTimeout)
+    out = found.select("key", F.timestamp_micros("us").alias("ts"), "value")
+    return out.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
 def breach_alerts(series: DataFrame, threshold: float, seconds: int, snooze: int, last: DataFrame | None = None) -> DataFrame:
