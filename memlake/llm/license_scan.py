@@ -23,22 +23,50 @@ TEMPLATES = {
         "Released under the MIT License.",
         "This project is licensed under the MIT License.",
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.',
     ),
     "GPL-3.0": (
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     ),
+    "GPL-2.0": (
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    ),
+    "LGPL-2.1": (
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    ),
+    "LGPL-3.0": (
+        "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
+    "AGPL-3.0": (
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    ),
     "CC-BY-4.0": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     "CC-BY-SA-4.0": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",),
     "BSD-3-Clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
         "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
     ),
     "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
     "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",),
-    "Unlicense": ("This is free and unencumbered software released into the public domain.",),
+    "Unlicense": (
+        "This is free and unencumbered software released into the public domain.",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    ),
+    "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",),
 }
 
 
@@ -52,6 +80,11 @@ def template_bigrams(templates: dict[str, tuple[str, ...]]) -> list[tuple[str, l
     return found
 
 
+def template_lengths(templates: dict[str, tuple[str, ...]]) -> list[int]:
+    """The number of bigrams of each template, repeats included."""
+    return [len(re.sub(r"[\W_]+", " ", text.lower()).split()) - 1 for texts in templates.values() for text in texts]
+
+
 def bounds(size: int, threshold: float) -> tuple[int, int]:
     """The least and most bigrams of a passage that can reach the threshold with a template of size bigrams."""
     return math.ceil(size * threshold / (2 - threshold) - 1e-9), math.floor(size * (2 - threshold) / threshold + 1e-9)
@@ -79,38 +112,54 @@ def telling_words(templates: list[tuple[str, list[str]]], threshold: float) -> l
     return sorted(chosen)
 
 
+def _dice(bigrams: Column, template: list[str]) -> Column:
+    return 2.0 * F.size(F.array_intersect(bigrams, F.lit(template))) / (F.size(bigrams) + len(template))
+
+
 def _scored(passage: Column, templates: list[tuple[str, list[str]]], threshold: float) -> Column:
     """The best (dice, license) of a passage's distinct bigrams; templates out of bounds aren't compared."""
-    size = F.size(passage)
     each = []
-    for name, bigrams in templates:
-        low, high = bounds(len(bigrams), threshold)
-        dice = 2.0 * F.size(F.array_intersect(passage, F.lit(bigrams))) / (size + len(bigrams))
-        each.append(F.when(size.between(low, high), F.struct(dice.alias("dice"), F.lit(name).alias("license"))))
+    for name, template in templates:
+        low, high = bounds(len(template), threshold)
+        each.append(F.when(F.size(passage).between(low, high), F.struct(_dice(passage, template).alias("dice"), F.lit(name).alias("license"))))
     return F.array_max(F.array(*each))
 
 
+def _windowed(passage: Column, templates: list[tuple[str, list[str]]], lengths: list[int]) -> Column:
+    """The best (dice, license) of windows as long as a template within a passage's bigrams, from each bigram that some template has."""
+    known = sorted({b for _, template in templates for b in template})
+
+    def best(i: Column) -> Column:
+        return F.array_max(F.array(*[F.struct(_dice(F.array_distinct(F.slice(passage, i, n)), t).alias("dice"), F.lit(name).alias("license")) for (name, t), n in zip(templates, lengths, strict=True)]))
+
+    starts = F.filter(F.sequence(F.lit(1), F.size(passage)), lambda i: F.element_at(passage, i).isin(known))
+    return F.array_max(F.transform(starts, best))
+
+
 def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """id_col, licenses (array, sorted), n_passages (long), best_license and best_dice for every row, in one narrow pass.
 
-    A passage is a line, or lines up to an empty one where those are several. Texts without a telling word have no
-    match and aren't cut up. In lower case, with all but letters and digits as gaps, its set of
+    A passage is a line, or lines up to an empty one where those are several. One that doesn't match as a whole may have
+    a window that does, as long as the template. Texts without a telling word have no match and aren't cut up. In lower case, with all but letters and digits as gaps, its set of
     word bigrams is compared to each template of a fitting size; it matches at a Dice coefficient of threshold or more
     and counts for its best template, of equals the last name. Null and empty texts have no passages; then arrays are empty and
     best_license and best_dice null. Repeated rows and null ids come out as they are; an empty table gives an empty table.
     """
     prepared = template_bigrams(templates)
     ranges = [bounds(len(b), threshold) for _, b in prepared]
-    least, most = min(r[0] for r in ranges), max(r[1] for r in ranges)
+    least = min(r[0] for r in ranges)
     lower = F.lower(F.coalesce(F.col(text_col), F.lit("")))
     told = reduce(or_, [lower.contains(w) for w in telling_words(prepared, threshold)])
     rows = docs.select(F.col(id_col).alias("id"), F.when(told, F.regexp_replace(lower, r"[^\p{L}\p{N}\n]+", " ")).otherwise("").alias("t"))
     blocks = F.filter(F.split("t", r"\n ?\n[ \n]*"), lambda p: F.instr(F.trim(F.translate(p, "\n", "|")), "|") > 0)
     rows = rows.withColumn("passages", F.concat(F.split("t", "\n"), F.transform(blocks, lambda p: F.translate(p, "\n", " "))))
     rows = rows.withColumn("words", F.filter(F.transform("passages", lambda p: F.split(F.trim(F.regexp_replace(p, " +", " ")), " ")), lambda w: F.size(w) > least))
-    pairs = lambda w: F.array_distinct(F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b)))
-    rows = rows.withColumn("sets", F.filter(F.transform("words", pairs), lambda b: F.size(b).between(least, most)))
-    rows = rows.withColumn("hits", F.filter(F.transform("sets", lambda b: _scored(b, prepared, threshold)), lambda h: h["dice"] >= threshold))
+    pairs = lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w)), lambda a, b: F.concat(a, F.lit(" "), b))
+    rows = rows.withColumn("bigrams", F.transform("words", pairs))
+    whole = lambda b: _scored(F.array_distinct(b), prepared, threshold)
+    rows = rows.withColumn("whole", F.transform("bigrams", lambda b: F.struct(b.alias("b"), whole(b).alias("h"))))
+    found = lambda p: F.when(p["h"]["dice"] >= threshold, p["h"]).otherwise(_windowed(p["b"], prepared, template_lengths(templates)))
+    rows = rows.withColumn("hits", F.filter(F.transform("whole", found), lambda h: h["dice"] >= threshold))
     best = F.array_max("hits")
     return rows.select(
         F.col("id").alias(id_col),

@@ -114,18 +114,23 @@ SELECT d.doc_id, {counts}sha256({listed(f"o < {base}")}) AS base_sha256, {listed
 
 def license_scan_sql() -> str:
     listed = lambda words: "[" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + "]"
-    templates = ", ".join(f"('{n}', {listed(b)})" for n, b in license_scan.template_bigrams(license_scan.TEMPLATES))
+    prepared = license_scan.template_bigrams(license_scan.TEMPLATES)
+    templates = ", ".join(f"('{n}', {listed(b)}, {k})" for (n, b), k in zip(prepared, license_scan.template_lengths(license_scan.TEMPLATES), strict=True))
     return rf"""
-WITH t(license, b) AS (VALUES {templates}),
+WITH t(license, b, k) AS (VALUES {templates}),
 c AS (SELECT doc_id, regexp_replace(lower(coalesce(text, '')), '[^\p{{L}}\p{{N}}\n]+', ' ', 'g') AS t FROM documents),
 p AS (
   SELECT doc_id, unnest(list_concat(string_split(t, chr(10)), list_transform(
     list_filter(string_split_regex(t, '\n ?\n[ \n]*'), lambda x: contains(trim(replace(x, chr(10), '|')), '|')), lambda x: replace(x, chr(10), ' ')))) AS p FROM c
 ),
 w AS (SELECT doc_id, row_number() OVER () AS n, string_split_regex(trim(p), ' +') AS w FROM p),
-g AS (SELECT doc_id, n, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM w WHERE len(w) > 1),
-s AS (SELECT doc_id, n, license, 2.0::DOUBLE * len(list_intersect(g, b)) / (len(g) + len(b)) AS dice FROM g, t),
-h AS (SELECT doc_id, n, max({{'dice': dice, 'license': license}}) AS h FROM s WHERE dice >= {license_scan.THRESHOLD} GROUP BY doc_id, n)
+g AS (SELECT doc_id, n, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS o FROM w WHERE len(w) > 1),
+s AS (SELECT doc_id, n, license, 2.0::DOUBLE * len(list_intersect(list_distinct(o), b)) / (len(list_distinct(o)) + len(b)) AS dice FROM g, t),
+whole AS (SELECT doc_id, n, max({{'dice': dice, 'license': license}}) AS h FROM s WHERE dice >= {license_scan.THRESHOLD} GROUP BY doc_id, n),
+places AS (SELECT doc_id, n, o, i FROM (SELECT doc_id, n, o, unnest(range(1, len(o) + 1)) AS i FROM g WHERE n NOT IN (SELECT n FROM whole)) WHERE o[i] IN (SELECT unnest(b) FROM t)),
+part AS (SELECT doc_id, n, license, b, list_distinct(o[i:i + k - 1]) AS o FROM places, t),
+inner_ AS (SELECT doc_id, n, max({{'dice': dice, 'license': license}}) AS h FROM (SELECT doc_id, n, license, 2.0::DOUBLE * len(list_intersect(o, b)) / (len(o) + len(b)) AS dice FROM part) WHERE dice >= {license_scan.THRESHOLD} GROUP BY doc_id, n),
+h AS (SELECT * FROM whole UNION ALL SELECT * FROM inner_)
 SELECT d.doc_id, coalesce(string_agg(DISTINCT h.license, ',' ORDER BY h.license), '') AS licenses, count(h.n) AS n_passages, max(h).license AS best_license, round(max(h).dice, 6) AS best_dice
 FROM documents d LEFT JOIN h USING (doc_id) GROUP BY d.doc_id
 """

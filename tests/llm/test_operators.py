@@ -208,6 +208,16 @@ def test_wrapped_and_edited_licenses(spark):
     assert [(r.doc_id, r.best_license) for r in license_scan.find_licenses(df).orderBy("doc_id").collect()] == [(1, "ISC"), (2, None)]
 
 
+def test_notices_within_lines(spark):
+    rng = random.Random(3)
+    noise = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(5)) for _ in range(n))
+    planted = [(name, f"{noise(12)} {text} {noise(9)}") for name, texts in license_scan.TEMPLATES.items() for text in texts]
+    planted += [("MIT", "The code in this directory is Released under the MIT License."), ("MIT", "As stated here. Released under the MIT License. Contact us"), (None, noise(40) + " the license of the software and the " + noise(20))]
+    df = spark.createDataFrame([(n, t) for n, (_, t) in enumerate(planted)], "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.find_licenses(df).collect()}
+    assert [got[n].best_license for n in range(len(planted))] == [name for name, _ in planted]
+
+
 def test_telling_words_lose_no_passage():
     templates = license_scan.template_bigrams(license_scan.TEMPLATES)
     telling, rng = set(license_scan.telling_words(templates, 0.8)), random.Random(8)

@@ -4,41 +4,31 @@ import re
 import numpy as np
 import public_tokenizers
 import tiktoken
-import xxhash
 
 import corpus_pipeline
 from memlake.llm import bpe
-from memlake.llm.quality_rules import quality_verdicts
+from memlake.llm.quality_rules import CUTOFF, base_counts
+from tests.llm.test_near_copies import least_ids
+from tests.llm.test_quality_rules import brute_force, statistics
 
 SF = "/root/testdata/sf0.001"
 
 
 def test_stages(spark):
-    """run() against a plain version of the stages. At this size no group has rows enough for an estimate but English."""
+    """run() against a plain version of all stages, quality by numpy and near copies by comparing every pair."""
     out = corpus_pipeline.run(spark, SF).collect()
-    docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
-    good = {r.doc_id for r in quality_verdicts(spark.read.parquet(f"{SF}/documents.parquet")).filter("kept").collect()}
+    table = spark.read.parquet(f"{SF}/documents.parquet")
+    docs, counts = table.collect(), {r.id: r for r in base_counts(table).collect()}
+    fair = [d for d in docs if not counts[d.doc_id].base_failed]
+    distances = brute_force([(d.lang, d.source, statistics(counts[d.doc_id])) for d in fair])
+    good = {d.doc_id for d, x in zip(fair, distances) if x <= CUTOFF}
     lower = lambda t: re.sub("[A-Z]", lambda m: m[0].lower(), t or "")
     best = {}
     for d in docs:
         if d.doc_id in good:
             best[lower(d.text)] = max(d.doc_id, best.get(lower(d.text), -1))
-    kept = {i: t for t, i in best.items()}
-
-    def fingerprint(text):
-        w = re.findall(r"[^\x20\x09-\x0D]+", text)
-        h = [xxhash.xxh64_intdigest(" ".join(w[i : i + 3]), 42) for i in range(max(1, len(w) - 2))] if w else []
-        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
-
-    prints = {i: fingerprint(t) for i, t in kept.items()}
-    group = {i: i for i in sorted(prints)}
-    for i in sorted(prints):
-        for j in sorted(prints):
-            if (prints[i] ^ prints[j]).bit_count() <= 3:
-                a, b = group[i], group[j]
-                group = {k: min(a, b) if v in (a, b) else v for k, v in group.items()}
-    left = {i for i in group if group[i] == i}
-    assert {r.doc_id for r in out} == left and len(out) == len(left)
+    left = least_ids([(i, t) for t, i in best.items()])
+    assert {r.doc_id for r in out} == left and len(out) == len(left) and len({(r.slot, r.doc_id) for r in out}) == len(left)
 
     raw = open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb").read()
     other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.parse_ranks(raw), special_tokens={})
