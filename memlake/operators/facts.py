@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import difflib
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -97,8 +98,14 @@ def best_ratio(a: Column, against: Column) -> Column:
 
     @F.pandas_udf("double")
     def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-        best = [max((difflib.SequenceMatcher(None, x, y).ratio() for y in ys if y), default=0.0) for x, ys in zip(left, right, strict=True)]
-        return pd.Series(best, dtype="float64")
+        # a matcher keeps an index of its second text, so texts that come again go through it in a row
+        best, tool = np.zeros(len(left)), difflib.SequenceMatcher()
+        for y, x, k in sorted((y, x, k) for k, (x, ys) in enumerate(zip(left, right, strict=True)) for y in ys if y):
+            if y != tool.b:
+                tool.set_seq2(y)
+            tool.set_seq1(x)
+            best[k] = max(best[k], tool.ratio())
+        return pd.Series(best)
 
     return ratio(a, against)
 
