@@ -9,7 +9,7 @@ from memlake.functions import text as T
 
 
 def evaluate_retrieval(corpus: DataFrame, ranked: DataFrame) -> DataFrame:
-    """(query_id, gold, exact_hits, doc_hits, recall, primary_rank) for corpus (query_id, gold, primary_gold, n) and ranked (query_id, chunk_ids).
+    """(query_id, gold, exact_hits, doc_hits, recall, primary_rank, primary_doc_rank) for corpus (query_id, gold, primary_gold, n) and ranked (query_id, chunk_ids).
 
     Lists count each id once, in order, and are cut at n, or 10 where that is missing; rows without gold are left out.
     """
@@ -21,9 +21,19 @@ def evaluate_retrieval(corpus: DataFrame, ranked: DataFrame) -> DataFrame:
     return rows.select(
         "query_id", F.size("gold").cast("long").alias("gold"), F.col("exact").cast("long").alias("exact_hits"), F.col("docs").cast("long").alias("doc_hits"),
         F.round(F.col("exact") / F.size("gold"), 6).alias("recall"), F.nullif(F.array_position("got", F.col("primary_gold")), F.lit(0)).alias("primary_rank"),
+        F.nullif(F.array_position(docs, T.doc_of_chunk(F.col("primary_gold"))), F.lit(0)).alias("primary_doc_rank"),
     )
 
 
+def gold_provenance(corpus: DataFrame, candidates: DataFrame, pool: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, streams, in_pool): for each gold id the streams that brought it, sorted, and whether it came into the pool."""
+    gold = corpus.select("query_id", F.explode(F.array_distinct("gold")).alias("chunk_id"))
+    brought = candidates.groupBy("query_id", "chunk_id").agg(F.sort_array(F.collect_set("stream")).alias("streams"))
+    pooled = pool.select("query_id", "chunk_id").distinct().withColumn("p", F.lit(True))
+    rows = gold.join(brought, ["query_id", "chunk_id"], "left").join(pooled, ["query_id", "chunk_id"], "left")
+    return rows.select("query_id", "chunk_id", F.coalesce("streams", F.array().cast("array<string>")).alias("streams"), F.coalesce("p", F.lit(False)).alias("in_pool"))
+
+
 def evaluation_summary(results: DataFrame) -> DataFrame:
     """One row: macro and micro recall, document recall and the share of primary hits."""
     return results.agg(

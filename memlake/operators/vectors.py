@@ -9,6 +9,19 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from memlake.functions import text as T
+
+
+def embedded(df: DataFrame, embed: Callable[[list[str]], list[list[float]]], text: str = "text", vector: str = "embedding") -> DataFrame:
+    """df with vector, what embed gives for each text, cut to the length that is embedded; embed is called once per Arrow batch and loaded once per task."""
+
+    @F.pandas_udf("array<float>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([list(map(float, v)) for v in embed(texts.tolist())], dtype=object)
+
+    return df.withColumn(vector, of(T.embedding_text(F.col(text))))
+
 
 def unit_blocks(df: DataFrame, key: str, side: str, vector: str = "embedding", times: str = "") -> DataFrame:
     """(dim, <side>_keys, <side>_times, <side>_vectors): the rows of each Arrow batch as one matrix of unit vectors per size, without a shuffle.

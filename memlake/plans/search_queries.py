@@ -85,6 +85,15 @@ def _hybrid(n: int, tail: str) -> str:
 
 register("hybrid_search", _tables("queries", "chunks", "entity_index")(lambda q, c, e: search.hybrid_search(q, c, e, N)), _hybrid(N, f"SELECT query_id, chunk_id, stream, score, position AS rank FROM pool WHERE position <= {N}"))
 register("hybrid_stage_counts", _tables("queries", "chunks", "entity_index")(lambda q, c, e: search.stage_counts(search.hybrid_candidates(q, c, e, N), N)), _hybrid(N, "SELECT c.query_id, c.stream, count(*) AS found, count(*) FILTER (c.superseded_by <> '') AS superseded, count(p.chunk_id) AS pooled FROM cand c LEFT JOIN pool p ON c.query_id = p.query_id AND c.chunk_id = p.chunk_id AND c.stream = p.stream GROUP BY c.query_id, c.stream"))
+
+
+def _provenance(g, q, c, e):
+    found = search.hybrid_candidates(q, c, e, N)
+    return evaluate.gold_provenance(g, found, search.compose_pool(search.live(found), N)).withColumn("streams", F.array_join("streams", ","))
+
+
+register("gold_provenance", _tables("gold", "queries", "chunks", "entity_index")(_provenance), _hybrid(N, """, gs AS (SELECT query_id, unnest(list_distinct(gold)) AS chunk_id FROM gold), st AS (SELECT query_id, chunk_id, string_agg(DISTINCT stream, ',' ORDER BY stream) AS streams FROM cand GROUP BY ALL)
+  SELECT gs.query_id, gs.chunk_id, coalesce(streams, '') AS streams, (gs.query_id, gs.chunk_id) IN (SELECT (query_id, chunk_id) FROM pool) AS in_pool FROM gs LEFT JOIN st ON gs.query_id = st.query_id AND gs.chunk_id = st.chunk_id"""))
 register("vector_topk", _tables("queries", "chunks")(lambda q, c: search.vector_topk(q, c, 10)), _vector(10))
 register("vector_topk_source", _tables("queries", "chunks")(lambda q, c: search.vector_topk(q, c, 3, "src1")), _vector(3, "src1"))
 register("bm25", _tables("queries", "chunks")(lambda q, c: search.bm25(q, search.postings(c), search.doc_lengths(c), 10)), f"WITH {_bm25(10)} SELECT * FROM lex")
@@ -104,7 +113,8 @@ register("tokenize", _tables("documents")(lambda d: d.select(F.explode(T.tokens(
 _RANKED = f"WITH v AS ({_vector(10)}), r AS (SELECT query_id, list(chunk_id ORDER BY rank) AS got FROM v GROUP BY query_id), "
 _EVAL = """e AS (SELECT query_id, gold, primary_gold, list_slice(coalesce(got, []), 1, n) AS got FROM gold LEFT JOIN r USING (query_id)),
   m AS (SELECT query_id, len(gold) AS gold, len(list_intersect(gold, got)) AS exact_hits, len(list_filter(gold, lambda g: list_contains(list_transform(got, lambda x: regexp_replace(x, '_chunk_[0-9]+$', '')), regexp_replace(g, '_chunk_[0-9]+$', '')))) AS doc_hits,
-    round(len(list_intersect(gold, got)) / len(gold), 6) AS recall, nullif(coalesce(list_position(got, primary_gold), 0), 0)::BIGINT AS primary_rank FROM e)"""
+    round(len(list_intersect(gold, got)) / len(gold), 6) AS recall, nullif(coalesce(list_position(got, primary_gold), 0), 0)::BIGINT AS primary_rank,
+    nullif(coalesce(list_position(list_transform(got, lambda x: regexp_replace(x, '_chunk_[0-9]+$', '')), regexp_replace(primary_gold, '_chunk_[0-9]+$', '')), 0), 0)::BIGINT AS primary_doc_rank FROM e)"""
 
 
 def _evaluated(g, q, c):

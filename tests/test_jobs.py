@@ -203,3 +203,11 @@ def test_registry_versions(spark, tmp_path):
     assert [r.a for r in exports.load_registry(spark, str(tmp_path)).collect()] == [2]
     exports.drop_old_versions(spark, str(tmp_path), 1)
     assert spark.read.parquet(str(tmp_path)).count() == 1
+
+
+def test_embedder(spark):
+    from memlake.operators.vectors import embedded
+
+    df = spark.createDataFrame([(1, "abc"), (2, None), (3, "x" * 5000)], "n int, text string")
+    rows = embedded(df, lambda texts: [[len(t), 1.0] for t in texts]).orderBy("n").collect()
+    assert [r.embedding for r in rows] == [[3.0, 1.0], [0.0, 1.0], [4000.0, 1.0]]
