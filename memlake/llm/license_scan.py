@@ -142,7 +142,7 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     A passage is a line, or lines up to an empty one where those are several. One that doesn't match as a whole may have
     a window that does, as long as the template. Texts without a telling word have no match and aren't cut up. In lower case, with all but letters and digits as gaps, its set of
     word bigrams is compared to each template of a fitting size; it matches at a Dice coefficient of threshold or more
-    and counts for its best template, of equals the last name. Null and empty texts have no passages; then arrays are empty and
+    and counts for its best template, of equals the last name; a line and the block around it count each. Null and empty texts have no passages; then arrays are empty and
     best_license and best_dice null. Repeated rows and null ids come out as they are; an empty table gives an empty table.
     """
     prepared = template_bigrams(templates)

@@ -198,7 +198,7 @@ def test_automaton_agrees_with_re():
 
 def test_licenses(odd, none):
     rows = {r.doc_id: r for r in license_scan.find_licenses(odd).collect()}
-    assert rows[8].licenses == ["MIT"] and rows[8].best_dice == 1.0 and rows[8].n_passages == 1
+    assert rows[8].licenses == ["MIT"] and rows[8].best_dice == 1.0 and rows[8].n_passages == 2
     assert rows[3].licenses == [] and rows[3].best_license is None and license_scan.find_licenses(none).count() == 0
 
 
