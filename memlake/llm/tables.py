@@ -50,6 +50,8 @@ class Scratch:
         for df, path in self.held:
             if any(df is t for t in tables):
                 _delete(self.spark, path)
+        # Spark deletes the shuffle files of ended jobs when the driver collects their plans
+        self.spark._jvm.System.gc()
         self.held = [(df, path) for df, path in self.held if not any(df is t for t in tables)]
 
 
