@@ -18,12 +18,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(id, text, label) of at most rows labelled documents in one partition, none of them held out."""
+    """(id, text, label) of at most rows labelled documents in one partition, none of them held out; of rows that repeat an id, the first text."""
     learnable = labels.filter(~held_out(F.col(id_col)) & F.col(label).isNotNull() & F.col(id_col).isNotNull())
     picked = learnable.select(F.col(id_col).alias("__id"), F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("__id"), "__id").limit(rows)
     picked = picked.groupBy("__id").agg(F.max("label").alias("label"))
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return texts.join(F.broadcast(picked), F.col("id") == F.col("__id")).select("id", "text", "label").repartition(1)
+    found = texts.join(F.broadcast(picked), F.col("id") == F.col("__id")).groupBy("id", "label").agg(F.min("text").alias("text"))
+    return found.select("id", "text", "label").repartition(1)
 
 
 def bucket(feature: str) -> int:
