@@ -125,15 +125,26 @@ def _scored(passage: Column, templates: list[tuple[str, list[str]]], threshold:
     return F.array_max(F.array(*each))
 
 
-def _windowed(passage: Column, templates: list[tuple[str, list[str]]], lengths: list[int]) -> Column:
-    """The best (dice, license) of windows as long as a template within a passage's bigrams, from each bigram that some template has."""
+def _windowed(passage: Column, templates: list[tuple[str, list[str]]], lengths: list[int], threshold: float) -> Column:
+    """The best (dice, license) of windows as long as a template within a passage's bigrams, from each of the template's bigrams.
+
+    A template is tried only where the passage has as many of its bigrams as any match needs.
+    """
     known = sorted({b for _, template in templates for b in template})
+    needs = [bounds(len(template), threshold)[0] for _, template in templates]
+
+    def best(template: list[str], length: int) -> Column:
+        starts = F.filter(F.sequence(F.lit(1), F.size(passage)), lambda i: F.element_at(passage, i).isin(template))
+        return F.array_max(F.transform(starts, lambda i: _dice(F.array_distinct(F.slice(passage, i, length)), template)))
 
-    def best(i: Column) -> Column:
-        return F.array_max(F.array(*[F.struct(_dice(F.array_distinct(F.slice(passage, i, n)), t).alias("dice"), F.lit(name).alias("license")) for (name, t), n in zip(templates, lengths, strict=True)]))
+    def tried(inside: Column) -> Column:
+        each = []
+        for (name, template), length, need in zip(templates, lengths, needs, strict=True):
+            enough = F.size(F.array_intersect(inside, F.lit(template))) >= need
+            each.append(F.when(enough, F.struct(best(template, length).alias("dice"), F.lit(name).alias("license"))))
+        return F.when(F.size(inside) >= min(needs), F.array_max(F.array(*each)))
 
-    starts = F.filter(F.sequence(F.lit(1), F.size(passage)), lambda i: F.element_at(passage, i).isin(known))
-    return F.array_max(F.transform(starts, best))
+    return F.transform(F.array(F.filter(passage, lambda b: b.isin(known))), tried)[0]
 
 
 def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, tuple[str, ...]] = TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -158,7 +169,7 @@ def find_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = rows.withColumn("bigrams", F.transform("words", pairs))
     whole = lambda b: _scored(F.array_distinct(b), prepared, threshold)
     rows = rows.withColumn("whole", F.transform("bigrams", lambda b: F.struct(b.alias("b"), whole(b).alias("h"))))
-    found = lambda p: F.when(p["h"]["dice"] >= threshold, p["h"]).otherwise(_windowed(p["b"], prepared, template_lengths(templates)))
+    found = lambda p: F.when(p["h"]["dice"] >= threshold, p["h"]).otherwise(_windowed(p["b"], prepared, template_lengths(templates), threshold))
     rows = rows.withColumn("hits", F.filter(F.transform("whole", found), lambda h: h["dice"] >= threshold))
     best = F.array_max("hits")
     return rows.select(
