@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memlake.llm import bpe, exact_dedup, license_scan, mixing, quality_model, quality_rules, secret_scan, simhash, sql, toxicity, warc
+from memlake.llm import alignment, bpe, exact_dedup, importance, language_id, license_scan, mixing, quality_model, quality_rules, secret_scan, simhash, sql, toxicity, warc
 from memlake.llm.tables import shared_path
 
 
@@ -68,7 +68,22 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), "n_passages", "best_license", F.round("best_dice", 6).alias("best_dice"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_warc, op3_mixing, op4_byte_bpe, op5_exact_dedup, op6_quality_model, op7_quality_rules, op8_simhash, op9_secret_scan, op10_license_scan)}
+def op11_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = importance.importance_sample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return drawn.select("doc_id", "n_features", "weight", "score", "rank")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.cross_tokens(_table(spark, sf_dir, "documents"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return language_id.identify(docs, language_id.train(docs))
+
+
+_ALL = (op1_toxicity, op2_warc, op3_mixing, op4_byte_bpe, op5_exact_dedup, op6_quality_model, op7_quality_rules, op8_simhash, op9_secret_scan, op10_license_scan, op11_importance, op12_alignment, op13_language_id)
+QUERIES = {f.__name__: f for f in _ALL}
 
 ORACLE_SQL = {
     "op3_mixing": sql.mixing(),
@@ -76,4 +91,5 @@ ORACLE_SQL = {
     "op7_quality_rules": sql.quality_rules(),
     "op9_secret_scan": sql.secret_scan_sql(),
     "op10_license_scan": sql.license_scan_sql(),
+    "op11_importance": sql.importance_sql(),
 }

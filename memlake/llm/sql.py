@@ -129,3 +129,31 @@ h AS (SELECT doc_id, n, max({{'dice': dice, 'license': license}}) AS h FROM s WH
 SELECT d.doc_id, coalesce(string_agg(DISTINCT h.license, ',' ORDER BY h.license), '') AS licenses, count(h.n) AS n_passages, max(h).license AS best_license, round(max(h).dice, 6) AS best_dice
 FROM documents d LEFT JOIN h USING (doc_id) GROUP BY d.doc_id
 """
+
+
+def importance_sql() -> str:
+    """Checksums are taken of each distinct feature's bytes, through a table of the remainders of one byte."""
+
+    def remainder(c: int) -> int:
+        for _ in range(8):
+            c = c >> 1 ^ (0xEDB88320 if c & 1 else 0)
+        return c
+
+    found = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {found} AS w FROM documents),
+b AS (SELECT {found} AS w FROM benchmark),
+fd AS (SELECT r, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM d),
+fb AS (SELECT unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS f FROM b),
+distinct_features AS (SELECT f, hex(encode(f)) AS h FROM (SELECT f FROM fd UNION SELECT f FROM fb)),
+crc AS (SELECT f, xor(4294967295::BIGINT, list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(0, len(h) // 2), lambda i: ('0x' || h[2 * i + 1:2 * i + 2])::BIGINT)),
+  lambda c, x: xor(c >> 8, ({[remainder(c) for c in range(256)]}::BIGINT[])[xor(c & 255, x) + 1]))) % 10000 AS bucket FROM distinct_features),
+s AS (SELECT bucket, count(*) AS s FROM fd JOIN crc USING (f) GROUP BY bucket),
+t AS (SELECT bucket, count(*) AS t FROM fb JOIN crc USING (f) GROUP BY bucket),
+g AS (SELECT bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT sum(s) FROM s) + 10000)::DOUBLE) / ((s + 1)::DOUBLE * ((SELECT coalesce(sum(t), 0) FROM t) + 10000)::DOUBLE)))::BIGINT AS gain FROM s LEFT JOIN t USING (bucket)),
+w AS (SELECT r, floor(sum(gain)::DOUBLE / count(*))::BIGINT AS weight FROM fd JOIN crc USING (f) JOIN g USING (bucket) GROUP BY r),
+x AS (SELECT doc_id, len(w) AS n_words, greatest(2 * len(w) - 1, 0) AS n_features, coalesce(weight, 0) AS weight, ('0x' || sha256('7:' || coalesce(doc_id::VARCHAR, ''))[1:8])::BIGINT AS h FROM d LEFT JOIN w USING (r)),
+y AS (SELECT *, weight + floor(-1000 * ln(-ln((h::DOUBLE + 0.5) / 4294967296::DOUBLE)))::BIGINT AS score FROM x),
+z AS (SELECT *, row_number() OVER (PARTITION BY n_words >= 20 ORDER BY score DESC, doc_id) AS place, 25 * count(*) FILTER (n_words >= 20) OVER () // 100 AS drawn FROM y)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, score, CASE WHEN n_words >= 20 AND place <= drawn THEN place END AS rank FROM z
+"""

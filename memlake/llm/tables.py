@@ -81,3 +81,16 @@ def join_to_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, salt
     dealt = rows.join(F.broadcast(hot), key, "left").withColumn("part", F.pmod(F.xxhash64(salt_by), F.coalesce("parts", F.lit(1)))).drop("parts")
     each = groups.join(F.broadcast(hot), key, "left").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)).cast("long") - 1))).drop("parts")
     return dealt.join(each, [key, "part"]).drop("part")
+
+
+def frequent(counts: DataFrame, n: str, most: int) -> DataFrame:
+    """The rows of counts, a written table, of the highest n, at most so many: all from the lowest eighth of a power of two that leaves no more."""
+    level = F.floor(8 * F.log2(F.col(n).cast("double")))
+    sizes = sorted(counts.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("rows")).collect(), reverse=True)
+    least, held = None, 0
+    for size in sizes:
+        held += size.rows
+        if held > most:
+            break
+        least = size.level
+    return counts.limit(0) if least is None else counts.filter(level >= least)
