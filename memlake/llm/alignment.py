@@ -76,6 +76,7 @@ class Pieces:
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
         self.known: dict[str, list[int]] = {}
+        self.space = self.model.piece_to_id("▁")
 
     def encode(self, text: str) -> np.ndarray | None:
         """The ids, or None if their bytes aren't those of a space and text."""
@@ -87,7 +88,8 @@ class Pieces:
             if len(self.known) + len(new) > REMEMBERED:
                 self.known.clear()
                 new = list(set(cut))
-            self.known.update(zip(new, self.model.encode([s[1:] for s in new], num_threads=1)))
+            # the library puts the first space before a text by itself, but not before none
+            self.known.update((s, ids or [self.space]) for s, ids in zip(new, self.model.encode([s[1:] for s in new], num_threads=1)))
             find = self.known.__getitem__
             ids = [i for s in cut for i in find(s)]
             for s in new:
