@@ -13,9 +13,7 @@ from memlake.llm.tables import Scratch, packed, unpacked
 KEPT = 1 - 1e-6
 #: Share of a group's rows that the determinant is minimised over.
 CORE = 0.75
-#: Concentration steps at most; a group stops when its determinant no longer falls.
-C_STEPS = 6
-#: A group's estimate weighs its own rows against that of the wider group as if that were of so many rows.
+#: A group's scatter weighs its own rows against the scatter within all groups as if that were of so many rows.
 BORROWED = 30
 #: Statistics are held as whole numbers of this many units, so that sums are exact in any order.
 UNITS = 256
@@ -108,8 +106,7 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     ).withColumn("base_failed", F.expr("n_words < 10 OR 100 * n_repeat_words > 20 * n_words"))
 
 
-MEANS = [f"m{i}" for i in range(P)]
-MOMENTS = MEANS + [f"c{i}_{j}" for i, j in PAIRS]
+MOMENTS = [f"m{i}" for i in range(P)] + [f"c{i}_{j}" for i, j in PAIRS]
 FACTORS = [f"l{i}_{j}" for i, j in PAIRS]
 #: Distances as whole numbers: an exact percentile then needs a bounded table of counts.
 RANK = "CAST(floor(16 * sqrt(least(d, 1e6))) AS BIGINT)"
@@ -135,14 +132,12 @@ def sum_sql(i: int, j: int | None = None) -> str:
     return f"CAST(sum(x{i}) AS DOUBLE) / count(*)" if j is None else f"CAST(sum(x{i} * x{j}) AS DOUBLE) / count(*)"
 
 
-def mean_sql(i: int) -> str:
-    """Of n rows with mean a0.. and of BORROWED ones with mean b0..; share is n's part."""
-    return f"share * a{i} + (1.0 - share) * b{i}"
-
-
-def covariance_sql(i: int, j: int) -> str:
-    """The same of covariances: rows of the group have mean products a0_0.., the borrowed ones the covariance b0_0.."""
-    return f"share * (a{i}_{j} - a{i} * a{j}) + (1.0 - share) * b{i}_{j} + share * (1.0 - share) * (a{i} - b{i}) * (a{j} - b{j})"
+#: What n rows with mean a0.. and mean products a0_0.. give alone, by their numbers.
+OWN_MEAN, OWN_COVARIANCE = "a{0}", "a{0}_{1} - a{0} * a{1}"
+#: What they give with the scatter w0_0.. within all groups and one borrowed row of mean t0.. and scatter t0_0.. from all rows.
+SHARES = f"CAST(n AS DOUBLE) / (n + {BORROWED}) AS share, CAST(1 AS DOUBLE) / (n + 1) AS part"
+MEAN = "(1 - part) * a{0} + part * t{0}"
+COVARIANCE = "(1 - part) * (share * (a{0}_{1} - a{0} * a{1}) + (1 - share) * w{0}_{1}) + part * t{0}_{1}"
 
 
 #: In Spark an estimate is three arrays: m, the mean; c, the covariance, and l, its factor, row by row up to the diagonal.
@@ -172,59 +167,69 @@ def _sums() -> list[Column]:
     return [F.count(F.lit(1)).alias("n"), F.array(*[F.expr(sum_sql(i)) for i in range(P)]).alias("a"), F.array(*[F.expr(sum_sql(i, j)) for i, j in PAIRS]).alias("aa")]
 
 
-def _moments(core: DataFrame, wider: DataFrame) -> DataFrame:
-    """(g, start, m, c) of rows (g, start, x0..), each with rows borrowed from wider (g, start, b, bc)."""
-    both = core.groupBy("g", "start").agg(*_sums()).join(wider, ["g", "start"]).withColumn("share", F.expr(f"CAST(n AS DOUBLE) / (n + {BORROWED})"))
-    mean = "zip_with(a, b, (x, y) -> share * x + (1D - share) * y)"
-    covariance = f"""transform(aa, (x, k) -> share * (x - a[{_ROWS}[k]] * a[{_COLUMNS}[k]]) + (1D - share) * bc[k]
-      + share * (1D - share) * (a[{_ROWS}[k]] - b[{_ROWS}[k]]) * (a[{_COLUMNS}[k]] - b[{_COLUMNS}[k]]))"""
-    return both.select("g", "start", F.expr(mean).alias("m"), F.expr(covariance).alias("c"))
+def _medians(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("g").agg(F.array(*[F.expr(f"CAST(floor(percentile(x{i}, 0.5)) AS DOUBLE)") for i in range(P)]).alias("m"))
 
 
-def _middles(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(g, m, c): medians and, without covariance, the squares of scaled median deviations."""
-    middle = scratch.saved(rows.groupBy("g").agg(F.array(*[F.expr(f"CAST(floor(percentile(x{i}, 0.5)) AS DOUBLE)") for i in range(P)]).alias("m")), "medians")
+def _starts(rows: DataFrame, middle: DataFrame) -> DataFrame:
+    """(g, start, m, c) of rows (g, x0..) around their medians m: the squares of scaled median deviations, without covariance."""
     spread = rows.join(middle, "g").groupBy("g").agg(F.array(*[F.expr(f"percentile(abs(x{i} - m[{i}]), 0.5)") for i in range(P)]).alias("s"))
     squares = f"transform({_ROWS}, (i, k) -> IF(i = {_COLUMNS}[k], 1.4826D * s[i] * (1.4826D * s[i]), 0D))"
-    return middle.join(spread, "g").select("g", "m", F.expr(squares).alias("c"))
+    return middle.join(spread, "g").select("g", F.lit(0).alias("start"), "m", F.expr(squares).alias("c"))
 
 
-def robust_estimates(rows: DataFrame, scratch: Scratch) -> DataFrame:
-    """(k0, k1, m, l): the minimum-covariance-determinant location and factored scatter of each language and source of rows (k0, k1, x0..).
+def _concentrated(rows: DataFrame, starts: DataFrame, scratch: Scratch, mean: str, covariance: str, **borrowed: list[float]) -> DataFrame:
+    """(g, m, c) of rows (g, x0..), by steps from starts (g, start, m, c).
 
-    Estimates are also made for each language and for all rows. Each borrows from the next wider one, so that the part
-    of what is borrowed falls with the rows of one's own, from nearly all to nearly nothing. An estimate is sought
-    from two starts, the medians of its rows and the plain estimate of all rows; the first step tells the better. A
-    step keeps the rows of the CORE smallest distances, with all ties, takes their mean and covariance, and counts if
-    the determinant falls; steps end when none does. Only sums per group are shuffled, so that a hot group costs a
-    reducer no more.
+    A step keeps the rows of the CORE smallest distances, with all ties, takes their mean and covariance, and counts if
+    the determinant falls. After the first the better start goes on; a group's steps end when its determinant no longer
+    falls, which it can't do for ever, as a group has but so many subsets. Only sums per group are shuffled, so that a
+    hot group costs a reducer no more.
     """
-    named = rows.withColumns({"g1": F.to_json(F.struct("k0")), "g2": F.to_json(F.struct("k0", "k1"))})
-    groups = scratch.saved(named.groupBy("k0", "k1", "g1", "g2").agg(F.count(F.lit(1)).alias("n")), "groups")
-    levels = F.array(F.struct(F.lit("all").alias("g"), F.lit("").alias("up")), F.struct(F.col("g1").alias("g"), F.lit("all").alias("up")), F.struct(F.col("g2").alias("g"), F.col("g1").alias("up")))
-    above = scratch.saved(groups.select(F.inline(levels)).distinct(), "levels")
-    rows = named.select(F.explode(F.array(F.lit("all"), "g1", "g2")).alias("g"), *X)
-    plain = scratch.saved(named.agg(*_sums()).select(F.lit("").alias("g"), F.col("a").alias("m"), F.expr(f"transform(aa, (x, k) -> x - a[{_ROWS}[k]] * a[{_COLUMNS}[k]])").alias("c")), "plain")
-
-    starts = _middles(rows, scratch).withColumn("start", F.lit(0)).unionByName(above.select("g").crossJoin(F.broadcast(plain.drop("g"))).withColumn("start", F.lit(1)))
-    now = scratch.saved(starts.select("g", "start", "m", "c", _factor().alias("l"), F.lit(1e300).alias("det"), F.lit(True).alias("fell")), "estimates")
-    for step in range(C_STEPS):
-        ranked = _distances(rows.join(now.select("g", "start", "m", "l"), "g")).select("g", "start", *X, F.expr(RANK).alias("r"))
+    now, first = scratch.saved(starts.select("g", "start", "m", "c", _factor().alias("l"), F.lit(1e300).alias("det"), F.lit(True).alias("fell")), "estimates"), True
+    while not now.filter("fell").isEmpty():
+        moving = now.filter("fell").select("g", "start", "m", "l")
+        ranked = _distances(rows.join(moving, "g")).select("g", "start", *X, F.expr(RANK).alias("r"))
         limit = scratch.saved(ranked.groupBy("g", "start").agg(F.expr(f"percentile(r, {CORE})").alias("most")), "limits")
-        core = ranked.join(limit, ["g", "start"]).filter("r <= most")
-        sources = now.select(F.col("g").alias("up"), "start", F.col("m").alias("b"), F.col("c").alias("bc")).unionByName(plain.select(F.col("g").alias("up"), F.explode(F.array(F.lit(0), F.lit(1))).alias("start"), F.col("m").alias("b"), F.col("c").alias("bc")))
-        tried = _moments(core, above.join(sources, "up").drop("up")).withColumn("l", _factor()).withColumn("det", F.expr(_DETERMINANT))
-        both = now.select("g", "start", F.struct("m", "c", "l", "det").alias("o")).join(tried.select("g", "start", F.struct("m", "c", "l", "det").alias("t")), ["g", "start"])
-        fell = F.col("t.det") < F.col("o.det")
+        sums = ranked.join(limit, ["g", "start"]).filter("r <= most").groupBy("g", "start").agg(*_sums())
+        sums = sums.withColumns({k: F.array(*map(F.lit, v)) for k, v in borrowed.items()}).selectExpr("*", *SHARES.split(", "))
+        tried = sums.select("g", "start", F.expr(mean).alias("m"), F.expr(covariance).alias("c")).withColumn("l", _factor()).withColumn("det", F.expr(_DETERMINANT))
+        both = now.select("g", "start", F.struct("m", "c", "l", "det").alias("o")).join(tried.select("g", "start", F.struct("m", "c", "l", "det").alias("t")), ["g", "start"], "left")
+        fell = F.coalesce(F.col("t.det") < F.col("o.det"), F.lit(False))
         after = both.select("g", "start", F.when(fell, F.col("t")).otherwise(F.col("o")).alias("e"), fell.alias("fell"))
-        if step == 0:
+        if first:
             after = after.groupBy("g").agg(F.min_by(F.struct("e", "fell"), F.struct("e.det", "start")).alias("b")).select("g", F.lit(0).alias("start"), "b.*")
-        before, now = now, scratch.saved(after.select("g", "start", "e.*", "fell"), "estimates")
+        before, now, first = now, scratch.saved(after.select("g", "start", "e.*", "fell"), "estimates"), False
         scratch.drop(before, limit)
-        if now.filter("fell").isEmpty():
-            break
-    scaled = now.select(F.col("g").alias("g2"), "m", _factor(CONSISTENCY).alias("l"))
-    return scratch.saved(groups.join(scaled, "g2").select("k0", "k1", "m", "l"), "estimates")
+    return now.select("g", "m", "c")
+
+
+#: MEAN and COVARIANCE of arrays: a and aa of sums, w within groups, t and tt of all rows.
+_OWN = "a", f"transform(aa, (x, k) -> x - a[{_ROWS}[k]] * a[{_COLUMNS}[k]])"
+_BORROWING = "zip_with(a, t, (x, y) -> (1 - part) * x + part * y)", f"transform(aa, (x, k) -> (1 - part) * (share * (x - a[{_ROWS}[k]] * a[{_COLUMNS}[k]]) + (1 - share) * w[k]) + part * tt[k])"
+
+
+def robust_estimates(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """(k0, k1, m, l): the minimum-covariance-determinant location and factored scatter of each language and source of rows (k0, k1, x0..).
+
+    A group's scatter borrows from the scatter within groups, an estimate over all rows that are centred on their own
+    group's medians, as if from BORROWED rows: what sets groups apart doesn't widen it. One row more is borrowed from an
+    estimate over all rows as they are, so that a group of a row or two has an estimate too. An estimate is sought from
+    the medians of a group with two scatters, that of its rows and the one within all groups.
+    """
+    named = rows.withColumn("g", F.to_json(F.struct("k0", "k1")))
+    keys = scratch.saved(named.select("g", "k0", "k1").distinct(), "groups")
+    rows = named.select("g", *X)
+    middle = scratch.saved(_medians(rows), "medians")
+    centred = rows.join(middle, "g").select(F.lit("within").alias("g"), *[F.expr(f"CAST(x{i} - m[{i}] AS LONG) AS x{i}") for i in range(P)])
+    wide = centred.unionByName(rows.withColumn("g", F.lit("all")))
+    wider = {r.g: r for r in _concentrated(wide, _starts(wide, scratch.saved(_medians(wide), "medians")), scratch, *_OWN).collect()}
+    if not wider:
+        return keys.select("k0", "k1", F.array().cast("array<double>").alias("m"), F.array().cast("array<double>").alias("l"))
+    within, every = wider["within"], wider["all"]
+    starts = _starts(rows, middle).unionByName(middle.select("g", F.lit(1).alias("start"), "m", F.array(*map(F.lit, within.c)).alias("c")))
+    found = _concentrated(rows, starts, scratch, *_BORROWING, w=within.c, t=every.m, tt=every.c)
+    return scratch.saved(keys.join(found.select("g", "m", _factor(CONSISTENCY).alias("l")), "g").select("k0", "k1", "m", "l"), "estimates")
 
 
 def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keys: tuple[str, str] = ("lang", "source"), cutoff: float = CUTOFF) -> DataFrame:
@@ -232,8 +237,8 @@ def quality_verdicts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     A row goes if base_failed or if its statistics lie further than cutoff from the minimum-covariance-determinant
     estimate of its language and source; the cutoff is a quantile of the chi-square law. Rows that failed the base rule
-    are left out of the estimates and have a null distance. A null language or source is a value of its own. Small
-    groups borrow from the wider one, so that every row that passes the base rule has a distance. Null and empty
+    are left out of the estimates and have a null distance. A null language or source is a value of its own. Groups
+    borrow from all rows, so that every row that passes the base rule has a distance. Null and empty
     texts have no words and fail the base rule. Repeated rows each get a verdict. An empty table gives an empty table.
     """
     scratch = Scratch(docs.sparkSession)

@@ -25,14 +25,18 @@ def quality_rules() -> str:
             FROM w LEFT JOIN covered USING (doc_id)"""),
         ("b", "SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM c"),
         ("x", "SELECT *, " + ", ".join(f"CAST(floor({q.UNITS} * ({s})) AS BIGINT) AS x{i}" for i, s in enumerate(q.STATS)) + " FROM b"),
-        ("named", f"SELECT concat('=', k0) AS g1, concat('=', k0, '|', k1) AS g2, {xs} FROM x WHERE NOT base_failed"),
-        ("above", "SELECT 'all' AS g, '' AS up UNION SELECT g1, 'all' FROM named UNION SELECT g2, g1 FROM named"),
-        ("rows", f"SELECT 'all' AS g, {xs} FROM named UNION ALL SELECT g1, {xs} FROM named UNION ALL SELECT g2, {xs} FROM named"),
-        ("plain", "SELECT " + ", ".join([f"{q.sum_sql(i)} AS m{i}" for i in range(q.P)] + [f"{q.sum_sql(i, j)} - ({q.sum_sql(i)}) * ({q.sum_sql(j)}) AS c{i}_{j}" for i, j in q.PAIRS]) + " FROM named"),
-        *_concentrated(),
-        ("last", _nested([(f"l{i}_{j}", q.factor_sql(i, j, q.CONSISTENCY)) for i, j in q.PAIRS], f"SELECT * FROM e{q.C_STEPS}")),
+        ("rows", f"SELECT concat('=', k0, '|=', k1) AS g, {xs} FROM x WHERE NOT base_failed"),
+        ("middle", _middle("rows")),
+        ("wide", f"SELECT 'all' AS g, {xs} FROM rows UNION ALL SELECT 'within', " + ", ".join(f"(x{i} - m{i})::BIGINT" for i in range(q.P)) + " FROM rows JOIN middle USING (g)"),
+        ("wide_middle", _middle("wide")),
+        ("wide_starts", _start("wide", "wide_middle")),
+        *_concentrated("wide", q.OWN_MEAN, q.OWN_COVARIANCE, ""),
+        ("lent", "SELECT " + ", ".join([f"a.m{i} AS t{i}" for i in range(q.P)] + [f"a.c{i}_{j} AS t{i}_{j}, w.c{i}_{j} AS w{i}_{j}" for i, j in q.PAIRS]) + f" FROM (SELECT * FROM wide_e{SQL_STEPS} WHERE g = 'all') a, (SELECT * FROM wide_e{SQL_STEPS} WHERE g = 'within') w"),
+        ("rows_starts", _start("rows", "middle") + " UNION ALL SELECT g, " + ", ".join([f"m{i}" for i in range(q.P)] + [f"w{i}_{j}" for i, j in q.PAIRS]) + ", 1 FROM middle, lent"),
+        *_concentrated("rows", q.MEAN, q.COVARIANCE, ", lent"),
+        ("last", _nested([(f"l{i}_{j}", q.factor_sql(i, j, q.CONSISTENCY)) for i, j in q.PAIRS], f"SELECT g, {', '.join(q.MOMENTS)} FROM rows_e{SQL_STEPS}")),
     ]
-    last = _distance("SELECT * FROM (SELECT *, concat('=', k0, '|', k1) AS g FROM x) LEFT JOIN last USING (g)")
+    last = _distance("SELECT * FROM (SELECT *, concat('=', k0, '|=', k1) AS g FROM x) LEFT JOIN last USING (g)")
     return "WITH " + ",\n".join(f"{k} AS MATERIALIZED ({v})" for k, v in ctes) + f"\nSELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND coalesce(d <= {q.CUTOFF}, false) AS kept FROM ({last})"
 
 
@@ -40,26 +44,32 @@ def _distance(source: str) -> str:
     return f"SELECT *, {q.distance_sql()} AS d FROM (" + _nested([(f"z{i}", q.forward_sql(i)) for i in range(q.P)], source) + ")"
 
 
-def _concentrated() -> list[tuple[str, str]]:
-    """Statements from the rows to the estimates after all steps; a group that has stopped stays as it is."""
-    xs, ms, ls = ", ".join(q.X), ", ".join(q.MOMENTS), ", ".join(q.FACTORS)
+#: Steps that the statement writes out; the operator's own go on until no determinant falls, which a test holds to be before.
+SQL_STEPS = 16
+
+
+def _middle(rows: str) -> str:
+    return "SELECT g, " + ", ".join(f"floor(quantile_cont(x{i}::DOUBLE, 0.5)) AS m{i}" for i in range(q.P)) + f" FROM {rows} GROUP BY g"
+
+
+def _start(rows: str, middle: str) -> str:
+    spread = "SELECT g, " + ", ".join(f"quantile_cont(abs(x{i} - m{i}), 0.5) AS s{i}" for i in range(q.P)) + f" FROM {rows} JOIN {middle} USING (g) GROUP BY g"
+    return "SELECT g, " + ", ".join([f"m{i}" for i in range(q.P)] + [(f"1.4826::DOUBLE * s{i} * (1.4826::DOUBLE * s{i})" if i == j else "0.0::DOUBLE") + f" AS c{i}_{j}" for i, j in q.PAIRS]) + f", 0 AS start FROM {middle} JOIN ({spread}) USING (g)"
+
+
+def _concentrated(rows: str, mean: str, covariance: str, lent: str) -> list[tuple[str, str]]:
+    """Statements from a table of rows and its starts to the estimates after all steps; a group that has stopped stays as it is."""
+    xs, ms, ls, p = ", ".join(q.X), ", ".join(q.MOMENTS), ", ".join(q.FACTORS), f"{rows}_"
     factors = [(f"l{i}_{j}", q.factor_sql(i, j)) for i, j in q.PAIRS]
-    ctes = [
-        ("middle", "SELECT g, " + ", ".join(f"floor(quantile_cont(x{i}::DOUBLE, 0.5)) AS m{i}" for i in range(q.P)) + " FROM rows GROUP BY g"),
-        ("spread", "SELECT g, " + ", ".join(f"quantile_cont(abs(x{i} - m{i}), 0.5) AS s{i}" for i in range(q.P)) + " FROM rows JOIN middle USING (g) GROUP BY g"),
-        ("starts", "SELECT g, " + ", ".join([f"m{i}" for i in range(q.P)] + [(f"1.4826::DOUBLE * s{i} * (1.4826::DOUBLE * s{i})" if i == j else "0.0::DOUBLE") + f" AS c{i}_{j}" for i, j in q.PAIRS]) + f", 0 AS start FROM middle JOIN spread USING (g) UNION ALL SELECT g, {ms}, 1 FROM above, plain"),
-        ("e0", f"SELECT g, start, {ms}, {ls}, 1e300::DOUBLE AS det FROM (" + _nested(factors, "SELECT * FROM starts") + ")"),
-    ]
-    for k in range(q.C_STEPS):
+    ctes = [(f"{p}e0", f"SELECT g, start, {ms}, {ls}, 1e300::DOUBLE AS det FROM (" + _nested(factors, f"SELECT * FROM {p}starts") + ")")]
+    for k in range(SQL_STEPS):
         chosen = " QUALIFY row_number() OVER (PARTITION BY o.g ORDER BY least(t.det, o.det), o.start) = 1" if k == 0 else ""
         ctes += [
-            (f"d{k}", f"SELECT g, start, {xs}, {q.RANK} AS r FROM (" + _distance(f"SELECT * FROM rows JOIN e{k} USING (g)") + ")"),
-            (f"h{k}", f"SELECT g, start, quantile_cont(r::DOUBLE, {q.CORE}) AS most FROM d{k} GROUP BY g, start"),
-            (f"v{k}", "SELECT g, start, count(*) AS n, " + ", ".join([f"{q.sum_sql(i)} AS a{i}" for i in range(q.P)] + [f"{q.sum_sql(i, j)} AS a{i}_{j}" for i, j in q.PAIRS]) + f" FROM d{k} JOIN h{k} USING (g, start) WHERE r <= most GROUP BY g, start"),
-            (f"w{k}", f"SELECT above.g, start, {ms} FROM above JOIN (SELECT g, start, {ms} FROM e{k} UNION ALL SELECT '', unnest([0, 1]), {ms} FROM plain) e ON e.g = up"),
-            (f"b{k}", f"SELECT v.*, CAST(n AS DOUBLE) / (n + {q.BORROWED}) AS share, " + ", ".join(f"w.{c} AS b{c[1:]}" for c in q.MOMENTS) + f" FROM v{k} v JOIN w{k} w USING (g, start)"),
-            (f"t{k}", f"SELECT *, {q.DETERMINANT} AS det FROM (" + _nested(factors, "SELECT g, start, " + ", ".join([f"{q.mean_sql(i)} AS m{i}" for i in range(q.P)] + [f"{q.covariance_sql(i, j)} AS c{i}_{j}" for i, j in q.PAIRS]) + f" FROM b{k}") + ")"),
-            (f"e{k + 1}", ("SELECT o.g, 0 AS start, " if k == 0 else "SELECT o.g, o.start, ") + ", ".join(f"CASE WHEN t.det < o.det THEN t.{c} ELSE o.{c} END AS {c}" for c in (*q.MOMENTS, *q.FACTORS, "det")) + f" FROM e{k} o JOIN t{k} t USING (g, start){chosen}"),
+            (f"{p}d{k}", f"SELECT g, start, {xs}, {q.RANK} AS r FROM (" + _distance(f"SELECT * FROM {rows} JOIN {p}e{k} USING (g)") + ")"),
+            (f"{p}h{k}", f"SELECT g, start, quantile_cont(r::DOUBLE, {q.CORE}) AS most FROM {p}d{k} GROUP BY g, start"),
+            (f"{p}v{k}", "SELECT g, start, count(*) AS n, " + ", ".join([f"{q.sum_sql(i)} AS a{i}" for i in range(q.P)] + [f"{q.sum_sql(i, j)} AS a{i}_{j}" for i, j in q.PAIRS]) + f" FROM {p}d{k} JOIN {p}h{k} USING (g, start) WHERE r <= most GROUP BY g, start"),
+            (f"{p}t{k}", f"SELECT *, {q.DETERMINANT} AS det FROM (" + _nested(factors, "SELECT g, start, " + ", ".join([mean.format(i) + f" AS m{i}" for i in range(q.P)] + [covariance.format(i, j) + f" AS c{i}_{j}" for i, j in q.PAIRS]) + f" FROM (SELECT *, {q.SHARES} FROM {p}v{k}){lent}") + ")"),
+            (f"{p}e{k + 1}", ("SELECT o.g, 0 AS start, " if k == 0 else "SELECT o.g, o.start, ") + ", ".join(f"CASE WHEN t.det < o.det THEN t.{c} ELSE o.{c} END AS {c}" for c in (*q.MOMENTS, *q.FACTORS, "det")) + f" FROM {p}e{k} o JOIN {p}t{k} t USING (g, start){chosen}"),
         ]
     return ctes
 

@@ -76,38 +76,55 @@ def ballots(words: list[set[str]], texts: list[str], labels: list[int]) -> np.nd
     return np.stack(columns, axis=1)
 
 
-def label_model(votes: np.ndarray, start: np.ndarray | None = None, steps: int = 100) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def correlations(votes: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Between voters, of what expected (the chance of a vote for 1, per vote or voter) leaves, over the rows where both vote."""
+    given = votes != ABSTAIN
+    left = np.where(given, (votes == 1) - expected, 0.0)
+    both = given.astype(float)
+    cov, own = left.T @ left, (left * left).T @ both
+    return np.clip(cov / np.sqrt(np.maximum(own * own.T, 1e-9)), -1, 1)
+
+
+#: Voters correlated this much repeat each other.
+REPEATED = 0.9
+#: Rounds of estimating weights, and steps of expectation maximisation in each, at most; both end when nothing moves.
+ROUNDS, STEPS = 20, 200
+
+
+def label_model(votes: np.ndarray, start: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posteriors of label 1, each voter's table P(vote | label), and the voters' correlations given the label.
 
-    votes: rows by voters of 1, 0 or ABSTAIN, which says nothing. Expectation maximisation estimates the tables with the
-    label hidden, from start or else from the share of votes for 1, each voter's by how little it repeats others.
-    What is left of the voters' covariance under the posterior gives their correlations; a voter's evidence is divided
-    by one plus its correlations with the others, so that voters that repeat each other don't count many times. That is
-    a heuristic in place of a likelihood with pairs of voters.
+    votes: rows by voters of 1, 0 or ABSTAIN, which says nothing. A voter's evidence is divided by the sum of its squared
+    correlations, of REPEATED or more, with all voters, itself included, so that k copies of a voter count as one: a
+    heuristic in place of a likelihood with pairs of voters. The weights come first, from the votes alone; then rounds of expectation
+    maximisation with the label hidden, from start or else from the weighted share of votes for 1, and of taking the
+    correlations anew from what the posterior leaves, until the weights stay. Voters that are REPEATED whatever the label
+    stay repeats, as a label that follows copies would explain them away.
     """
     given = votes != ABSTAIN
     onehot = np.stack([votes == v for v in (0, 1)], axis=2).astype(float)
-    both = np.maximum(given.T.astype(float) @ given, 1)
+    plain = correlations(votes, (votes == 1).sum(axis=0) / np.maximum(given.sum(axis=0), 1))
+    repeats = np.where(np.abs(plain) >= REPEATED, plain, 0.0)
 
-    def correlations(expected: np.ndarray) -> np.ndarray:
-        left = np.where(given, (votes == 1) - expected, 0.0)
-        cov = left.T @ left / both
-        scale = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-        return np.clip(cov / np.outer(scale, scale), -1, 1)
+    def shares(corr: np.ndarray) -> np.ndarray:
+        return 1 / np.maximum(1, np.where(np.abs(corr) >= REPEATED, corr**2, 0.0).sum(axis=1))
 
-    corr = correlations((votes == 1).sum(axis=0) / np.maximum(given.sum(axis=0), 1))
-    weight = 1 / np.maximum(1, np.abs(corr).sum(axis=1))
+    weight = shares(plain)
     posterior = ((votes == 1) @ weight + 0.05) / (given @ weight + 0.1) if start is None else start
-    for weight in (np.ones(votes.shape[1]), None):
-        for _ in range(steps if weight is not None else 1):
+    for _ in range(ROUNDS):
+        for _ in range(STEPS):
             tables = np.stack([np.einsum("r,rjv->jv", p, onehot) + 0.5 for p in (1 - posterior, posterior)])
             tables /= tables.sum(axis=2, keepdims=True)
             prior = np.clip(posterior.mean(), 1e-3, 1 - 1e-3)
-            if weight is None:
-                corr = correlations(np.einsum("lj,lr->rj", tables[:, :, 1], np.stack([1 - posterior, posterior])))
-                weight = 1 / np.maximum(1, np.abs(corr).sum(axis=1))
-            evidence = np.einsum("rjv,jv,j->r", onehot, np.log(tables[1]) - np.log(tables[0]), weight)
-            posterior = 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + evidence, -30, 30)))
+            evidence = np.einsum("rjv,jv->r", onehot, (np.log(tables[1]) - np.log(tables[0])) * weight[:, None])
+            before, posterior = posterior, 1 / (1 + np.exp(-np.clip(np.log(prior / (1 - prior)) + evidence, -30, 30)))
+            if np.abs(posterior - before).max() < 1e-6:
+                break
+        left = correlations(votes, np.einsum("lj,lr->rj", tables[:, :, 1], np.stack([1 - posterior, posterior])))
+        corr = np.where(np.abs(left) > np.abs(repeats), left, repeats)
+        last, weight = weight, shares(corr)
+        if np.abs(weight - last).max() < 1e-3:
+            break
     return posterior, tables, corr
 
 

@@ -288,6 +288,22 @@ def test_label_model_finds_accurate_and_repeated_voters():
     assert tables[1, 0, 1] > tables[1, 4, 1]
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_repeats_of_good_and_bad_voters_count_once(seed):
+    rng = np.random.default_rng(seed)
+    truth = rng.random(4000) < 0.3
+    votes = lambda right: np.where(rng.random(4000) < right, truth, ~truth).astype(int)
+    good, fair, bad = votes(0.9), [votes(0.75) for _ in range(3)], votes(0.55)
+    once = toxicity.label_model(np.stack([good, *fair, bad], axis=1))[0]
+    for columns in ([good, *fair, bad, bad], [good, *fair, *[bad] * 6], [good] * 4 + [*fair, bad], [good, *[fair[0]] * 4, *fair[1:], bad]):
+        posterior, _, corr = toxicity.label_model(np.stack(columns, axis=1))
+        assert ((posterior > 0.5) == truth).mean() > 0.91 and ((posterior > 0.5) == (once > 0.5)).mean() > 0.97
+    # a voter that abstains at times, beside copies of a bad one
+    some = np.where(rng.random(4000) < 0.4, toxicity.ABSTAIN, good)
+    posterior = toxicity.label_model(np.stack([some, good, *fair, bad, bad, bad], axis=1))[0]
+    assert ((posterior > 0.5) == truth).mean() > 0.9
+
+
 def test_updates_are_the_published_ones():
     model = linear.FollowRegularisedLeader(size=2, alpha=0.1, beta=1.0, l1=0.0, l2=0.0)
     ids = np.array([0])
