@@ -5,12 +5,15 @@ from __future__ import annotations
 import base64
 import hashlib
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 from datetime import UTC, datetime, timedelta
+from itertools import islice
 from urllib.parse import quote, urlsplit
 
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -103,16 +106,22 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col
     lots.write.option("lineSep", "\0").option("maxRecordsPerFile", LOTS).text(path)
 
 
-def members(data: bytes) -> Iterator[tuple[int, bytes]]:
-    """(offset, plain bytes) of each gzip member."""
+#: Bytes of an archive that a decompressor is handed at a time. What it leaves of them is copied once per member.
+SLICE = 1 << 14
+
+
+def members(data: bytes | memoryview) -> Iterator[tuple[int, bytes]]:
+    """(offset, plain bytes) of each gzip member, in time that grows with the archive's size."""
     at, view = 0, memoryview(data)
-    while at < len(data):
-        tool = zlib.decompressobj(31)
-        plain = tool.decompress(view[at:])
-        if not tool.eof:
-            raise ValueError(f"the gzip member at byte {at} is cut off")
-        yield at, plain
-        at = len(data) - len(tool.unused_data)
+    while at < len(view):
+        tool, plain, end = zlib.decompressobj(31), [], at
+        while not tool.eof:
+            if end == len(view):
+                raise ValueError(f"the gzip member at byte {at} is cut off")
+            plain.append(tool.decompress(view[end : end + SLICE]))
+            end = min(end + SLICE, len(view))
+        yield at, b"".join(plain)
+        at = end - len(tool.unused_data)
 
 
 def parsed(record: bytes) -> tuple[dict[str, str], bytes]:
@@ -127,7 +136,7 @@ def parsed(record: bytes) -> tuple[dict[str, str], bytes]:
 
 def record_at(archive: bytes, offset: int) -> tuple[dict[str, str], bytes]:
     """(fields, content) of the record whose member begins at an index entry's offset."""
-    return parsed(next(members(archive[offset:]))[1])
+    return parsed(next(members(memoryview(archive)[offset:]))[1])
 
 
 def _page(urn: str | None) -> int | None:
@@ -158,7 +167,12 @@ def _order(entry: tuple) -> tuple:
 
 
 def read_index(spark: SparkSession, path: str) -> DataFrame:
-    """The index entries of all archives in path: a sorted run for each file. Payloads are checked against their digests."""
+    """The index entries of all archives in path: a sorted run for each file.
+
+    Payloads are checked against their digests; a record that differs, and a member that is cut off, raise an error. Entries
+    of records without a page have a null page_id, those that revisit nothing a null refers_to. Archives without records
+    give no entries.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -208,37 +222,75 @@ class LoserTree:
             self._replay(winner)
 
 
-#: Entries of a range that one task merges, about; with the keys in memory some hundred MB.
-RANGE = 100_000
+#: Entries of a range that one task merges, about, and of a segment of a run, at most.
+RANGE, SEGMENT = 100_000, 5_000
+#: Sampled entries for each range, from which the driver takes where ranges begin.
+SAMPLED = 20
 
 
-def merge_index(index: DataFrame, range_rows: int = RANGE) -> DataFrame:
-    """The entries of all runs in order of URL key, date and page: ranges to each partition, merged within.
+def _entries(batch: pa.RecordBatch) -> Iterator[tuple]:
+    return zip(*(c.to_pylist() for c in batch.columns))
 
-    The runs are written as read_index() sorted them. Ranges are Spark's, of about equal size for any keys, as the page
-    and the place in an archive tell captures of one URL apart, and so many that one holds range_rows entries or so. Each
-    gets its part of every run, a run after the other and in the run's order, and a loser tree merges the parts.
-    """
-    scratch = Scratch(index.sparkSession)
-    runs = scratch.saved(index, "runs")
-    ranges = max(int(index.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-runs.count() // range_rows))
-    order = ["urlkey", "captured", "page_id", "file", "offset"]
-    ranged = runs.repartitionByRange(ranges, *order).sortWithinPartitions("file", *order)
 
-    def table(entries: list[tuple]) -> pd.DataFrame:
-        return pd.DataFrame(entries, columns=NAMES).astype({"page_id": "Int64", "refers_to": "Int64"})
+def _boundaries(runs: DataFrame, n: int, ranges: int) -> list[tuple]:
+    """The keys at which ranges of about equal size begin, but the first."""
+    sampled = runs.filter(F.pmod(F.xxhash64("file", "offset"), F.lit(max(1, n // (ranges * SAMPLED)))) == 0)
+    keys = sorted(_order(tuple(r)) for r in sampled.select(*NAMES).collect())
+    return [keys[k * len(keys) // ranges] for k in range(1, ranges)] if len(keys) >= ranges else keys
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parts: dict[str, list[tuple]] = {}
+
+def merge_index(index: DataFrame, range_rows: int = RANGE) -> DataFrame:
+    """The entries of all runs in order of URL key, date and page: a range to each partition, in the order of the partitions.
+
+    The runs are written as read_index() sorted them, and never sorted again. A task that reads some of them cuts each,
+    wherever a range ends, into segments, and a segment travels as one row. The task of a range puts each run's segments
+    in their place and merges the runs by a loser tree; it holds the range's segments packed, and one of each run
+    unpacked. Ranges are of about equal size for any keys, as the page and the place in an archive tell captures of one
+    URL apart, and so many that one holds range_rows entries or so; the driver holds SAMPLED keys for each. No entries
+    give an empty table.
+    """
+    scratch, spark = Scratch(index.sparkSession), index.sparkSession
+    runs = scratch.saved(index.select(*NAMES), "runs")
+    n = runs.count()
+    ranges = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // range_rows))
+    bounds = spark.sparkContext.broadcast(_boundaries(runs, n, ranges))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, run, place, last = TaskContext.get().partitionId(), 0, 0, None
+        for whole in batches:
+            for at in range(0, whole.num_rows, SEGMENT):
+                batch = whole.slice(at, SEGMENT)
+                starts, parts = [], []
+                for k, key in enumerate(map(_order, _entries(batch))):
+                    run += last is not None and key < last
+                    last, part = key, (bisect_right(bounds.value, key), task << 32 | run)
+                    if not parts or parts[-1] != part:
+                        starts.append(k)
+                        parts.append(part)
+                for k, end, (part, own) in zip(starts, [*starts[1:], batch.num_rows], parts):
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, batch.schema) as out:
+                        out.write_batch(batch.slice(k, end - k))
+                    place += 1
+                    yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "run": [own], "place": [place], "segment": [sink.getvalue().to_pybytes()]})
+
+    segments = runs.mapInArrow(cut, "part int, run long, place long, segment binary")
+
+    def unpacked(packed: list[bytes]) -> Iterator[tuple]:
+        for segment in packed:
+            for batch in pa.ipc.open_stream(segment):
+                yield from _entries(batch)
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list[bytes]] = {}
         for batch in batches:
-            for entry in batch.astype(object).where(batch.notna(), None).itertuples(index=False, name=None):
-                parts.setdefault(entry[4], []).append(entry)
-        out = []
-        for entry in LoserTree(parts.values(), _order):
-            out.append(entry)
-            if len(out) == 10_000:
-                yield table(out)
-                out = []
-        yield table(out)
-
-    return ranged.mapInPandas(run, INDEX)
+            for own, segment in zip(batch.column("run").to_pylist(), batch.column("segment").to_pylist()):
+                parts.setdefault(own, []).append(segment)
+        tree = iter(LoserTree([unpacked(p) for p in parts.values()], _order))
+        while out := list(islice(tree, 10_000)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), TYPES)], NAMES)
+
+    return segments.repartitionById(ranges, F.col("part")).sortWithinPartitions("run", "place").mapInArrow(merged, INDEX)
+
+
+TYPES = [{"long": pa.int64(), "string": pa.string()}[c.split()[1]] for c in INDEX.split(", ")]

@@ -1,6 +1,7 @@
 import hashlib
 import heapq
 import random
+import time
 import re
 import zlib
 from itertools import combinations
@@ -252,6 +253,29 @@ def test_archives(spark):
     assert warc.merge_index(warc.read_index(spark, empty)).count() == 0
 
 
+def test_runs_of_any_sizes_merge(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SEGMENT", 7)
+    rng = random.Random(4)
+    entry = lambda f, k: (rng.choice([None, *range(50)]), "u", rng.choice(["org,a)/", "org,b)/", f"org,{rng.random()})/"]), rng.choice(["1970", "1971"]), f, k, "response", 1, "d", None)
+    runs = [sorted((entry(f"file{f}", k) for k in range(rng.choice([0, 1, 30, 200]))), key=warc._order) for f in range(9)]
+    index = spark.createDataFrame([e for r in runs for e in r], warc.INDEX).coalesce(2)
+    for size in (10, 100_000):
+        merged = warc.merge_index(index, range_rows=size)
+        assert [tuple(r) for r in merged.collect()] == sorted((e for r in runs for e in r), key=warc._order)
+
+
+def test_archives_are_read_in_time_that_grows_with_their_size():
+    member = warc.gzip_member(random.Random(1).randbytes(4_000))
+
+    def seconds(n):
+        data, start = member * n, time.process_time()
+        assert sum(len(plain) for _, plain in warc.members(data)) == 4_000 * n
+        return time.process_time() - start
+
+    small = min(seconds(1_250) for _ in range(3))
+    assert seconds(10_000) < 3 * 8 * small
+
+
 @pytest.mark.parametrize("module, label, score", [(toxicity, "toxic", toxicity.score_toxicity), (quality_model, "quality", quality_model.score_quality)])
 def test_models_on_held_out_rows(spark, module, label, score):
     sf = "/root/testdata/sf0.01"
