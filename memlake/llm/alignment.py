@@ -7,6 +7,7 @@ import json
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
@@ -21,6 +22,10 @@ from memlake.llm.tables import Scratch, frequent
 BYTE_BPE, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Segments between spaces whose pieces a Python worker remembers, and the longest of them in characters.
 REMEMBERED, REMEMBERED_CHARS = 300_000, 64
+#: Segments that are encoded as one text.
+TOGETHER = 2_000
+#: Ends that are compared one by one.
+LOCAL = 8
 #: Groups with more links than this have their ids counted before they are paired.
 DENSE = 4_096
 #: Pairs of ids that a task holds before it adds them up, and sums before it hands them on.
@@ -56,83 +61,102 @@ class ByteTokens:
             self.lengths[i] = len(t)
 
     def encode(self, text: str) -> np.ndarray | None:
-        """The ids, or None if their bytes aren't those of text."""
-        ids = self.encoding.encode_ordinary(text)
-        return np.array(ids, np.int64) if self.encoding.decode_bytes(ids) == text.encode("utf-8", "surrogatepass") else None
+        """The ids, or None if they don't make up text; what they hold of it stands in its order, so that lengths tell."""
+        ids = self.encoding.encode_to_numpy(text, disallowed_special=()).astype(np.int64)
+        return ids if self.lengths[ids].sum() == len(text.encode("utf-8", "surrogatepass")) else None
 
 
 class Pieces:
-    """Ids of a sentencepiece model whose text isn't normalised and whose pieces hold spaces at their beginning only.
+    """Ids of a sentencepiece model whose text isn't normalised, and whose pieces hold spaces at their beginning only and no line ends.
 
-    Merges then never cross from a character to a space, so that each run of spaces and what follows it is encoded by
-    itself, and remembered. Both properties are checked.
+    Merges then never cross from a character to a space, or a line end, so that each run of spaces, or line end, with
+    what follows it is encoded by itself, and remembered. Both properties are checked; without them whole texts are
+    encoded.
     """
 
     def __init__(self, path: str):
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.size = self.model.get_piece_size()
         pieces = [self.model.id_to_piece(i) for i in range(self.size)]
-        self.whole = any(re.search("[^▁]▁", p) for p in pieces) or self.model.decode(self.model.encode(" ﬁ  x ")) != " ﬁ  x "
+        apart = not any(re.search("[^▁]▁|\n", p) for p in pieces) and self.model.decode(self.model.encode(" ﬁ  x \n")) == " ﬁ  x \n"
+        self.apart = apart
+        self.cut = re.compile(" +[^ \n]*|\n[^ \n]*" if apart else "(?s:.+)").findall
         self.bytes = [bytes([int(p[3:5], 16)]) if self.model.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
-        self.known: dict[str, list[int]] = {}
         self.space = self.model.piece_to_id("▁")
-
-    def encode(self, text: str) -> np.ndarray | None:
-        """The ids, or None if their bytes aren't those of a space and text."""
-        if self.whole:
-            ids = self.model.encode(text, num_threads=1)
-        else:
-            cut = re.findall(" +[^ ]*", " " + text)
-            new = list(set(cut).difference(self.known))
-            if len(self.known) + len(new) > REMEMBERED:
-                self.known.clear()
-                new = list(set(cut))
-            # the library puts the first space before a text by itself, but not before none
-            self.known.update((s, ids or [self.space]) for s, ids in zip(new, self.model.encode([s[1:] for s in new], num_threads=1)))
-            find = self.known.__getitem__
-            ids = [i for s in cut for i in find(s)]
-            for s in new:
-                if len(s) > REMEMBERED_CHARS:
-                    del self.known[s]
-        return np.array(ids, np.int64) if b"".join(map(self.bytes.__getitem__, ids)) == (" " + text).encode("utf-8", "surrogatepass") else None
-
-
-def groups(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
-    """The ends of the groups that common ends cut two rising lists of ends into, as counts of tokens of each side; the last ends are equal.
+        #: Segment -> its ids as 64-bit integers, or None if their bytes aren't those of the segment.
+        self.known: dict[str, bytes | None] = {}
+
+    def _encoded(self, segments: list[str]) -> dict[str, bytes | None]:
+        """The packed ids of each segment, or None; many are encoded as one text and cut apart by the lengths of their ids."""
+        plain = [s.encode("utf-8", "surrogatepass") for s in segments]
+        ids = np.array(self.model.encode("x" + "".join(segments), num_threads=1)[1:] if self.apart else [], np.int64)
+        ends = np.cumsum(self.lengths[ids])
+        wanted = np.cumsum(list(map(len, plain)))
+        cuts = np.searchsorted(ends, wanted)
+        if len(ids) and cuts[-1] < len(ends) and (ends[cuts] == wanted).all() and b"".join(map(self.bytes.__getitem__, ids.tolist())) == b"".join(plain):
+            packed, cuts = ids.tobytes(), (8 * (cuts + 1)).tolist()
+            return {s: packed[a:b] for s, a, b in zip(segments, [0, *cuts], cuts)}
+        return dict(zip(segments, map(self._alone, segments, plain)))
+
+    def _alone(self, segment: str, plain: bytes) -> bytes | None:
+        # the library puts a space before a text by itself, but not before none; none belongs before a line end
+        ids = self.model.encode(segment.removeprefix(" "), num_threads=1) or [self.space]
+        ids = ids if segment[0] == " " else ids[1:]
+        return np.array(ids, np.int64).tobytes() if b"".join(map(self.bytes.__getitem__, ids)) == plain else None
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray | None]:
+        """The ids of each text, or None if their bytes aren't those of a space and the text."""
+        cut = [self.cut(" " + t) for t in texts]
+        new = list(set().union(*cut).difference(self.known))
+        more = {s: ids for at in range(0, len(new), TOGETHER) for s, ids in self._encoded(new[at : at + TOGETHER]).items()}
+        get, out = self.known.get, []
+        for segments in cut:
+            found = [more[s] if (ids := get(s, b"")) == b"" else ids for s in segments]
+            out.append(None if None in found else np.frombuffer(b"".join(found), np.int64))
+        # those that come first are the likeliest to come again
+        self.known.update(islice(((s, ids) for s, ids in more.items() if len(s) <= REMEMBERED_CHARS), max(0, REMEMBERED - len(self.known))))
+        return out
+
+
+def inner(a: list[int], b: list[int]) -> tuple[list[int], list[int]]:
+    """Of two rising lists of ends whose last are equal, the places whose ends the other list lacks: all others end a group.
 
     At the current shift between the two, slices of doubling length are compared: equal ones are stretches of groups of
-    one token each, jumped together. In a slice that differs, halving finds the first difference. The group there is
-    irregular: its ends are met one by one, which gives the new shift.
+    one token each, jumped together. A slice that differs is halved down to LOCAL ends, which are met one by one, as are
+    those of the irregular group after them, which gives the new shift.
     """
     i = j = 0
-    n, m, ends_a, ends_b = len(a), len(b), [], []
-    while i < n:
-        start, step = i, 1
-        while (step := min(step, n - i, m - j)) and a[i : i + step] == b[j : j + step]:
+    inner_a, inner_b = [], []
+    while True:
+        step = LOCAL
+        while (x := a[i : i + step]) == b[j : j + step]:
+            if not x:
+                return inner_a, inner_b
             i, j, step = i + step, j + step, 2 * step
-        equal = 0  # so many ends of the slice are known to be; the whole slice isn't, or is empty
-        while step - equal > 1:
-            middle = (equal + step) // 2
-            if a[i + equal : i + middle] == b[j + equal : j + middle]:
-                equal = middle
-            else:
-                step = middle
-        i, j = i + equal, j + equal
-        if i > start:
-            ends_a.extend(range(start + 1, i + 1))
-            ends_b.extend(range(j - i + start + 1, j + 1))
-        if i == n:
-            break
-        while a[i] != b[j]:
-            if a[i] < b[j]:
+        while step > LOCAL:
+            step //= 2
+            if a[i : i + step] == b[j : j + step]:
+                i, j = i + step, j + step
+        while (end := a[i]) == (other := b[j]):
+            i += 1
+            j += 1
+        while end != other:
+            if end < other:
+                inner_a.append(i)
                 i += 1
+                end = a[i]
             else:
+                inner_b.append(j)
                 j += 1
-        i, j = i + 1, j + 1
-        ends_a.append(i)
-        ends_b.append(j)
-    return ends_a, ends_b
+                other = b[j]
+        i += 1
+        j += 1
+
+
+def groups(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ends of the groups that common ends cut the tokens into, as counts of tokens of each side."""
+    return tuple(np.delete(np.arange(1, len(ends) + 1), gone) for ends, gone in zip((a, b), inner(a.tolist(), b.tolist())))
 
 
 def links(a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,15 +187,12 @@ class Aligner:
         sides = [(range(self.a.size), ",|"), (range(self.b.size), ",;")]
         self.written = np.array([f"{i}{sign}" for ids, signs in sides for sign in signs for i in ids], object)
 
-    def align(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Ids of both sides and the ends of their groups; all empty for texts without tokens."""
+    def align_all(self, texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each text, ids of both sides and the ends of their groups; all empty for texts without tokens."""
         none = np.empty(0, np.int64)
-        a = self.a.encode(" " + text) if text else None
-        b = self.b.encode(text) if a is not None else None
-        if b is None:
-            return none, none, none, none
-        ends = groups(np.cumsum(self.a.lengths[a]).tolist(), np.cumsum(self.b.lengths[b]).tolist())
-        return a, b, np.array(ends[0], np.int64), np.array(ends[1], np.int64)
+        for text, b in zip(texts, self.b.encode_all([t or "" for t in texts])):
+            a = self.a.encode(" " + text) if text and b is not None else None
+            yield (none,) * 4 if a is None else (a, b, *groups(np.cumsum(self.a.lengths[a]), np.cumsum(self.b.lengths[b])))
 
     def text(self, a: np.ndarray, b: np.ndarray, ends_a: np.ndarray, ends_b: np.ndarray) -> str:
         """The groups as "a1,a2|b1;a3|b2,b3"."""
@@ -210,8 +231,7 @@ def aligned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pat
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
                 counts, digests, texts, pairs = [], [], [], []
-                for text in batch.column("text"):
-                    a, b, ends_a, ends_b = tool.align(text.as_py())
+                for a, b, ends_a, ends_b in tool.align_all(batch.column("text").to_pylist()):
                     keys, n = links(a, b, ends_a, ends_b)
                     text = tool.text(a, b, ends_a, ends_b)
                     counts.append((len(a), len(b), len(ends_a), int(n.sum())))

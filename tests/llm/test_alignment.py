@@ -12,7 +12,7 @@ from tokenizers import Tokenizer
 from memlake.llm import alignment, queries
 
 SF = "/root/testdata/sf0.001"
-ODD = ["", None, " ", "   ", " a", "a ", "a  b   c", "\t\n x\r\n", "ﬁ①é é", "a▁b", "<|endoftext|> and <s> <unk> <0x41>", "\x00a", "日本語のテキスト", "😀😀 ok", "x" * 3_000, "qzx" * 2_000, "word " * 20_000, " 　 y"]
+ODD = ["", None, " ", "   ", " a", "a ", "a  b   c", "\t\n x\r\n", "ﬁ①é é", "a▁b", "<|endoftext|> and <s> <unk> <0x41>", "\x00a", "one.\nTwo \n\n three\n", "\nx", "日本語のテキスト", "😀😀 ok", "x" * 3_000, "qzx" * 2_000, "word " * 20_000, " 　 y"]
 
 
 def plain(rows):
@@ -78,7 +78,8 @@ def test_groups_equal_common_ends():
             b = {n} | {x for x in a if rng.random() < 0.95}
         a, b = sorted(a), sorted(b)
         common = sorted(set(a) & set(b))
-        assert alignment.groups(a, b) == ([a.index(c) + 1 for c in common], [b.index(c) + 1 for c in common])
+        ends = alignment.groups(np.array(a), np.array(b))
+        assert [e.tolist() for e in ends] == [[a.index(c) + 1 for c in common], [b.index(c) + 1 for c in common]]
 
 
 def test_links_of_a_dense_group_are_counted_by_ids():
