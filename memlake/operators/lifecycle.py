@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from memlake.functions import text as T
 from memlake.operators.search import top
-from memlake.operators.vectors import best_of_pairs, unit_blocks
+from memlake.operators.vectors import likely_older_neighbours, older_neighbours, vector_rows
 
 BROKEN = "broken-index-row"
 
@@ -143,19 +143,17 @@ def apply_chunk_relations(chunks: DataFrame, verdicts: DataFrame, least: float =
     return chunks.withColumn("superseded_by", F.coalesce("new_superseded_by", "superseded_by")).drop("new_superseded_by")
 
 
-def chunk_supersession_candidates(chunks: DataFrame, k: int = 5, least: float = 0.82) -> DataFrame:
+def chunk_supersession_candidates(chunks: DataFrame, k: int = 5, least: float = 0.82, tables: int = 0, bits: int = 10, probes: int = 4) -> DataFrame:
     """(chunk_id, older_id, score, rank): for each chunk, the nearest older live chunks of 50 characters or more.
 
-    Blocks of vectors meet as matrices, and of each pair of blocks only the k best per chunk are shuffled. Blocks are
-    cut by time, so that of two blocks that don't overlap in time only one order is computed.
+    All chunks meet all older ones, in parts cut by time, so that of two parts that don't overlap in time only one order is
+    computed: exact, and quadratic in the chunks. With tables, only chunks that share a cell of so many tables of
+    random hyperplanes meet: some neighbours near least are missed, and the work grows with the cells' sizes.
     """
-    newer = chunks.filter("size(embedding) > 0").repartitionByRange(F.col("create_time")).sortWithinPartitions("create_time")
-    older = newer.filter("coalesce(superseded_by, '') = '' AND length(text) >= 50")
-    late, early = unit_blocks(newer, "chunk_id", "a", times="create_time"), unit_blocks(older, "chunk_id", "b", times="create_time")
-    early = early.withColumn("from_time", F.array_min("b_times"))
-    pairs = late.withColumn("to_time", F.array_max("a_times")).join(early, "dim").filter("from_time < to_time")
-    able = lambda s, new, old: (old[None, :] < new[:, None]) & (s >= least)
-    found = best_of_pairs(pairs, k, ("chunk_id", "older_id"), ("string", "string"), lambda s: s, able)
+    rows = vector_rows(chunks, "chunk_id", times="create_time").filter("t IS NOT NULL")
+    old = chunks.filter("coalesce(superseded_by, '') = '' AND length(text) >= 50")
+    older, names = vector_rows(old, "chunk_id", times="create_time").filter("t IS NOT NULL"), ("chunk_id", "older_id")
+    found = likely_older_neighbours(rows, older, k, least, names, tables, bits, probes) if tables else older_neighbours(rows, older, k, least, names)
     return top(found, ["chunk_id"], [F.desc("score"), F.col("older_id")], k)
 
 

@@ -66,8 +66,8 @@ def lookup_chunks(ids: DataFrame, chunks: DataFrame) -> DataFrame:
 def vector_topk(queries: DataFrame, chunks: DataFrame, k: int, source: str = "") -> DataFrame:
     """(query_id, chunk_id, score, rank): the k nearest chunks by cosine, at least 0; a zero vector is at 0 from all.
 
-    Blocks of queries meet blocks of chunks as matrices; of each block only the k best per query are shuffled.
-    Null and empty vectors, and those of another size than the query's, have no place.
+    Parts of the queries meet parts of the chunks as matrices, each pair in a task; of each only the k best per query are
+    shuffled. Null and empty vectors, and those of another size than the query's, have no place.
     """
     found = nearest(queries.select("query_id", "embedding"), filter_source(chunks, source).select("chunk_id", "embedding"), k)
     return top(found, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
