@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -110,10 +111,95 @@ def best_ratio(a: Column, against: Column) -> Column:
     return ratio(a, against)
 
 
+#: Characters that a fuzzy ratio looks at.
+COMPARED = 100
+
+
+def _compared(c: Column) -> Column:
+    return F.lower(F.substring(F.coalesce(c, F.lit("")), 1, COMPARED))
+
+
 def fuzzy_ratio(a: Column, b: Column) -> Column:
     """Ratcliff-Obershelp similarity of the first 100 characters in lower case; 0 where the second is empty."""
-    cut = lambda c: F.lower(F.substring(F.coalesce(c, F.lit("")), 1, 100))
-    return best_ratio(cut(a), F.array(cut(b)))
+    return best_ratio(_compared(a), F.array(_compared(b)))
+
+
+def common_characters(left: list[str], right: list[str]) -> np.ndarray:
+    """For each pair of texts of up to 128 characters, at least the length of their longest common subsequence.
+
+    All pairs advance together, a character of the right text at a step, as bits in two words each. Characters count as
+    equal where their codes are, modulo 251, so that the result can only be too large.
+    """
+
+    def codes(texts: list[str]) -> np.ndarray:
+        out = np.zeros((len(texts), 128), np.uint8)
+        for k, t in enumerate(texts):
+            c = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+            out[k, : len(c)] = 1 + c % 251
+        return out
+
+    a, b = codes(left), codes(right)
+    low, high = (np.full(len(left), ~np.uint64(0)) for _ in range(2))
+    for t in range(int(max(map(len, right), default=0))):
+        same = np.packbits((a == b[:, t : t + 1]) & (b[:, t : t + 1] > 0), axis=1, bitorder="little").view(np.uint64)
+        y, z = low & same[:, 0], high & same[:, 1]
+        added = low + y
+        high = (high + z + (added < low)) | (high & ~z)
+        low = added | (low & ~y)
+    return (128 - np.bitwise_count(low).astype(int) - np.bitwise_count(high)).astype(int)
+
+
+def _subsequence(a: str, b: str) -> int:
+    """The length of the longest common subsequence."""
+    at: dict[str, int] = {}
+    for k, c in enumerate(a):
+        at[c] = at.get(c, 0) | 1 << k
+    every = v = (1 << len(a)) - 1
+    for c in b:
+        y = v & at.get(c, 0)
+        v = (v + y | v - y) & every
+    return len(a) - v.bit_count()
+
+
+def _matched(tool: difflib.SequenceMatcher, least: float) -> int:
+    """Characters in the matching blocks of tool's texts, or 0 as soon as they can't become least any more.
+
+    The longest block leaves what lies left and right of it in both texts, which can't match more than its longest
+    common subsequence.
+    """
+    a, b = tool.a, tool.b
+    done, left = 0, [(_subsequence(a, b), 0, len(a), 0, len(b))]
+    possible = left[0][0]
+    while left and possible >= least:
+        most, alo, ahi, blo, bhi = left.pop()
+        i, j, k = tool.find_longest_match(alo, ahi, blo, bhi)
+        done, possible = done + k, possible - most + k
+        for part in ((alo, i, blo, j), (i + k, ahi, j + k, bhi)) if k else ():
+            if n := _subsequence(a[part[0] : part[1]], b[part[2] : part[3]]):
+                possible += n
+                left.append((n, *part))
+    return done if possible >= least else 0
+
+
+def fuzzy_ratio_from(a: Column, b: Column, least: float) -> Column:
+    """fuzzy_ratio() where it is least or more, else 0: pairs whose longest common subsequence is too short aren't compared."""
+
+    @F.pandas_udf("double")
+    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+        x, y = left.tolist(), right.tolist()
+        total = np.array(list(map(len, x))) + np.array(list(map(len, y)))
+        out, tool = np.zeros(len(x)), difflib.SequenceMatcher()
+        needed = least * total / 2 - 1e-9
+        able = np.flatnonzero((common_characters(x, y) >= needed) & (np.array(list(map(len, y))) > 0))
+        # a matcher keeps an index of its second text, so texts that come again go through it in a row
+        for k in sorted(able.tolist(), key=lambda k: y[k]):
+            if y[k] != tool.b:
+                tool.set_seq2(y[k])
+            tool.set_seq1(x[k])
+            out[k] = 2 * _matched(tool, needed[k]) / total[k]
+        return pd.Series(np.where(out >= least, out, 0.0))
+
+    return ratio(_compared(a), _compared(b))
 
 
 def ranked_in_parts(rows: DataFrame, key: str, order: str, parts: int = 1000) -> DataFrame:
@@ -151,14 +237,38 @@ def without_memo(pairs: DataFrame, memo: DataFrame) -> DataFrame:
     return pairs.join(judged, (pairs.a == judged.a) & (pairs.b == judged.b) & (pairs.created_a < judged.judged_at) & (pairs.created_b < judged.judged_at), "left_anti")
 
 
+#: Pairs of the newest clusters that are compared first, for each pair that is wanted.
+FIRST = 8
+
+
 def supersession_candidates(facts: DataFrame, memo: DataFrame, user_names: tuple[str, ...] = (), least: float = 0.45, per_cluster: int = 500, overall: int = 15_000) -> DataFrame:
-    """(cluster, a, b, ratio): likely supersessions for judging, newest clusters first; the two limits are the judges' budget."""
+    """(cluster, a, b, ratio): likely supersessions for judging, newest clusters first; the two limits are the judges' budget.
+
+    Pairs are compared from the newest clusters on, in rounds that reach as far as the share found so far says, until
+    there are enough: older clusters can't be among the first then. What a round keeps is cached.
+    """
     pairs = without_memo(candidate_pairs(facts, user_names), memo)
-    x, y = F.least(F.length("fact_a"), F.lit(100)), F.least(F.length("fact_b"), F.lit(100))
+    x, y = F.least(F.length("fact_a"), F.lit(COMPARED)), F.least(F.length("fact_b"), F.lit(COMPARED))
     pairs = pairs.filter(2.0 * F.least(x, y) >= least * (x + y))
-    scored = pairs.withColumn("ratio", fuzzy_ratio(F.col("fact_a"), F.col("fact_b"))).filter(F.col("ratio") >= least)
-    kept = top(scored, ["cluster"], [F.col("a"), F.col("b")], per_cluster, "at")
-    return kept.orderBy(F.desc("newest"), "cluster", "a", "b").limit(overall).select("cluster", "a", "b", F.round("ratio", 6).alias("ratio"))
+
+    def kept(some: DataFrame) -> DataFrame:
+        scored = some.withColumn("ratio", fuzzy_ratio_from(F.col("fact_a"), F.col("fact_b"), least)).filter(F.col("ratio") >= least)
+        return top(scored, ["cluster"], [F.col("a"), F.col("b")], per_cluster, "at").select("cluster", "newest", "a", "b", "ratio")
+
+    clusters = pairs.groupBy("newest").agg(F.count(F.lit(1)).alias("n")).persist()
+    total = clusters.agg(F.sum("n")).first()[0] or 0
+    reach, before, count, rounds = FIRST * overall, None, 0, []
+    while count < overall and total:
+        first = clusters.agg(F.expr(f"percentile(newest, {max(0.0, 1 - reach / total)}, n)").alias("p")).first().p
+        part = pairs.filter(F.col("newest") >= first)
+        rounds.append(kept(part if before is None else part.filter(F.col("newest") < before)).persist())
+        count += rounds[-1].count()
+        if reach >= total:
+            break
+        before, reach = first, reach + max(reach, int(1.2 * reach * (overall - count) / max(count, 1)))
+    clusters.unpersist()
+    found = reduce(DataFrame.unionByName, rounds) if rounds else kept(pairs)
+    return found.orderBy(F.desc("newest"), "cluster", "a", "b").limit(overall).select("cluster", "a", "b", F.round("ratio", 6).alias("ratio"))
 
 
 def superseded_chain(facts: DataFrame) -> DataFrame:

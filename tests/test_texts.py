@@ -105,3 +105,34 @@ def test_supersession_candidates_against_all_pairs(spark):
                     want.add((a[0], b[0]))
     got = facts.supersession_candidates(df, memo).collect()
     assert {(r.a, r.b) for r in got} == want and len(got) == len(want) > 100
+
+
+def test_ratio_bounds_lose_no_pair(spark):
+    import difflib
+    import random
+
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("aeirt") for _ in range(rng.randint(1, 7)))
+    texts = [" ".join(word() for _ in range(rng.randint(0, 22))) for _ in range(160)] + ["", None, "日本語 text é", "x" * 150, "xy" * 80]
+    pairs = [(n, rng.choice(texts), rng.choice(texts)) for n in range(1500)] + [(1500 + n, t, t) for n, t in enumerate(texts)]
+    df = spark.createDataFrame(pairs, "n int, a string, b string").select("n", facts.fuzzy_ratio_from(F.col("a"), F.col("b"), 0.45).alias("r"))
+    some = 0
+    for r in df.collect():
+        a, b = ((x or "").lower()[:100] for x in pairs[r.n][1:])
+        want = difflib.SequenceMatcher(None, a, b, autojunk=False).ratio() if b else 0.0
+        assert r.r == (want if want >= 0.45 else 0.0)
+        some += want >= 0.45
+    assert 200 < some < 1500
+    left, right = ([(p[k] or "").lower()[:100] for p in pairs] for k in (1, 2))
+    assert facts.common_characters(left, right).tolist() == [facts._subsequence(*p) for p in zip(left, right)]
+
+
+def test_supersession_limits_take_the_newest_clusters(spark):
+    rows = [(n, f"the rent of flat {n % 40} is {n % 7} hundred", f"cat{n % 40}", ["Flat"], "2024-01-01", None) for n in range(1200)]
+    df = spark.createDataFrame(rows, "id long, fact string, category string, entity_tags array<string>, created_at string, superseded_by long")
+    memo = spark.createDataFrame([], "fact_id_a long, fact_id_b long, judged_at string")
+    every = [tuple(r) for r in facts.supersession_candidates(df, memo, per_cluster=60, overall=10**6).collect()]
+    newest = {c: max(r[0] for r in rows if f"cat{r[0] % 40}|flat" == c) for c, *_ in every}
+    assert len(every) == 40 * 60 and every == sorted(every, key=lambda r: (-newest[r[0]], *r[:3]))
+    for overall in (1, 50, 700):
+        assert [tuple(r) for r in facts.supersession_candidates(df, memo, per_cluster=60, overall=overall).collect()] == every[:overall]
