@@ -15,7 +15,21 @@ from memlake.functions import text as T
 
 _SOLID = re.compile(r"\S")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
-_HEADING = re.compile(r"^(#{1,6} .+|[A-Z0-9][A-Z0-9 .'-]{4,60}|\d+(\.\d+)*[.)] .{3,80})$")
+#: The ends of sentences that a long paragraph is cut after, best first.
+STOPS = (". ", ".\n", "? ", "! ", "; ")
+#: How the first line of a paragraph begins that is a heading, and its characters at most.
+HEADINGS = (
+    r"(Art\.|ARTICLE|Section|SECTION|TITOLO|TITLE|CAPO|CHAPTER)\s",
+    r"\d+[.)]\s+[A-Z]",
+    r"[A-Z][A-Z\s]{5,}$",
+    r"[IVXLC]+[.)]\s",
+    r"\d+\.\d+\s+[A-Z]",
+)
+HEADING_CHARS = 80
+_HEADING = re.compile("|".join(HEADINGS))
+#: Between sentences of a long paragraph under headings.
+_NEXT = re.compile(r"(?<=[.!?])\s+(?=[A-Z])|(?<=[.!?])\n")
+_BLANK_LINES = re.compile(r"\n\s*\n")
 
 
 #: Where a text may be cut, best first, and how many characters of the sign stay before the cut.
@@ -61,17 +75,61 @@ def _sentences(text: str, most: int) -> list[str]:
     return [x for p in _packed(_SENTENCE.split(text), most, 0, " ") for x in (greedy(p, most) if len(p) > most else [p])]
 
 
+def _cut_after(text: str, most: int, signs: tuple[str, ...]) -> list[str]:
+    """Stripped parts of at most so many characters, each cut after the last of the first sign that stands beyond 30 % of it, else before a blank there, else where it is full."""
+    parts, start, near = [], 0, most * 0.3
+    while len(text) - start > most:
+        reach = start + most
+        ends = [at + len(sign) for sign in signs if (at := text.rfind(sign, start, reach)) - start > near]
+        blank = text.rfind(" ", start, reach)
+        end = ends[0] if ends else blank if blank - start > near else reach
+        parts.append(text[start:end].strip())
+        start = next((m.start() for m in _SOLID.finditer(text, end)), len(text))
+    return [p for p in (*parts, text[start:].strip()) if p]
+
+
+def _pieces(text: str) -> list[str]:
+    return [p.strip() for p in _BLANK_LINES.split(text) if p.strip()]
+
+
+def _merged(parts: list[str], least: int) -> list[str]:
+    """Parts under least characters take up the ones after them until they reach it; the last goes to the one before it."""
+    out: list[str] = []
+    for p in parts:
+        if out and len(out[-1]) < least:
+            out[-1] += "\n\n" + p
+        else:
+            out.append(p)
+    if len(out) > 1 and len(out[-1]) < least:
+        out[-2:] = ["\n\n".join(out[-2:])]
+    return out
+
+
 def paragraphs(text: str, most: int = 1200, least: int = 300) -> list[str]:
-    """Paragraphs packed together, long ones cut at sentence ends."""
-    pieces = [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()]
-    return _packed([x for p in pieces for x in (_sentences(p, most) if len(p) > most else [p])], most, least, "\n\n")
+    """Paragraphs packed together up to most characters, and beyond while there are under least; long ones are cut at sentence ends, and what is left of them goes on. A short text is one part as it is."""
+    if len(text) <= most:
+        return [text] if text.strip() else []
+    parts: list[str] = []
+    open_ = False  # whether the last part may grow
+    for p in _pieces(text):
+        if len(p) > most:
+            parts += _cut_after(p, most, STOPS)
+            open_ = True
+        elif open_ and (len(parts[-1]) + 2 + len(p) <= most or len(parts[-1]) < least):
+            parts[-1] += "\n\n" + p
+        else:
+            parts.append(p)
+            open_ = True
+    return _merged(parts, least)
 
 
 def _blocks(text: str) -> Iterator[tuple[str, str]]:
-    """(kind, text): fenced code, tables, prose."""
-    kind, held = "prose", []
+    """(kind, text): fenced code, tables, prose. A fence ends at a line that begins with its own sign."""
+    kind, held, sign = "prose", [], ""
     for line in text.split("\n"):
-        fence = line.lstrip().startswith("```")
+        begins = line.lstrip()[:3]
+        fence = begins == sign if kind == "code" else begins in ("```", "~~~")
+        sign = begins if fence else sign
         new = "code" if kind == "code" or fence else "table" if line.lstrip().startswith("|") else "prose"
         if new != kind and held:
             yield kind, "\n".join(held)
@@ -100,19 +158,31 @@ def markdown(text: str, most: int = 1200, least: int = 300) -> list[str]:
     return _packed(pieces, most, least, "\n")
 
 
+def is_heading(paragraph: str) -> bool:
+    first = paragraph.split("\n", 1)[0].strip()
+    return 0 < len(first) < HEADING_CHARS and bool(_HEADING.match(first))
+
+
 def headings(text: str, target: int = 1200, most: int = 2000, least: int = 200) -> list[str]:
-    """Headings begin parts; within them sentences are packed."""
-    sections: list[list[str]] = [[]]
-    for line in text.split("\n"):
-        if _HEADING.match(line.strip()) and sections[-1]:
-            sections.append([])
-        sections[-1].append(line)
-    out = []
-    for s in sections:
-        body = "\n".join(s).strip()
-        if body:
-            out += [x for p in ([body] if len(body) <= most else _packed(_SENTENCE.split(body), target, least, " ")) for x in (greedy(p, most) if len(p) > most else [p])]
-    return out
+    """Paragraphs packed together up to target characters; a heading ends a part of more than least. Those over most are cut by sentences, apart from the others. A short text is one part."""
+    text = text.strip()
+    if len(text) <= target:
+        return [text] if text else []
+    parts: list[str] = []
+    open_ = False
+    for p in _pieces(text):
+        if len(p) > most:
+            sentences = _packed([s for s in _NEXT.split(p) if s.strip()], target, 0, " ")
+            parts += [x for s in sentences for x in (_cut_after(s, target, ()) if len(s) > target else [s.strip()])]
+            open_ = False
+        elif open_ and len(parts[-1]) + 2 + len(p) <= target and not (is_heading(p) and len(parts[-1]) > least):
+            parts[-1] += "\n\n" + p
+        else:
+            parts.append(p)
+            open_ = True
+    if open_ and len(parts) > 1 and len(parts[-1]) < least:
+        parts[-2:] = ["\n\n".join(parts[-2:])]
+    return parts
 
 
 CUTTERS: dict[str, Callable[[str], list[str]]] = {"greedy": greedy, "paragraphs": paragraphs, "markdown": markdown, "headings": headings}

@@ -49,25 +49,67 @@ def normalize_email_bodies(emails: DataFrame, least: int = 50, most: int = 10_00
     return rows.withColumns({"body": cut, "is_sent": F.array_contains("labels", "SENT")})
 
 
-_SEPARATOR = re.compile(r"^(-{2,}\s*(original message|forwarded message|messaggio originale|messaggio inoltrato)|begin forwarded message)", re.I)
-_REPLY = re.compile(r"^(on .{5,80} wrote:|il .{5,80} ha scritto:)\s*$", re.I)
-_CLOSING = re.compile(r"(sent from my|inviato da|this e-?mail and any attachments|le informazioni contenute)", re.I)
-_URLS = re.compile(r"(?:https?://\S+\s*){2,}")
-
-
-def own_text(body: str | None) -> str:
-    """A mail's own words: no quoted lines, reply headers, forwarded part, signature, disclaimer or runs of links."""
+#: Lines that are left out, lines that end a mail's own words, and the line before a signature.
+QUOTED_LINES = (r">", r"On .+ wrote:\s*$", r"Il .+ ha scritto:\s*$")
+END_LINES = (r"-{3,}\s*(Original Message|Forwarded message|Messaggio originale)", r"_{3,}\s*$")
+SIGNATURE = r"\n-- ?\n"
+#: What closings look like, in the order in which they are tried.
+CLOSINGS = (
+    r"(?:Questa e-?mail|La presente e-?mail|La presente comunicazione).*(?:destinat[aoi]|riservat[aoi]|intend)",
+    r"(?:l'utilizzo e la distribuzione|severamente proibita)",
+    r"(?:Se non siete il destinatario|Se ha ricevuto per errore|Se Lei non è il destinatario)",
+    r"(?:This e-?mail|This message).*(?:confidential|intended solely|privileged)",
+    r"(?:If you are not the intended recipient|If you have received this)",
+    r"(?:strictly prohibited|unauthorized use|unauthorized disclosure)",
+    r"(?:AVVISO DI RISERVATEZZA|CONFIDENTIALITY NOTICE|DISCLAIMER|AVVERTENZA)",
+    r"\[https?://.*?(?:signature|logo|banner).*?\]",
+    r"(?:Sent from|Inviato da|Envoyé de) (?:my |Mail for |)(?:iPhone|iPad|Android|Samsung|Outlook|Gmail)",
+    r"(?:^|\n)(?:Tel|Phone|Fax|Mobile|Cell|Office|Direct)[.:]?\s*[\+\d\(\)\-\s]{8,}",
+)
+#: What cuts wherever it stands, tried one after the other once links are gone.
+LATE_CLOSINGS = (
+    r"(?:Questa e-?mail e tutti i suoi allegati|This e-?mail and any)",
+    r"(?:L'utilizzo e la distribuzione|The use and distribution)",
+    r"(?:Se non siete il|If you are not the intended)",
+    r"(?:Get Outlook for|Scarica Outlook per)",
+)
+#: Lines of links, and the characters before a closing that make it one.
+LINK_LINES = (r"[\s·•\-]*\[?https?://", r"\[.*http", r".*·.*http|.*http.*·", r"[\s·•\-]*\[.*\]\s*$")
+OWN_CHARS = 50
+
+_QUOTED, _LINK = re.compile("|".join(QUOTED_LINES)), re.compile("|".join(LINK_LINES))
+_END = re.compile("|".join(END_LINES), re.I)
+
+
+def _before(text: str, pattern: str) -> str | None:
+    """What stands before the first match, if it is more than OWN_CHARS."""
+    found = re.search(pattern, text, re.I | re.M)
+    before = text[: found.start()].strip() if found else ""
+    return before if len(before) > OWN_CHARS else None
+
+
+def own_text(body: str | None, closings: tuple[str, ...] = ()) -> str:
+    """A mail's own words: no quoted lines, reply headers, forwarded part, signature, disclaimer or lines of links. closings: further plain texts that closings begin with."""
+    own = tuple(map(re.escape, closings))
     lines = []
-    for line in (body or "").splitlines():
-        if _SEPARATOR.match(line.strip()):
+    for line in (body or "").split("\n"):
+        if _END.match(line.strip()):
             break
-        if not line.lstrip().startswith(">") and not _REPLY.match(line.strip()):
+        if not _QUOTED.match(line.strip()):
             lines.append(line)
-    text = "\n".join(lines).split("\n-- ")[0]
-    closing = _CLOSING.search(text)
-    if closing and closing.start() > 50:
-        text = text[: closing.start()]
-    return _URLS.sub("", text).strip()
+    text = re.split(SIGNATURE, "\n".join(lines).strip())[0].strip()
+    text = next((cut for p in (*CLOSINGS, *own) if (cut := _before(text, p)) is not None), text)
+    kept, linked = [], False
+    for line in text.split("\n"):
+        link = bool(_LINK.match(line.strip()))
+        linked = link or linked and not line.strip()
+        if not linked:
+            kept.append(line)
+    text = "\n".join(kept).strip()
+    for p in (*LATE_CLOSINGS, *own):
+        cut = _before(text, p)
+        text = text if cut is None else cut
+    return text
 
 
 def strip_quoted(emails: DataFrame) -> DataFrame:

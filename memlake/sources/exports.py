@@ -106,9 +106,10 @@ def write_chunks(chunks: DataFrame, path: str, kind: str = "parquet", by: tuple[
     chunks.write.format(kind).partitionBy(*by).save(path)
 
 
-#: What a scan keeps and passes by.
-EXTENSIONS = ("md", "txt", "csv", "html", "pdf", "docx", "xlsx", "json")
-IGNORED = ("/.git/", "/node_modules/", "/.trash/", "/~$")
+#: Extensions that a scan keeps, folders that it passes by, and parts of the names of files that it passes by.
+EXTENSIONS = ("pdf", "xlsx", "xls", "csv", "tsv", "docx", "pptx", "md", "markdown")
+IGNORED_FOLDERS = ("Food Tracker",)
+IGNORED_NAMES = ("~$", ".tmp", "Thumbs.db", ".DS_Store")
 
 
 def file_rows(files: DataFrame, root: str, denied: DataFrame | None = None, extensions: tuple[str, ...] = EXTENSIONS) -> DataFrame:
@@ -118,8 +119,10 @@ def file_rows(files: DataFrame, root: str, denied: DataFrame | None = None, exte
     rows = rows.withColumns({"filename": F.element_at(F.split("filepath", "/"), -1), "rel_path": F.regexp_replace("filepath", "^" + root.rstrip("/") + "/", ""), "extension": F.lower(F.regexp_extract("filepath", "\\.([^./]+)$", 1))})
     rows = rows.withColumn("category", F.when(F.instr("rel_path", "/") > 0, F.split("rel_path", "/")[0]).otherwise(""))
     rows = rows.filter(F.col("extension").isin(*extensions))
-    for part in IGNORED:
-        rows = rows.filter(~F.col("filepath").contains(part))
+    for folder in IGNORED_FOLDERS:
+        rows = rows.filter(~F.contains(F.concat(F.lit("/"), "rel_path"), F.lit(f"/{folder}/")))
+    for part in IGNORED_NAMES:
+        rows = rows.filter(~F.col("filename").contains(part))
     return rows if denied is None else rows.join(denied.select("filepath"), "filepath", "left_anti")
 
 

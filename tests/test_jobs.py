@@ -103,12 +103,12 @@ def test_exports(spark, tmp_path):
 
 
 def test_files(spark, tmp_path):
-    for name, text in (("work/a.md", "one"), ("work/b.exe", "two"), ("c.txt", "one"), (".git/d.md", "x"), ("e.md", "y")):
+    for name, text in (("work/a.md", "one"), ("work/b.exe", "two"), ("c.CSV", "one"), ("Food Tracker/d.md", "x"), ("e.md", "y"), ("~$f.docx", "z"), ("g.tmp.md", "z"), ("h.markdown", "z"), ("i.txt", "z")):
         (tmp_path / name).parent.mkdir(exist_ok=True)
         (tmp_path / name).write_text(text)
     denied = spark.createDataFrame([(str(tmp_path / "e.md"),)], "filepath string")
     rows = {r.rel_path: r for r in exports.scan_files(spark, str(tmp_path), denied).collect()}
-    assert set(rows) == {"work/a.md", "c.txt"} and rows["work/a.md"].category == "work" and rows["c.txt"].category == "" and rows["c.txt"].hash == rows["work/a.md"].hash
+    assert set(rows) == {"work/a.md", "c.CSV", "h.markdown"} and rows["work/a.md"].category == "work" and rows["c.CSV"].category == "" and rows["c.CSV"].hash == rows["work/a.md"].hash
 
 
 def test_cutters(spark):
@@ -128,9 +128,67 @@ def test_cutters(spark):
     assert [r.text for r in spark.sql("SELECT part, text FROM cut_greedy('a b')").collect()] == ["a b"]
 
 
+LEAD = "These are the words that the sender wrote, more than fifty of them in characters."
+
+
+@pytest.mark.parametrize("tail", """____
+--- Original Message ---
+-----Forwarded message from x
+This message is confidential and privileged
+This e-mail and any attachments
+Questa email è riservata
+La presente comunicazione è destinata a voi
+Se ha ricevuto per errore
+If you have received this in error
+unauthorized use
+CONFIDENTIALITY NOTICE
+[https://a.b/logo.png]
+Sent from my iPhone
+Envoyé de iPhone
+Inviato da Outlook
+Tel: +39 02 1234567890
+Get Outlook for Android
+The use and distribution
+-- """.split("\n"))
+def test_tails_of_mail_are_cut(tail):
+    assert mail.own_text(f"{LEAD}\n{tail}\nAnn") == LEAD
+
+
 def test_own_words_of_mail():
-    body = "Hello\n> quoted\nOn Monday the 3rd Ann wrote:\nbye\nhttp://a http://b \n-- \nsig"
-    assert mail.own_text(body) == "Hello\nbye" and mail.own_text("a\nBegin forwarded message\nb") == "a" and mail.own_text(None) == ""
+    for kept in ("Sent from my notebook", "Sent from home", "Tel: 12", "--- more", "On Monday we wrote", "a\x0bb\u2028c", "begin forwarded message", "The mobile office"):
+        assert mail.own_text(f"{LEAD}\n{kept}") == f"{LEAD}\n{kept}"
+    body = f"Hello\n> quoted\n  >> twice\nOn {'x' * 100} wrote:\nIl 3 maggio Ann ha scritto: \nbye\nhttp://a http://b\n\n[image]\n \n· http://c\nlast\n-- \nsig"
+    assert mail.own_text(body) == "Hello\nbye\nlast" and mail.own_text(None) == "" == mail.own_text("> all")
+    # the first pattern with enough before it wins; earlier ones with too little don't cut
+    assert mail.own_text(f"Disclaimer: short\n{LEAD}\nSent from my iPad\nx") == f"Disclaimer: short\n{LEAD}"
+    assert mail.own_text(f"{LEAD}\nKind regards, Acme+Co\nx", ("Kind regards, Acme+Co",)) == LEAD
+
+
+def test_headings_as_listed():
+    yes = ["Art. 4 Definitions", "Section 2 Terms", "IV. Penalties", "1.2 Reporting", "1. SERVICES", "2) Term", "TERMINATION FOR CAUSE", "TITOLO I"]
+    no = ["12345", "1) lower case", "Plain words", "1. " + "S" * 90, "", "article 4", "ABC"]
+    assert [h for h in yes if not chunking.is_heading(h + "\nbody")] == [] == [h for h in no if chunking.is_heading(h)]
+
+
+def test_cut_positions():
+    p = lambda n, c="p": c * (n - 1) + "."
+    # a heading ends a part of more than 200 characters, not a shorter one; a short last part joins the one before it
+    assert chunking.headings("\n\n".join([p(300), "Art. 1 One\nx", p(500), p(600)])) == [p(300), f"Art. 1 One\nx\n\n{p(500)}\n\n{p(600)}"]
+    assert chunking.headings("\n\n".join([p(150), "Art. 1 One", p(1000), p(100)])) == [f"{p(150)}\n\nArt. 1 One\n\n{p(1000)}\n\n{p(100)}"]
+    assert chunking.headings("\n\n".join([p(1150), "Art. 1 One"])) == [f"{p(1150)}\n\nArt. 1 One"]
+    long = " ".join(["S" + "x" * 698 + "."] * 4)
+    assert [len(x) for x in chunking.headings(long)] == [700] * 4
+    assert [len(x) for x in chunking.headings("y" * 3000)] == [1200, 1200, 600]
+    # paragraphs: parts under 300 take more than fits; long ones are cut after the best sign beyond 30 %, and the rest goes on
+    assert chunking.paragraphs("\n\n".join([p(290), p(1100)])) == [f"{p(290)}\n\n{p(1100)}"]
+    assert chunking.paragraphs("\n\n".join([p(700), p(700)])) == [p(700), p(700)]
+    mixed = "a" * 500 + "? " + "b" * 400 + ". " + "c" * 100 + "; " + "d" * 900
+    assert [len(x) for x in chunking.paragraphs(mixed)] == [903, 1002]
+    assert chunking.paragraphs("e" * 200 + ". " + "f" * 2000)[0] == "e" * 200 + ". " + "f" * 998
+    assert chunking.paragraphs("g" * 1000 + " " + "h" * 900 + "\n\n" + p(200)) == ["g" * 1000, f"{'h' * 900}\n\n{p(200)}"]
+    # a fence of one sign isn't ended by the other
+    fenced = "~~~\n```\n" + "code. " * 400 + "\n~~~"
+    assert fenced in chunking.markdown(f"{p(800)}\n\n{fenced}\n\n{p(800)}")
 
 
 def test_senders(spark):
