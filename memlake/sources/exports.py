@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memlake.functions import text as T
+from memlake.sources import pointers
 
 LEAST_CHARS = 100
 MAIL = "id string, thread_id string, date string, `from` string, `to` string, cc string, subject string, body string, labels array<string>, is_sent boolean, snippet string, account string, useful boolean, triage_error string"
@@ -131,24 +132,45 @@ def scan_files(spark: SparkSession, root: str, denied: DataFrame | None = None)
     return file_rows(files, root, denied)
 
 
-def save_registry(df: DataFrame, path: str, version: int) -> None:
-    """df as a new version of a registry or checkpoint table. Readers of the version before aren't disturbed, and a run that is done again replaces its own."""
-    df.write.mode("overwrite").parquet(f"{path.rstrip('/')}/version={version:010d}")
+def save_registry(df: DataFrame, path: str, base: int | None = None) -> int:
+    """df as the version after base, the version that it was made from, or after the newest; returns its number.
 
+    The rows are written first and become the version by a pointer file, all at once: readers see this version or the
+    one before. If another writer has put a version after base, StaleBase is raised and nothing changes.
+    """
+    spark, path = df.sparkSession, path.rstrip("/")
+    number = 1 + (pointers.latest(spark, path)[0] if base is None else base)
+    name = pointers.new_name(number)
+    df.write.parquet(f"{path}/{name}")
+    try:
+        pointers.commit(spark, path, number, {"data": name})
+    except pointers.StaleBase:
+        pointers.delete(spark, f"{path}/{name}")
+        raise
+    return number
 
-def load_registry(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version."""
-    rows = spark.read.parquet(path)
-    newest = rows.agg(F.max("version")).first()[0]
-    return rows.filter(F.col("version") == newest).drop("version")
+
+def registry_version(spark: SparkSession, path: str) -> int:
+    """The number of the newest version; 0 without any."""
+    return pointers.latest(spark, path.rstrip("/"))[0]
+
+
+def load_registry(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
+    """A version, or the newest. Its pointer alone tells where it is: other versions aren't looked at."""
+    path = path.rstrip("/")
+    body = pointers.latest(spark, path)[1] if version is None else pointers.read(spark, path, version)
+    if not body:
+        raise ValueError(f"{path} has no version")
+    return spark.read.parquet(f"{path}/{body['data']}")
 
 
 def drop_old_versions(spark: SparkSession, path: str, kept: int) -> None:
-    """Empties all versions but the newest kept ones."""
-    numbers = [r.version for r in spark.read.parquet(path).select("version").distinct().orderBy(F.desc("version")).collect()]
-    schema = load_registry(spark, path).schema
-    for n in numbers[kept:]:
-        save_registry(spark.createDataFrame([], schema), path, n)
+    """Deletes all versions but the newest kept ones, one at least: first the pointer, then the rows."""
+    path = path.rstrip("/")
+    for number in pointers.committed(spark, path)[: -max(1, kept)]:
+        body = pointers.read(spark, path, number)
+        pointers.delete(spark, f"{path}/_pointers/{number:010d}.json")
+        pointers.delete(spark, f"{path}/{body['data']}")
 
 
 def append_notes(notes: DataFrame) -> DataFrame:

@@ -1,13 +1,14 @@
 """Streams against their batch twins, readers, cutters and searches on small tables."""
 
 import json
+import threading
 from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
 
 from memlake.operators import chunking, lifecycle, mail, search, stats
-from memlake.sources import exports
+from memlake.sources import exports, pointers
 from memlake.streaming import jobs
 
 START = datetime(2024, 1, 1)
@@ -24,9 +25,13 @@ def streamed(spark, rows, schema, path):
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{path}/in")
 
 
+QUERIES = {}
+
+
 def drained(df, name, mode="append"):
     query = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    query.awaitTermination(240)
+    QUERIES[name] = query
     return df.sparkSession.table(name).collect()
 
 
@@ -40,15 +45,37 @@ def test_sessions_split_at_the_timeout(spark, tmp_path):
     assert {(r.user_id, r.start, r.events) for r in got} == {w for w in want if w[0] != 9}
 
 
-def test_bans(spark, tmp_path):
+@pytest.fixture
+def timers(spark):
+    spark.conf.set(*jobs.PROVIDER)
+    late = jobs.LateRows()
+    spark.streams.addListener(late)
+    yield late
+    spark.streams.removeListener(late)
+    spark.conf.unset(jobs.PROVIDER[0])
+
+
+def state_rows(spark, name):
+    """Rows of state that the last progress of the query of this name reported."""
+    return [s.numRowsTotal for q in [QUERIES[name]] for s in q.lastProgress.stateOperators]
+
+
+def test_bans(spark, tmp_path, timers):
     schema = "event_id long, user_id long, event_type string, ts timestamp"
     fails = lambda user, *minutes: [(0, user, "error", at(m)) for m in minutes]
     rows = fails(1, 0, 1, 2, 3, 4) + fails(2, 0, 1, 2, 3) + [(0, 2, "signup", at(3.5))] + fails(2, 4) + fails(3, 0, 1, 2, 3, 4, 40, 41) + fails(4, 0, 4, 8, 12, 16.0000003)
     want = {(1, at(4), at(34)), (3, at(4), at(34))}
-    whole = spark.createDataFrame(sorted(rows, key=lambda r: r[3]), schema)
-    whole.coalesce(1).write.parquet(f"{tmp_path}/one")
-    stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/one")
+    # out of order within the hour that rows may be late, two to a batch; then ones that end all others' windows, and one that is too late
+    mixed = sorted(rows, key=lambda r: (r[3].minute % 7, r[1]))
+    parts = [mixed[k : k + 8] for k in range(0, len(mixed), 8)] + [fails(9, 600)] + [fails(9, 601)] + [fails(9, 602) + fails(1, 2.5)]
+    for part in parts:
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
     assert {tuple(r) for r in drained(jobs.stream_bans(stream), "bans")} == want
+    assert timers.counts["bans"] == 1
+    # of all users only the last one's rows wait; the others' failures and bans are over
+    assert sum(state_rows(spark, "bans")) <= 5
+    whole = spark.createDataFrame(sorted(rows, key=lambda r: r[3]), schema)
     first = stats.ban_triggers(whole, "error", 5, 900).groupBy("user_id").agg(F.min("ts").alias("ts"))
     assert {(r.user_id, r.ts) for r in first.collect()} == {(1, at(4)), (3, at(4)), (2, at(4))}
 
@@ -65,21 +92,67 @@ def test_breaches(spark):
 
 def test_upserts_are_the_same_twice(spark, tmp_path):
     schema = "conversation_id string, title string, ts string, text string, seq long"
-    rows = [("a", "t", "1", "one", 1), ("b", "t", "1", "two", 1), ("a", "t", "2", "three", 2), ("", "t", "3", "four", 1), ("a", "t", "1", "late", 0)]
-    stream = streamed(spark, rows, schema, str(tmp_path))
-    for _ in range(2):
-        jobs.stream_upsert_messages(stream, f"{tmp_path}/table", f"{tmp_path}/checkpoint").awaitTermination(120)
-    got = {(r.conversation_id, r.text) for r in jobs.live_messages(spark, f"{tmp_path}/table").collect()}
-    assert got == {("a", "three"), ("b", "two"), ("", "four")} == {(r.conversation_id, r.text) for r in jobs.upsert(None, spark.createDataFrame(rows, schema)).collect()}
+    rows = [("a", "t", "1", "one", 1), ("b", "t", "1", "two", 1), ("a", "t", "2", "three", 2), ("", "t", "3", "four", 1), ("a", "t", "1", "late", 0)] + [(f"c{n % 7}", "t", "1", f"text{n}", n) for n in range(12)]
+    for n, r in enumerate(rows):
+        spark.createDataFrame([r], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    tables = []
+    for checkpoint in ("one", "one", "two"):  # again from the same point, and all batches again
+        jobs.stream_upsert_messages(stream, f"{tmp_path}/table", f"{tmp_path}/{checkpoint}", 4, 2).awaitTermination(240)
+        tables.append(sorted(map(tuple, jobs.live_messages(spark, f"{tmp_path}/table").collect())))
+    want = jobs.upsert(None, spark.createDataFrame(rows, schema))
+    assert tables == [sorted(map(tuple, want.collect()))] * 3 and len(tables[0]) == 10
+    counts = jobs.upsert_counts(spark, f"{tmp_path}/table").collect()
+    assert len(counts) == len(rows) and sum(r.inserted for r in counts) == 10 and sum(r.updated for r in counts) == len(rows) - 10 - 1
+    # what a read opens doesn't grow with the batches
+    body = pointers.latest(spark, f"{tmp_path}/table")[1]
+    assert len(body["deltas"]) <= 2 and len(body["base"]) <= 4
 
 
-def test_alerts_of_a_stream(spark, tmp_path):
+def test_registry_versions(spark, tmp_path):
+    frame = lambda n: spark.createDataFrame([(f"row{k}", n) for k in range(n)], "name string, n int")
+    path = f"{tmp_path}/registry"
+    assert exports.registry_version(spark, path) == 0 and exports.save_registry(frame(1), path) == 1
+    won, lost = [], []
+
+    def writer(n):
+        try:
+            won.append((exports.save_registry(frame(n), path, base=1), n))
+        except pointers.StaleBase:
+            lost.append(n)
+
+    threads = [threading.Thread(target=writer, args=(n,)) for n in (2, 3, 4)]
+    for t in threads:
+        t.start()
+    seen = {exports.load_registry(spark, path).count() for _ in range(5)}
+    for t in threads:
+        t.join()
+    assert len(won) == 1 and len(lost) == 2 and won[0][0] == 2 and seen <= {1, won[0][1]}
+    assert exports.load_registry(spark, path).count() == won[0][1] and exports.load_registry(spark, path, 1).count() == 1
+    # rows without a pointer are no version
+    frame(9).write.parquet(f"{path}/data/half")
+    assert exports.load_registry(spark, path).count() == won[0][1]
+    exports.save_registry(frame(5), path)
+    exports.drop_old_versions(spark, path, 1)
+    assert pointers.committed(spark, path) == [3] and exports.load_registry(spark, path).count() == 5
+
+
+def test_alerts_of_a_stream(spark, tmp_path, timers):
     schema = "key string, ts timestamp, value double"
-    rows = [("a", at(60 * h), 9.0 if h != 7 else 1.0) for h in range(16)]
-    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/one")
+    rows = [("a", at(60 * h), 9.0 if h != 7 else 1.0) for h in range(16)] + [("b", at(60 * h + 7), 8.0) for h in range(6)] + [("b", at(60 * 15), None)]
     want = {(r.key, r.ts) for r in jobs.breach_alerts(spark.createDataFrame(rows, schema), 5.0, 7200, 10800).collect()}
-    jobs.stream_alerts(spark.readStream.schema(schema).parquet(f"{tmp_path}/one"), f"{tmp_path}/alerts", f"{tmp_path}/checkpoint", 5.0, 7200, 10800).awaitTermination(120)
+    # neighbours swapped, three to a batch, and a point long after all
+    mixed = [rows[k ^ 1] if k ^ 1 < len(rows) else rows[k] for k in range(len(rows))]
+    mixed = sorted(mixed, key=lambda r: r[1].hour - (r[1].hour % 3) * 2 % 3)
+    for k in range(0, len(mixed), 3):
+        spark.createDataFrame(mixed[k : k + 3], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    spark.createDataFrame([("z", at(60 * 200), 1.0)], schema).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    query = jobs.stream_alerts(stream, f"{tmp_path}/alerts", f"{tmp_path}/checkpoint", 5.0, 7200, 10800, "12 hours", 86_400)
+    query.awaitTermination(240)
     assert {(r.key, r.ts) for r in spark.read.parquet(f"{tmp_path}/alerts").collect()} == want and len(want) > 2
+    # only the last point's key is left: it waits, with its timer
+    assert sum(s.numRowsTotal for s in query.lastProgress.stateOperators) <= 4
 
 
 def write(path, value):
@@ -255,14 +328,6 @@ def test_source_ranks(spark):
     assert (rows["d"].superseded_by, rows["m"].superseded_by, rows["m"].extended_by, rows["s"].extends) == ("", "d", "s", "m")
 
 
-def test_registry_versions(spark, tmp_path):
-    for n in range(3):
-        exports.save_registry(spark.createDataFrame([(n,)], "a int"), str(tmp_path), n)
-    assert [r.a for r in exports.load_registry(spark, str(tmp_path)).collect()] == [2]
-    exports.drop_old_versions(spark, str(tmp_path), 1)
-    assert spark.read.parquet(str(tmp_path)).count() == 1
-
-
 def test_embedder(spark):
     from memlake.operators.vectors import embedded
 
