@@ -48,7 +48,7 @@ def main() -> None:
     start = time.perf_counter()
     chunks, known, entities, judged = (kept(table(spark, sf_dir, n), n) for n in ("chunks", "facts", "entity_index", "judged_pairs"))
     queries = kept(table(spark, sf_dir, "queries").orderBy("query_id").limit(100), "queries")
-    index, lengths = kept(search.postings(chunks), "postings"), kept(search.doc_lengths(chunks), "lengths")
+    index, lengths = kept(search.term_index(chunks), "term_index"), kept(search.doc_lengths(chunks), "lengths")
     wanted, held = kept(_wanted(chunks), "wanted"), kept(_held(chunks), "held")
     built = round(time.perf_counter() - start, 3)
 

@@ -92,26 +92,40 @@ def doc_lengths(chunks: DataFrame, columns: tuple[str, ...] = T.LEXICAL_COLUMNS)
     return chunks.select("chunk_id", sum(F.size(_indexed(c)) for c in columns).cast("long").alias("len"))
 
 
+#: Parts that the postings of each term are dealt to, so that a frequent term is no one task's.
+PARTS = 32
+
+
+def term_index(chunks: DataFrame, columns: tuple[str, ...] = T.LEXICAL_COLUMNS) -> DataFrame:
+    """(term, part, chunk_id, source, len, tfs): a row for each term of a chunk, with its counts by column and the chunk's length; made once for a store and kept as a table."""
+    fields = F.array(*[F.struct(F.lit(n).alias("field"), _indexed(c).alias("terms")) for n, c in enumerate(columns)])
+    length = sum(F.size(_indexed(c)) for c in columns).cast("long").alias("len")
+    rows = chunks.select("chunk_id", "source", length, F.explode(fields).alias("f")).select("chunk_id", "source", "len", "f.field", F.explode("f.terms").alias("term"))
+    counts = rows.groupBy("term", "chunk_id", "source", "len").agg(F.array(*[F.sum((F.col("field") == n).cast("int")) for n in range(len(columns))]).alias("tfs"))
+    return counts.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(PARTS)).cast("int"))
+
+
 def bm25(queries: DataFrame, index: DataFrame, lengths: DataFrame, k: int, source: str = "", derived: bool = False, columns: tuple[str, ...] = T.LEXICAL_COLUMNS) -> DataFrame:
-    """(query_id, chunk_id, score, rank) for queries (query_id, query), by the published formula over all columns.
+    """(query_id, chunk_id, score, rank) for queries (query_id, query), by the published formula over all columns of a term_index().
 
     Derived chunks and other sources go before ranking. Terms in half of the chunks or more weigh next to nothing,
-    not less than it. `column:value` asks for all its terms in that column.
+    not less than it. `column:value` asks for all its terms in that column. Each term's weight goes to its postings'
+    parts, and each posting is met once per query that asks for it; only sums per query and chunk are shuffled.
     """
     asked = queries.select("query_id", T.lexical_query(F.col("query"), columns).alias("m")).filter("m.mode <> 'skip'")
-    asked = asked.select("query_id", "m.mode", "m.column", F.size("m.terms").alias("wanted"), F.explode("m.terms").alias("term"))
+    asked = asked.select("query_id", "m.mode", F.array_position(F.array(*map(F.lit, columns)), F.col("m.column")).cast("int").alias("field"), F.size("m.terms").alias("wanted"), F.explode("m.terms").alias("term"))
     index = filter_source(index, source)
     if not derived:
         index = index.filter(~T.is_derived_chunk(F.col("chunk_id")))
     size = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
-    terms = asked.select("term").distinct()
-    hits = index.join(terms, "term")
-    df = hits.groupBy("term").agg(F.countDistinct("chunk_id").alias("df"))
-    matched = hits.join(asked, "term").filter("mode = 'or' OR field = column").groupBy("query_id", "mode", "wanted", "chunk_id", "term").agg(F.sum("tf").alias("tf"))
+    counts = index.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "part").agg(F.count(F.lit(1)).alias("df"))
+    weighed = counts.withColumn("df", F.sum("df").over(W.partitionBy("term"))).crossJoin(F.broadcast(size))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    scored = matched.join(df, "term").join(lengths, "chunk_id").crossJoin(F.broadcast(size))
-    scored = scored.groupBy("query_id", "mode", "wanted", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"), F.count(F.lit(1)).alias("found"))
+    terms = asked.join(weighed.select("term", "part", idf.alias("idf"), "mean"), "term")
+    tf = F.when(F.col("mode") == "or", F.aggregate("tfs", F.lit(0).cast("long"), lambda s, x: s + x)).otherwise(F.get("tfs", F.col("field") - 1))
+    matched = index.join(terms, ["term", "part"]).withColumn("tf", tf).filter("tf > 0")
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
+    scored = matched.groupBy("query_id", "mode", "wanted", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"), F.count(F.lit(1)).alias("found"))
     scored = scored.filter("mode = 'or' OR found = wanted").select("query_id", "chunk_id", "score")
     return top(scored, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
 
@@ -189,7 +203,7 @@ def rerank(pool: DataFrame, n: int, scorer: Callable[[Column, Column], Column] |
 
 
 def hybrid_candidates(queries: DataFrame, chunks: DataFrame, entities: DataFrame, n: int, source: str = "", columns: tuple[str, ...] = T.LEXICAL_COLUMNS, index: DataFrame | None = None, lengths: DataFrame | None = None) -> DataFrame:
-    """(query_id, chunk_id, stream, score, date, superseded_by) of all three streams, before pooling; index and lengths are kept tables of postings() and doc_lengths(), made here where there are none."""
+    """(query_id, chunk_id, stream, score, date, superseded_by) of all three streams, before pooling; index and lengths are kept tables of term_index() and doc_lengths(), made here where there are none."""
     n = max(1, min(30, n))
     k = min(3 * n, 30)
     meta = filter_source(chunks, source).select("chunk_id", "date", "superseded_by")
@@ -198,7 +212,7 @@ def hybrid_candidates(queries: DataFrame, chunks: DataFrame, entities: DataFrame
     vectors = filter_source(chunks, source).select("chunk_id", "embedding")
     scored = found.join(vectors, "chunk_id").join(queries.select("query_id", F.col("embedding").alias("q")), "query_id")
     entity = scored.select("query_id", "chunk_id", F.lit("entity").alias("stream"), F.round(T.cosine(F.col("q"), F.col("embedding")), 6).alias("score"))
-    index = postings(chunks, columns) if index is None else index
+    index = term_index(chunks, columns) if index is None else index
     lengths = doc_lengths(chunks, columns) if lengths is None else lengths
     lexical = bm25(queries, index, lengths, k, source, columns=columns).select("query_id", "chunk_id", F.lit("lexical").alias("stream"), "score")
     held = semantic.unionByName(entity).select("query_id", "chunk_id")

@@ -139,8 +139,8 @@ _LENGTH = lambda q, t: -F.abs(F.length(q) - F.length(t))
 register("kb_search_scored", "queries chunks", lambda q, c: search.kb_search(q, c, 5, scorer=_LENGTH).select("query_id", "chunk_id", "rank"), f"WITH v AS ({_vector(15)}), l AS (SELECT v.query_id, v.chunk_id, text, row_number() OVER (PARTITION BY v.query_id ORDER BY v.rank) AS place FROM v JOIN chunks USING (chunk_id) WHERE superseded_by = ''), k AS (SELECT l.*, abs(length(query) - least(length(text), 1000)) AS d FROM l JOIN queries USING (query_id) WHERE place <= 5) SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY d, place) AS rank FROM k")
 register("hybrid_search_source", "queries chunks entity_index", lambda q, c, e: search.hybrid_search(q, c, e, 5, source="nowhere"), "SELECT 0::BIGINT AS query_id, '' AS chunk_id, '' AS stream, 0.0::DOUBLE AS score, 0::INT AS rank FROM queries WHERE false")
 register("hybrid_search_superseded", "queries chunks entity_index", lambda q, c, e: search.hybrid_search(q, c, e, 4, superseded=True), _hybrid(4, "SELECT query_id, chunk_id, stream, score, position AS rank FROM pool WHERE position <= 4").replace("WHERE superseded_by = '' QUALIFY place", "QUALIFY place"))
-register("bm25_source", "queries chunks", lambda q, c: search.bm25(q, search.postings(c), search.doc_lengths(c), 5, source="src1").select("query_id", "chunk_id", "rank"), f"WITH {_bm25(5)} SELECT query_id, chunk_id, rank FROM lex".replace("WHERE term IN (SELECT term FROM asked)", "WHERE term IN (SELECT term FROM asked) AND chunk_id IN (SELECT chunk_id FROM chunks WHERE source = 'src1')"))
-register("bm25_email", "chunks", lambda c: search.bm25(c.filter("doc_id < 20").select(F.col("doc_id").alias("query_id"), F.concat(F.lit("email_from:u"), F.col("doc_id") % 20, F.lit("@corp.com")).alias("query")), search.postings(c), search.doc_lengths(c), 1000).select("query_id", "chunk_id"), "SELECT q.doc_id AS query_id, c.chunk_id FROM chunks q JOIN chunks c ON c.email_from = 'u' || q.doc_id || '@corp.com' WHERE q.doc_id < 20 AND NOT starts_with(c.chunk_id, 'conv_summary_') AND NOT starts_with(c.chunk_id, 'doc_summary_') AND NOT starts_with(c.chunk_id, 'live_')")
+register("bm25_source", "queries chunks", lambda q, c: search.bm25(q, search.term_index(c), search.doc_lengths(c), 5, source="src1").select("query_id", "chunk_id", "rank"), f"WITH {_bm25(5)} SELECT query_id, chunk_id, rank FROM lex".replace("WHERE term IN (SELECT term FROM asked)", "WHERE term IN (SELECT term FROM asked) AND chunk_id IN (SELECT chunk_id FROM chunks WHERE source = 'src1')"))
+register("bm25_email", "chunks", lambda c: search.bm25(c.filter("doc_id < 20").select(F.col("doc_id").alias("query_id"), F.concat(F.lit("email_from:u"), F.col("doc_id") % 20, F.lit("@corp.com")).alias("query")), search.term_index(c), search.doc_lengths(c), 1000).select("query_id", "chunk_id"), "SELECT q.doc_id AS query_id, c.chunk_id FROM chunks q JOIN chunks c ON c.email_from = 'u' || q.doc_id || '@corp.com' WHERE q.doc_id < 20 AND NOT starts_with(c.chunk_id, 'conv_summary_') AND NOT starts_with(c.chunk_id, 'doc_summary_') AND NOT starts_with(c.chunk_id, 'live_')")
 register("result_columns", "queries chunks facts", lambda q, c, f: search.result_columns(search.kb_search(q, c, 3), c, facts.facts_for_chunks(c, f, DAY).filter("size(facts) > 0")).select("query_id", "chunk_id", "rank", "title", "date", "source", "relevance", "url", "snippet", F.size("facts").alias("shown"), "n_facts"), f"""
   WITH v AS ({_vector(9)}), l AS (SELECT v.*, row_number() OVER (PARTITION BY query_id ORDER BY v.rank) AS place FROM v JOIN chunks USING (chunk_id) WHERE superseded_by = ''), n AS (SELECT chunk_id, count(*) AS n FROM facts WHERE {_ACTIVE} GROUP BY chunk_id)
   SELECT query_id, chunk_id, place::INT AS rank, title || ' (' || folder || ', ' || doc_type || ', ' || category || ')' AS title, coalesce(date, '') AS date, source, round(score, 3) AS relevance, 'kb://chunk/' || chunk_id AS url, CASE WHEN length(text) > 500 THEN substr(text, 1, 500) || '...' ELSE text END AS snippet,

@@ -96,9 +96,9 @@ register("gold_provenance", _tables("gold", "queries", "chunks", "entity_index")
   SELECT gs.query_id, gs.chunk_id, coalesce(streams, '') AS streams, (gs.query_id, gs.chunk_id) IN (SELECT (query_id, chunk_id) FROM pool) AS in_pool FROM gs LEFT JOIN st ON gs.query_id = st.query_id AND gs.chunk_id = st.chunk_id"""))
 register("vector_topk", _tables("queries", "chunks")(lambda q, c: search.vector_topk(q, c, 10)), _vector(10))
 register("vector_topk_source", _tables("queries", "chunks")(lambda q, c: search.vector_topk(q, c, 3, "src1")), _vector(3, "src1"))
-register("bm25", _tables("queries", "chunks")(lambda q, c: search.bm25(q, search.postings(c), search.doc_lengths(c), 10)), f"WITH {_bm25(10)} SELECT * FROM lex")
+register("bm25", _tables("queries", "chunks")(lambda q, c: search.bm25(q, search.term_index(c), search.doc_lengths(c), 10)), f"WITH {_bm25(10)} SELECT * FROM lex")
 register(
-    "bm25_scoped", _tables("queries", "chunks")(lambda q, c: search.bm25(q.select("query_id", F.concat(F.lit("title:file"), (F.col("query_id") % 50).cast("string"), F.lit(" md")).alias("query")), search.postings(c), search.doc_lengths(c), 3).select("query_id", "chunk_id", "rank")),
+    "bm25_scoped", _tables("queries", "chunks")(lambda q, c: search.bm25(q.select("query_id", F.concat(F.lit("title:file"), (F.col("query_id") % 50).cast("string"), F.lit(" md")).alias("query")), search.term_index(c), search.doc_lengths(c), 3).select("query_id", "chunk_id", "rank")),
     """WITH lens AS (SELECT chunk_id, (""" + " + ".join(f"len({_tok(c)})" for c in COLUMNS.values()) + f""")::BIGINT AS len FROM chunks)
     SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY len, chunk_id) AS rank FROM queries JOIN chunks ON title = 'file' || (query_id % 50) || '.md' JOIN lens USING (chunk_id) WHERE NOT ({_DERIVED}) QUALIFY rank <= 3""",
 )
