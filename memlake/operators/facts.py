@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+from collections.abc import Iterable
 from functools import reduce
 
 import numpy as np
@@ -94,21 +95,9 @@ def derived_facts_for_query(queries: DataFrame, facts: DataFrame, as_of: str, n:
     return top(once, ["query_id"], [F.desc("confidence"), F.col("fact")], n)
 
 
-def best_ratio(a: Column, against: Column) -> Column:
-    """The greatest Ratcliff-Obershelp similarity of a text to those of an array, empty ones aside; 0 without any."""
-
-    @F.pandas_udf("double")
-    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-        # a matcher keeps an index of its second text, so texts that come again go through it in a row
-        best, tool = np.zeros(len(left)), difflib.SequenceMatcher()
-        for y, x, k in sorted((y, x, k) for k, (x, ys) in enumerate(zip(left, right, strict=True)) for y in ys if y):
-            if y != tool.b:
-                tool.set_seq2(y)
-            tool.set_seq1(x)
-            best[k] = max(best[k], tool.ratio())
-        return pd.Series(best)
-
-    return ratio(a, against)
+def similarity(a: str, against: Iterable[str]) -> float:
+    """The greatest Ratcliff-Obershelp ratio of a to other texts, empty ones aside, to six digits; 0 without any."""
+    return round(max((difflib.SequenceMatcher(None, a, x).ratio() for x in against if x), default=0.0), 6)
 
 
 #: Characters that a fuzzy ratio looks at.
@@ -121,7 +110,19 @@ def _compared(c: Column) -> Column:
 
 def fuzzy_ratio(a: Column, b: Column) -> Column:
     """Ratcliff-Obershelp similarity of the first 100 characters in lower case; 0 where the second is empty."""
-    return best_ratio(_compared(a), F.array(_compared(b)))
+
+    @F.pandas_udf("double")
+    def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
+        # a matcher keeps an index of its second text, so texts that come again go through it in a row
+        out, tool = np.zeros(len(left)), difflib.SequenceMatcher()
+        for y, x, k in sorted((y, x, k) for k, (x, y) in enumerate(zip(left, right, strict=True)) if y):
+            if y != tool.b:
+                tool.set_seq2(y)
+            tool.set_seq1(x)
+            out[k] = tool.ratio()
+        return pd.Series(out)
+
+    return ratio(_compared(a), _compared(b))
 
 
 def common_characters(left: list[str], right: list[str]) -> np.ndarray:

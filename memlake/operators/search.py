@@ -5,8 +5,11 @@ Query tables are joined without hints: Spark broadcasts a side where its measure
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -280,10 +283,8 @@ def find_documents(queries: DataFrame, chunks: DataFrame, n: int = 10) -> DataFr
 
     Tier 3: the title contains the query, 2: the folder, 1: the path, 0: none; then by Ratcliff-Obershelp ratio, then by
     path. Case, and runs of blanks, underscores and hyphens, don't count. Documents of which all chunks are superseded
-    are left out. The queries meet all documents, of which there are far fewer than chunks.
+    are left out.
     """
-    from memlake.operators.facts import best_ratio
-
     plain = lambda c: F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[\\s_-]+", " "))
     filled = lambda c: F.min_by(c, F.when(F.coalesce(c, F.lit("")) != "", F.col("chunk_id")))
     rows = chunks.filter((F.col("source") == "document") & (F.coalesce("file_path", F.lit("")) != ""))
@@ -293,12 +294,62 @@ def find_documents(queries: DataFrame, chunks: DataFrame, n: int = 10) -> DataFr
         F.coalesce(F.max("date"), F.lit("")).alias("last_date"), F.count(F.lit(1)).alias("chunks"), F.min((F.coalesce("superseded_by", F.lit("")) != "").cast("int")).alias("gone"),
     ).filter("gone = 0")
     docs = docs.withColumns({"t": plain(F.col("t")), "f": plain(F.col("f")), "p": plain(F.col("file_path"))})
-    pairs = docs.crossJoin(queries.select("query_id", plain(F.col("query")).alias("q")))
-    has = lambda c: (F.col("q") != "") & F.col(c).contains(F.col("q"))
-    pairs = pairs.withColumn("tier", F.when(has("t"), 3).when(has("f"), 2).when(has("p"), 1).otherwise(0))
-    against = F.when(F.col("tier") == 3, F.array("t")).when(F.col("tier") == 2, F.array("f")).when(F.col("tier") == 1, F.array("p")).otherwise(F.array("t", "f", "p"))
-    scored = pairs.withColumn("ratio", F.round(best_ratio(F.col("q"), against), 6))
-    return top(scored, ["query_id"], [F.desc("tier"), F.desc("ratio"), F.col("file_path")], n).select("query_id", "file_path", "title", "folder", "tier", "ratio", "last_date", "chunks", "rank")
+    asked = queries.select(F.col("query_id").alias("k"), plain(F.col("query")).alias("q"))
+    found = _best_names(asked, docs.select(F.col("file_path").alias("k"), "t", "f", "p"), n)
+    best = top(found, ["query_id"], [F.desc("tier"), F.desc("ratio"), F.col("file_path")], n)
+    return best.join(docs.select("file_path", "title", "folder", "last_date", "chunks"), "file_path").select("query_id", "file_path", "title", "folder", "tier", "ratio", "last_date", "chunks", "rank")
+
+
+#: Documents, and queries, that a task compares at most, about.
+NAMES = 5_000
+
+
+def _best_names(asked: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """(query_id, file_path, tier, ratio): for queries (k, q) the n best of documents (k, t, f, p) out of each part of them, and all that tie with the last.
+
+    Parts of the queries meet parts of the documents, each pair in a task. Ratios of documents that contain the query
+    come first; if they are too few, the others follow from the highest bound on, by common subsequences, until no bound
+    reaches the n-th ratio.
+    """
+    from memlake.operators.facts import common_characters, similarity
+    from memlake.operators.vectors import _grid
+
+    def bounds(q: str, names: list[str]) -> np.ndarray:
+        total = np.array([len(q) + len(x) for x in names])
+        short = np.array([max(len(q), len(x)) <= 128 for x in names])
+        matched = np.array([min(len(q), len(x)) for x in names])
+        at = np.flatnonzero(short)
+        if len(at):
+            matched[at] = common_characters([q] * len(at), [names[k] for k in at])
+        return np.where(total > 0, 2 * matched / np.maximum(total, 1), 0.0) * np.array([bool(x) for x in names])
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        paths, names = right["k"].to_pylist(), list(zip(*(right[c].to_pylist() for c in "tfp")))
+        out: list[tuple] = []
+        for key, q in zip(left["k"].to_pylist(), left["q"].to_pylist()):
+            tiers = [3 if q in t else 2 if q in f else 1 if q in p else 0 for t, f, p in names] if q else [0] * len(names)
+            hits = [k for k, tier in enumerate(tiers) if tier]
+            out += [(key, paths[k], tiers[k], similarity(q, (names[k][3 - tiers[k]],))) for k in hits]
+            if len(hits) >= n or not names:
+                continue
+            rest = np.flatnonzero(np.array(tiers) == 0)
+            most = np.max([bounds(q, [names[k][c] for k in rest.tolist()]) for c in range(3)], axis=0)
+            best: list[float] = []
+            for place in np.argsort(-most, kind="stable").tolist():
+                if len(best) >= n and round(most[place], 6) < best[0]:
+                    break
+                k = int(rest[place])
+                ratio = similarity(q, names[k])
+                out.append((key, paths[k], 0, ratio))
+                (heapq.heappushpop if len(best) >= n else heapq.heappush)(best, ratio)
+        columns = list(zip(*out)) or [[]] * 4
+        return pa.table([pa.array(columns[0], left.schema.field("k").type), pa.array(columns[1], pa.string()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.float64())], ["query_id", "file_path", "tier", "ratio"])
+
+    one = {"cell": F.lit(0).cast("long"), "t": F.lit(0.0)}  # a grid over all of both sides
+    sides = _grid(asked.withColumns(one), docs.withColumnRenamed("t", "name").withColumns(one), NAMES)
+    a = sides[0].select("cell", "i", "j", "k", "q").groupBy("cell", "i", "j")
+    b = sides[1].select("cell", "i", "j", "k", F.col("name").alias("t"), "f", "p").groupBy("cell", "i", "j")
+    return a.cogroup(b).applyInArrow(run, f"query_id {asked.schema['k'].dataType.simpleString()}, file_path string, tier int, ratio double")
 
 
 def stage_counts(candidates: DataFrame, n: int) -> DataFrame:

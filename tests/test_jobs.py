@@ -1,6 +1,7 @@
 """Streams against their batch twins, readers, cutters and searches on small tables."""
 
 import json
+import re
 import threading
 from datetime import datetime, timedelta
 
@@ -306,6 +307,32 @@ def test_documents_by_name(spark):
     assert got[0].chunks == 2 and got[0].last_date == "2024-02-01" and abs(got[0].ratio - difflib.SequenceMatcher(None, "piano aprile", "piano aprile.pdf").ratio()) < 1e-6
 
 
+@pytest.mark.parametrize("share", [5_000, 7])
+def test_documents_by_name_against_all_pairs(spark, monkeypatch, share):
+    import difflib
+    import random
+
+    monkeypatch.setattr(search, "NAMES", share)
+    rng = random.Random(8)
+    word = lambda: rng.choice(["piano", "aprile", "note", "rent", "Report", "budget", "tax", "casa", "2024", "final"])
+    rows = [(f"c{n}", "document", " ".join(word() for _ in range(rng.randint(0, 3))), word() if n % 3 else "", f"/kb/{word()}/{word()}_{word()}-{n}" + "/long" * (30 * (n % 9 == 0)) + ".md", "2024-01-01", "") for n in range(60)]
+    queries = [(n, " ".join(word() for _ in range(rng.randint(1, 3)))) for n in range(12)] + [(90, ""), (91, None), (92, "zzzz"), (93, "re")]
+    chunks = spark.createDataFrame(rows, "chunk_id string, source string, title string, folder string, file_path string, date string, superseded_by string")
+    got = search.find_documents(spark.createDataFrame(queries, "query_id int, query string"), chunks, 5).orderBy("query_id", "rank").collect()
+    plain = lambda x: " ".join(re.sub("[\\s_-]+", " ", (x or "").lower()).split(" ")).strip()
+    want = []
+    for i, q in queries:
+        q, ranked = plain(q), []
+        for _, _, *names, path, _, _ in rows:
+            names = [plain(x) for x in (*names, path)]
+            tier = next((3 - k for k, x in enumerate(names) if q and q in x), 0)
+            against = [names[3 - tier]] if tier else names
+            ratio = round(max((difflib.SequenceMatcher(None, q, x).ratio() for x in against if x), default=0.0), 6)
+            ranked.append((-tier, -ratio, path))
+        want += [(i, path, -t, -r) for t, r, path in sorted(ranked)[:5]]
+    assert [(r.query_id, r.file_path, r.tier, r.ratio) for r in got] == want
+
+
 def test_older_near_copies(spark):
     rows = [("new", 3.0, "", "t" * 60, [1.0, 0.1]), ("old", 1.0, "", "t" * 60, [1.0, 0.0]), ("short", 2.0, "", "t", [1.0, 0.1]), ("gone", 0.5, "x", "t" * 60, [1.0, 0.1]), ("zero", 0.1, "", "t" * 60, [0.0, 0.0])]
     chunks = spark.createDataFrame(rows, "chunk_id string, create_time double, superseded_by string, text string, embedding array<float>")
