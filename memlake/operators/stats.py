@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -133,17 +135,45 @@ def micros(ts: Column) -> Column:
     return F.unix_micros(ts.cast("timestamp"))
 
 
+#: Buckets that a window of time is cut into; it reaches over these, and over parts of one more at either end.
+WINDOW_BUCKETS = 16
+
+
+def _looking_back(series: DataFrame, seconds: int, keys: tuple[str, ...]) -> DataFrame:
+    """series (ts, value) with anchor, the latest value at least so many seconds older, and lowest, the least value since that time, as of each row.
+
+    A key's time is cut into buckets, WINDOW_BUCKETS to a window, and a task has rows of one bucket and those of the bucket
+    that lies a window before it: the first look up their anchor among the second, and the lowest of those that are
+    young enough. What lies between, and before, comes from one row for each bucket, its last value and its least. So a
+    key with many rows is many tasks' work. Of rows at one time the greatest value counts as the latest.
+    """
+    length, m = seconds * 1_000_000 // WINDOW_BUCKETS, WINDOW_BUCKETS
+    names = [f"k{n}" for n in range(len(keys))]
+    rows = series.select(F.struct(*[F.col(f"`{c}`") for c in series.columns]).alias("r"), *[F.col(k).alias(n) for k, n in zip(keys, names)], micros(F.col("ts")).alias("us"), F.col("value").alias("v"))
+    rows = rows.filter("us IS NOT NULL").withColumn("b", F.expr(f"(us - pmod(us, {length}L)) div {length}L"))
+    asking = rows.select("r", *names, "b", (F.col("us") - seconds * 1_000_000).alias("at"), F.lit(None).cast(rows.schema["v"].dataType).alias("old"), "v", F.lit(False).alias("told"))
+    telling = rows.select(F.lit(None).cast(rows.schema["r"].dataType).alias("r"), *names, (F.col("b") + m).alias("b"), F.col("us").alias("at"), F.col("v").alias("old"), F.lit(None).cast(rows.schema["v"].dataType).alias("v"), F.lit(True).alias("told"))
+    place = W.partitionBy(*names, "b")
+    up, down = (place.orderBy(o).rangeBetween(W.unboundedPreceding, 0) for o in (F.asc("at"), F.desc("at")))
+    met = asking.unionByName(telling).select("r", *names, "b", "told", F.max(F.when(F.col("told"), F.struct("at", "old"))).over(up).alias("near"), F.min("v").over(up).alias("own"), F.min("old").over(down).alias("young"))
+
+    order = W.partitionBy(*names).orderBy("b")
+    buckets = rows.groupBy(*names, "b").agg(F.max(F.struct("us", "v")).alias("last"), F.min("v").alias("low"))
+    buckets = buckets.select(*[F.col(n).alias(f"_{n}") for n in names], F.col("b").alias("_b"), F.max("last").over(order.rangeBetween(W.unboundedPreceding, -m - 1)).alias("far"), F.min("low").over(order.rangeBetween(1 - m, -1)).alias("between"))
+    same = [F.col("b") == F.col("_b"), *[F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names]]
+    joined = met.filter("NOT told").join(buckets, reduce(lambda x, y: x & y, same))
+    anchor = F.when(F.col("near").isNotNull(), F.col("near.old")).otherwise(F.col("far.v"))
+    return joined.select("r.*", anchor.alias("anchor"), F.least("own", "young", "between").alias("lowest"))
+
+
 def at_or_before(series: DataFrame, seconds: int, keys: tuple[str, ...] = ("key",)) -> DataFrame:
     """series (ts, value) with anchor: the latest value at least so many seconds older, as of each row."""
-    w = W.partitionBy(*keys).orderBy(micros(F.col("ts"))).rangeBetween(W.unboundedPreceding, -seconds * 1_000_000)
-    return series.withColumn("anchor", F.max_by("value", "ts").over(w))
+    return _looking_back(series, seconds, keys).drop("lowest")
 
 
 def sustained_breach(series: DataFrame, threshold: float, seconds: int, keys: tuple[str, ...] = ("key",)) -> DataFrame:
     """series with breach: at the threshold or above now, at the anchor, and at every point of the window between."""
-    known = series.filter(F.col("value").isNotNull())
-    w = W.partitionBy(*keys).orderBy(micros(F.col("ts"))).rangeBetween(-seconds * 1_000_000, 0)
-    rows = at_or_before(known, seconds, keys).withColumn("lowest", F.min("value").over(w))
+    rows = _looking_back(series.filter(F.col("value").isNotNull()), seconds, keys)
     return rows.withColumn("breach", F.coalesce((F.col("value") >= threshold) & (F.col("anchor") >= threshold) & (F.col("lowest") >= threshold), F.lit(False)))
 
 

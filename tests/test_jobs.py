@@ -91,6 +91,25 @@ def test_breaches(spark):
     assert aging == {"long": True, "dipped": True, "young": True, "gap": False}
 
 
+def test_looking_back_over_buckets(spark):
+    import random
+
+    rng = random.Random(6)
+    rows = [(n, rng.choice(["hot"] * 8 + ["a", None]), START + timedelta(seconds=rng.choice([rng.uniform(0, 9e4), rng.randint(0, 40) * 225, -rng.uniform(0, 9e5)])), rng.choice([None, *map(float, range(9))])) for n in range(900)]
+    # of rows of a key at one time all have the same value
+    first = {}
+    rows = [(n, k, t, first.setdefault((k, t), v)) for n, k, t, v in rows]
+    df = spark.createDataFrame(rows, "event_id long, key string, ts timestamp, value double")
+    width = timedelta(seconds=3600)
+    got = {r.event_id: r for r in stats._looking_back(df, 3600, ("key",)).collect()}
+    assert len(got) == len(rows)
+    for n, k, t, v in rows:
+        old = [(u, w) for _, j, u, w in rows if j == k and u <= t - width]
+        assert got[n].anchor == (max(old, key=lambda x: x[0])[1] if old else None)
+        assert got[n].lowest == min((w for _, j, u, w in rows if j == k and t - width <= u <= t and w is not None), default=None)
+    assert stats.at_or_before(df, 3600).columns == [*df.columns, "anchor"]
+
+
 def test_upserts_are_the_same_twice(spark, tmp_path):
     schema = "conversation_id string, title string, ts string, text string, seq long"
     rows = [("a", "t", "1", "one", 1), ("b", "t", "1", "two", 1), ("a", "t", "2", "three", 2), ("", "t", "3", "four", 1), ("a", "t", "1", "late", 0)] + [(f"c{n % 7}", "t", "1", f"text{n}", n) for n in range(12)]
