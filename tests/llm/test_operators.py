@@ -346,3 +346,27 @@ def test_candidate_keys_reach_every_link():
     for different in combinations(range(8), 3):
         same = set(range(8)) - set(different)
         assert any(same >= set(k) for k in simhash.SHORT_KEYS) and any(same == set(k) for k in simhash.LONG_KEYS)
+
+
+def test_long_lists_link_as_short_ones():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 300):
+        # five bytes agree, and some differ from others in a few bits
+        fp = np.uint64(0x0102030405000000) + rng.integers(0, 1 << 24, n, dtype=np.uint64)
+        near = fp ^ np.uint64(0b1001) ^ (np.uint64(1) << rng.integers(0, 24, n, dtype=np.uint64))
+        fp = np.unique(np.concatenate([fp, near, near ^ np.uint64(0b110000)]))
+
+        def parts(links):
+            root = list(range(len(fp)))
+
+            def find(x):
+                while root[x] != x:
+                    x = root[x]
+                return x
+
+            for a, b in links:
+                root[find(a)] = find(b)
+            return {frozenset(k for k in range(len(fp)) if find(k) == r) for r in {find(k) for k in range(len(fp))}}
+
+        links = [(a, b) for a in range(len(fp)) for b in range(a) if int(fp[a] ^ fp[b]).bit_count() <= 3]
+        assert parts(simhash.flipped_links(fp)) == parts(links) == parts(simhash.spanning_links(fp))
