@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Types of entities.
 TYPES = ("person", "company", "project", "amount", "location", "date_ref")
 
 

@@ -18,6 +18,37 @@ def kb_stats(chunks: DataFrame) -> DataFrame:
     return chunks.groupBy("source").agg(*agg).unionByName(chunks.agg(*agg).withColumn("source", F.lit("all")))
 
 
+#: Bits of a sketch's buckets, and three of its relative standard errors: 0.83 divided by the root of the buckets.
+SKETCH_BITS = 12
+SKETCH_ERROR = 3 * 0.83 / 2 ** (SKETCH_BITS / 2)
+
+
+def sketched(rows: DataFrame, keys: tuple[str, ...], counted: dict[str, str]) -> DataFrame:
+    """(keys, n, a sketch for each of counted): rows, and distinct values of columns as sketches of some kilobytes, to be kept as a table.
+
+    The sketch of a day or a source is made once, from that day's rows; merged_sketches() adds what comes later.
+    """
+    sketches = [F.hll_sketch_agg(F.col(c).cast("string"), SKETCH_BITS).alias(name) for name, c in counted.items()]
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), *sketches)
+
+
+def _sketch_names(sketches: DataFrame) -> list[str]:
+    return [f.name for f in sketches.schema.fields if f.dataType.simpleString() == "binary"]
+
+
+def merged_sketches(*tables: DataFrame) -> DataFrame:
+    """One table of sketches out of several that have the same columns; a value in many of them counts once."""
+    every = reduce(DataFrame.unionByName, tables)
+    names = _sketch_names(every)
+    keys = [c for c in every.columns if c not in (*names, "n")]
+    return every.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.hll_union_agg(name).alias(name) for name in names])
+
+
+def distinct_counts(sketches: DataFrame, *keys: str) -> DataFrame:
+    """(keys, n, about how many distinct values each sketch has seen), rolled up to some of the keys, or to one row; the raw rows aren't read."""
+    return sketches.groupBy(*keys).agg(F.sum("n").alias("n"), *[F.hll_sketch_estimate(F.hll_union_agg(name)).alias(name) for name in _sketch_names(sketches)])
+
+
 def rows_by(df: DataFrame, *keys: str) -> DataFrame:
     """(keys, n): chunks by source or folder, orphans by folder, index rows by source, chunks by model and the like; a missing value counts as empty."""
     return df.groupBy(*[F.coalesce(F.col(k), F.lit("")).alias(k) for k in keys]).agg(F.count(F.lit(1)).alias("n"))

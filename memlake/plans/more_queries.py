@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from memlake.functions import text as T
 from memlake.operators import chunking, facts, lifecycle, mail, search, stats
 from memlake.plans.fixtures import oracle, table
-from memlake.plans.search_queries import _COS, _bm25, _hybrid, _tok, _vector
+from memlake.plans.search_queries import _COS, _ENTITY, _bm25, _hybrid, _tok, _vector
 from memlake.plans.store_queries import _ACTIVE, DAY
 from memlake.sources import exports
 from memlake.streaming import jobs
@@ -147,4 +147,21 @@ register("result_columns", "queries chunks facts", lambda q, c, f: search.result
     least(coalesce(n, 0), 10)::INT AS shown, coalesce(n, 0)::BIGINT AS n_facts FROM l JOIN chunks USING (chunk_id) LEFT JOIN n USING (chunk_id) WHERE place <= 3""")
 register("cosine", "chunks", lambda c: c.select("chunk_id", F.round(T.cosine(F.col("embedding"), F.when(F.col("doc_id") % 5 == 0, F.slice(F.col("embedding").cast("array<double>"), 1, 3)).when(F.col("doc_id") % 5 == 1, F.transform("embedding", lambda x, i: x.cast("double") + i)).when(F.col("doc_id") % 5 == 2, F.array().cast("array<double>")).otherwise(F.reverse(F.col("embedding").cast("array<double>")))), 6).alias("score")), f"SELECT chunk_id, CASE WHEN doc_id % 5 IN (0, 2) OR embedding IS NULL THEN 0.0 WHEN doc_id % 5 = 1 THEN {_COS.format('embedding', 'list_transform(embedding, lambda x, i: x::DOUBLE + i - 1)')} ELSE {_COS.format('embedding', 'list_reverse(embedding)')} END AS score FROM chunks")
 register("find_documents", "queries chunks", lambda q, c: search.find_documents(q.select("query_id", F.concat(F.lit("file"), (F.col("query_id") % 20).cast("string"), F.when(F.col("query_id") % 2 == 0, ".md").otherwise("")).alias("query")), c.withColumn("source", F.lit("document")), 5))
-register("entity_counts", "queries chunks entity_index", lambda q, c, e: search.entity_counts(q, e, search.vector_topk(q, c, 15), 50).drop("saturated"))
+register("entity_counts", "queries chunks entity_index", lambda q, c, e: search.entity_counts(q, e, search.vector_topk(q, c, 15), 50).withColumn("saturated", F.array_join("saturated", ",")), f"""
+  WITH sem AS ({_vector(15)}), {_ENTITY.replace("nth <= 700", "nth <= 50")},
+  met_by AS (SELECT query_id, candidate, chunk_id FROM capped JOIN asked_e USING (candidate)),
+  fresh AS (SELECT * FROM met_by WHERE (query_id, chunk_id) NOT IN (SELECT (query_id, chunk_id) FROM sem)),
+  full_c AS (SELECT query_id, string_agg(candidate, ',' ORDER BY candidate) AS saturated FROM (SELECT query_id, candidate FROM met_by GROUP BY ALL HAVING count(*) >= 50) GROUP BY query_id)
+  SELECT query_id, count(*) AS appended, count(DISTINCT chunk_id) AS "unique", count(*) - count(DISTINCT chunk_id) AS duplicates, greatest(count(DISTINCT chunk_id) - 50, 0) AS lost, coalesce(any_value(saturated), '') AS saturated
+  FROM fresh LEFT JOIN full_c USING (query_id) GROUP BY query_id""")
+
+
+def _sketched(c):
+    parts = [stats.sketched(c.filter(F.col("doc_id") % 3 == k), ("date", "source"), {"conversations": "conv_id", "documents": "chunk_id"}) for k in range(3)]
+    rows = stats.distinct_counts(stats.merged_sketches(*parts), "source")
+    exact = c.groupBy("source").agg(F.countDistinct("conv_id").alias("x"), F.countDistinct("chunk_id").alias("y"))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.greatest(F.lit(2), stats.SKETCH_ERROR * F.col(b))
+    return rows.join(exact, "source").select("source", "n", (near("conversations", "x") & near("documents", "y")).alias("near"))
+
+
+register("sketch_rollup", "chunks", _sketched, "SELECT source, count(*) AS n, true AS near FROM chunks GROUP BY source")

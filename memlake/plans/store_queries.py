@@ -130,8 +130,9 @@ _CHURN = ", c AS (SELECT count(*) FILTER (action = 'insert') AS inserted, count(
 register("reconcile_plan", "chunks", lambda c: lifecycle.reconcile_plan(_wanted(c), _held(c)), f"WITH {_PLAN} SELECT * FROM plan")
 register("churn_guard", "chunks", lambda c: lifecycle.churn(lifecycle.reconcile_plan(_wanted(c), _held(c))), f"WITH {_PLAN} {_CHURN}")
 register("reconcile_noop", "chunks", lambda c: lifecycle.churn(lifecycle.reconcile_plan(_wanted(c), _wanted(c))), "SELECT 0::BIGINT AS inserted, 0::BIGINT AS deleted, 0::BIGINT AS updated, count(*) AS unchanged, 0.0::DOUBLE AS churn, false AS abort FROM chunks")
-register("apply_reconcile", "chunks", lambda c: lifecycle.apply_reconcile(lifecycle.reconcile_plan(_wanted(c), _held(c)), _held(c), _wanted(c).drop("doc_id"), most=1.0).select("chunk_id"), "SELECT chunk_id FROM chunks")
-register("fingerprint", "chunks", lambda c: _wanted(c).select("chunk_id", "fingerprint"), "SELECT chunk_id, sha256(" + " || ".join(f"octet_length(encode(coalesce({c}, '')))::STRING || chr(0) || coalesce({c}, '') || chr(0)" for c in ("text", "title", "folder", "doc_type", "email_from", "source", "file_path")) + ") AS fingerprint FROM chunks")
+_PRINTS = "SELECT chunk_id, sha256(" + " || ".join(f"octet_length(encode(coalesce({c}, '')))::STRING || chr(0) || coalesce({c}, '') || chr(0)" for c in ("text", "title", "folder", "doc_type", "email_from", "source", "file_path")) + ") AS fingerprint FROM chunks"
+register("apply_reconcile", "chunks", lambda c: lifecycle.apply_reconcile(lifecycle.reconcile_plan(_wanted(c), _held(c)), _held(c), _wanted(c).drop("doc_id"), most=1.0).select("chunk_id", "fingerprint"), _PRINTS)
+register("fingerprint", "chunks", lambda c: _wanted(c).select("chunk_id", "fingerprint"), _PRINTS)
 register("fts_cardinality", "chunks", lambda c: lifecycle.fts_cardinality(c.filter("doc_id % 7 <> 0").select("chunk_id", F.lit("f").alias("fingerprint")), c.filter("doc_id % 5 <> 0").select("chunk_id").union(c.filter("doc_id % 11 = 1").select("chunk_id"))), f"""
   WITH i AS (SELECT chunk_id, count(*) AS n FROM (SELECT chunk_id FROM chunks WHERE doc_id % 5 <> 0 UNION ALL SELECT chunk_id FROM chunks WHERE doc_id % 11 = 1) GROUP BY 1), m AS (SELECT chunk_id, 'f' AS f FROM chunks WHERE doc_id % 7 <> 0)
   SELECT coalesce(m.chunk_id, i.chunk_id) AS chunk_id, CASE WHEN f IS NOT NULL AND n = 1 THEN f ELSE '{lifecycle.BROKEN}' END AS fingerprint FROM m FULL JOIN i ON m.chunk_id = i.chunk_id""")

@@ -204,6 +204,46 @@ def test_files(spark, tmp_path):
     assert set(rows) == {"work/a.md", "c.CSV", "h.markdown"} and rows["work/a.md"].category == "work" and rows["c.CSV"].category == "" and rows["c.CSV"].hash == rows["work/a.md"].hash
 
 
+def test_projects_and_memories(spark, tmp_path):
+    long = "word " * 40
+    projects = [{"uuid": "p", "name": "P", "prompt_template": long, "created_at": "2024-01-02T00:00:00Z", "docs": [{"uuid": "d1", "filename": "a.md", "content": long + "one"}, {"uuid": "d2", "filename": "b.md", "content": "short"}]}, {"uuid": "q", "name": "Q", "prompt_template": None, "created_at": None, "docs": []}]
+    rows = {r.id: r for r in exports.read_conversation_export(spark, write(tmp_path / "projects.json", projects), "claude_projects").collect()}
+    assert set(rows) == {"project_p", "d1"} and rows["d1"].title == "P / a.md" and rows["d1"].date == "2024-01-02" and rows["d1"].text == long + "one" and rows["project_p"].text == long
+    memories = [{"account_uuid": "m", "conversations_memory": long, "project_memories": {"b": "second", "a": "first"}}]
+    (row,) = exports.read_conversation_export(spark, write(tmp_path / "memories.json", memories), "claude_memories").collect()
+    assert row.id == "memories_m" and row.text == f"{long}\n\nfirst\n\nsecond" and row.date is None
+
+
+def test_mail_files_and_chunk_tables(spark, tmp_path):
+    lines = [{"id": "1", "from": "a@b.org", "to": "me", "body": "x" * 60, "labels": ["SENT"], "extra": 1}, {"id": "2"}]
+    (tmp_path / "mail.jsonl").write_text("\n".join(map(json.dumps, lines)))
+    mails = exports.read_emails(spark, f"{tmp_path}/mail.jsonl")
+    assert [(r.id, r["from"], r.labels) for r in mails.orderBy("id").collect()] == [("1", "a@b.org", ["SENT"]), ("2", None, None)]
+    assert [(r.id, r.is_sent) for r in mail.normalize_email_bodies(mails).collect()] == [("1", True)]
+    docs = spark.createDataFrame([(1, ("One sentence here. " * 200).strip(), "plan.md", "/data/kb/work/plan.md"), (2, "short note", "n.md", "/data/kb/n.md"), (3, "", "e.md", "/data/kb/e.md"), (4, None, "z.md", "/z.md")], "doc_id int, text string, filename string, file_path string")
+    chunks = chunking.build_chunks(docs)
+    rows = chunks.orderBy("doc_id", "part").collect()
+    parts = chunking.greedy(("One sentence here. " * 200).strip())
+    assert [(r.doc_id, r.part) for r in rows] == [(1, n) for n in range(len(parts))] + [(2, 0)] and len({r.chunk_id for r in rows}) == len(rows)
+    # each part but the first begins with the end of the one before it, cut at a blank
+    assert rows[0].text == parts[0] and all(r.text.endswith(p) and parts[r.part - 1].endswith(r.text[: -len(p)].strip()) and len(r.text) > len(p) for r, p in zip(rows[1:-1], parts[1:]))
+    assert {r.folder for r in rows} == {"work", "n.md"} and all(r.char_count == len(r.text) for r in rows)
+    exports.write_chunks(chunks, f"{tmp_path}/out", by=("folder",))
+    assert spark.read.parquet(f"{tmp_path}/out").filter("folder = 'work'").count() == len(parts)
+
+
+def test_sketches_merge(spark):
+    df = spark.range(30_000).select(F.concat(F.lit("day"), F.col("id") % 5).alias("day"), (F.col("id") % 3).alias("source"), (F.col("id") % 9_000).alias("who"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("what"))
+    parts = [stats.sketched(df.filter(f"who % 4 = {k}"), ("day", "source"), {"whos": "who", "whats": "what"}) for k in range(4)]
+    merged = stats.merged_sketches(*parts, stats.sketched(df.limit(0), ("day", "source"), {"whos": "who", "whats": "what"}))
+    for keys in ((), ("source",), ("day", "source")):
+        got = {tuple(r[k] for k in keys): r for r in stats.distinct_counts(merged, *keys).collect()}
+        want = {tuple(r[k] for k in keys): r for r in df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("who").alias("whos"), F.countDistinct("what").alias("whats")).collect()}
+        assert set(got) == set(want)
+        for k, w in want.items():
+            assert got[k].n == w.n and abs(got[k].whos - w.whos) <= stats.SKETCH_ERROR * w.whos and abs(got[k].whats - w.whats) <= stats.SKETCH_ERROR * w.whats
+
+
 def test_cutters(spark):
     text = "One sentence here. " * 100
     assert all(len(p) <= 300 and p.endswith(".") for p in chunking.greedy(text, 300)) and "".join(chunking.greedy(text, 300)).replace(" ", "") == text.replace(" ", "")
