@@ -96,15 +96,15 @@ def doc_lengths(chunks: DataFrame, columns: tuple[str, ...] = T.LEXICAL_COLUMNS)
 
 
 #: Parts that the postings of each term are dealt to, so that a frequent term is no one task's.
-PARTS = 32
+PARTS = 16
 
 
 def term_index(chunks: DataFrame, columns: tuple[str, ...] = T.LEXICAL_COLUMNS) -> DataFrame:
-    """(term, part, chunk_id, source, len, tfs): a row for each term of a chunk, with its counts by column and the chunk's length; made once for a store and kept as a table."""
+    """(term, part, chunk_id, source, len, tf, tfs): a row for each term of a chunk, with its count in all columns and in each, and the chunk's length; made once for a store and kept as a table."""
     fields = F.array(*[F.struct(F.lit(n).alias("field"), _indexed(c).alias("terms")) for n, c in enumerate(columns)])
     length = sum(F.size(_indexed(c)) for c in columns).cast("long").alias("len")
     rows = chunks.select("chunk_id", "source", length, F.explode(fields).alias("f")).select("chunk_id", "source", "len", "f.field", F.explode("f.terms").alias("term"))
-    counts = rows.groupBy("term", "chunk_id", "source", "len").agg(F.array(*[F.sum((F.col("field") == n).cast("int")) for n in range(len(columns))]).alias("tfs"))
+    counts = rows.groupBy("term", "chunk_id", "source", "len").agg(F.count(F.lit(1)).alias("tf"), F.array(*[F.sum((F.col("field") == n).cast("int")) for n in range(len(columns))]).alias("tfs"))
     return counts.withColumn("part", F.pmod(F.xxhash64("chunk_id"), F.lit(PARTS)).cast("int"))
 
 
@@ -121,15 +121,17 @@ def bm25(queries: DataFrame, index: DataFrame, lengths: DataFrame, k: int, sourc
     if not derived:
         index = index.filter(~T.is_derived_chunk(F.col("chunk_id")))
     size = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("mean"))
-    counts = index.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "part").agg(F.count(F.lit(1)).alias("df"))
+    index = index.join(asked.select("term").distinct(), "term", "left_semi")
+    counts = index.groupBy("term", "part").agg(F.count(F.lit(1)).alias("df"))
     weighed = counts.withColumn("df", F.sum("df").over(W.partitionBy("term"))).crossJoin(F.broadcast(size))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     terms = asked.join(weighed.select("term", "part", idf.alias("idf"), "mean"), "term")
-    tf = F.when(F.col("mode") == "or", F.aggregate("tfs", F.lit(0).cast("long"), lambda s, x: s + x)).otherwise(F.get("tfs", F.col("field") - 1))
+    tf = F.when(F.col("mode") == "or", F.col("tf")).otherwise(F.get("tfs", F.col("field") - 1))
     matched = index.join(terms, ["term", "part"]).withColumn("tf", tf).filter("tf > 0")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    scored = matched.groupBy("query_id", "mode", "wanted", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"), F.count(F.lit(1)).alias("found"))
-    scored = scored.filter("mode = 'or' OR found = wanted").select("query_id", "chunk_id", "score")
+    least = F.max(F.when(F.col("mode") == "or", 1).otherwise(F.col("wanted")))
+    scored = matched.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part), 6).alias("score"), F.count(F.lit(1)).alias("found"), least.alias("least"))
+    scored = scored.filter("found >= least").select("query_id", "chunk_id", "score")
     return top(scored, ["query_id"], [F.desc("score"), F.col("chunk_id")], k)
 
 
