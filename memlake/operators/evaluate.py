@@ -25,13 +25,27 @@ def evaluate_retrieval(corpus: DataFrame, ranked: DataFrame) -> DataFrame:
     )
 
 
-def gold_provenance(corpus: DataFrame, candidates: DataFrame, pool: DataFrame) -> DataFrame:
-    """(query_id, chunk_id, streams, in_pool): for each gold id the streams that brought it, sorted, and whether it came into the pool."""
+def gold_provenance(corpus: DataFrame, candidates: DataFrame, pool: DataFrame, uncapped: DataFrame | None = None) -> DataFrame:
+    """(query_id, chunk_id, streams, in_pool): for each gold id the streams that brought it, sorted, and whether it came into the pool.
+
+    With uncapped (query_id, chunk_id), what the entity branch found before its cap, also entity_pre_cap_only: whether the
+    branch found the id and the cap then took it away.
+    """
     gold = corpus.select("query_id", F.explode(F.array_distinct("gold")).alias("chunk_id"))
     brought = candidates.groupBy("query_id", "chunk_id").agg(F.sort_array(F.collect_set("stream")).alias("streams"))
     pooled = pool.select("query_id", "chunk_id").distinct().withColumn("p", F.lit(True))
     rows = gold.join(brought, ["query_id", "chunk_id"], "left").join(pooled, ["query_id", "chunk_id"], "left")
-    return rows.select("query_id", "chunk_id", F.coalesce("streams", F.array().cast("array<string>")).alias("streams"), F.coalesce("p", F.lit(False)).alias("in_pool"))
+    rows = rows.select("query_id", "chunk_id", F.coalesce("streams", F.array().cast("array<string>")).alias("streams"), F.coalesce("p", F.lit(False)).alias("in_pool"))
+    if uncapped is None:
+        return rows
+    found = uncapped.select("query_id", "chunk_id").distinct().withColumn("f", F.lit(True))
+    rows = rows.join(found, ["query_id", "chunk_id"], "left")
+    return rows.withColumn("entity_pre_cap_only", F.coalesce("f", F.lit(False)) & ~F.array_contains("streams", "entity")).drop("f")
+
+
+def stage_timings(timings: DataFrame) -> DataFrame:
+    """(stage, queries, median_ms) of timings (query_id, stage, ms); missing times don't count."""
+    return timings.filter("ms IS NOT NULL").groupBy("stage").agg(F.count(F.lit(1)).alias("queries"), F.round(F.percentile("ms", 0.5), 2).alias("median_ms"))
 
 
 def evaluation_summary(results: DataFrame) -> DataFrame:

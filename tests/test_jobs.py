@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from memlake.operators import chunking, lifecycle, mail, search, stats
+from memlake.operators import chunking, evaluate, lifecycle, mail, search, stats
 from memlake.sources import exports, pointers
 from memlake.streaming import jobs
 
@@ -392,6 +392,18 @@ def test_documents_by_name_against_all_pairs(spark, monkeypatch, share):
     assert [(r.query_id, r.file_path, r.tier, r.ratio) for r in got] == want
 
 
+def test_gold_that_a_cap_took_away(spark):
+    queries = spark.createDataFrame([(1, "Acme Corp")], "query_id int, query string")
+    entities = spark.createDataFrame([("Acme Corp", "company", f"c{n}") for n in range(6)], "entity string, entity_type string, chunk_id string")
+    none = spark.createDataFrame([], "query_id int, chunk_id string")
+    found = search.entity_stream(queries, entities, none, 2).withColumn("stream", F.lit("entity"))
+    corpus = spark.createDataFrame([(1, ["c5", "c0", "x"])], "query_id int, gold array<string>")
+    rows = evaluate.gold_provenance(corpus, found, found, search.entity_matches(queries, entities)).collect()
+    assert {(r.chunk_id, r.entity_pre_cap_only, r.in_pool) for r in rows} == {("c5", False, True), ("c0", True, False), ("x", False, False)}
+    timings = spark.createDataFrame([(1, "lexical", 3.0), (2, "lexical", 5.0), (3, "lexical", None), (1, "rerank", 28.0)], "query_id int, stage string, ms double")
+    assert {tuple(r) for r in evaluate.stage_timings(timings).collect()} == {("lexical", 2, 4.0), ("rerank", 1, 28.0)}
+
+
 def test_older_near_copies(spark):
     rows = [("new", 3.0, "", "t" * 60, [1.0, 0.1]), ("old", 1.0, "", "t" * 60, [1.0, 0.0]), ("short", 2.0, "", "t", [1.0, 0.1]), ("gone", 0.5, "x", "t" * 60, [1.0, 0.1]), ("zero", 0.1, "", "t" * 60, [0.0, 0.0])]
     chunks = spark.createDataFrame(rows, "chunk_id string, create_time double, superseded_by string, text string, embedding array<float>")
