@@ -213,12 +213,29 @@ def non_decreasing_backlog(series: DataFrame, warn: float, seconds: int, keys: t
     return rows.withColumn("aging", F.coalesce((F.col("value") >= warn) & (F.col("value") >= F.col("anchor")), F.lit(False)))
 
 
+#: Seconds of a bucket of a key's events.
+SESSION_BUCKET = 86_400
+
+
 def sessionize(events: DataFrame, seconds: float, key: str = "user_id") -> DataFrame:
-    """events with session: a gap of so many seconds or more begins another."""
-    w = W.partitionBy(key).orderBy("ts", "event_id")
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    gap = micros - F.lag(micros).over(w)
-    return events.withColumn("fresh", F.when(gap.isNull() | (gap >= int(seconds * 1_000_000)), 1).otherwise(0)).withColumn("session", F.sum("fresh").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("fresh")
+    """events with session: a gap of so many seconds or more begins another.
+
+    Gaps are found, and sessions counted, within buckets of a key's time; the last event and the count of each bucket
+    carry over to the next ones, so that a key with many events is many tasks' work.
+    """
+    rows = events.select(F.struct(*[F.col(f"`{c}`") for c in events.columns]).alias("r"), F.col(key).alias("k"), F.struct("ts", "event_id").alias("o"), micros(F.col("ts")).alias("us"))
+    length = SESSION_BUCKET * 1_000_000
+    rows = rows.withColumn("b", F.expr(f"(us - pmod(us, {length}L)) div {length}L"))
+    inside, along = W.partitionBy("k", "b").orderBy("o"), W.partitionBy("k").orderBy("b")
+    begins = lambda before: F.when(F.col("us") - before >= int(seconds * 1_000_000), 1).otherwise(0)
+    rows = rows.withColumn("fresh", begins(F.lag("us").over(inside))).withColumn("so_far", F.sum("fresh").over(inside.rowsBetween(W.unboundedPreceding, 0)))
+    buckets = rows.groupBy("k", "b").agg(F.min("us").alias("first"), F.max("us").alias("last"), F.sum("fresh").alias("n"))
+    before = F.lag("last").over(along)
+    buckets = buckets.withColumn("opens", F.when(before.isNull() | (F.col("first") - before >= int(seconds * 1_000_000)), 1).otherwise(0))
+    carried = F.sum(F.col("n") + F.col("opens")).over(along.rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
+    buckets = buckets.select(F.col("k").alias("k2"), F.col("b").alias("b2"), carried.alias("carried"))
+    joined = rows.join(buckets, F.col("k").eqNullSafe(F.col("k2")) & F.col("b").eqNullSafe(F.col("b2")))
+    return joined.select("r.*", (F.col("carried") + F.col("so_far")).alias("session"))
 
 
 def ban_triggers(events: DataFrame, failure: str, tries: int, seconds: int, key: str = "user_id") -> DataFrame:

@@ -46,6 +46,25 @@ def test_sessions_split_at_the_timeout(spark, tmp_path):
     assert {(r.user_id, r.start, r.events) for r in got} == {w for w in want if w[0] != 9}
 
 
+def test_sessions_over_buckets(spark, monkeypatch):
+    import random
+    from collections import defaultdict
+
+    monkeypatch.setattr(stats, "SESSION_BUCKET", 1_000)
+    rng = random.Random(7)
+    rows = [(n, rng.choice([1, 1, 1, 2, None]), START + timedelta(seconds=rng.choice([rng.uniform(-5e3, 1e5), 300 * rng.randint(0, 30)]))) for n in range(500)]
+    got = {r.event_id: r.session for r in stats.sessionize(spark.createDataFrame(rows, "event_id long, user_id long, ts timestamp"), 300).collect()}
+    want, users = {}, defaultdict(list)
+    for n, user, t in rows:
+        users[user].append((t, n))
+    for events in users.values():
+        session, last = 0, None
+        for t, n in sorted(events):
+            session += last is None or t - last >= timedelta(seconds=300)
+            want[n], last = session, t
+    assert got == want
+
+
 @pytest.fixture
 def timers(spark):
     spark.conf.set(*jobs.PROVIDER)
