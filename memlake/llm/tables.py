@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +57,18 @@ class Scratch:
         self.held = [(df, path) for df, path in self.held if not any(df is t for t in tables)]
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1_000) -> Iterator[None]:
+    """So many rows go to a Python worker at a time while tables are written here: what it holds of whole texts stays small beside the JVM."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """df, computed once, written to the shared folder and read from there, for as long as that folder stands."""
     return Scratch(df.sparkSession).saved(df, name)
