@@ -206,7 +206,11 @@ def _decoded_columns(tool: Encoder, column: pa.ListArray) -> tuple[list[int], li
 
 
 def decode_ids(encoded: DataFrame, id_col: str = "doc_id", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """id_col, n_tokens, ids_sha256 (of the ids as little-endian 32-bit integers) and decoded (bytes) of every row of encode_texts."""
+    """id_col, n_tokens, ids_sha256 (of the ids as little-endian 32-bit integers) and decoded (bytes) of every row of encode_texts().
+
+    Null and empty texts have no ids: a count of 0, the digest of nothing, and no bytes. Repeated rows, and rows without an
+    id, each get a row. An empty table gives an empty table; other columns aren't read.
+    """
     raw = _shipped(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,7 +225,11 @@ def decode_ids(encoded: DataFrame, id_col: str = "doc_id", path: str | None = No
 
 
 def with_digests(encoded: DataFrame, id_col: str = "doc_id", path: str | None = None, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """id_col, ids, n_tokens, ids_sha256 and decoded_sha256 (of the bytes that the ids decode to) of every row of encode_texts."""
+    """id_col, ids, n_tokens, ids_sha256 and decoded_sha256 (of the bytes that the ids decode to) of every row of encode_texts().
+
+    Null and empty texts have an empty list and the digests of nothing. Repeated rows, and rows without an id, each get a
+    row. An empty table gives an empty table; other columns aren't read.
+    """
     raw = _shipped(encoded, path)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -62,7 +62,11 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 
 def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows that repeat an id and its text, one."""
+    """The rows of docs that stay, with all their columns; of rows that repeat an id and its text, one.
+
+    Which stays, and what null ids and texts count as, is exact_duplicates()'s: null texts are empty ones, so one row of
+    all null and empty texts stays. Columns of any names are kept as they are. An empty table gives an empty table.
+    """
     kept = exact_duplicates(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("kept_id"), F.col("text_sha256").alias("kept_digest"))
     rows = packed(docs, id=docs[id_col], digest=sha256_hex(normalised(docs[text_col])))
     on = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest"))
