@@ -4,7 +4,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from memlake.llm import near_copies
+from memlake.llm import near_copies, simhash
 
 
 def five(text):
@@ -53,3 +53,10 @@ def test_the_stage_drops_copies_with_edited_words(spark):
     left = corpus_pipeline.distant_texts(spark, docs, "")
     assert left.columns == docs.columns and {r.doc_id for r in left.collect()} == least_ids(texts) | {None}
     assert corpus_pipeline.distant_texts(spark, docs.limit(0), "").count() == 0
+
+
+def test_no_step_without_effect(spark, monkeypatch):
+    """The index alone finds every tie, so that no fingerprints are worked out."""
+    monkeypatch.setattr(simhash, "fingerprints", lambda *_: 1 / 0)
+    docs = spark.createDataFrame(made(), "doc_id long, text string")
+    assert {r.doc_id for r in near_copies.drop_similar(docs).collect()} == least_ids(made())
