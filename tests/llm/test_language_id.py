@@ -76,6 +76,18 @@ def test_bits_of_a_text_are_those_of_its_words(spark):
     assert found.chars == 7 and abs(found.bits + sum(np.log2(p(("\0" * 4 + w + "\0")[k : k + 5])) for w in ("abc", "ab") for k in range(len(w) + 1))) < 1e-9
 
 
+def test_few_entries_lose_no_n_gram(spark, monkeypatch):
+    """Bits are those of the whole models, whatever number of entries a task holds and of words is broadcast."""
+    rows = spark.createDataFrame([("a", "the then there theory other another bother ñu"), ("b", "der die das dieser jener anderer über"), ("b", "der die")], "lang string, text string")
+    asked = spark.createDataFrame([(1, "the other die"), (1, "über, Über zz"), (2, None), (3, "12 !"), (4, "ñuthe bdieser the the"), (None, "das")], "id long, text string")
+    grams = L.gram_counts(L.word_counts(rows))
+    told = lambda found: sorted((r.id or 0, r.lang_pred, r.chars, round(r.bits, 5), round(r.margin, 5)) for r in found.collect())
+    whole = told(L.measured(asked, L.learned(grams, Scratch(spark))))
+    for held in (10**6, 12, 0):
+        monkeypatch.setattr(L, "COSTS", held)
+        assert told(L.measured(asked, L.learned(grams, Scratch(spark), entries=8))) == whole
+
+
 def test_held_out_accuracy_and_fold(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = queries.op13_language_id(spark, SF).collect()
