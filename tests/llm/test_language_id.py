@@ -88,6 +88,19 @@ def test_few_entries_lose_no_n_gram(spark, monkeypatch):
         assert told(L.measured(asked, L.learned(grams, Scratch(spark), entries=8))) == whole
 
 
+def test_rare_n_grams_are_asked_once(spark, monkeypatch):
+    rows = spark.createDataFrame([("a", "the then there theory other another"), ("b", "der die das dieser jener anderer")], "lang string, text string")
+    monkeypatch.setattr(L, "COSTS", 12)
+    models = L.learned(L.gram_counts(L.word_counts(rows)), Scratch(spark), entries=8)
+    assert 0 < len(models.head[0]) <= 4
+    asked, costs = [], L.event_costs
+    monkeypatch.setattr(L, "event_costs", lambda keys, models: asked.extend(r.key for r in keys.collect()) or costs(keys, models))
+    L.measured(spark.createDataFrame([(k, f"the other{'x' * (k % 7)} die die " * 50) for k in range(40)], "id long, text string"), models).collect()
+    words = ["the", "die", *(f"other{'x' * k}" for k in range(7))]
+    every = set(L.grams([w.encode() for w in words])[0].tolist())
+    assert sorted(asked) == sorted(every - set(models.head[0].tolist()))
+
+
 def test_held_out_accuracy_and_fold(spark):
     docs = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     rows = queries.op13_language_id(spark, SF).collect()
