@@ -67,7 +67,7 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Which stays, and what null ids and texts count as, is exact_duplicates()'s: null texts are empty ones, so one row of
     all null and empty texts stays. Columns of any names are kept as they are. An empty table gives an empty table.
     """
-    kept = exact_duplicates(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("kept_id"), F.col("text_sha256").alias("kept_digest"))
-    rows = packed(docs, id=docs[id_col], digest=sha256_hex(normalised(docs[text_col])))
-    on = F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("digest") == F.col("kept_digest"))
-    return unpacked(rows.join(kept, on, "left_semi").dropDuplicates(["id", "digest"]), docs.columns)
+    # as a struct, a null id equals a null id, and dropDuplicates() finds the rows where the join has put them: texts travel once
+    kept = exact_duplicates(docs, id_col, text_col).filter("kept").select(F.struct(F.col(id_col).alias("id"), F.col("text_sha256").alias("digest")).alias("key"))
+    rows = packed(docs, key=F.struct(docs[id_col].alias("id"), sha256_hex(normalised(docs[text_col])).alias("digest")))
+    return unpacked(rows.join(kept, "key", "left_semi").dropDuplicates(["key"]), docs.columns)

@@ -63,6 +63,17 @@ def test_exact_duplicates(odd, none):
     assert kept.columns == odd.columns and kept.count() == len(groups)
 
 
+def test_whole_rows_travel_once_when_exact_duplicates_go(spark, odd):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = exact_dedup.drop_exact_duplicates(odd)._jdf.queryExecution().executedPlan().toString().splitlines()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    joined = next(k for k, line in enumerate(plan) if "LeftSemi" in line)
+    assert not any("Exchange" in line for line in plan[:joined])
+
+
 def test_exact_duplicates_tell_texts_with_one_digest_apart(odd):
     rows = exact_dedup.exact_duplicates(odd, digest=lambda t: F.lit("same")).collect()
     assert sorted((r.doc_id or 0, r.group_size) for r in rows) == sorted((r.doc_id or 0, r.group_size) for r in exact_dedup.exact_duplicates(odd).collect())
