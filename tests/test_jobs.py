@@ -263,6 +263,21 @@ def test_sketches_merge(spark):
             assert got[k].n == w.n and abs(got[k].whos - w.whos) <= stats.SKETCH_ERROR * w.whos and abs(got[k].whats - w.whats) <= stats.SKETCH_ERROR * w.whats
 
 
+def test_orphans_by_path_and_title(spark, monkeypatch):
+    """A summary that path and title find has one row, whichever of them comes first."""
+    registry = spark.createDataFrame([("/data/kb/en/a.md", "a.md"), ("/data/kb/en/b.md", "b.md"), ("/data/kb/en/c.md", "c.md")], "filepath string, filename string")
+    chunks = spark.createDataFrame(
+        [("doc_summary_1", "/data/kb/en/a.md", "a.md", "en", "document"), ("doc_summary_2", "/old/a.md", "a.md", "en", "document"), ("doc_summary_3", "/old/c.md", "c.md", "en", "x"), ("doc_4", "/old/b.md", "b.md", "de", "document"), ("doc_4", "/old/b.md", "b.md", "de", "document")],
+        "chunk_id string, file_path string, title string, folder string, source string",
+    )
+    want = {("/data/kb/en/a.md", "doc_summary_1", "path"), ("/data/kb/en/a.md", "doc_summary_2", "title"), ("/data/kb/en/c.md", "doc_summary_3", "title"), ("/data/kb/en/b.md", "doc_4", "fallback")}
+    union = type(chunks).unionByName
+    for other in (union, lambda a, b: union(b, a)):
+        monkeypatch.setattr(type(chunks), "unionByName", other)
+        rows = lifecycle.orphan_chunks(registry, registry.limit(0), chunks).collect()
+        assert len(rows) == 4 and {tuple(r) for r in rows} == want
+
+
 def test_cutters(spark):
     text = "One sentence here. " * 100
     assert all(len(p) <= 300 and p.endswith(".") for p in chunking.greedy(text, 300)) and "".join(chunking.greedy(text, 300)).replace(" ", "") == text.replace(" ", "")
