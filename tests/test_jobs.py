@@ -263,6 +263,14 @@ def test_sketches_merge(spark):
             assert got[k].n == w.n and abs(got[k].whos - w.whos) <= stats.SKETCH_ERROR * w.whos and abs(got[k].whats - w.whats) <= stats.SKETCH_ERROR * w.whats
 
 
+def test_no_merged_sketch_is_far_off(spark):
+    """Merging costs a sketch part of its precision: of 600 counts none may be beyond the error."""
+    df = spark.range(3_000_000).select((F.col("id") % 600).alias("source"), F.expr("id div 600 % 7").alias("day"), (F.col("id") % 3).alias("part"), F.concat(F.lit("doc_"), "id").alias("what"))
+    parts = [stats.sketched(df.filter(F.col("part") == k), ("day", "source"), {"whats": "what"}) for k in range(3)]
+    counts = stats.distinct_counts(stats.merged_sketches(*parts), "source").collect()
+    assert len(counts) == 600 and all(r.n == 5_000 and abs(r.whats - r.n) <= stats.SKETCH_ERROR * r.n for r in counts)
+
+
 def test_orphans_by_path_and_title(spark, monkeypatch):
     """A summary that path and title find has one row, whichever of them comes first."""
     registry = spark.createDataFrame([("/data/kb/en/a.md", "a.md"), ("/data/kb/en/b.md", "b.md"), ("/data/kb/en/c.md", "c.md")], "filepath string, filename string")
