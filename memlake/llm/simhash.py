@@ -151,6 +151,19 @@ def fingerprint_links(nodes: DataFrame, long_list: int = LONG_LIST, scratch: Scr
     return links
 
 
+def text_links(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Links (a, b) that tie together the ids of rows whose fingerprints differ in MAX_BITS or fewer bits; rows without an id have none."""
+    scratch = Scratch(docs.sparkSession)
+    rows = docs.filter(docs[id_col].isNotNull()).select(docs[id_col].cast("long").alias("node"), fingerprints(docs[text_col]).alias("fp"))
+    prints = scratch.saved(rows, "fingerprints")
+    nodes = scratch.saved(prints.groupBy("fp").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n")), "nodes")
+    between = fingerprint_links(nodes.select("fp", "node"), scratch=scratch)
+    within = join_to_groups(prints, nodes.select("fp", F.col("node").alias("a"), "n"), "fp", "n", "node").select("a", F.col("node").alias("b")).filter("a <> b")
+    links = scratch.saved(between.unionByName(within), "links")
+    scratch.drop(prints, nodes, between)
+    return links
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", long_list: int = LONG_LIST) -> DataFrame:
     """One row per row of docs: id_col, fingerprint (16 hex digits), component_id (the smallest id reachable by links).
 

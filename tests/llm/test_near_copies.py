@@ -60,3 +60,13 @@ def test_no_step_without_effect(spark, monkeypatch):
     monkeypatch.setattr(simhash, "fingerprints", lambda *_: 1 / 0)
     docs = spark.createDataFrame(made(), "doc_id long, text string")
     assert {r.doc_id for r in near_copies.drop_similar(docs).collect()} == least_ids(made())
+
+
+def test_the_stage_drops_texts_that_simhash_links(spark):
+    """Fingerprints count what is repeated, sets of shingles don't."""
+    refrain = "row row row your boat gently down the stream " * 40
+    texts = [(3, refrain + "first of the six verses"), (1, refrain + "this one ends in quite another way"), (2, "all else is new here and nothing of it comes again"), (7, refrain + "and a third end")]
+    docs = spark.createDataFrame([*texts, (None, refrain)], "doc_id long, text string")
+    assert least_ids(texts) == {1, 2, 3, 7}
+    assert sorted(r.component_id for r in simhash.near_duplicates(docs.filter("doc_id > 0")).collect()) == [1, 1, 1, 2]
+    assert {r.doc_id for r in corpus_pipeline.distant_texts(spark, docs, "").collect()} == {1, 2, None}
