@@ -136,3 +136,12 @@ def test_supersession_limits_take_the_newest_clusters(spark):
     assert len(every) == 40 * 60 and every == sorted(every, key=lambda r: (-newest[r[0]], *r[:3]))
     for overall in (1, 50, 700):
         assert [tuple(r) for r in facts.supersession_candidates(df, memo, per_cluster=60, overall=overall).collect()] == every[:overall]
+
+
+def test_pairs_are_not_dealt_out(spark):
+    df = spark.createDataFrame([(n, "f", "cat", ["Flat"], "2024-01-01", None) for n in range(50)], "id long, fact string, category string, entity_tags array<string>, created_at string, superseded_by long")
+    memo = spark.createDataFrame([(0, 4, "2025-01-01"), (1, 5, "2023-01-01"), (1, 5, None)], "fact_id_a long, fact_id_b long, judged_at string")
+    pairs = facts.candidate_pairs(df, memo).select("cluster", "a", "b")
+    assert {(r.a, r.b) for r in pairs.collect()} == {(a, b) for a in range(50) for b in range(a + 1, min(a + 20, 50))} - {(0, 4)}
+    last = next(x for x in pairs._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x)
+    assert "run" in last and "fact_id_a" not in last
