@@ -138,6 +138,47 @@ def test_supersession_limits_take_the_newest_clusters(spark):
         assert [tuple(r) for r in facts.supersession_candidates(df, memo, per_cluster=60, overall=overall).collect()] == every[:overall]
 
 
+def test_supersession_compares_no_more_than_the_budget_needs(spark, monkeypatch):
+    import pandas as pd
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(a, b, least):
+        @F.pandas_udf("double")
+        def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
+            seen.add(len(x))
+            return pd.Series(1.0, index=x.index)
+
+        return ratio.asNondeterministic()(a, b)
+
+    monkeypatch.setattr(facts, "fuzzy_ratio_from", counted)
+    rows = [(n, "the rent of a flat", f"cat{n % 2}", ["Flat"], "2024-01-01", None) for n in range(8000)]
+    df = spark.createDataFrame(rows, "id long, fact string, category string, entity_tags array<string>, created_at string, superseded_by long")
+    memo = spark.createDataFrame([], "fact_id_a long, fact_id_b long, judged_at string")
+    got = [(r.a, r.b) for r in facts.supersession_candidates(df, memo, overall=900).collect()]
+    assert len(got) == 900 and got[:19] == [(1, 1 + 2 * k) for k in range(1, 20)] and got[500][0] == 0
+    assert seen.value <= 2 * 128 * 19
+
+
+def test_supersession_goes_on_in_a_cluster_until_it_has_its_pairs(spark):
+    """Similar facts stand far apart from each other in a long cluster, and its first pairs count."""
+    import random
+
+    rng = random.Random(5)
+    made = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789") for _ in range(60))
+    texts = [made() for _ in range(2600)]
+    for n in (700, 1500, 2000, 2590):
+        texts[n + 3] = texts[n + 5] = texts[n]
+    rows = [(n, t, "cat", ["Flat"], "2024-01-01", None) for n, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id long, fact string, category string, entity_tags array<string>, created_at string, superseded_by long")
+    memo = spark.createDataFrame([(700, 703, "2025-01-01"), (700, 705, "2023-01-01"), (700, 705, None)], "fact_id_a long, fact_id_b long, judged_at string")
+    want = [(n + x, n + y) for n in (700, 1500, 2000, 2590) for x, y in ((0, 3), (0, 5), (3, 5)) if (n, y - x) != (700, 3)]
+    for some in (2, 5, 100):
+        got = [(r.a, r.b) for r in facts.supersession_candidates(df, memo, least=0.8, per_cluster=some).collect()]
+        assert got == want[:some]
+    assert facts.supersession_candidates(df.limit(0), memo).collect() == []
+
+
 def test_pairs_are_not_dealt_out(spark):
     df = spark.createDataFrame([(n, "f", "cat", ["Flat"], "2024-01-01", None) for n in range(50)], "id long, fact string, category string, entity_tags array<string>, created_at string, superseded_by long")
     memo = spark.createDataFrame([(0, 4, "2025-01-01"), (1, 5, "2023-01-01"), (1, 5, None)], "fact_id_a long, fact_id_b long, judged_at string")
