@@ -85,3 +85,12 @@ def test_texts_are_not_shuffled_for_vectors_that_nobody_reads(spark, monkeypatch
     twice, plain = given.union(given.limit(1)), fixtures.table
     monkeypatch.setattr(fixtures, "table", lambda spark, sf, name: twice if name == "embeddings" else plain(spark, sf, name))
     assert plain(spark, SF, "chunks").select("chunk_id", "text").count() == texts.count() + 1
+
+
+def test_streams_are_not_made_again_for_what_they_exclude(spark):
+    """The semantic stream stands in the plan for itself and for what the entity stream leaves out, the others once."""
+    queries, chunks, entities = (fixtures.table(spark, SF, n) for n in ("queries", "chunks", "entity_index"))
+    found = search.hybrid_candidates(queries, chunks, entities, 5)
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("FlatMapCoGroups") == 3
+    rows = [(r.query_id, r.chunk_id) for r in found.collect()]
+    assert len(rows) == len(set(rows)) > 0
